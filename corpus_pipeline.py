@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate
+from vigil.llm import decontaminate, quality
 from vigil.llm.common import stored, table
 
 
+def quality_kept(spark, docs, sf_dir):
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
 def decontaminated(spark, docs, sf_dir):
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", decontaminated)]
+STAGES = [("quality classifier", quality_kept), ("decontamination", decontaminated)]
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, quality
 from .common import table
 
 
@@ -10,5 +10,9 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op3_decontamination": op3_decontamination}
+def op6_quality_classifier(spark, sf_dir):
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
 ORACLES = {"op3_decontamination": decontaminate.ORACLE}
