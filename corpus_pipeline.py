@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate, quality
+from vigil.llm import decontaminate, langid, quality
 from vigil.llm.common import stored, table
 
 
@@ -10,11 +10,15 @@ def quality_kept(spark, docs, sf_dir):
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
+def language_known(spark, docs, sf_dir):
+    return langid.keep(docs)
+
+
 def decontaminated(spark, docs, sf_dir):
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality classifier", quality_kept), ("decontamination", decontaminated)]
+STAGES = [("quality classifier", quality_kept), ("language ID", language_known), ("decontamination", decontaminated)]
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, langid, quality
 from .common import table
 
 
@@ -10,9 +10,13 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_language_id(spark, sf_dir):
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
+QUERIES = {"op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
 ORACLES = {"op3_decontamination": decontaminate.ORACLE}
