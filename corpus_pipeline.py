@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate, langid, quality
+from vigil.llm import decontaminate, langid, neardup, quality
 from vigil.llm.common import stored, table
 
 
@@ -14,11 +14,15 @@ def language_known(spark, docs, sf_dir):
     return langid.keep(docs)
 
 
+def near_duplicates_dropped(spark, docs, sf_dir):
+    return neardup.keep(docs)
+
+
 def decontaminated(spark, docs, sf_dir):
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality classifier", quality_kept), ("language ID", language_known), ("decontamination", decontaminated)]
+STAGES = [("quality classifier", quality_kept), ("language ID", language_known), ("MinHash near-dedup", near_duplicates_dropped), ("decontamination", decontaminated)]
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, quality
+from . import decontaminate, langid, neardup, quality
 from .common import table
 
 
@@ -18,5 +18,9 @@ def op6_quality_classifier(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
+def op8_minhash_near_dedup(spark, sf_dir):
+    return neardup.digest(neardup.classes(table(spark, sf_dir, "documents"), words=2))
+
+
+QUERIES = {"op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
 ORACLES = {"op3_decontamination": decontaminate.ORACLE}
