@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.llm import decontaminate, langid, neardup, quality
+import public_tokenizers
+
+from vigil.llm import bpe, decontaminate, langid, neardup, quality
 from vigil.llm.common import stored, table
 
 
@@ -22,7 +24,11 @@ def decontaminated(spark, docs, sf_dir):
     return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality classifier", quality_kept), ("language ID", language_known), ("MinHash near-dedup", near_duplicates_dropped), ("decontamination", decontaminated)]
+def tokenized(spark, docs, sf_dir):
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality classifier", quality_kept), ("language ID", language_known), ("MinHash near-dedup", near_duplicates_dropped), ("benchmark decontamination", decontaminated), ("byte-level BPE", tokenized)]
 ORACLE_SQL = None
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, neardup, quality
+import public_tokenizers
+
+from . import bpe, decontaminate, langid, neardup, quality
 from .common import table
 
 
@@ -10,6 +12,10 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op1_byte_level_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_language_id(spark, sf_dir):
     return langid.predict(table(spark, sf_dir, "documents"))
 
@@ -22,5 +28,5 @@ def op8_minhash_near_dedup(spark, sf_dir):
     return neardup.digest(neardup.classes(table(spark, sf_dir, "documents"), words=2))
 
 
-QUERIES = {"op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
+QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
 ORACLES = {"op3_decontamination": decontaminate.ORACLE}
