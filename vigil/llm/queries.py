@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, langid, neardup, quality
+from . import bpe, decontaminate, langid, neardup, quality, topk
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_language_id(spark, sf_dir):
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark, sf_dir):
+    return topk.twentieth(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_classifier(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,5 +32,5 @@ def op8_minhash_near_dedup(spark, sf_dir):
     return neardup.digest(neardup.classes(table(spark, sf_dir, "documents"), words=2))
 
 
-QUERIES = {"op1_byte_level_bpe": op1_byte_level_bpe, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
-ORACLES = {"op3_decontamination": decontaminate.ORACLE}
+QUERIES = {"op5_exact_topk": op5_exact_topk, "op1_byte_level_bpe": op1_byte_level_bpe, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
+ORACLES = {"op5_exact_topk": topk.ORACLE, "op3_decontamination": decontaminate.ORACLE}
