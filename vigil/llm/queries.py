@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, langid, neardup, quality, topk
+from . import bpe, decontaminate, langid, lm, neardup, quality, topk
 from .common import table
 
 
@@ -28,9 +28,13 @@ def op6_quality_classifier(spark, sf_dir):
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return neardup.digest(neardup.classes(table(spark, sf_dir, "documents"), words=2))
 
 
-QUERIES = {"op5_exact_topk": op5_exact_topk, "op1_byte_level_bpe": op1_byte_level_bpe, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
+QUERIES = {"op7_lm_scoring": op7_lm_scoring, "op5_exact_topk": op5_exact_topk, "op1_byte_level_bpe": op1_byte_level_bpe, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
 ORACLES = {"op5_exact_topk": topk.ORACLE, "op3_decontamination": decontaminate.ORACLE}
