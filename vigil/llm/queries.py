@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, langid, lm, neardup, quality, topk
+from . import bpe, decontaminate, langid, lm, neardup, pages, quality, topk
 from .common import table
 
 
+def op2_html_extraction(spark, sf_dir):
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.digest(decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -36,5 +40,5 @@ def op8_minhash_near_dedup(spark, sf_dir):
     return neardup.digest(neardup.classes(table(spark, sf_dir, "documents"), words=2))
 
 
-QUERIES = {"op7_lm_scoring": op7_lm_scoring, "op5_exact_topk": op5_exact_topk, "op1_byte_level_bpe": op1_byte_level_bpe, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
+QUERIES = {"op2_html_extraction": op2_html_extraction, "op7_lm_scoring": op7_lm_scoring, "op5_exact_topk": op5_exact_topk, "op1_byte_level_bpe": op1_byte_level_bpe, "op8_minhash_near_dedup": op8_minhash_near_dedup, "op4_language_id": op4_language_id, "op6_quality_classifier": op6_quality_classifier, "op3_decontamination": op3_decontamination}
 ORACLES = {"op5_exact_topk": topk.ORACLE, "op3_decontamination": decontaminate.ORACLE}
