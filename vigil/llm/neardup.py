@@ -5,13 +5,13 @@ and an odd sketch: the samples folded into a bitmap by parity, so that the popul
 how many samples differ. Documents of equal fingerprint are one node from then on. Nodes that share a band of samples
 are candidates; the sketches drop those that are plainly apart; what is left is confirmed on the full sets.
 
-Candidates are not all pairs of a band's bucket. First each member meets the bucket's smallest member. Buckets whose
+Candidates are not all pairs of a band's bucket. First each member meets the bucket's leader, the member that shares most buckets. Buckets whose
 members are not yet all in one component by then are taken again, and only members of different components of them
-meet, by a join that drops the far ones by size and sketch before it emits a pair. So a bucket of near copies costs a
+meet, once, by a join that drops the far ones by size and sketch before it emits a pair. So a bucket of near copies costs a
 pair a member, and no link that matters for the components is lost: members of one component need no further links.
 
 BANDS bands of ROWS samples miss a pair at the threshold with a probability of (1 - 0.8**ROWS)**BANDS, under 1e-6;
-the sketches' margin is beyond five standard deviations of the estimate. Components come from rounds of the smallest
+the sketches' margin is 4.5 standard deviations of the estimate. Components come from rounds of the smallest
 label over stored tables.
 
 Nulls and the like: a text that is null, empty or blank has an empty set and is linked with nothing. A text with fewer
@@ -35,8 +35,8 @@ _SAMPLES = ROWS * BANDS
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(0, 1 << 32, _SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MASKS = _rng.integers(0, 1 << 32, _SAMPLES, dtype=np.uint64).astype(np.uint32)
-#: How far the samples' estimate of the similarity may lie below the truth: over 5 standard deviations of it at 0.8.
-MARGIN = 0.12
+#: How far the sketches' estimate of the similarity may lie below the truth: 4.5 standard deviations at 0.8, of which the samples make 0.024 and the folding 0.01.
+MARGIN = 0.115
 #: Up to so many ids (8 bytes each) the texts to confirm are found by a broadcast; beyond, by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -84,9 +84,8 @@ def odd_sketch(best: np.ndarray) -> np.ndarray:
 
 def most_different(threshold: float) -> int:
     """The most bits by which two sketches differ that may yet be of sets as similar as the threshold."""
-    apart, n = 2 * _SAMPLES * (1 - (threshold - MARGIN)), 64 * SKETCH_WORDS
-    mean = n / 2 * (1 - (1 - 2 / n) ** apart)
-    return int(np.ceil(mean + 4 * np.sqrt(mean / 2)))
+    n, apart = 64 * SKETCH_WORDS, 2 * _SAMPLES * (1 - (threshold - MARGIN))
+    return int(np.ceil(n / 2 * (1 - (1 - 2 / n) ** apart)))
 
 
 def _signed(texts: pa.Array, words: int) -> list[pa.Array]:
@@ -170,11 +169,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # a node for each distinct set: the smallest id that has it
     nodes = stored(full.groupBy("fp").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "sketch", "bands"))), "neardup-nodes")
     info = nodes.select("node", "n", "sketch")
-    keys = nodes.select("node", F.explode("bands").alias("bucket"))
-    lead = stored(keys.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("m")).where("m > 1"), "neardup-lead")
-    members = stored(keys.join(lead, "bucket"), "neardup-members")
-
-    first = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = stored(keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"), "neardup-buckets")
+    members = stored(keys.join(shared, "bucket"), "neardup-members")
+    # a bucket is led by the member that meets others most often: in a group of near copies, the text that they were made from
+    met_by = stored(members.groupBy("node").agg((F.sum("m") * 65536 + F.pmod(F.xxhash64("node"), F.lit(65536))).alias("meets")), "neardup-meets")
+    lead = stored(members.select("bucket", "node").join(met_by, "node").groupBy("bucket").agg(F.max_by("node", "meets").alias("lead")), "neardup-lead")
+
+    first = members.join(lead, "bucket").where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     x, y = F.struct("n", "sketch").alias("x"), F.struct("n", "sketch").alias("y")
     first = first.join(info.select(F.col("node").alias("b"), y), "b").join(info.select(F.col("node").alias("a"), x), "a")
     pairs = stored(first.where(_near("x", "y", threshold)).select("a", "b").distinct(), "neardup-pairs")
@@ -182,11 +184,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     # buckets of three and more that are still in several components: members of different ones meet, as far as sizes and sketches allow
     labels = components(links)
-    marked = stored(members.where("m > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "neardup-marked")
+    marked = stored(members.where("m > 2").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label")), "neardup-marked")
     mixed = stored(marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "neardup-mixed")
-    still = stored(marked.join(mixed, "bucket").join(info, "node"), "neardup-open")
+    still = stored(marked.join(mixed, "bucket").join(nodes.select("node", "n", "sketch", "bands"), "node"), "neardup-open")
     u, v = still.alias("u"), still.alias("v")
-    met = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.label") < F.col("v.label")) & _near("u", "v", threshold))
+    once = "array_position(zip_with(u.bands, v.bands, (x, y) -> x = y), true) = u.band + 1"  # in the first of the buckets that both are in
+    met = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.label") < F.col("v.label")) & _near("u", "v", threshold) & F.expr(once))
     met = met.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct()
     more = stored(met.join(pairs, ["a", "b"], "left_anti"), "neardup-pairs")
     links = links.union(_confirmed(more, texts, threshold, words))
