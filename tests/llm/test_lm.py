@@ -113,7 +113,7 @@ def test_gradient_against_differences(monkeypatch):
         return 0.02 * total
 
     q = {k: v.astype(np.float64) for k, v in p.items()}
-    for name, spots in (("U", [(0, 0), (5, 30), (7, 60)]), ("E", [(int(inputs[1, 0]), 3), (words.end, 50)]), ("Wc", [(2, 0), (3, lm.CLASSES)])):
+    for name, spots in (("U", [(0, 0), (5, 30), (7, 40)]), ("E", [(int(inputs[1, 0]), 3), (words.end, 40)]), ("Wc", [(2, 0), (3, lm.CLASSES)])):
         for spot in spots:
             up, down = ({**q, name: q[name].copy()} for _ in "ab")
             up[name][spot] += 1e-4
