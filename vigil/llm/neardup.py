@@ -7,7 +7,7 @@ are candidates; the sketches drop those that are plainly apart; what is left is
 
 Candidates are not all pairs of a band's bucket. First each member meets the bucket's leader, the member that shares most buckets. Buckets whose
 members are not yet all in one component by then are taken again, and only members of different components of them
-meet, once, by a join that drops the far ones by size and sketch before it emits a pair. So a bucket of near copies costs a
+meet, once, by a join that drops the far ones by size and a finer sketch before it emits a pair. So a bucket of near copies costs a
 pair a member, and no link that matters for the components is lost: members of one component need no further links.
 
 BANDS bands of ROWS samples miss a pair at the threshold with a probability of (1 - 0.8**ROWS)**BANDS, under 1e-6;
@@ -32,9 +32,11 @@ from .common import BLANKS, mix64, span_hashes, stored, text_slices, word_bounds
 ROWS, BANDS = 6, 48
 SKETCH_WORDS = 16
 _SAMPLES = ROWS * BANDS
+#: The finer sketches of nodes whose buckets are taken again: their samples, words and margin.
+FINE_SAMPLES, FINE_WORDS, FINE_MARGIN = 2048, 64, 0.046
 _rng = np.random.default_rng(20)
-_FACTORS = _rng.integers(0, 1 << 32, _SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_MASKS = _rng.integers(0, 1 << 32, _SAMPLES, dtype=np.uint64).astype(np.uint32)
+_FACTORS = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_MASKS = _rng.integers(0, 1 << 32, FINE_SAMPLES, dtype=np.uint64).astype(np.uint32)
 #: How far the sketches' estimate of the similarity may lie below the truth: 4.5 standard deviations at 0.8, of which the samples make 0.024 and the folding 0.01.
 MARGIN = 0.115
 #: Up to so many ids (8 bytes each) the texts to confirm are found by a broadcast; beyond, by a shuffle.
@@ -61,34 +63,35 @@ def shingle_sets(texts: pa.Array, words: int = 2):
                 yield np.zeros(0, np.uint64)
 
 
-def samples(found: np.ndarray) -> np.ndarray:
+def samples(found: np.ndarray, many: int = _SAMPLES) -> np.ndarray:
     """The MinHash samples of a set of hashes."""
     low = (found ^ (found >> np.uint64(32))).astype(np.uint32)
-    best = np.full(_SAMPLES, 0xFFFFFFFF, np.uint32)
-    room = np.empty((min(len(low), 1024), _SAMPLES), np.uint32)
-    for at in range(0, len(low), 1024):
-        part = low[at : at + 1024, None]
+    best = np.full(many, 0xFFFFFFFF, np.uint32)
+    step = (1024 * _SAMPLES) // many
+    room = np.empty((min(len(low), step), many), np.uint32)
+    for at in range(0, len(low), step):
+        part = low[at : at + step, None]
         made = room[: len(part)]
-        np.bitwise_xor(part, _MASKS, out=made)
-        np.multiply(made, _FACTORS, out=made)
+        np.bitwise_xor(part, _MASKS[:many], out=made)
+        np.multiply(made, _FACTORS[:many], out=made)
         np.minimum(best, made.min(axis=0), out=best)
     return best
 
 
-def odd_sketch(best: np.ndarray) -> np.ndarray:
-    """The samples folded into SKETCH_WORDS words of 64 bits by parity."""
-    at = (mix64(best.astype(np.uint64) | (np.arange(_SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
-    bits = np.bincount(at, minlength=64 * SKETCH_WORDS) & 1
+def odd_sketch(best: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """The samples folded into so many words of 64 bits by parity."""
+    at = (mix64(best.astype(np.uint64) | (np.arange(len(best), dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * words)).astype(np.int64)
+    bits = np.bincount(at, minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def most_different(threshold: float) -> int:
+def most_different(threshold: float, many: int = _SAMPLES, words: int = SKETCH_WORDS, margin: float = MARGIN) -> int:
     """The most bits by which two sketches differ that may yet be of sets as similar as the threshold."""
-    n, apart = 64 * SKETCH_WORDS, 2 * _SAMPLES * (1 - (threshold - MARGIN))
+    n, apart = 64 * words, 2 * many * (1 - (threshold - margin))
     return int(np.ceil(n / 2 * (1 - (1 - 2 / n) ** apart)))
 
 
-def _signed(texts: pa.Array, words: int) -> list[pa.Array]:
+def _signed(texts: pa.Array, words: int, fine: bool = False) -> list[pa.Array]:
     sizes, prints, sketches, bands = [], [], [], []
     salt = np.arange(BANDS, dtype=np.uint64)
     place = np.arange(1, ROWS + 1, dtype=np.uint64)
@@ -101,20 +104,20 @@ def _signed(texts: pa.Array, words: int) -> list[pa.Array]:
         b = np.add.reduce(mix64(found + np.uint64(0x632BE59BD9B4E019)))
         prints.append(a.tobytes() + b.tobytes())
         best = samples(found)
-        sketches.append(odd_sketch(best))
+        sketches.append(odd_sketch(samples(found, FINE_SAMPLES), FINE_WORDS) if fine else odd_sketch(best))
         rows = best.reshape(BANDS, ROWS).astype(np.uint64)
         bands.append(mix64((mix64(rows + (place << np.uint64(32))) * (place * np.uint64(2) + np.uint64(1))).sum(axis=1) + mix64(salt)).view(np.int64))
     return [pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, fine: bool = False) -> DataFrame:
     """id, n, fp (of the set; null if empty), sketch, bands of each row."""
 
     def sign(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), *_signed(part.column(1), words)], ["id", "n", "fp", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *_signed(part.column(1), words, fine)], ["id", "n", "fp", "sketch", "bands"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n long, fp binary, sketch array<bigint>, bands array<bigint>")
 
@@ -139,11 +142,11 @@ def _confirm(threshold: float, words: int):
     return confirm
 
 
-def _near(x: str, y: str, threshold: float):
+def _near(x: str, y: str, threshold: float, words: int = SKETCH_WORDS, most: int | None = None):
     """The condition that two nodes' sizes and sketches allow the threshold."""
-    apart = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(words)), F.lit(0))
     n, m, h = F.col(f"{x}.n"), F.col(f"{y}.n"), F.lit(round(threshold * 100))
-    return (n * h <= m * 100) & (m * h <= n * 100) & (apart <= most_different(threshold))
+    return (n * h <= m * 100) & (m * h <= n * 100) & (apart <= (most_different(threshold) if most is None else most))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -186,10 +189,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     labels = components(links)
     marked = stored(members.where("m > 2").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label")), "neardup-marked")
     mixed = stored(marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "neardup-mixed")
-    still = stored(marked.join(mixed, "bucket").join(nodes.select("node", "n", "sketch", "bands"), "node"), "neardup-open")
+    still = stored(marked.join(mixed, "bucket"), "neardup-open")
+    fine = signatures(_of(texts, stored(still.select(F.col("node").alias("id")).distinct(), "neardup-ids")), "id", "text", words, fine=True)
+    still = stored(still.join(stored(fine.select(F.col("id").alias("node"), "n", "sketch", "bands"), "neardup-fine"), "node"), "neardup-open")
     u, v = still.alias("u"), still.alias("v")
     once = "array_position(zip_with(u.bands, v.bands, (x, y) -> x = y), true) = u.band + 1"  # in the first of the buckets that both are in
-    met = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.label") < F.col("v.label")) & _near("u", "v", threshold) & F.expr(once))
+    met = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.label") < F.col("v.label")) & _near("u", "v", threshold, FINE_WORDS, most_different(threshold, FINE_SAMPLES, FINE_WORDS, FINE_MARGIN)) & F.expr(once))
     met = met.select(F.least("u.node", "v.node").alias("a"), F.greatest("u.node", "v.node").alias("b")).distinct()
     more = stored(met.join(pairs, ["a", "b"], "left_anti"), "neardup-pairs")
     links = links.union(_confirmed(more, texts, threshold, words))
@@ -203,10 +208,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node")).alias("component"))
 
 
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts with these ids."""
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int) -> DataFrame:
     """a, b of the pairs whose full sets are as similar as the threshold."""
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "neardup-ids")
-    mine = stored(texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "neardup-texts")
+    mine = stored(_of(texts, ids), "neardup-texts")
     both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold, words), "a long, b long").distinct()
 
