@@ -81,7 +81,7 @@ def table(incidents: DataFrame, truth: DataFrame, now: Column) -> DataFrame:
     t = truth.select("fault_id", "injected_at", "reverted_at").join(latency(incidents, truth, now), "fault_id")
     day = lambda c: F.date_format(c, "dd MMM HH:mm")
     window = F.concat(day("injected_at"), F.lit(" to "), F.coalesce(day("reverted_at"), F.lit("LIVE")))
-    return t.select("fault_id", F.col("n").alias("incidents"), F.coalesce(F.format_string("%.2f", rounded(F.col("latency_hours"), 2)), F.lit("—")).alias("latency_h"), window.alias("window")).orderBy("fault_id")
+    return t.select("fault_id", F.col("n").alias("incidents"), F.when(F.col("latency_hours").isNotNull(), F.format_string("%.2f", rounded(F.col("latency_hours"), 2))).otherwise("—").alias("latency_h"), window.alias("window")).orderBy("fault_id")
 
 
 def report(seal: Seal, incidents: DataFrame, now: Column, backend: str) -> DataFrame:

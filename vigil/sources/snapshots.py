@@ -10,9 +10,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-HISTORY = T.StructType.fromDDL("version bigint, timestamp timestamp, operation string, operationMetrics map<string,string>")
+HISTORY = "version bigint, timestamp timestamp, operation string, operationMetrics map<string,string>"
 
 
 class Snapshots:
@@ -60,8 +59,8 @@ class Snapshots:
         """version, timestamp, operation, operationMetrics of each version kept."""
         if not self.versions():
             return self.spark.createDataFrame([], HISTORY)
-        log = self.spark.read.schema("version bigint, timestamp timestamp, operation string, operationMetrics map<string,string>").json(f"{self.path}/_log/*.json")
-        return log.select(*HISTORY.names)
+        log = self.spark.read.schema(HISTORY).json(f"{self.path}/_log/*.json")
+        return log.select("version", "timestamp", "operation", "operationMetrics")
 
     def counts(self, newest: int | None = None) -> DataFrame:
         """version, n of the newest versions, by one scan of all of them. A version that can't be read is absent, which is not zero."""
