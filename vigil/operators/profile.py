@@ -69,3 +69,21 @@ def bag_union(*parts: DataFrame) -> DataFrame:
 def columns_of(df: DataFrame, columns: list[str]) -> DataFrame:
     """Those of the columns that there are, in the order asked for."""
     return df.select(*(c for c in columns if c in df.columns))
+
+
+def selected(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of the keys that are wanted; a key without a row is an error."""
+    missing = [r[key] for r in wanted.select(key).distinct().join(df.select(key).distinct(), key, "left_anti").limit(20).collect()]
+    if missing:
+        raise KeyError(f"no row of {', '.join(map(str, missing))}")
+    return df.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def sizes(spark, paths: dict[str, str]) -> DataFrame:
+    """name, path, bytes, files of saved tables."""
+    out = []
+    for name, path in paths.items():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p)
+        out.append((name, path, s.getLength(), s.getFileCount()))
+    return spark.createDataFrame(out, "name string, path string, bytes bigint, files bigint")

@@ -136,3 +136,24 @@ def save(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
     return out
 
 
+
+
+def main(argv: list[str] | None = None) -> None:
+    """python -m vigil.plans.datagen --rows N --seed S --start D --end D --out FOLDER"""
+    import argparse
+
+    from vigil.operators.profile import sizes
+
+    p = argparse.ArgumentParser(description=main.__doc__)
+    p.add_argument("--rows", type=int, default=2_000_000)
+    p.add_argument("--seed", type=int, default=4417)
+    p.add_argument("--start", type=date.fromisoformat, default=date(2026, 1, 1))
+    p.add_argument("--end", type=date.fromisoformat, default=date(2026, 6, 30))
+    p.add_argument("--out", required=True)
+    a = p.parse_args(argv)
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    sizes(spark, save(star(spark, a.rows, a.seed, a.start, a.end), a.out)).show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()

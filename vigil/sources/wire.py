@@ -6,6 +6,7 @@ part of this package.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,3 +129,40 @@ def paged_source(fetch: Callable[[str, str | None], dict], name: str = "paged")
             return _Reader(schema, self.options, fetch)
 
     return Paged
+
+
+# ---- what a client needs around its calls ----
+
+
+def retrying(call: Callable, tries: int = 4, sleep: Callable[[float], None] | None = None) -> Callable:
+    """call again when it is told to slow down (Unavailable with status 429): after the seconds it names (`retry_after`), or 1, 2, 4 …; other errors and the last one are raised."""
+    wait = sleep or time.sleep
+
+    def again(*args, **kwargs):
+        for n in range(tries):
+            try:
+                return call(*args, **kwargs)
+            except Unavailable as e:
+                if e.status != 429 or n == tries - 1:
+                    raise
+                wait(float(getattr(e, "retry_after", None) or 2**n))
+
+    return again
+
+
+class Tokens:
+    """Tokens by scope, fetched anew 300 seconds before they expire. fetch(scope) answers (token, expiry in epoch seconds)."""
+
+    EARLY = 300
+
+    def __init__(self, fetch: Callable[[str], tuple[str, float]], clock: Callable[[], float] = time.time):
+        self.fetch, self.clock, self.held = fetch, clock, {}
+
+    def get(self, scope: str) -> str:
+        token, until = self.held.get(scope, ("", 0.0))
+        if self.clock() >= until - self.EARLY:
+            token, until = self.held[scope] = self.fetch(scope)
+        return token
+
+    def headers(self, scope: str) -> dict[str, str]:
+        return {"Authorization": f"Bearer {self.get(scope)}"}
