@@ -22,7 +22,7 @@ def _order(df: DataFrame) -> list[str]:
 
 
 def latest_known(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a key. One hash aggregation: each column is the value of the largest order among its known ones. Null keys are a key."""
+    """One row a key. One aggregation, combined before the shuffle: each column is the value of the largest order among its known ones. Null keys are a key."""
     missing = [k for k in keys if k not in df.columns]
     if missing:
         raise KeyError(f"no column {', '.join(missing)} to tell rows apart by")
