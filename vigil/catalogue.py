@@ -348,3 +348,53 @@ def seeded_ledger(spark, d):
     from vigil.plans.datagen import ledger
 
     return ledger(spark, 20_000, 4417, date(2026, 1, 1), date(2026, 6, 30))
+
+
+@query(f"WITH {_COMMITS} SELECT epoch_us(max(\"timestamp\") - INTERVAL 10 MINUTE) AS cutoff_us FROM commits")
+def complete_until(spark, d):
+    return latest.complete_until(commits(spark, d), None).select(micros("cutoff").alias("cutoff_us"))
+
+
+@query(f"""WITH {_RUNS}, {_COMMITS} SELECT run_id, item_name FROM runs WHERE status = 'Completed' AND end_time < (SELECT max("timestamp") - INTERVAL 10 MINUTE FROM commits)""")
+def eligible_runs(spark, d):
+    return silent_delivery.eligible(runs(spark, d), cutoff(spark, d)).select("run_id", "item_name")
+
+
+@query("SELECT count(*) AS stored, count(DISTINCT (user_id, event_type)) AS distinct_facts FROM events")
+def stored_and_distinct(spark, d):
+    e = table(spark, d, "events")
+    return e.agg(F.count(F.lit(1)).alias("stored"), F.count_distinct(F.struct("user_id", "event_type")).alias("distinct_facts"))
+
+
+@query("""WITH r AS (SELECT CAST(user_id AS VARCHAR) AS dataset_id, ts, event_id, CASE WHEN value < 60 THEN 'Completed' ELSE 'Failed' END AS status, CASE WHEN value >= 60 THEN 'e' || CAST(floor(value / 20) AS BIGINT) END AS error, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS n FROM events WHERE event_type = 'view'),
+g AS (SELECT dataset_id, max(ts) FILTER (status = 'Completed') AS ok, count(error) FILTER (n <= 3) AS errors, count(DISTINCT error) FILTER (n <= 3) AS kinds FROM r GROUP BY 1),
+x AS (SELECT dataset_id, epoch_us(ok) AS last_us, CASE WHEN errors = 3 AND kinds = 1 THEN 'repeated error' WHEN ok IS NULL THEN 'never succeeded' WHEN (epoch_us((SELECT max(ts) FROM events)) - epoch_us(ok)) / 3600000000.0::DOUBLE > 48 THEN 'overdue' END AS reason FROM g) SELECT * FROM x WHERE reason IS NOT NULL""")
+def stale_models(spark, d):
+    e = table(spark, d, "events").where("event_type = 'view'")
+    failed = F.col("value") >= 60
+    r = e.select(
+        F.col("user_id").cast("string").alias("dataset_id"), F.col("event_id").cast("string").alias("refresh_id"), F.when(failed, "Failed").otherwise("Completed").alias("status"), F.col("ts").alias("start_time"), F.col("ts").alias("end_time"),
+        F.when(failed, F.concat(F.lit("e"), F.floor(F.col("value") / 20).cast("string"))).alias("error"),
+    )
+    return extras.stale_models(r, now(spark, d), 48.0).select("dataset_id", micros("last_success").alias("last_us"), "reason")
+
+
+@query("""WITH c AS (SELECT user_id, ts AS changed FROM events WHERE event_type = 'signup' AND event_id % 50 = 0), d AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase')
+SELECT c.user_id, epoch_us(c.changed) AS changed_us, round(avg(d.value) FILTER (d.ts < c.changed), 6) AS before, round(avg(d.value) FILTER (d.ts >= c.changed), 6) AS after FROM c LEFT JOIN d ON d.user_id = c.user_id AND d.ts BETWEEN c.changed - INTERVAL 48 HOUR AND c.changed + INTERVAL 48 HOUR GROUP BY 1, 2""")
+def savings(spark, d):
+    e = table(spark, d, "events")
+    c = e.where("event_type = 'signup' and event_id % 50 = 0").select("user_id", F.col("ts").alias("changed"))
+    out = extras.saving(e.where("event_type = 'purchase'"), c, "user_id", "ts", "value", "changed")
+    return out.select("user_id", micros("changed").alias("changed_us"), F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS t, l_linenumber AS v, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_quantity < 5 GROUP BY 1, 2), b AS (SELECT *, lag(n) OVER (PARTITION BY t ORDER BY v) AS before FROM p) SELECT t, v, n, before FROM b WHERE n >= 2.0 * before""")
+def bloat(spark, d):
+    p = table(spark, d, "lineitem").where("l_quantity < 5").groupBy(F.col("l_suppkey").alias("t"), F.col("l_linenumber").alias("v")).agg(F.count_distinct("l_partkey").alias("n"))
+    return extras.bloated(p, "t", "v", "n")
+
+
+@query(f"""WITH {_FAULTS}, {_ERRORS}, {_PAIRS}, l AS (SELECT f.fault_id, f.injected_at, f.reverted_at, count(p.incident_id) AS n, min(epoch_us(p.run_time) - epoch_us(p.injected_at)) / 1000000.0::DOUBLE / 3600.0::DOUBLE AS h FROM faults f LEFT JOIN pairs p USING (fault_id, injected_at) GROUP BY ALL)
+SELECT fault_id, n AS incidents, CASE WHEN h IS NULL THEN '—' ELSE 'measured' END AS latency_h, strftime(injected_at, '%d %b %H:%M') || ' to ' || coalesce(strftime(reverted_at, '%d %b %H:%M'), 'LIVE') AS "window" FROM l""")
+def fault_table(spark, d):
+    return scoring.table(errors(spark, d), faults(spark, d), now(spark, d)).withColumn("latency_h", F.when(F.col("latency_h") == "—", "—").otherwise("measured"))
