@@ -29,8 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, released
+
 #: Pieces that a worker remembers (twice so many before it forgets), and that one recursive query takes at most; ids decoded at once.
-REMEMBERED, PIECES, DECODED_IDS = 400_000, 40_000, 1 << 19
+REMEMBERED, PIECES, DECODED_IDS = 300_000, 40_000, 1 << 19
 
 _state: dict = {}
 
@@ -185,7 +187,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["id", "ids"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"id {kind}, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -200,7 +203,8 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
                 data = c.decode([np.asarray(x or [], "<u4").tobytes() for x in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data])], ["id", "bytes", "text"])
 
-    return coded.select("id", "ids").mapInArrow(run, f"id {kind}, bytes binary, text string")
+    bounded_batches(coded.sparkSession)
+    return coded.select("id", "ids").mapInArrow(released(run), f"id {kind}, bytes binary, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,4 +220,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 back = pa.array([hashlib.sha256(x).hexdigest() for x in c.decode(coded)])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) // 4 for x in coded], pa.int64()), ids, back], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -29,9 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows and bytes of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to those; lower ones stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        digits = re.sub(r"\D", "", spark.conf.get(key) or "") or "0"
+        if not 0 < int(digits) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Gives what this Python worker no longer uses back to the machine: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not this C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(over):
+    """A function over a task's batches that ends with release()."""
+
+    def run(batches):
+        try:
+            yield from over(batches)
+        finally:
+            release()
+
+    return run
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: it cuts lineage, and a lost executor costs nothing."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, mix64, stored, text_slices, word_bounds
+from .common import BLANKS, mix64, release, released, stored, text_slices, word_bounds
 
 BITS = 16
 #: At most so many documents of known language are read to fit the models.
@@ -83,7 +83,7 @@ def _counts(batches):
 def fit(sample: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities: languages, orders, buckets). The sample is bounded, and so are its 16 tasks' counts."""
     found: dict[str, np.ndarray] = {}
-    for r in sample.repartition(16).mapInArrow(_counts, "lang string, counts binary").toLocalIterator():
+    for r in sample.repartition(16).mapInArrow(released(_counts), "lang string, counts binary").toLocalIterator():
         part = np.frombuffer(r.counts, np.int64).reshape(len(_ORDERS), -1)
         found[r.lang] = found.get(r.lang, 0) + part
     names = sorted(found)
@@ -183,6 +183,7 @@ def predictor(spark, names: list[str], model: np.ndarray):
     @F.arrow_udf("struct<lang:string,score:double>")
     def predict(text: pa.Array) -> pa.Array:
         said, score = classify(text, *shared.value)
+        release()
         return pa.StructArray.from_arrays([pa.array(said, pa.string()), pa.array(score)], ["lang", "score"])
 
     return predict

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, span_hashes, stored, text_slices, word_bounds
+from .common import BLANKS, released, span_hashes, stored, text_slices, word_bounds
 
 CLASSES, SIZE, HIDDEN = 64, 64, 16
 VOCABULARY = CLASSES * SIZE
@@ -397,7 +397,7 @@ def fit(train: DataFrame, words: Words, n_all: int) -> dict[str, np.ndarray]:
     first = initial(words, n_all)
     shared = train.sparkSession.sparkContext.broadcast((words, first))  # of fixed size
     form = "chunk int, n long, w binary"
-    parts = train.mapInArrow(_train(shared), form)
+    parts = train.mapInArrow(released(_train(shared)), form)
     mid = parts.withColumn("salt", F.spark_partition_id() % 32).groupBy("chunk", "salt").applyInArrow(_summed, form)
     flat = packed(first).astype(np.float64)
     for r in mid.groupBy("chunk").applyInArrow(_summed, form).collect():  # the network, once
@@ -439,7 +439,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     train = docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"))
-    counts = stored(train.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
+    counts = stored(train.mapInArrow(released(_count), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-counts")
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = whole["n"] or 0, whole["v"]
     words = Words(*frequent(counts))
@@ -449,7 +449,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = spark.sparkContext.broadcast((words, net))  # of fixed size
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     form = f"rid long, doc_id {kind}, n_tokens long, n_known long, log_c double, n_outside long, log_outside double, model double, rare array<long>, times array<long>"
-    scored = stored(rows.mapInArrow(_score(shared), form), "lm-scored")
+    scored = stored(rows.mapInArrow(released(_score(shared)), form), "lm-scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
     found = rare.join(counts, "h").select("rid", "m", "c")
     sums = found.groupBy("rid").agg(F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("log_more"))

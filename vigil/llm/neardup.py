@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, mix64, span_hashes, stored, text_slices, word_bounds
+from .common import BLANKS, mix64, released, span_hashes, stored, text_slices, word_bounds
 
 ROWS, BANDS = 6, 48
 SKETCH_WORDS = 16
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, fine: bo
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), *_signed(part.column(1), words, fine)], ["id", "n", "fp", "sketch", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n long, fp binary, sketch array<bigint>, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(sign), "id long, n long, fp binary, sketch array<bigint>, bands array<bigint>")
 
 
 def _confirm(threshold: float, words: int):
@@ -218,7 +218,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, words: int)
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "neardup-ids")
     mine = stored(_of(texts, ids), "neardup-texts")
     both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(_confirm(threshold, words), "a long, b long").distinct()
+    return both.select("a", "b", "ta", "tb").mapInArrow(released(_confirm(threshold, words)), "a long, b long").distinct()
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, words: int = 5) -> DataFrame:

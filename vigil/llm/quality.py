@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, span_hashes, stored, text_slices
+from .common import mix64, release, released, span_hashes, stored, text_slices
 
 #: Buckets of the hashed models: 2 ** BITS.
 BITS = 20
@@ -96,7 +96,7 @@ def labelled_sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 def fit(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
     """The log ratio of each bucket. What comes to the driver are the two tables of fixed size."""
     marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id", "left").select("text", "good")
-    parts = marked.mapInArrow(_counted, "which int, chunk int, counts binary")
+    parts = marked.mapInArrow(released(_counted), "which int, chunk int, counts binary")
     counts = np.zeros((2, 1 << BITS), np.int64)
     # first those of the same hash of the task, so that no task ever gets the parts of all others
     form = "which int, chunk int, counts binary"
@@ -123,6 +123,7 @@ def weights(spark, ratios: np.ndarray):
             rows = len(offsets) - 1
             n[at : at + rows] = np.bincount(row, minlength=rows)
             w[at : at + rows] = np.bincount(row, weights=table[bucket], minlength=rows)
+        release()
         return pa.StructArray.from_arrays([pa.array(n), pa.array(w)], ["n", "w"])
 
     return score
