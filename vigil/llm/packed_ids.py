@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 BLOCK, REFRESH = 4096, 16
 #: Ids of a segment, about; lanes coded at once; pieces of text that a worker remembers (twice so many before it forgets).
-SEGMENT, AT_ONCE, REMEMBERED = 1 << 20, 2048, 300_000
+SEGMENT, AT_ONCE, REMEMBERED = 1 << 22, 2048, 300_000
 MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIIII")
 _TOTAL = 24  # bits of the mixture's whole
@@ -344,7 +344,7 @@ def write(docs: DataFrame, tokenizer_path: str, end: int = 2, id_col: str = "doc
         if held:
             yield made()
 
-    return stored(placed.mapInArrow(segments, FORM.format(kind=kind)), "packed-ids")
+    return stored(placed.mapInArrow(released(segments), FORM.format(kind=kind)), "packed-ids")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -369,8 +369,8 @@ def _read(files: DataFrame, form: str, made) -> DataFrame:
 
     def documents(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 8):
-                part = batch.slice(at, 8)
+            for at in range(0, batch.num_rows, 4):
+                part = batch.slice(at, 4)
                 for ids, row in zip(unpack_all(part.column("data").to_pylist()), range(part.num_rows), strict=True):
                     lengths = np.array(part.column("lengths")[row].as_py(), np.int64)
                     start = np.cumsum(lengths) - lengths
@@ -379,4 +379,4 @@ def _read(files: DataFrame, form: str, made) -> DataFrame:
                     base = shared.value[part.column("file")[row].as_py()] + part.column("first")[row].as_py()
                     yield pa.RecordBatch.from_arrays([part.column("doc_ids")[row].values, pa.array(base + start), pa.array(lengths), *made([ids[a : a + n] for a, n in zip(start, lengths, strict=True)])], names)
 
-    return files.select("file", "first", "doc_ids", "lengths", "data").mapInArrow(documents, f"doc_id {kind}, start long, n_tokens long, {form}")
+    return files.select("file", "first", "doc_ids", "lengths", "data").mapInArrow(released(documents), f"doc_id {kind}, start long, n_tokens long, {form}")
