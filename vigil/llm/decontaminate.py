@@ -1,8 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of the benchmark's normalised word windows, probed by every window of every text.
 
-All of it is DataFrame functions. One scan of the texts makes their windows; a hash join keyed by the whole
-normalised window finds those of the benchmark (the probe is by hash, the match by equality, so that each hit
-is verified); what remains for the one shuffle are the hits and one row a document.
+All of it is DataFrame functions. One scan of the texts hashes their windows; a hash join on the hashes finds those of
+the benchmark, and each is verified by its words; what remains for the one shuffle are the hits and one row a document.
 
 Nulls and the like: a null or empty text has no words and no hits. A null id is a document like others. Rows that
 repeat (same id, same text) each return a row. A benchmark item without words has no window; hits of an item whose
@@ -16,28 +15,39 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OWN = "array<struct<at:int,len:int,h:bigint>>"
 #: Up to so many bytes of benchmark text the windows are broadcast (some 20 times as much memory); beyond, a sort-merge join serves.
 BROADCAST_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0))
+    """The words of a text, A-Z lower-cased. A split: extracting all matches would copy the text for each."""
+    return F.array_remove(F.split(lower_ascii(text), SEPARATORS), "")
 
 
-def _windows(at: str, length: int) -> Column:
-    """Structs of position (from 1), number of words and the window, of all windows of so many words."""
-    n = F.size(at)
-    made = F.transform(F.sequence(F.lit(1), n - (length - 1)), lambda i: F.struct(i.alias("at"), F.lit(length).alias("len"), F.array_join(F.slice(F.col(at), i, length), " ").alias("win")))
+def _hash(hashes: Column, first: Column, length: int) -> Column:
+    """The hash of so many words, of their own hashes. Single elements are read: a slice would copy the whole array for each window."""
+    return F.xxhash64(*(F.get(hashes, first + j) for j in range(length)))
+
+
+def _windows(hashes: str, length: int) -> Column:
+    """Structs of position (from 1), number of words and hash, of all windows of so many words."""
+    n = F.size(hashes)
+    made = F.transform(F.sequence(F.lit(0), n - length), lambda i: F.struct((i + 1).alias("at"), F.lit(length).alias("len"), _hash(F.col(hashes), i, length).alias("h")))
     return F.when(n >= length, made)
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 13) -> DataFrame:
-    """win, items: each distinct window and the ids of the items that have it. An item of fewer than n words is one window."""
+    """h, win, items: each distinct window, its hash, and the ids of the items that have it. An item of fewer than n words is one window."""
     split = items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("ws"))
-    short = F.array(F.struct(F.lit(1).alias("at"), F.size("ws").alias("len"), F.array_join("ws", " ").alias("win")))
-    made = F.when(F.size("ws") == 0, None).when(F.size("ws") < n, short).otherwise(_windows("ws", n))
-    return split.select("item", F.explode(made).alias("w")).groupBy(F.col("w.win").alias("win")).agg(F.collect_set("item").alias("items"))
+    k = F.least(F.size("ws"), F.lit(n))
+    made = F.when(k > 0, F.transform(F.sequence(F.lit(1), F.size("ws") - k + 1), lambda i: F.slice(F.col("ws"), i, k)))
+    each = split.select("item", F.explode(made).alias("w")).select("item", F.transform("w", lambda w: F.xxhash64(w)).alias("hs"), F.array_join("w", " ").alias("win"))
+    by_length = F.coalesce(*(F.when(F.size("hs") == j, _hash(F.col("hs"), F.lit(0), j)) for j in range(1, n + 1)))
+    each = each.select("item", by_length.alias("h"), "win")
+    return each.groupBy("h", "win").agg(F.collect_set("item").alias("items"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 13) -> DataFrame:
@@ -46,11 +56,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     row = sizes.agg(F.collect_set(F.when(F.col("k") > 0, F.least("k", F.lit(n)))).alias("lens"), F.sum("b").alias("bytes")).first()  # at most n numbers
     windows = benchmark_windows(benchmark, item_col, item_text_col, n)
     windows = F.broadcast(windows) if (row.bytes or 0) <= BROADCAST_BYTES else windows.hint("merge")
-    own = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("win")))
+    own = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("h")))
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), words(F.col(text_col)).alias("ws"))
-    every = F.concat(own, *(F.coalesce(_windows("ws", k), F.array().cast(own_type())) for k in sorted(row.lens)))
-    rows = split.select("id", "text_hash", F.size("ws").alias("n_words"), F.explode(every).alias("w")).select("id", "text_hash", "n_words", "w.*")
-    met = rows.join(windows, "win", "left").where("at = 0 or items is not null")
+    split = split.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
+    every = F.concat(own, *(F.coalesce(_windows("hs", k), F.array().cast(OWN)) for k in sorted(row.lens)))
+    # the array of windows is made in a step of its own: exploding (outer, so that no filter on the array is pushed below it) and probing are then compiled, and the words are read only where a hash is met
+    made = split.select("id", "text_hash", "ws", F.size("ws").alias("n_words"), every.alias("every"))
+    rows = made.select("id", "text_hash", "ws", "n_words", F.explode_outer("every").alias("w")).select("id", "text_hash", "ws", "n_words", "w.*")
+    same = F.col("win") == F.array_join(F.slice(F.col("ws"), F.greatest("at", F.lit(1)), F.col("len")), " ")
+    met = rows.join(windows, "h", "left").where((F.col("at") == 0) | (F.col("items").isNotNull() & same)).select("id", "text_hash", "n_words", "at", "len", "items")
     grouped = met.groupBy("id", "text_hash", "n_words").agg(
         F.sum((F.col("at") == 0).cast("int")).alias("copies"),
         F.sort_array(F.collect_set(F.when(F.col("at") > 0, F.struct("at", (F.col("at") + F.col("len")).alias("end"))))).alias("found"),
@@ -65,10 +79,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out.drop("copy")
 
 
-def own_type() -> str:
-    return "array<struct<at:int,len:int,win:string>>"
-
-
 def is_contaminated() -> Column:
     return (F.col("n_hit") > 0) & (F.lit(20) * F.col("n_hit") >= F.col("n_words"))
 
@@ -96,8 +106,7 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13) -> DataFrame:
     """docs with the words that are hit, and what stands before each of them, cut out of the text; other texts stay as they are."""
     marked = _with_hits(docs, benchmark, F.col("n_hit") > 0, "left", id_col, text_col, n)
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*{word}"), F.lit(0))
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*{WORD}"), F.lit(0))
     tail = F.regexp_extract(F.col(text_col), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
     left = F.filter(F.col("__parts"), lambda x, i: ~F.exists(F.col("__spans"), lambda s: (s["at"] <= i + 1) & (i + 1 < s["end"])))
     cut = F.ltrim(F.concat(F.array_join(left, ""), F.col("__tail")))
