@@ -54,3 +54,9 @@ def test_kth_and_small_tables(spark):
     assert Q.keep(df.limit(0), lab).count() == 0
     assert Q.keep(df, lab.limit(0)).count() == 8
     assert [r.kept for r in Q.resample(df, lab, k=3).orderBy("key").collect()] == [False] * 5 + [True] * 3
+
+
+def test_level_is_the_lowest_that_does_as_well():
+    scored = [(-100.0 - i, False) for i in range(100)] + [(float(i), True) for i in range(200)]
+    assert -102 < Q.level(scored) < 0
+    assert Q.level(scored + [(3.5, False)]) < 0 and Q.level([(1.0, True)]) == float("-inf") and Q.level([]) == float("-inf") and Q.level([(1.0, False)]) == float("inf")

@@ -8,8 +8,8 @@ the k largest draws k documents without replacement in proportion to their weigh
 - The raw model counts every n-gram of every document. The target model counts a sample of at most FIT_ROWS labelled
   documents (those with the smallest hash of their id), the one bound here.
 - A bucket's ratio is (target count + PRIOR) / (expected count + PRIOR), so that n-grams too rare to judge say nothing.
-- k is not given by hand: it is the number of documents whose weight is above the level that separates the labelled
-  sample best. TEMPERATURE divides the weights' noise: at 1 the draw is the plain one.
+- k is not given by hand: it is the number of documents whose weight is above the level that separates those labelled
+  documents best that the model was not fitted on; where levels do about as well, the lowest. TEMPERATURE divides the weights' noise: at 1 the draw is the plain one.
 - The k-th key is found by counting keys in ever finer bins, never by sorting the corpus or collecting it.
 
 Nulls and the like: a null or empty text has no n-grams and a weight of 0, which is the weight of one that says
@@ -33,6 +33,7 @@ BITS = 20
 FIT_ROWS = 20_000
 PRIOR = 10.0
 TEMPERATURE = 0.25
+TOLERANCE = 0.005
 _CHUNK = 1 << 12
 
 #: 0: blanks; 1: ASCII letters, digits and all bytes beyond ASCII; 2: other ASCII. A token is a run of 1 or of 2.
@@ -87,15 +88,16 @@ def _summed(key, data):
 
 
 def labelled_sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """__id, good of at most so many labelled ids: those whose ids have the smallest hashes."""
+    """__id, good, fitted of at most so many labelled ids: those whose ids have the smallest hashes. Seven in ten fit the model, the others the level."""
     good = F.col("quality") == 1
+    part = F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(10)) < 7
     by_id = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(good.cast("int")).cast("boolean").alias("good"))
-    return by_id.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+    return by_id.orderBy(F.xxhash64("__id"), "__id").limit(rows).withColumn("fitted", part)
 
 
 def fit(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
     """The log ratio of each bucket. What comes to the driver are the two tables of fixed size."""
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id", "left").select("text", "good")
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id", "left").select("text", (F.col("good") & F.col("fitted")).alias("good"))
     parts = marked.mapInArrow(released(_counted), "which int, chunk int, counts binary")
     counts = np.zeros((2, 1 << BITS), np.int64)
     # first those of the same hash of the task, so that no task ever gets the parts of all others
@@ -162,7 +164,7 @@ def _from_bits(b: int) -> float:
 
 
 def level(scored: list[tuple[float, bool]]) -> float:
-    """The weight above which good and bad labelled documents part best (balanced errors); -inf without bad ones."""
+    """The lowest weight above which good and bad labelled documents part as well as anywhere, within TOLERANCE of balanced errors; -inf without bad ones."""
     if not scored:
         return float("-inf")
     w, good = np.array([x for x, _ in scored]), np.array([g for _, g in scored])
@@ -174,7 +176,7 @@ def level(scored: list[tuple[float, bool]]) -> float:
     left_bad = np.cumsum(~good)
     gain = kept_good / good.sum() + left_bad / (~good).sum()
     gain[:-1][w[:-1] == w[1:]] = -1
-    best = int(np.argmax(gain))
+    best = int(np.argmax(gain >= gain.max() - TOLERANCE))
     return float((w[best] + w[min(best + 1, len(w) - 1)]) / 2)
 
 
@@ -185,8 +187,10 @@ def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     scored = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), score(F.col(text_col)).alias("s"))
     keys = stored(scored.select("__id", "s.*", (F.col("s.w") + TEMPERATURE * gumbel("__id", "text", seed)).alias("key")), "quality-keys")
     if k is None:
-        pairs = keys.join(F.broadcast(sample), "__id").select("w", "good").collect()  # the sample's rows
-        k = keys.where(F.col("w") > level([(r["w"], r["good"]) for r in pairs])).count()
+        pairs = keys.join(F.broadcast(sample), "__id").select("w", "good", "fitted").collect()  # the sample's rows
+        left = [(r["w"], r["good"]) for r in pairs if not r["fitted"]]
+        both = len({g for _, g in left}) == 2
+        k = keys.where(F.col("w") > level(left if both else [(r["w"], r["good"]) for r in pairs])).count()
     if k >= keys.count():
         return score, keys, float("-inf")
     return score, keys, kth_largest(keys, "key", k) if k > 0 else float("inf")
