@@ -121,3 +121,17 @@ def test_gradient_against_differences(monkeypatch):
             grad, rows = grads[name]
             at = spot if rows is None else (int(np.flatnonzero(rows == spot[0])[0]), spot[1])
             assert abs(grad[at] - (loss(up) - loss(down)) / 2e-4) < 2e-4
+
+
+def test_the_network_is_whole():
+    assert (lm.HIDDEN, lm.WINDOW, lm.RATE) == (24, 16, 0.15)
+    _, p = small()
+    assert p["U"].shape == (24, 72) and p["E"].shape == (lm.VOCABULARY + 1, 72) and p["Ww"].shape == (lm.CLASSES, 24, lm.SIZE)
+
+
+def test_an_update_a_window_of_sixteen(monkeypatch):
+    words, p = small()
+    steps = []
+    monkeypatch.setattr(lm.Trainer, "window", lambda self, h, inputs, *more: steps.append(len(inputs)) or h)
+    lm.Trainer(p).read(np.zeros(320, np.int64), np.array([0, 320]), words.end)
+    assert steps == [16] * 20
