@@ -70,3 +70,16 @@ def test_extract(spark):
         assert r.text == want[r.page_id] and r.n_chars == len(r.text)
     assert {r.url for r in got} == {r[1] for r in rows}
     assert P.extract(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_neither_groups_nor_pieces_hide_what_recurs(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(20))
+    shared, own = [line() for _ in range(100)], [line() for _ in range(200)]
+    many = [(i, "http://d.example/", f"<div>{shared[i // 2]}</div><div>{own[i]}</div>", 0, 0) for i in range(200)]
+    many += [(i, "http://e.example/", f"<div>{shared[i % 100]}</div>", 0, 0) for i in range(300, 301)]  # another host
+    numbers = {i: " ".join(f"{i}.{k}" for k in range(P.TOKENS + 1)) for i in (400, 401)}
+    long = [(i, "http://f.example/", f"<p>{shared[0]}<p>{numbers[i]}", 0, 0) for i in numbers]
+    got = P.extract(spark.createDataFrame(many + long, ROWS).repartition(3)).collect()
+    want = dict(enumerate(own)) | {300: shared[0]} | numbers
+    assert len(got) == len(want) and all(r.text == want[r.page_id] for r in got)

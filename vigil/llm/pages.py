@@ -11,7 +11,10 @@ the page's text. Where a page says nothing, a block that is covered goes, and th
 
 Pages of a host are dealt into groups of about GROUP pages by a hash of their id, so that a hot host is many groups; what
 a site puts on its pages is on those of every group. A group's pages meet in one task: their tokens in
-pieces of at most TOKENS tokens a suffix array, so that memory is bounded also for very long pages. Pages that name
+pieces of at most TOKENS tokens a suffix array, so that memory is bounded also for very long pages. What recurs only
+between groups or pieces is found by hash: pages of hosts that are more than one piece give the hashes (64 bits) of all
+their substrings of LEAST tokens, those met on distinct pages of the host go back to the groups that have them, and
+cover there as the array's do. So neither limit changes what is covered. Pages that name
 their article, and so need no array to be read, still take part in the array: they show what the host repeats.
 
 Nulls and the like: a null or empty html, and a page without text, gives an empty text. A null url is a host of its
@@ -21,17 +24,23 @@ Unclosed tags and cut-off pages are read as far as they go. Other columns play n
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, stored
 
 LEAST, GROUP, TOKENS = 8, 64, 1 << 20
+#: A page's tokens are at most so many for each character: a block of one word, `<p>a`, counts as LEAST words and its end.
+DENSE = 3
+#: Characters of html whose substrings' hashes meet in one bucket, about; windows that are held before they are dealt out.
+BUCKET_CHARS, HELD = 16 << 20, 1 << 20
 #: Up to so many hosts of more than GROUP pages their numbers of pages are broadcast; beyond, a join serves.
 BROADCAST_HOSTS = 500_000
 
@@ -193,8 +202,41 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> np.nda
     return np.cumsum(change[:-1]) > 0
 
 
-def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST) -> list[list[float]]:
-    """The share of each block's tokens, of each page, that recur on pages of other ids."""
+def _padded(block: str, least: int) -> list[str]:
+    words = block.split(" ")
+    return words + [""] * (least - len(words))  # so a shorter block repeats if the whole of it does
+
+
+def window_hashes(tokens: np.ndarray, names: list[str], salt: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(first tokens, hashes) of the substrings of `least` tokens without a negative one. names: the word of each token's number; the hash of the same words and salt is the same anywhere."""
+    if len(tokens) < least:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    of_word = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in names], np.uint64)
+    inner = tokens >= 0
+    h = np.where(inner, of_word[np.maximum(tokens, 0)], np.uint64(0))
+    n = len(tokens) - least + 1
+    out, whole = np.full(n, salt & (1 << 64) - 1, np.uint64), np.ones(n, bool)
+    for k in range(least):
+        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        whole &= inner[k : k + n]
+    at = np.flatnonzero(whole)
+    return at, out[at]
+
+
+def page_windows(pages: list[list[str]], salts: list[int], least: int = LEAST):
+    """(the page's place, hashes of its distinct substrings of `least` tokens) of each page."""
+    for p, (page, salt) in enumerate(zip(pages, salts, strict=True)):
+        numbers: dict[str, int] = {}
+        tokens = []
+        for block in page:
+            tokens += [numbers.setdefault(w, len(numbers)) for w in _padded(block, least)]
+            tokens.append(-1)
+        yield p, np.unique(window_hashes(np.array(tokens, np.int64), list(numbers), salt, least)[1])
+
+
+def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, known: np.ndarray | None = None, salt: int = 0) -> list[list[float]]:
+    """The share of each block's tokens, of each page, that recur on pages of other ids. known: the hashes, under the salt, of substrings that are known to recur."""
     numbers: dict[str, int] = {}
     shares: list[list[float]] = [[] for _ in pages]
     at = 0
@@ -202,8 +244,7 @@ def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST) -
         tokens, page, owner, n, end = [], [], [], -1, at
         while end < len(pages) and (end == at or len(tokens) < TOKENS):
             for k, block in enumerate(pages[end]):
-                words = block.split(" ")
-                words += [""] * (least - len(words))  # so a shorter block repeats if the whole of it does
+                words = _padded(block, least)
                 tokens += [numbers.setdefault(w, len(numbers)) for w in words]
                 page += [ids[end]] * len(words)
                 owner += [(end, k)] * len(words)
@@ -213,6 +254,11 @@ def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST) -
                 n -= 1
             end += 1
         hit = repeated(np.array(tokens, np.int64), np.array(page, np.int64), least) if tokens else np.zeros(0, bool)
+        if tokens and known is not None and len(known):
+            first, h = window_hashes(np.array(tokens, np.int64), list(numbers), salt, least)
+            first = first[np.isin(h, known)]
+            change = np.bincount(first, minlength=len(tokens) + 1) - np.bincount(first + least, minlength=len(tokens) + 1)
+            hit |= np.cumsum(change[:-1]) > 0
         total: dict[tuple[int, int], list[int]] = {}
         for t, o, h in zip(tokens, owner, hit.tolist(), strict=True):
             if t >= 0:
@@ -242,14 +288,67 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars, host, n_blocks, n_repeated (blocks that recur on the host's pages) of each row of pages."""
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
-    counts = rows.groupBy("host").agg(F.count("*").alias("m"))
-    small = stored(counts.where(F.col("m") > GROUP), "pages-hosts")  # the large hosts: at most one for each GROUP rows
+    counts = rows.groupBy("host").agg(F.count("*").alias("m"), F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"))
+    # the hosts of more than one group or piece: at most one for each GROUP rows, or TOKENS / DENSE characters
+    small = stored(counts.where((F.col("m") > GROUP) | ((F.col("m") > 1) & (F.col("size") * DENSE > TOKENS))), "pages-hosts")
+    buckets = max(1, -(-(small.agg(F.sum("size")).first()[0] or 0) // BUCKET_CHARS))
     key = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.coalesce(F.ceil(F.col("m") / GROUP), F.lit(1)))
     small = F.broadcast(small) if small.count() <= BROADCAST_HOSTS else small
-    dealt = rows.join(small, "host", "left").select("page_id", "url", "html", "host", F.xxhash64("host", key).alias("__g"))
+    dealt = rows.join(small, "host", "left").select("page_id", "url", "html", "host", F.xxhash64("host", key).alias("__g"), F.xxhash64("host").alias("__s"), F.lit(None).cast("binary").alias("__known"))
+    large = rows.join(small, "host").select("html", F.xxhash64(F.col("page_id").cast("string")).alias("page"), F.xxhash64("host", key).alias("g"), F.xxhash64("host").alias("s"))
+
+    def windows(batches):
+        """Hashes of substrings with their pages and groups, by bucket."""
+        held, size = [], 0
+
+        def dealt_out():
+            h, page, g = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (h % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            h, page, g, bucket = h[order], page[order], g[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(h) else []
+            spans = list(zip(first, [*first[1:], len(h)], strict=True))
+            for some in range(0, len(spans), 256):
+                part = spans[some : some + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in part]]), *(pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (h, page, g))], ["bucket", "h", "page", "g"])
+
+        for batch in batches:
+            found = [[t for t, _, none in blocks(h or "") if not none] for h in batch.column("html").to_pylist()]
+            page, g = batch.column("page").to_numpy(), batch.column("g").to_numpy()
+            for p, h in page_windows(found, batch.column("s").to_pylist()):
+                held.append((h, np.full(len(h), page[p]), np.full(len(h), g[p])))
+                size += len(h)
+                if size > HELD:
+                    yield from dealt_out()
+                    held, size = [], 0
+        if held:
+            yield from dealt_out()
+
+    def met(data):
+        """The hashes of a bucket that are on distinct pages, for each group that has them."""
+        h, page, g = (np.frombuffer(b"".join(data.column(k).to_pylist()), t) for k, t in (("h", np.uint64), ("page", np.int64), ("g", np.int64)))
+        order = np.argsort(h, kind="stable")
+        h, page, g = h[order], page[order], g[order]
+        change = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+        first = np.flatnonzero(change)
+        if len(first):
+            many = (np.minimum.reduceat(page, first) != np.maximum.reduceat(page, first))[np.cumsum(change) - 1]
+            h, g = h[many], g[many]
+            order = np.argsort(g, kind="stable")
+            h, g = h[order], g[order]
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]) if len(first) else first
+        parts = np.split(h, first[1:]) if len(first) else []
+        return pa.table({"__g": pa.array(g[first], pa.int64()), "__known": pa.array([np.unique(x).tobytes() for x in parts], pa.binary())})
 
     def grouped(tables):
-        for batch in tables:
+        for mixed in tables:
+            known: dict[int, list[bytes]] = {}
+            page_row = pc.is_null(mixed.column("__known"))
+            told = mixed.filter(pc.invert(page_row))
+            for g, k in zip(told.column("__g").to_pylist(), told.column("__known").to_pylist(), strict=True):
+                known.setdefault(g, []).append(k)
+            batch = mixed.filter(page_row)
+            salts = batch.column("__s").to_pylist()
             found = [blocks(h or "") for h in batch.column("html").to_pylist()]
             candidates = [[t for t, _, none in page if not none] for page in found]
             ids = batch.column("page_id").to_pylist()
@@ -258,8 +357,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             groups: dict[int, list[int]] = {}
             for i, g in enumerate(batch.column("__g").to_pylist()):
                 groups.setdefault(g, []).append(i)
-            for members in groups.values():
-                for i, s in zip(members, covered_blocks([candidates[i] for i in members], [numbers[ids[i]] for i in members]), strict=True):
+            for g, members in groups.items():
+                more = np.frombuffer(b"".join(known.get(g, [])), np.uint64)
+                for i, s in zip(members, covered_blocks([candidates[i] for i in members], [numbers[ids[i]] for i in members], LEAST, more, salts[members[0]]), strict=True):
                     shares[i] = s
             texts = [main_text(f, s) for f, s in zip(found, shares, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -283,4 +383,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     form = f"page_id {kind}, url string, text string, n_chars long, host string, n_blocks long, n_repeated long"
+    recurring = large.mapInArrow(released(windows), "bucket int, h binary, page binary, g binary").groupBy("bucket").applyInArrow(met, "__g long, __known binary")
+    dealt = dealt.unionByName(recurring, allowMissingColumns=True)
     return dealt.repartition("__g").sortWithinPartitions("__g").mapInArrow(released(lambda tables: grouped(whole(tables))), form)
