@@ -87,3 +87,12 @@ def test_sketch_estimates_high_similarities():
             n = 64 * N.SKETCH_WORDS
             guess = 1 + n / (4 * N._SAMPLES) * np.log(1 - 2 * differ / n)
             assert abs(guess - j) < 0.12 and differ <= N.most_different(0.8)
+
+
+def test_sketch_limits_lie_six_deviations_out():
+    rng = np.random.default_rng(9)
+    for many, words, margin in ((N._SAMPLES, N.SKETCH_WORDS, N.MARGIN), (N.FINE_SAMPLES, N.FINE_WORDS, N.FINE_MARGIN)):
+        bits = []
+        for apart in rng.binomial(many, 0.2, 3000):  # of two sets of similarity 0.8; a sample that differs flips a bit for each
+            bits.append((np.bincount(rng.integers(0, 64 * words, 2 * apart), minlength=64 * words) & 1).sum())
+        assert N.most_different(0.8, many, words, margin) > np.mean(bits) + 6 * np.std(bits)
