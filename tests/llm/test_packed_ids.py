@@ -1,7 +1,10 @@
+import os
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -41,6 +44,33 @@ def test_pieces_as_the_library():
     texts = ["", "  A b\n\tC  ", "don't DON'T 'LL", "é é ếx", "日本語 テキスト🙂", "x<|endoftext|>y <|startoftext|>", "a\x0bb\x0cc\x1cd\x85e\xa0f g", "ΑΣ Σ ΣΣ. İI", "1234 5,6", "ﬁ ½ Å", "q" * 3000, "\r\n" * 5]
     want = [e.ids + [2] for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, "<u2").tolist() for x in K.Tokens(PATH).encode(texts, 2)] == want
+    assert [np.frombuffer(x, "<u2").tolist() for x in K.Tokens(PATH, K.ranks(PATH)).encode(texts, 2)] == want
+
+
+def test_words_merged_here_as_the_library():
+    rng = random.Random(3)
+    letters = "aàbcdeéfghiïjklmnñoöpqrstuüvwxyzßþÿŁłŞŉſĸ" * 2 + "ABÇÉÎØŻ" + "0123'.,-!?*/\\\"#~\x7f\x03\x1c\u0130\u00d7\u0301Ωж"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(300)) for _ in range(40)]
+    texts += [f"{a}'{b} {b}{a}'" for a in ("it", "don", "x") for b in ("s", "t", "re", "ve", "m", "ll", "d", "sx", "LL")] + ["the quick brown fox " * 9, None, "\x01a \x00 \x02", "\n\t "]
+    merged = K.Tokens(PATH, K.ranks(PATH))
+    assert merged.merge is not None
+    want = [e.ids + [2] for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in merged.encode(texts, 2)] == want
+    pieces = [K.ranks(P.path("byte_bpe_50k.json"))]  # another kind of tokenizer
+    assert pieces == [None]
+
+
+def test_smaller_than_zlib_and_than_order_0_on_documents():
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    texts = pq.read_table(path, columns=["text"]).column("text").combine_chunks()
+    ids, _ = K.Tokens(PATH, K.ranks(PATH)).encode_all(texts, 2)
+    packed = K.pack(ids)
+    share = np.bincount(ids) / len(ids)
+    order0 = -(share[share > 0] * np.log2(share[share > 0])).sum() / 8
+    assert (K.unpack(packed) == ids).all()
+    assert len(packed) < len(zlib.compress(ids.astype("<u2").tobytes(), 9)) and len(packed) < order0 * len(ids)
 
 
 def test_files(spark, monkeypatch):
