@@ -19,17 +19,23 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 1 << 19
 
 
+_local: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a folder of this machine serves a master in this process (tests); on a cluster it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="vigil-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if "own" not in _local:
+        _local["own"] = "file://" + tempfile.mkdtemp(prefix="vigil-")
+    return _local["own"]
 
 
 #: Rows and bytes of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
@@ -72,28 +78,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(docs: DataFrame, **keys) -> DataFrame:
+    """row (all columns of docs as a struct) and the given columns: whatever docs calls its columns, the names that an operator needs don't clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(k) for k, c in keys.items()))
+
+
 def lower_ascii(text):
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
 # ---- bytes, words and hashes, vectorised ----
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base of the rolling hash and of its inverse, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -149,11 +144,27 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -
     return first, last, np.searchsorted(first, offsets)
 
 
+#: The random words of a byte at each of the first places of a span; at later ones they are made when met.
+_PLACES = 64
+_words_of = mix64(mix64(np.arange(256 * _PLACES, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; fold: A-Z count as a-z."""
+    """A 64-bit hash of each span of bytes: the sum of a random word for each (byte, place in the span), mixed with the length. fold: A-Z count as a-z."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    up, down = _power(len(data))
+    begin = np.zeros(len(data), np.int64)
+    begin[first] = first
+    key = np.arange(len(data)) - np.maximum.accumulate(begin)
+    far = np.flatnonzero(key >= _PLACES)
+    key <<= 8
+    key |= _fold[data] if fold else data
+    if len(far):
+        far_key = key[far]
+        key[far] = 0
+    value = _words_of[key]
+    if len(far):
+        value[far] = mix64(mix64(far_key.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(((_fold[data] if fold else data).astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    return mix64((total[last] - total[first]) * down[first])
+    np.cumsum(value, out=total[1:])
+    return mix64(total[last] - total[first] + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, whole_rows
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -92,26 +92,26 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, keep, how: str, id_col: str, text_col: str, n: int) -> DataFrame:
+    """row (a row of docs) and text, joined in such a way with the spans of the rows of hits that are to be kept."""
     found = hits(docs, benchmark, id_col, text_col, n=n).where(keep).select("id", "text_hash", "spans").distinct()
-    found = found.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
-    return docs.join(found, same, how)
+    rows = whole_rows(docs, own_id=F.col(id_col), own_hash=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text=F.col(text_col))
+    return rows.join(found, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")), how)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13) -> DataFrame:
-    """docs without those that the rule calls contaminated: a hit, and a twentieth of the words or more are hit."""
-    return _with_hits(docs, benchmark, is_contaminated(), "left_anti", id_col, text_col, n)
+    """docs, as they came, without those that the rule calls contaminated: a hit, and a twentieth of the words or more are hit. Rows without text or words stay; rows that repeat go or stay together; columns may have any names."""
+    return _with_hits(docs, benchmark, is_contaminated(), "left_anti", id_col, text_col, n).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 13) -> DataFrame:
-    """docs with the words that are hit, and what stands before each of them, cut out of the text; other texts stay as they are."""
+    """docs with the words that are hit, and what stands before each of them, cut out of the text; other texts, null ones too, stay as they are. Columns may have any names."""
     marked = _with_hits(docs, benchmark, F.col("n_hit") > 0, "left", id_col, text_col, n)
-    parts = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*{WORD}"), F.lit(0))
-    tail = F.regexp_extract(F.col(text_col), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    left = F.filter(F.col("__parts"), lambda x, i: ~F.exists(F.col("__spans"), lambda s: (s["at"] <= i + 1) & (i + 1 < s["end"])))
-    cut = F.ltrim(F.concat(F.array_join(left, ""), F.col("__tail")))
-    marked = marked.withColumns({"__parts": F.when(F.col("__spans").isNotNull(), parts), "__tail": tail})
-    return marked.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    parts = F.regexp_extract_all("text", F.lit(rf"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*{WORD}"), F.lit(0))
+    tail = F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
+    marked = marked.select("row", "text", "spans", F.when(F.col("spans").isNotNull(), parts).alias("parts"), tail.alias("tail"))
+    left = F.filter("parts", lambda x, i: ~F.exists("spans", lambda s: (s["at"] <= i + 1) & (i + 1 < s["end"])))
+    cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.ltrim(F.concat(F.array_join(left, ""), F.col("tail"))))
+    return marked.select(*(cut.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE = r"""
