@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vigil.llm import neardup as N
 
@@ -96,3 +97,57 @@ def test_sketch_limits_lie_six_deviations_out():
         for apart in rng.binomial(many, 0.2, 3000):  # of two sets of similarity 0.8; a sample that differs flips a bit for each
             bits.append((np.bincount(rng.integers(0, 64 * words, 2 * apart), minlength=64 * words) & 1).sum())
         assert N.most_different(0.8, many, words, margin) > np.mean(bits) + 6 * np.std(bits)
+
+
+def thue_morse(n):
+    bits = np.array([0])
+    while len(bits) < n:
+        bits = np.concatenate([bits, 1 - bits])
+    return "".join("ab"[b] for b in bits[:n]), "".join("ba"[b] for b in bits[:n])
+
+
+def test_structured_words_do_not_collide(spark):
+    x, y = thue_morse(2048)
+    docs = [(1, f"{x} {x}", 0, 1), (2, f"{y} {y}", 0, 1), (3, f"{x} {y} {x} {y}", 0, 1), (4, f"{y} {x} {y} {x}", 0, 1), (5, f"{x.upper()} {x}", 0, 1)]
+    got = {r.id: (r.n_shingles, r.component) for r in N.classes(spark.createDataFrame(docs, DOCS), words=2).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3), 4: (2, 3), 5: (1, 1)}
+
+
+def test_word_hashes_depend_on_bytes_and_places_only():
+    from vigil.llm.common import span_hashes
+
+    words = ["a", "b", "ab", "ba", "aa", "a" * 63, "a" * 64, "a" * 65, "b" + "a" * 64, "a" * 64 + "b", *thue_morse(1024)]
+    text = " ".join(words * 2).encode()
+    data = np.frombuffer(text, np.uint8)
+    last = np.cumsum([len(w) + 1 for w in words * 2]) - 1
+    first = last - [len(w) for w in words * 2]
+    h = span_hashes(data, first, last)
+    assert (h[: len(words)] == h[len(words) :]).all() and len(set(h.tolist())) == len(words)
+
+
+def test_keep_survives_any_column_name(spark):
+    rows = [(1, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "y"), (1, "a b c d e f", 3, "z"), (None, None, 4, None), (3, "", 5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long, `__id` string").withColumns({"row": F.lit(1), "n": F.lit(2), "fp": F.lit("q"), "a.b": F.lit(3)})
+    kept = N.keep(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
+    assert kept.where("doc_id = 1").first().id == N.keep(df.orderBy(F.desc("id"))).where("doc_id = 1").first().id
+
+
+def test_recall_on_thousands_of_pairs(spark):
+    """Pairs at and above the threshold, one in three right at it, among unlike texts: none may be lost."""
+    rng = random.Random(11)
+    docs, want = [], {}
+    for i in range(0, 5000, 2):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([45, 90, 180]))]
+        other = list(base)
+        n = len(base) - 4  # a word changed amid the others spoils five shingles of n: similarity (n - 5k) / (n + 5k)
+        most = n // 45
+        for k in range(most if i % 3 == 0 else rng.randint(0, most)):
+            other[10 + 9 * k] = f"z{i}.{k}"
+        a, b = shingles(" ".join(base), 5), shingles(" ".join(other), 5)
+        linked = 100 * len(a & b) >= 80 * len(a | b)
+        docs += [(i, " ".join(base), 0, 1), (i + 1, " ".join(other), 0, 1)]
+        want |= {i: i, i + 1: i if linked else i + 1}
+    got = {r.id: r.component for r in N.classes(spark.createDataFrame(docs, DOCS).repartition(4)).collect()}
+    assert got == want
