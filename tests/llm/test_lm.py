@@ -45,6 +45,41 @@ def test_learns(spark):
     assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
 
 
+def test_the_network_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    docs = made(3000, 7) + [(5000, "a1 b2 c3 " * 3000, 0, 1), (None, None, 0, 1), (None, None, 0, 1)]
+    df = spark.createDataFrame(docs, DOCS)
+    one, eight = ({(r.doc_id, round(r.base_score, 6)): r.score for r in lm.score(df.repartition(n)).collect()} for n in (1, 8))
+    assert one.keys() == eight.keys() and all(abs(one[k] - eight[k]) <= 1e-3 * abs(one[k]) for k in one)
+
+
+def test_rounds_of_averaging_learn_more_than_one(monkeypatch):
+    """Two shards, in one round and in three, of a language in which the word before tells the next: more is learned in three."""
+    rng = random.Random(4)
+    words = lm.Words(np.array([int(lm.END), *range(1, 60)], np.uint64), np.arange(60, 0, -1))
+    texts = []
+    for _ in range(900):
+        at, out = rng.randrange(1, 60), []
+        for _ in range(60):
+            out.append(at)
+            at = 1 + (at * 7 + rng.randrange(2)) % 59
+        texts.append(out)
+
+    def tokens(some):
+        return np.array([x for t in some for x in [*t, 0]]), np.arange(len(some) + 1) * 61
+
+    def learned(rounds):
+        net, seen = lm.initial(words, 60_000), None
+        for r in range(rounds):
+            made = [lm.Trainer(net, seen) for _ in range(2)]
+            for k, trainer in enumerate(made):
+                trainer.read(*tokens(texts[k : 800 : 2][r::rounds]), words.end)
+            net, seen = ({k: sum(x[k] for x in parts) / 2 for k in parts[0]} for parts in ([t.p for t in made], [t.squares() for t in made]))
+        return lm.score_tokens(net, *tokens(texts[800:]), words.end).mean()
+
+    assert learned(3) > learned(1) > lm.score_tokens(lm.initial(words, 60_000), *tokens(texts[800:]), words.end).mean()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], DOCS)
     assert lm.score(df).count() == 0
@@ -135,3 +170,17 @@ def test_an_update_a_window_of_sixteen(monkeypatch):
     monkeypatch.setattr(lm.Trainer, "window", lambda self, h, inputs, *more: steps.append(len(inputs)) or h)
     lm.Trainer(p).read(np.zeros(320, np.int64), np.array([0, 320]), words.end)
     assert steps == [16] * 20
+
+
+def test_words_with_structure_are_counted_apart(spark):
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    x, y = ("".join(p[b] for b in bits) for p in ("ab", "ba"))
+    train = [i for i in range(100) if not held(i)][:2]
+    other = next(i for i in range(100) if held(i))
+    docs = [(train[0], f"{x} q", 0, 1), (train[1], f"{x} r", 0, 1), (other, f"{x} {y} {y} q", 0, 1)]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[other].n_known == 3 and got[train[0]].train_tokens == 6
+    n, v = 6, 4
+    assert abs(got[other].base_score - float(sum(np.log10((c + 1) / (n + v + 1)) for c in (2, 0, 0, 1, 2)))) < 1e-9

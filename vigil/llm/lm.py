@@ -6,13 +6,17 @@ its class, given the state, times that of the word within the class. Words outsi
 has its count's share of the training words outside, one added to each and one share left for all words never seen.
 So every word and every text has a probability, and base and model differ only in what the network learned.
 
-Training: each task reads its training documents as streams side by side, forward over every word with the state carried
-from window to window and dropped at a document's start, and backward within each window (truncated backpropagation,
-Adagrad). The tasks start from the same network, whose biases are the corpus counts, and
-their networks are averaged by the number of words. What is gathered, counts and networks, grows with the input.
+One pass over the texts turns words into numbers of the vocabulary and notes, for each document, how many of its words have which
+counts (FREQUENT counts at most are broadcast; those of all other words come from a join with the whole table of counts).
 
-Scoring: each task runs the whole of each document, state carried, and looks up the counts of the frequent words
-(FREQUENT of them at most, broadcast). The counts of all other words come from a join with the whole table of counts.
+Training documents are dealt by hash into shards of about SHARD tokens, as many as the corpus needs, each split into ROUNDS
+parts. In a round a shard's part is read in order of the hash, as streams side by side, forward over every word with the state
+carried from window to window and dropped at a document's start, and backward within each window (truncated
+backpropagation, Adagrad). All shards of a round begin with the same network, the first time one whose biases are the
+corpus counts, and their networks are averaged by the number of words. So the network depends on the documents and not on
+partitions or executors, up to the rounding of sums. What is gathered, counts and networks, grows with the input.
+
+Scoring runs the whole of each document, state carried.
 
 Nulls and the like: a null or empty text is its end mark alone. A null id is not held out. Rows that repeat are scored
 alike, each on its own, and count as often as they come. Without any training document all words are unseen: base 0.
@@ -25,6 +29,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +39,10 @@ CLASSES, SIZE, HIDDEN = 64, 64, 24
 VOCABULARY = CLASSES * SIZE
 FREQUENT = 1 << 18
 LANES, WINDOW, RATE = 256, 16, 0.15
+#: Tokens of a shard, about; rounds of training and averaging; tokens after which training drops the state within a long document, so that streams can be even.
+SHARD, ROUNDS, RUN = 1 << 22, 3, 2048
+#: Tokens that a task holds at once to train and to score, or a document more; streams scored side by side.
+HELD, SCORE_HELD, SCORE_LANES = 1 << 20, 1 << 21, 1024
 #: The end mark among the hashes of words.
 END = np.uint64(0x5E5E5E5E5E5E5E5E)
 _CHUNK = 1 << 12
@@ -187,7 +196,7 @@ def out_log_probs(p, hs, ids):
     return out
 
 
-def streams(starts: np.ndarray, lanes: int = LANES) -> np.ndarray:
+def streams(starts: np.ndarray, lanes: int = SCORE_LANES) -> np.ndarray:
     """(lanes, longest): the places of tokens, documents end to end, about evenly long; -1 where a stream is over. starts: each document's first token, and the end."""
     sizes = np.diff(starts)
     lanes = int(max(1, min(lanes, len(sizes), -(-sizes.sum() // max(1, sizes.max(initial=1))) * 2)))
@@ -220,7 +229,7 @@ def score_tokens(p, ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray
     begins, before = _inputs(ids, starts, end)
     out = np.zeros(len(ids))
     h = np.zeros((len(place), HIDDEN), np.float32)
-    width = max(WINDOW, (1 << 14) // len(place))
+    width = max(WINDOW, (1 << 15) // len(place))
     for at in range(0, place.shape[1], width):
         part = place[:, at : at + width]
         live = int((part[:, 0] >= 0).sum())
@@ -239,14 +248,23 @@ def score_tokens(p, ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray
     return out
 
 
+#: The axis over which a layer's squares of gradients are averaged between rounds.
+_ROW = {"E": 1, "U": 0, "Wc": 0, "Ww": 1}
+
+
 class Trainer:
     """Adagrad on windows of streams."""
 
-    def __init__(self, p):
+    def __init__(self, p, seen=None):
+        """seen: the squares of gradients so far of each row of a layer, as squares() gives them."""
         self.p = {k: v.copy() for k, v in p.items()}
-        self.seen = {k: np.full(v.shape, 0.01, np.float32) for k, v in p.items()}
+        self.seen = {k: np.full(v.shape, 0.01, np.float32) if seen is None else np.broadcast_to(seen[k], v.shape).copy() for k, v in p.items()}
         self.tokens = 0
 
+    def squares(self) -> dict[str, np.ndarray]:
+        """The mean squares of gradients of each input word, word within a class, and class."""
+        return {k: s.mean(axis=_ROW[k], keepdims=True) if k in _ROW else s.copy() for k, s in self.seen.items()}
+
     def update(self, name, grad, rows=None):
         p, s = self.p[name], self.seen[name]
         if rows is None:
@@ -259,29 +277,37 @@ class Trainer:
     def window(self, h, inputs, fresh, ids, real):
         """One forward and backward pass; inputs, fresh, ids, real: (time, lanes). The state after it."""
         p, steps = self.p, len(inputs)
-        x, kept = p["E"][inputs], []
-        hs = np.empty((steps, *h.shape), np.float32)
+        x, cut = p["E"][inputs], fresh.any(axis=1)
+        hs, was, z, r, n, gn = (np.empty((steps, *h.shape), np.float32) for _ in range(6))
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            z, r, n, gn, new = step(p, h, x[t])
-            kept.append((h, z, r, n, gn))
-            h = new
-            hs[t] = h
-        dhs = np.zeros_like(hs)
-        dhs[real] = self.output(hs[real], ids[real])
-        du, dx, back = np.zeros_like(p["U"]), np.empty_like(x), np.zeros_like(h)
+            was[t] = np.where(fresh[t][:, None], np.float32(0), h) if cut[t] else h
+            z[t], r[t], n[t], gn[t], hs[t] = step(p, was[t], x[t])
+            h = hs[t]
+        whole = bool(real.all())
+        if whole:
+            dhs = self.output(hs.reshape(-1, HIDDEN), ids.ravel()).reshape(hs.shape)
+        else:
+            dhs = np.zeros_like(hs)
+            dhs[real] = self.output(hs[real], ids[real])
+        # what a step's gradient is multiplied by on its way to the gates, for all steps at once
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (was - n) * (z * (1 - z))
+        to_r = gn * (r * (1 - r))
+        dx, g, back = np.empty_like(x), np.empty_like(x), np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            was, z, r, n, gn = kept[t]
             d = dhs[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (was - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            g = np.concatenate([dz, dr, dn * r], axis=1)
-            du += was.T @ g
-            back = d * z + g @ p["U"].T
-            back[fresh[t]] = 0
-        flat, rows = dx[real], inputs[real]
+            dn = d * to_n[t]
+            np.multiply(d, to_z[t], out=dx[t, :, :HIDDEN])
+            np.multiply(dn, to_r[t], out=dx[t, :, HIDDEN : 2 * HIDDEN])
+            dx[t, :, 2 * HIDDEN :] = dn
+            g[t] = dx[t]
+            g[t, :, 2 * HIDDEN :] *= r[t]
+            back = g[t] @ p["U"].T
+            back += d * z[t]
+            if cut[t]:
+                back[fresh[t]] = 0
+        du = was.reshape(-1, HIDDEN).T @ g.reshape(-1, 3 * HIDDEN)
+        flat, rows = (dx.reshape(-1, 3 * HIDDEN), inputs.ravel()) if whole else (dx[real], inputs[real])
         order = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0])) if len(rows) else np.zeros(0, np.int64)
         if len(first):
@@ -301,24 +327,34 @@ class Trainer:
         back = d @ p["Wc"].T
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            mine = order[cuts[k] : cuts[k + 1]]
-            if len(mine):
-                own = hs[mine]
-                w = _bounded(own @ p["Ww"][k], p["bw"][k])
-                e = np.exp(w, out=w)
-                e *= (1 / _sums(e))[:, None]
-                e[np.arange(len(mine)), ids[mine] % SIZE] -= 1
-                back[mine] += e @ p["Ww"][k].T
-                self.update("Ww", own.T @ e * scale, k)
-                self.update("bw", np.ones(len(e), e.dtype) @ e * scale, k)
+        order = order[: cuts[-1]]
+        own, spans = hs[order], [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+        e = np.empty((len(order), SIZE), hs.dtype)
+        for k, a, b in spans:
+            np.matmul(own[a:b], p["Ww"][k], out=e[a:b])
+        e = np.exp(_bounded(e, p["bw"][cls[order]]), out=e)
+        e *= (1 / _sums(e))[:, None]
+        e[np.arange(len(e)), ids[order] % SIZE] -= 1
+        gw, gb, within = np.zeros_like(p["Ww"]), np.zeros_like(p["bw"]), np.empty_like(own)
+        for k, a, b in spans:
+            np.matmul(e[a:b], p["Ww"][k].T, out=within[a:b])
+            np.matmul(own[a:b].T, e[a:b], out=gw[k])
+            np.matmul(np.ones(b - a, e.dtype), e[a:b], out=gb[k])
+        back[order] += within
+        self.update("Ww", gw * scale)
+        self.update("bw", gb * scale)
         self.update("Wc", hs.T @ d * scale)
         self.update("bc", np.ones(len(d), d.dtype) @ d * scale)
         return back * scale
 
     def read(self, ids: np.ndarray, starts: np.ndarray, end: int):
-        place = streams(starts, min(LANES, max(32, len(ids) // 1024)))
+        sizes = np.diff(starts)
+        runs = -(-sizes // RUN)
+        inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        runs = np.append(np.repeat(starts[:-1], runs) + RUN * inside, starts[-1])
+        place = streams(runs, min(LANES, max(32, len(ids) // 1024)))
         begins, before = _inputs(ids, starts, end)
+        begins[runs] = True
         h = np.zeros((len(place), HIDDEN), np.float32)
         for at in range(0, place.shape[1], WINDOW):
             part = place[:, at : at + WINDOW]
@@ -349,87 +385,135 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _groups(batches, rows: int = 4096):
-    """Batches of up to so many rows together, so that many streams can run side by side."""
+def _held(batches, column: str, most: int, key: str | None = None):
+    """Rows together with up to so many tokens (of two bytes), or a row more, and of one key only."""
     held, n = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            held.append(batch.slice(at, rows))
-            n += held[-1].num_rows
-            if n >= rows:
-                yield pa.Table.from_batches(held).combine_chunks()
+        if not batch.num_rows:
+            continue
+        sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        keys = batch.column(key).to_numpy() if key else np.zeros(batch.num_rows, np.int64)
+        at = 0
+        while at < batch.num_rows:
+            if held and key and held[-1].column(key)[0].as_py() != keys[at]:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+            same = at + int(np.argmin(np.append(keys[at:] == keys[at], False)))
+            to = min(same, at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most - n, "right"))))
+            held.append(batch.slice(at, to - at))
+            n += int(sizes[at:to].sum())
+            at = to
+            if n >= most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, n = [], 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _tokens(column):
-    parts = list(token_hashes(column))
-    h = np.concatenate([x[1] for x in parts]) if parts else np.zeros(0, np.uint64)
-    sizes = np.concatenate([np.diff(x[2]) for x in parts]) if parts else np.zeros(0, np.int64)
-    return h, np.concatenate([[0], np.cumsum(sizes)])
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers in the vocabulary, -1 for words outside; each row's first token, and the end)."""
+    starts = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2)])
+    ids = np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64)
+    return np.where(ids == VOCABULARY, -1, ids), starts
 
 
 def _train(shared):
     def train(batches):
-        words, first = shared.value
-        trainer = Trainer(first)
-        for part in _groups(batches):
-            h, starts = _tokens(part.column(0))
-            trainer.read(words.look_up(h)[0], starts, words.end)
-        if trainer.tokens:
-            flat = packed(trainer.p).astype(np.float64) * trainer.tokens
-            for chunk in range(0, len(flat), _CHUNK):
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "n": pa.array([trainer.tokens], pa.int64()), "w": pa.array([flat[chunk : chunk + _CHUNK].tobytes()], pa.binary())})
+        end, first, seen = shared.value
+        trainer, at, total, count = None, None, 0.0, 0
+
+        def closed():
+            nonlocal total, count
+            if trainer is not None:
+                total = total + np.concatenate([packed(trainer.p), packed(trainer.squares())]).astype(np.float64) * trainer.tokens
+                count += trainer.tokens
+
+        for part in _held(batches, "ids", HELD, "shard"):
+            if part.column("shard")[0].as_py() != at:
+                closed()
+                trainer, at = Trainer(first, seen), part.column("shard")[0].as_py()
+            ids, starts = _ids(part.column("ids"))
+            trainer.read(ids, starts, end)
+        closed()
+        if count:
+            mean = (total / count).astype(np.float32)
+            for chunk in range(0, len(mean), _CHUNK):
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "n": pa.array([count], pa.int64()), "w": pa.array([mean[chunk : chunk + _CHUNK].tobytes()], pa.binary())})
 
     return train
 
 
-def _summed(key, data):
-    total = 0.0
-    for part in data.column("w").to_pylist():
-        total = total + np.frombuffer(part, np.float64)
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(data.column("n").to_pylist())], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
+def _averaged(key, data):
+    total, n = 0.0, 0
+    for part, m in zip(data.column("w").to_pylist(), data.column("n").to_pylist(), strict=True):
+        total, n = total + np.frombuffer(part, np.float32).astype(np.float64) * m, n + m
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "w": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
 
 def fit(train: DataFrame, words: Words, n_all: int) -> dict[str, np.ndarray]:
-    """The average of the networks that the tasks have trained. train: one column, the texts."""
-    first = initial(words, n_all)
-    shared = train.sparkSession.sparkContext.broadcast((words, first))  # of fixed size
+    """The network after all rounds. train: key (a hash that orders documents) and ids of each; it is read once a round."""
+    spark = train.sparkSession
+    net, seen = initial(words, n_all), None
+    shards = max(1, -(-n_all // SHARD))
+    dealt = train.select("ids", "key", F.pmod(F.xxhash64(F.lit("shard"), "key"), F.lit(shards)).alias("shard"), F.pmod(F.xxhash64(F.lit("round"), "key"), F.lit(ROUNDS)).alias("round"))
     form = "chunk int, n long, w binary"
-    parts = train.mapInArrow(released(_train(shared)), form)
-    mid = parts.withColumn("salt", F.spark_partition_id() % 32).groupBy("chunk", "salt").applyInArrow(_summed, form)
-    flat = packed(first).astype(np.float64)
-    for r in mid.groupBy("chunk").applyInArrow(_summed, form).collect():  # the network, once
-        flat[r.chunk : r.chunk + _CHUNK] = np.frombuffer(r.w, np.float64) / r.n
-    return unpacked(flat, first)
+    like = {k: s for k, s in Trainer(net).squares().items()}
+    size = sum(v.size for v in net.values())
+    for r in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((words.end, net, seen))  # of fixed size
+        mine = dealt.where(F.col("round") == r).select("ids", "key", "shard").repartition("shard").sortWithinPartitions("shard", "key", "ids")
+        parts = mine.mapInArrow(released(_train(shared)), form)
+        mid = parts.withColumn("salt", F.spark_partition_id() % 32).groupBy("chunk", "salt").applyInArrow(_averaged, form)
+        got = {x.chunk: np.frombuffer(x.w, np.float32) for x in mid.groupBy("chunk").applyInArrow(_averaged, form).collect()}  # the network, once
+        if got:
+            flat = np.concatenate([got[k] for k in sorted(got)])
+            net, seen = unpacked(flat[:size], net), unpacked(flat[size:], like)
+    return net
+
+
+def _numbered(shared):
+    """From texts to the numbers of their words, and what the counts of the frequent words say about each."""
+
+    def numbered(batches):
+        words = shared.value
+        for batch in batches:
+            for first_row, h, starts in token_hashes(batch.column("text")):
+                rows = len(starts) - 1
+                part = batch.slice(first_row, rows)
+                ids, c = words.look_up(h)
+                row = np.repeat(np.arange(rows), np.diff(starts))
+                known = c >= 0
+                total = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: E731,B023
+                log_c = np.where(known, np.log10(np.maximum(c, 0) + 1), 0)
+                rare, rare_row = h[~known], row[~known]
+                order = np.lexsort((rare, rare_row))
+                rare, rare_row = rare[order], rare_row[order]
+                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1])])) if len(rare) else np.zeros(0, np.int64)
+                times = np.diff(np.append(first, len(rare)))
+                cuts = np.searchsorted(rare_row[first], np.arange(rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (rare[first].view(np.int64), times.astype(np.int64))]
+                data = np.where(ids < 0, VOCABULARY, ids).astype("<u2").tobytes()
+                coded = pa.array([data[2 * a : 2 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k) for k in ("rid", "doc_id", "held_out", "key")), coded, pa.array(np.diff(starts)), pa.array(total(known & (c > 0)).astype(np.int64)), pa.array(total(log_c)),
+                     pa.array(total(ids < 0).astype(np.int64)), pa.array(total(np.where(ids < 0, log_c, 0))), *lists],
+                    ["rid", "doc_id", "held_out", "key", "ids", "n_tokens", "n_known", "log_c", "n_outside", "log_outside", "rare", "times"],
+                )
+
+    return numbered
+
+
+_KEPT = ("rid", "doc_id", "held_out", "n_tokens", "n_known", "log_c", "n_outside", "log_outside")
 
 
 def _score(shared):
     def score(batches):
-        words, net = shared.value
-        for part in _groups(batches):
-            h, starts = _tokens(part.column("text"))
-            ids, c = words.look_up(h)
-            rows = len(starts) - 1
-            row = np.repeat(np.arange(rows), np.diff(starts))
-            known = c >= 0
-            total = lambda x: np.bincount(row, weights=x, minlength=rows)  # noqa: E731,B023
-            model = total(score_tokens(net, ids, starts, words.end)) / np.log(10)
-            log_c = np.where(known, np.log10(np.maximum(c, 0) + 1), 0)
-            outside = total(np.where(ids < 0, log_c, 0))
-            rare, rare_row = h[~known], row[~known]
-            order = np.lexsort((rare, rare_row))
-            rare, rare_row = rare[order], rare_row[order]
-            first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1])])) if len(rare) else np.zeros(0, np.int64)
-            times = np.diff(np.append(first, len(rare)))
-            cuts = np.searchsorted(rare_row[first], np.arange(rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (rare[first].view(np.int64), times.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(k).combine_chunks() if isinstance(part.column(k), pa.ChunkedArray) and part.column(k).num_chunks != 1 else part.column(k).chunk(0) for k in ("rid", "doc_id")),
-                 pa.array(np.diff(starts)), pa.array(total(known & (c > 0)).astype(np.int64)), pa.array(total(log_c)), pa.array(total(ids < 0).astype(np.int64)), pa.array(outside), pa.array(model), *lists],
-                ["rid", "doc_id", "n_tokens", "n_known", "log_c", "n_outside", "log_outside", "model", "rare", "times"],
-            )
+        end, net = shared.value
+        for part in _held(batches, "ids", SCORE_HELD):
+            ids, starts = _ids(part.column("ids"))
+            row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            model = np.bincount(row, weights=score_tokens(net, ids, starts, end), minlength=len(starts) - 1) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in _KEPT), pa.array(model)], [*_KEPT, "model"])
 
     return score
 
@@ -443,20 +527,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     whole = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = whole["n"] or 0, whole["v"]
     words = Words(*frequent(counts))
-    net = fit(train, words, n)
     n_out = n - int(words.counts.sum())
     v_out = v - int((words.counts > 0).sum())
-    shared = spark.sparkContext.broadcast((words, net))  # of fixed size
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    form = f"rid long, doc_id {kind}, n_tokens long, n_known long, log_c double, n_outside long, log_outside double, model double, rare array<long>, times array<long>"
-    scored = stored(rows.mapInArrow(released(_score(shared)), form), "lm-scored")
-    rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), key.alias("key"), F.col(text_col).alias("text"))
+    form = f"rid long, doc_id {kind}, held_out boolean, key long, ids binary, n_tokens long, n_known long, log_c double, n_outside long, log_outside double, rare array<long>, times array<long>"
+    numbered = stored(rows.mapInArrow(released(_numbered(spark.sparkContext.broadcast(words))), form), "lm-numbered")  # the words: FREQUENT at most
+    net = fit(numbered.where(~F.col("held_out")), words, n)
+    shared = spark.sparkContext.broadcast((words.end, net))  # of fixed size
+    form = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_c double, n_outside long, log_outside double, model double"
+    scored = numbered.select(*_KEPT, "ids").mapInArrow(released(_score(shared)), form)
+    rare = numbered.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("m"))
     found = rare.join(counts, "h").select("rid", "m", "c")
     sums = found.groupBy("rid").agg(F.sum("m").alias("more"), F.sum(F.col("m") * F.log10(F.col("c") + 1)).alias("log_more"))
-    out = scored.drop("rare", "times").join(sums, "rid", "left")
+    out = scored.join(sums, "rid", "left")
     more, log_more = F.coalesce("more", F.lit(0)), F.coalesce("log_more", F.lit(0.0))
     return out.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_c") + log_more - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
         (F.col("model") + F.col("log_outside") + log_more - F.col("n_outside") * F.lit(float(np.log10(n_out + v_out + 1)))).alias("score"),
     )
