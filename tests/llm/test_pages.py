@@ -9,7 +9,7 @@ ROWS = "page_id long, url string, html string, text int, host int"
 
 def text_of(html):
     found = P.blocks(html)
-    return P.main_text(found, [0.0] * sum(not none for _, _, none in found))
+    return P.main_text(found, [(0.0, 0.0)] * sum(not none for _, _, none in found))
 
 
 def test_blocks():
@@ -83,3 +83,84 @@ def test_neither_groups_nor_pieces_hide_what_recurs(spark):
     got = P.extract(spark.createDataFrame(many + long, ROWS).repartition(3)).collect()
     want = dict(enumerate(own)) | {300: shared[0]} | numbers
     assert len(got) == len(want) and all(r.text == want[r.page_id] for r in got)
+
+
+def test_markup_that_is_not_quite_right():
+    assert text_of("<html><head><title>t</title><body><article><p>here</article>") == "here"
+    assert text_of("<head><meta charset=x><title>t</title><p>said<p>more") == "said\nmore"
+    assert text_of("<article><p title=don't>hello</p><p>world</p></article>") == "hello\nworld"
+    assert text_of("<article><a title='it>x</a> and <b class=\"c>y</b> it's</article>") == "x and y it's"
+    assert text_of('<article><a title="x > y" b=\'<p>\'>z</a></article>') == "z"
+    assert text_of("<article><section id='notice-of-change'><p>body</p></section><div class='related-posts x'>no</div><div class=ad>no</div><p class='legal-history'>yes</p></article>") == "body\nyes"
+
+
+def test_what_nearly_all_pages_of_a_host_repeat_goes_from_articles_too(spark):
+    rng = random.Random(8)
+    line = lambda: " ".join(f"u{rng.randrange(10**6)}" for _ in range(12))
+    notice, shared = line(), line()
+    rows = [(i, f"http://{h}.example/{i}", f"<article><p>{line()}<p>{shared if i % 2 else line()}<p>{notice}</article>", 0, 0) for h, n in (("g", 40), ("h", 200)) for i in range(1000 * (h == "h"), 1000 * (h == "h") + n)]
+    rows += [(5000 + i, "http://few.example/", f"<article><p>{line()}<p>{notice}</article>", 0, 0) for i in range(10)]
+    for r in P.extract(spark.createDataFrame(rows, ROWS).repartition(3)).collect():
+        assert (notice in r.text) == (r.page_id >= 5000) and (shared in r.text) == (r.page_id < 5000 and r.page_id % 2 == 1)
+
+
+def test_the_size_of_a_host_changes_nothing(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(f"s{rng.randrange(10**6)}" for _ in range(15))
+    both, own = line(), [line(), line()]
+    rows, n = [], 0
+    for size in (60, 640, 3000):
+        for i in range(size):
+            rows.append((n, f"http://n{size}.example/{i}", f"<p>{both}<p>{own[i]}" if i < 2 else f"<p>{line()}", 0, 0))
+            n += 1
+    got = {r.url: r.text for r in P.extract(spark.createDataFrame(rows, ROWS).repartition(4)).collect()}
+    assert all(got[f"http://n{size}.example/{i}"] == own[i] for size in (60, 640, 3000) for i in (0, 1)) and len(got) == n
+
+
+def brute(rows, least=8):
+    """The texts that extract() returns, by all substrings of a host as tuples of words."""
+    hosts = {}
+    for k, (i, url, html, *_) in enumerate(rows):
+        hosts.setdefault((url or "").lower().split("//")[-1].split("/")[0], []).append((k, i if i is not None else f"row {k}", P.blocks(html or "")))
+    out = {}
+    for pages in hosts.values():
+        padded = lambda b: b.split(" ") + [""] * (least - len(b.split(" ")))
+        on = {}
+        for _, i, found in pages:
+            for b, _, none in found:
+                w = padded(b)
+                if not none:
+                    for k in range(len(w) - least + 1):
+                        on.setdefault(tuple(w[k : k + least]), set()).add(i)
+        for k, _, found in pages:
+            left = []
+            for b, inside, none in found:
+                if not none:
+                    w, hit, wide = padded(b), set(), set()
+                    for j in range(len(w) - least + 1):
+                        many = len(on[tuple(w[j : j + least])])
+                        hit |= set(range(j, j + least)) if many > 1 else set()
+                        wide |= set(range(j, j + least)) if len(pages) >= P.WIDE_PAGES and many >= P.WIDE_SHARE * len(pages) else set()
+                    left.append((b, inside, len(hit) / len(w), len(wide) / len(w)))
+            if any(x[1] for x in left):
+                whole = [x for x in left if x[1]]
+                out[k] = "\n".join(x[0] for x in [x for x in whole if x[3] < 0.5] or whole)
+            else:
+                out[k] = "\n".join(x[0] for x in left if x[2] < 0.5)
+    return out
+
+
+def test_the_query_against_brute_force(spark, monkeypatch):
+    rng = random.Random(10)
+    lines = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 25))) for _ in range(60)]
+    rows = []
+    for n, h in ((25, "p"), (150, "q"), (1, "r")):
+        for i in range(n):
+            tag = rng.choice(["div", "div", "article"])
+            body = "".join(f"<p>{x}</p>" for x in [*rng.choices(lines, k=rng.randint(0, 4)), lines[0] if i % 12 else " ".join(rng.choices("xyzuvw", k=14))])
+            rows.append((rng.choice([len(rows), len(rows), None, 7]), f"http://{h}.example/{i}", f"<nav>menu</nav><{tag}>{body}</{tag}><footer>end</footer>", 0, len(rows)))
+    want = brute(rows)
+    for group in (64, 4):
+        monkeypatch.setattr(P, "GROUP", group)
+        got = P.extract(spark.createDataFrame(rows, ROWS).repartition(3)).select("page_id", "url", "text").collect()
+        assert sorted((r.url, r.text) for r in got) == sorted((rows[k][1], t) for k, t in want.items())

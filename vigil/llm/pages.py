@@ -6,25 +6,25 @@ to end, a suffix array with the lengths of common prefixes finds the substrings
 distinct pages, and a page's tokens that such a substring covers are boilerplate.
 
 What goes: regions that are not the article by their markup, wherever they stand. Where a page says which part is its
-article (article or main element), that part is kept whole: a passage that its author shares with others is still
-the page's text. Where a page says nothing, a block that is covered goes, and the unique runs of blocks stay.
+article (article or main element), blocks of it go only if they are covered by what is on nine tenths of the host's
+pages, 20 at least, and something is left: a passage that its author shares with some others is still the page's text. Where a
+page says nothing, a block that is covered at all goes, and the unique runs of blocks stay.
 
-Pages of a host are dealt into groups of about GROUP pages by a hash of their id, so that a hot host is many groups; what
+Pages of a host are dealt into groups of about GROUP pages by a hash of id, url and html, so that a hot host is many groups; what
 a site puts on its pages is on those of every group. A group's pages meet in one task: their tokens in
 pieces of at most TOKENS tokens a suffix array, so that memory is bounded also for very long pages. What recurs only
-between groups or pieces is found by hash: pages of hosts that are more than one piece give the hashes (64 bits) of all
-their substrings of LEAST tokens, those met on distinct pages of the host go back to the groups that have them, and
-cover there as the array's do. So neither limit changes what is covered. Pages that name
-their article, and so need no array to be read, still take part in the array: they show what the host repeats.
+between groups or pieces is found by hash: pages of hosts that are more than one piece give the hashes of all
+their substrings of LEAST tokens, those met on distinct pages of the host go back to the groups that have them, with the number
+of pages, and cover there as the array's do. So neither limit changes what is covered. Pages that name
+their article still take part in the array: they show what the host repeats.
 
 Nulls and the like: a null or empty html, and a page without text, gives an empty text. A null url is a host of its
-own. Rows that repeat (same id) are one page for the array, which looks for distinct pages, and each returns a row.
-Unclosed tags and cut-off pages are read as far as they go. Other columns play no part.
+own. Rows that repeat (same id) are one page for the array, which looks for distinct pages, and each returns a row; rows
+without an id are pages of their own each. Unclosed tags, heads and quotes and cut-off pages are read as far as they go. Other columns play no part.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as _html
 import re
 
@@ -34,13 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import byte_table, released, span_hashes, stored, word_bounds
 
 LEAST, GROUP, TOKENS = 8, 64, 1 << 20
+#: In an article goes what is on such a share of the host's pages, and on so many.
+WIDE_SHARE, WIDE_PAGES = 0.9, 20
 #: A page's tokens are at most so many for each character: a block of one word, `<p>a`, counts as LEAST words and its end.
 DENSE = 3
 #: Characters of html whose substrings' hashes meet in one bucket, about; windows that are held before they are dealt out.
-BUCKET_CHARS, HELD = 16 << 20, 1 << 20
+BUCKET_CHARS, HELD = 32 << 20, 1 << 21
 #: Up to so many hosts of more than GROUP pages their numbers of pages are broadcast; beyond, a join serves.
 BROADCAST_HOSTS = 500_000
 
@@ -54,17 +56,22 @@ _BLOCK = {
 _CLOSES_P = _BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 _CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "search"}
 #: Words of class and id, and roles, that name what is not the article.
-_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|aside|widget|related|recommended|share|sharing|social|"
-    r"cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|subscribe|newsletter|signup|login|comment|comments|disqus|respond|reply|replies|pagination|pager|toc|copyright|legal|disclaimer|skip)(?:[^a-z]|$)"
+_WORDS = (
+    "ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|aside|widget|related|recommended|share|sharing|social|"
+    "cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|subscribe|newsletter|signup|login|comment|comments|disqus|respond|reply|replies|pagination|pager|toc|copyright|legal|disclaimer|skip"
 )
+_NAMES = re.compile(rf"(?:^|[^a-z])(?:{_WORDS})(?:[^a-z]|$)")
+#: In an article, where headings and sections have names of their own, a whole name must say so: such a word, and what it is made of.
+_WHOLE_NAME = re.compile(rf"(?:{_WORDS})(?:[-_]?(?:area|articles?|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|panel|posts?|section|slot|unit|widget|wrap|wrapper|[0-9]+))*")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>]|\Z)|[^>])*)(?:>|\Z)", re.S
 )
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in ("script", "style", "title", "textarea", "iframe", "noscript")}
-_SPACE = re.compile(r"\s+")
+#: What may stand in a head.
+_HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "template"}
+_HIDDEN = re.compile(r"display\s*:\s*none")
 
 
 def blocks(source: str) -> list[tuple[str, bool, bool]]:
@@ -76,7 +83,7 @@ def blocks(source: str) -> list[tuple[str, bool, bool]]:
 
     def end_block() -> None:
         if text:
-            line = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
+            line = " ".join(_html.unescape("".join(text)).split())
             if line:
                 out.append((line, article > 0, chrome > 0))
             text.clear()
@@ -125,6 +132,8 @@ def blocks(source: str) -> list[tuple[str, bool, bool]]:
         if tag == "br":
             text.append(" ")
             continue
+        if stack and stack[-1][0] == "head" and tag not in _HEAD:
+            pop(len(stack) - 1)  # a head that was left open ends where the body begins
         if tag in _BLOCK:
             end_block()
             if tag in _CLOSES_P:
@@ -145,11 +154,12 @@ def blocks(source: str) -> list[tuple[str, bool, bool]]:
             at = close + 1 if end and close >= 0 else size
             continue
         attrs = {a.lower(): _html.unescape(x or y or z or "") for a, x, y, z in _ATTR.findall(m["attrs"])} if m["attrs"].strip() else {}
-        named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
+        named = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower() if attrs else ""
         is_article = tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None
-        none = tag in _SILENT or tag in _CHROME or attrs.get("role") in _ROLES or hidden or (tag not in ("html", "body", "article", "main") and _NAMES.search(named) is not None)
-        if tag == "header" and article and not _NAMES.search(named):
+        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")) is not None
+        says = tag not in ("html", "body", "article", "main") and (any(map(_WHOLE_NAME.fullmatch, named.split())) if article else _NAMES.search(named) is not None)
+        none = tag in _SILENT or tag in _CHROME or attrs.get("role") in _ROLES or hidden or says
+        if tag == "header" and article and not says:
             none = False  # an article's own heading
         if none and not chrome and tag not in _BLOCK:
             end_block()
@@ -181,11 +191,17 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Whether each token is in a substring of at least so many tokens, within one page, that occurs on another page. A negative token ends what can repeat."""
+def _covered(n: int, first: np.ndarray, least: int) -> np.ndarray:
+    """Whether each of n tokens is in a substring of so many tokens that begins at one of first."""
+    change = np.bincount(first, minlength=n + 1) - np.bincount(np.minimum(first + least, n), minlength=n + 1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def recurring(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(first tokens of the substrings of so many tokens, within one page, that occur on another page; on how many pages each does). A negative token ends what can repeat."""
     n = len(tokens)
     if n < 2:
-        return np.zeros(n, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = suffix_array(tokens)
     # what neighbours in the order have in common, up to `least`
     a, b = order[:-1], order[1:]
@@ -193,90 +209,114 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> np.nda
     for k in range(least):
         x, y = np.minimum(a + k, n - 1), np.minimum(b + k, n - 1)
         same &= (a + k < n) & (b + k < n) & (tokens[x] == tokens[y]) & (tokens[x] >= 0) & (page[x] == page[a]) & (page[y] == page[b])
-    # runs of suffixes that share `least` tokens; those with two pages or more are repeated
+    # runs of suffixes that share `least` tokens; those with two pages or more recur
     run = np.concatenate([[0], np.cumsum(~same)])
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    low, high = np.minimum.reduceat(page[order], first), np.maximum.reduceat(page[order], first)
-    at = order[(low != high)[run]]
-    change = np.bincount(at, minlength=n + 1) - np.bincount(np.minimum(at + least, n), minlength=n + 1)
-    return np.cumsum(change[:-1]) > 0
-
+    pair = np.unique(run * (int(page.max()) + 1) + page[order])
+    pages = np.bincount(pair // (int(page.max()) + 1))[run]
+    return order[pages > 1], pages[pages > 1]
 
-def _padded(block: str, least: int) -> list[str]:
-    words = block.split(" ")
-    return words + [""] * (least - len(words))  # so a shorter block repeats if the whole of it does
 
-
-def window_hashes(tokens: np.ndarray, names: list[str], salt: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(first tokens, hashes) of the substrings of `least` tokens without a negative one. names: the word of each token's number; the hash of the same words and salt is the same anywhere."""
-    if len(tokens) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    of_word = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in names], np.uint64)
-    inner = tokens >= 0
-    h = np.where(inner, of_word[np.maximum(tokens, 0)], np.uint64(0))
+def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Whether each token is in a substring of at least so many tokens, within one page, that occurs on another page."""
+    return _covered(len(tokens), recurring(tokens, page, least)[0], least)
+
+
+_SEPARATORS = byte_table(b" \n")
+_PAD = np.uint64(0x7E57AB1E0DDBA115)
+
+
+def tokenised(pages: list[list[str]], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each token, whether it is the mark that ends a block, number of the block) of the blocks of pages, end to end. A block shorter than `least` words is padded, so that it repeats if the whole of it does."""
+    lines = [b for p in pages for b in p]
+    if not lines:
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
+    data = np.frombuffer("\n".join(lines).encode("utf-8", "surrogatepass"), np.uint8)
+    first, last, _ = word_bounds(data, np.array([0, len(data)]), _SEPARATORS)
+    block = np.searchsorted(np.flatnonzero(data == 10), first)
+    words = np.bincount(block, minlength=len(lines))
+    sizes = np.maximum(words, least) + 1
+    start = np.cumsum(sizes) - sizes
+    tokens = np.full(int(sizes.sum()), _PAD, np.uint64)
+    tokens[start[block] + np.arange(len(first)) - (np.cumsum(words) - words)[block]] = span_hashes(data, first, last, fold=False)
+    ends = np.zeros(len(tokens), bool)
+    ends[start + sizes - 1] = True
+    return tokens, ends, np.repeat(np.arange(len(lines)), sizes)
+
+
+def window_hashes(tokens: np.ndarray, ends: np.ndarray, salt: np.ndarray | int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(first tokens, hashes) of the substrings of `least` tokens without an end. salt: of all, or of each token; the hash of the same words and salt is the same anywhere."""
     n = len(tokens) - least + 1
-    out, whole = np.full(n, salt & (1 << 64) - 1, np.uint64), np.ones(n, bool)
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    before = np.concatenate([[0], np.cumsum(ends)])
+    at = np.flatnonzero(before[least:] == before[:n])
+    out = salt[at] if isinstance(salt, np.ndarray) else np.full(len(at), salt & (1 << 64) - 1, np.uint64)
     for k in range(least):
-        out = (out ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ tokens[at + k]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-        whole &= inner[k : k + n]
-    at = np.flatnonzero(whole)
-    return at, out[at]
-
-
-def page_windows(pages: list[list[str]], salts: list[int], least: int = LEAST):
-    """(the page's place, hashes of its distinct substrings of `least` tokens) of each page."""
-    for p, (page, salt) in enumerate(zip(pages, salts, strict=True)):
-        numbers: dict[str, int] = {}
-        tokens = []
-        for block in page:
-            tokens += [numbers.setdefault(w, len(numbers)) for w in _padded(block, least)]
-            tokens.append(-1)
-        yield p, np.unique(window_hashes(np.array(tokens, np.int64), list(numbers), salt, least)[1])
-
-
-def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, known: np.ndarray | None = None, salt: int = 0) -> list[list[float]]:
-    """The share of each block's tokens, of each page, that recur on pages of other ids. known: the hashes, under the salt, of substrings that are known to recur."""
-    numbers: dict[str, int] = {}
-    shares: list[list[float]] = [[] for _ in pages]
+    return at, out
+
+
+def page_windows(pages: list[list[str]], salts: list[int], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the page, hash) of the distinct substrings of `least` tokens of each page, in order of the pages."""
+    tokens, ends, block = tokenised(pages, least)
+    page_of_block = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    page = page_of_block[block] if len(block) else block
+    at, h = window_hashes(tokens, ends, np.array(salts, np.int64).view(np.uint64)[page] if len(page) else 0, least)
+    order = np.lexsort((h, page[at]))
+    p, h = page[at][order], h[order]
+    new = np.concatenate([[True], (p[1:] != p[:-1]) | (h[1:] != h[:-1])])[: len(h)]
+    return p[new], h[new]
+
+
+def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, known: tuple[np.ndarray, np.ndarray] | None = None, salt: int = 0, wide: int | None = None, modulus: int = 0) -> list[list[tuple[float, float]]]:
+    """Of each block of each page: the share of its tokens that recur on pages of other ids, and that recur on `wide` pages or more. known: the hashes, under the salt and modulo the modulus, that recur on the whole host, sorted, and on how many pages; then `wide` is judged by these alone."""
+    shares: list[list[tuple[float, float]]] = [[] for _ in pages]
     at = 0
     while at < len(pages):
-        tokens, page, owner, n, end = [], [], [], -1, at
-        while end < len(pages) and (end == at or len(tokens) < TOKENS):
-            for k, block in enumerate(pages[end]):
-                words = _padded(block, least)
-                tokens += [numbers.setdefault(w, len(numbers)) for w in words]
-                page += [ids[end]] * len(words)
-                owner += [(end, k)] * len(words)
-                tokens.append(n)
-                page.append(ids[end])
-                owner.append((end, k))
-                n -= 1
+        end, n = at, 0
+        while end < len(pages) and (end == at or n < TOKENS):
+            n += sum(max(b.count(" ") + 1, least) + 1 for b in pages[end])
             end += 1
-        hit = repeated(np.array(tokens, np.int64), np.array(page, np.int64), least) if tokens else np.zeros(0, bool)
-        if tokens and known is not None and len(known):
-            first, h = window_hashes(np.array(tokens, np.int64), list(numbers), salt, least)
-            first = first[np.isin(h, known)]
-            change = np.bincount(first, minlength=len(tokens) + 1) - np.bincount(first + least, minlength=len(tokens) + 1)
-            hit |= np.cumsum(change[:-1]) > 0
-        total: dict[tuple[int, int], list[int]] = {}
-        for t, o, h in zip(tokens, owner, hit.tolist(), strict=True):
-            if t >= 0:
-                c = total.setdefault(o, [0, 0])
-                c[0] += 1
-                c[1] += h
-        for p in range(at, end):
-            shares[p] = [total[p, k][1] / total[p, k][0] for k in range(len(pages[p]))]
+        some = pages[at:end]
+        hashes, ends, block = tokenised(some, least)
+        if len(hashes):
+            tokens = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+            tokens[ends] = -1 - np.arange(int(ends.sum()))
+            counts = [len(p) for p in some]
+            page = np.repeat(np.array(ids[at:end], np.int64), counts)[block]
+            first, many = recurring(tokens, page, least)
+            hit = _covered(len(tokens), first, least)
+            if known is not None and len(known[0]):
+                where, h = window_hashes(hashes, ends, salt, least)
+                h = h % np.uint64(modulus) if modulus else h
+                place = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+                same = known[0][place] == h
+                hit |= _covered(len(tokens), where[same], least)
+                first, many = where[same], known[1][place[same]]
+            elif known is not None:
+                first = first[:0]
+                many = many[:0]
+            broad = _covered(len(tokens), first[many >= wide], least) if wide else np.zeros(len(tokens), bool)
+            real = ~ends
+            total = np.bincount(block[real])
+            part = [np.bincount(block[real], weights=x[real]) / total for x in (hit, broad)]
+            both = list(zip(part[0].tolist(), part[1].tolist(), strict=True))
+            cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            for p in range(at, end):
+                shares[p] = both[cuts[p - at] : cuts[p - at + 1]]
         at = end
     return shares
 
 
-def main_text(found: list[tuple[str, bool, bool]], shares: list[float]) -> str:
+def main_text(found: list[tuple[str, bool, bool]], shares: list[tuple[float, float]]) -> str:
     """The blocks that are the page's text, one a line. shares: of the blocks that markup doesn't rule out, in order."""
-    left = [(text, inside, share) for (text, inside, _), share in zip([b for b in found if not b[2]], shares, strict=True)]
-    if any(inside for _, inside, _ in left):
-        return "\n".join(text for text, inside, _ in left if inside)
-    return "\n".join(text for text, _, share in left if share < 0.5)
+    left = [(text, inside, share, broad) for (text, inside, _), (share, broad) in zip([b for b in found if not b[2]], shares, strict=True)]
+    if any(inside for _, inside, _, _ in left):
+        whole = [(text, broad) for text, inside, _, broad in left if inside]
+        own = [text for text, broad in whole if broad < 0.5]
+        return "\n".join(own or [text for text, _ in whole])
+    return "\n".join(text for text, _, share, _ in left if share < 0.5)
 
 
 def host(url):
@@ -284,105 +324,202 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars, host, n_blocks, n_repeated (blocks that recur on the host's pages) of each row of pages."""
-    kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
-    counts = rows.groupBy("host").agg(F.count("*").alias("m"), F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"))
-    # the hosts of more than one group or piece: at most one for each GROUP rows, or TOKENS / DENSE characters
-    small = stored(counts.where((F.col("m") > GROUP) | ((F.col("m") > 1) & (F.col("size") * DENSE > TOKENS))), "pages-hosts")
-    buckets = max(1, -(-(small.agg(F.sum("size")).first()[0] or 0) // BUCKET_CHARS))
-    key = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.coalesce(F.ceil(F.col("m") / GROUP), F.lit(1)))
-    small = F.broadcast(small) if small.count() <= BROADCAST_HOSTS else small
-    dealt = rows.join(small, "host", "left").select("page_id", "url", "html", "host", F.xxhash64("host", key).alias("__g"), F.xxhash64("host").alias("__s"), F.lit(None).cast("binary").alias("__known"))
-    large = rows.join(small, "host").select("html", F.xxhash64(F.col("page_id").cast("string")).alias("page"), F.xxhash64("host", key).alias("g"), F.xxhash64("host").alias("s"))
+def _packed(h: np.ndarray, width: int) -> bytes:
+    """The low bytes of hashes."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def _dealt_windows(buckets: int, width: int, modulus: int):
+    """From html, page (a hash of its id), many (whether other rows may have this id), g (group) and s (salt) of rows to hashes of substrings by bucket. Runs of hashes of a row are told by its group and their number, and, for ids that may repeat, its page."""
 
-    def windows(batches):
-        """Hashes of substrings with their pages and groups, by bucket."""
+    def dealt(batches):
         held, size = [], 0
 
-        def dealt_out():
-            h, page, g = (np.concatenate(x) for x in zip(*held, strict=True))
-            bucket = (h % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            h, page, g, bucket = h[order], page[order], g[order], bucket[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(h) else []
-            spans = list(zip(first, [*first[1:], len(h)], strict=True))
-            for some in range(0, len(spans), 256):
-                part = spans[some : some + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[[a for a, _ in part]]), *(pa.array([x[a:b].tobytes() for a, b in part], pa.binary()) for x in (h, page, g))], ["bucket", "h", "page", "g"])
+        def out():
+            place = np.concatenate([np.full(len(h), i) for i, (h, *_) in enumerate(held)])
+            h = np.concatenate([x[0] for x in held])
+            page, g = (np.array([x[k] for x in held], np.int64) for k in (1, 2))
+            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((place, bucket))
+            h, place, bucket = h[order] // np.uint64(buckets), place[order], bucket[order]
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])])[: len(h)]
+            run = np.flatnonzero(new)
+            length = np.diff(np.append(run, len(h))).astype("<u4")
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(h)])
+            cuts = [*first.tolist(), len(h)]
+            run_cuts = np.searchsorted(run, cuts).tolist()
+            for some in range(0, len(first), 256):
+                to = min(some + 256, len(first))
+                spans, runs = list(zip(cuts[some:to], cuts[some + 1 : to + 1], strict=True)), list(zip(run_cuts[some:to], run_cuts[some + 1 : to + 1], strict=True))
+                groups = (g[place[run]] & 0xFFFFFFFF).astype("<u4")
+                repeats = [page[place[run[a:b]]] for a, b in runs]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[first[some:to]].astype(np.int32)), pa.array([_packed(h[a:b], width) for a, b in spans], pa.binary()), pa.array([groups[a:b].tobytes() for a, b in runs], pa.binary()),
+                     pa.array([length[a:b].tobytes() for a, b in runs], pa.binary()), pa.array([x.astype("<i8").tobytes() if x.any() else None for x in repeats], pa.binary())],
+                    ["bucket", "h", "g", "n", "page"],
+                )
 
         for batch in batches:
-            found = [[t for t, _, none in blocks(h or "") if not none] for h in batch.column("html").to_pylist()]
-            page, g = batch.column("page").to_numpy(), batch.column("g").to_numpy()
-            for p, h in page_windows(found, batch.column("s").to_pylist()):
-                held.append((h, np.full(len(h), page[p]), np.full(len(h), g[p])))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [[t for t, _, none in blocks(h or "") if not none] for h in part.column("html").to_pylist()]
+                p, h = page_windows(found, part.column("s").to_pylist())
+                h = h % np.uint64(modulus) if modulus else h
+                cuts = np.searchsorted(p, np.arange(part.num_rows + 1))
+                for k, (page, many, g) in enumerate(zip(part.column("page").to_pylist(), part.column("many").to_pylist(), part.column("g").to_pylist(), strict=True)):
+                    if cuts[k] < cuts[k + 1]:
+                        held.append((h[cuts[k] : cuts[k + 1]], page or 1 if many else 0, g))
                 size += len(h)
                 if size > HELD:
-                    yield from dealt_out()
+                    yield from out()
                     held, size = [], 0
         if held:
-            yield from dealt_out()
-
-    def met(data):
-        """The hashes of a bucket that are on distinct pages, for each group that has them."""
-        h, page, g = (np.frombuffer(b"".join(data.column(k).to_pylist()), t) for k, t in (("h", np.uint64), ("page", np.int64), ("g", np.int64)))
+            yield from out()
+
+    return dealt
+
+
+def _met(buckets: int, width: int):
+    """From the rows of a bucket to the hashes that are on distinct pages, and on how many, for each group that has them."""
+
+    def met(key, data):
+        bucket, parts = key[0].as_py(), []
+        alone = 0
+        for h, g, n, page in zip(*(data.column(c).to_pylist() for c in ("h", "g", "n", "page")), strict=True):
+            n = np.frombuffer(n, "<u4").astype(np.int64)
+            page = np.zeros(len(n), np.int64) if page is None else np.frombuffer(page, "<i8").copy()
+            # a row whose id is its own is a page of its own: a number that no other row has
+            single = page == 0
+            page[single] = -1 - alone - np.arange(int(single.sum()))
+            alone += int(single.sum())
+            parts.append((_unpacked(h, width), np.repeat(np.frombuffer(g, "<u4"), n), np.repeat(page, n)))
+        h, g, page = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.argsort(h, kind="stable")
-        h, page, g = h[order], page[order], g[order]
-        change = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-        first = np.flatnonzero(change)
-        if len(first):
-            many = (np.minimum.reduceat(page, first) != np.maximum.reduceat(page, first))[np.cumsum(change) - 1]
-            h, g = h[many], g[many]
-            order = np.argsort(g, kind="stable")
-            h, g = h[order], g[order]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)]) if len(first) else first
-        parts = np.split(h, first[1:]) if len(first) else []
-        return pa.table({"__g": pa.array(g[first], pa.int64()), "__known": pa.array([np.unique(x).tobytes() for x in parts], pa.binary())})
-
-    def grouped(tables):
-        for mixed in tables:
-            known: dict[int, list[bytes]] = {}
-            page_row = pc.is_null(mixed.column("__known"))
-            told = mixed.filter(pc.invert(page_row))
-            for g, k in zip(told.column("__g").to_pylist(), told.column("__known").to_pylist(), strict=True):
-                known.setdefault(g, []).append(k)
+        h, g, page = h[order], g[order], page[order]
+        same = h[1:] == h[:-1]
+        several = np.zeros(len(h), bool)  # met twice at least
+        several[1:] |= same
+        several[:-1] |= same
+        h, g, page = h[several], g[several], page[several]
+        order = np.lexsort((page, h))
+        h, g, page = h[order], g[order], page[order]
+        new_h = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+        new_page = new_h | np.concatenate([[True], page[1:] != page[:-1]])[: len(h)]
+        of = np.cumsum(new_h) - 1
+        many = np.bincount(of, weights=new_page).astype(np.int64)[of] if len(h) else of
+        h, g, many = h[many > 1], g[many > 1], many[many > 1]
+        order = np.lexsort((h, g))
+        h, g, many = h[order], g[order], many[order]
+        keep = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])[: len(h)]
+        h, g, many = h[keep] * np.uint64(buckets) + np.uint64(bucket), g[keep], many[keep]
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+        cuts = [*first.tolist(), len(g)]
+        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+        return pa.table({"r": pa.array(g[first].astype(np.int64)), "known": pa.array([h[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()), "pages": pa.array([np.minimum(many[a:b], 0xFFFFFFFF).astype("<u4").tobytes() for a, b in spans], pa.binary())})
+
+    return met
+
+
+def _squeezed(batches):
+    """The same rows with their html compressed: it is what the exchange carries."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        html = [(h or "").encode("utf-8", "surrogatepass") for h in batch.column("html").to_pylist()]
+        columns = {c: batch.column(c) for c in batch.schema.names}
+        columns["size"] = pa.array([len(h) for h in html], pa.int64())
+        columns["html"] = pa.array([codec.compress(h, asbytes=True) for h in html], pa.binary())
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, text, n_chars, host, n_blocks, n_repeated (blocks that recur on the host's pages) of each row of pages."""
+    kind = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(F.col(url_col)).alias("host"))
+    # a page is told by its id (a row without one is a page of its own), and dealt by all that it holds, so that an id of many rows is no group
+    rows = rows.withColumn("page", F.xxhash64(F.col("page_id").cast("string")))
+    dealing = F.xxhash64("page_id", "url", "html")
+    counts = rows.groupBy("host").agg(F.count("*").alias("m"), F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"))
+    # the hosts of more than one group or piece: at most one for each GROUP rows, or TOKENS / DENSE characters
+    small = stored(counts.where((F.col("m") > GROUP) | ((F.col("m") > 1) & (F.col("size") * DENSE > TOKENS))), "pages-hosts")
+    buckets = max(1, -(-(small.agg(F.sum("size")).first()[0] or 0) // BUCKET_CHARS))
+    # beside the bucket, 48 bits of a hash tell substrings apart; all 64 with very many buckets
+    width, modulus = (6, buckets << 48) if buckets < 1 << 16 else (8, 0)
+    key = F.pmod(F.xxhash64("deal"), F.coalesce(F.ceil(F.col("m") / GROUP), F.lit(1)))
+    small = F.broadcast(small) if small.count() <= BROADCAST_HOSTS else small
+    rows = rows.withColumn("deal", dealing)
+    grouped_by = rows.join(small, "host", "left").select("page_id", "url", "html", "host", "page", "m", F.xxhash64("host", key).alias("g"), F.xxhash64("host").alias("s"))
+    form = f"page_id {kind}, url string, html binary, host string, page long, m long, g long, s long, size long"
+    dealt = grouped_by.mapInArrow(_squeezed, form).withColumn("r", F.col("g").bitwiseAND(F.lit(0xFFFFFFFF)))
+    large = rows.join(small, "host")
+    again = large.where("page_id is not null").groupBy("page").agg(F.count("*").alias("c")).where("c > 1").select("page", F.lit(True).alias("many"))
+    again = stored(again, "pages-again")  # ids of several rows: none, as a rule
+    again = F.broadcast(again) if again.count() <= BROADCAST_HOSTS else again
+    large = large.join(again, "page", "left").select("html", "page", F.coalesce("many", F.lit(False)).alias("many"), F.xxhash64("host", key).alias("g"), F.xxhash64("host").alias("s"))
+
+    def grouped(batches):
+        codec = pa.Codec("zstd")
+        for mixed in batches:
+            told: dict[int, list[tuple[bytes, bytes]]] = {}
+            page_row = pc.is_null(mixed.column("known"))
+            given = mixed.filter(pc.invert(page_row))
+            for r, k, n in zip(given.column("r").to_pylist(), given.column("known").to_pylist(), given.column("pages").to_pylist(), strict=True):
+                told.setdefault(r, []).append((k, n))
             batch = mixed.filter(page_row)
-            salts = batch.column("__s").to_pylist()
-            found = [blocks(h or "") for h in batch.column("html").to_pylist()]
+            if not batch.num_rows:
+                continue
+            html = [codec.decompress(z, n, asbytes=True).decode("utf-8", "surrogatepass") if n else "" for z, n in zip(batch.column("html").to_pylist(), batch.column("size").to_pylist(), strict=True)]
+            found = [blocks(h) for h in html]
             candidates = [[t for t, _, none in page if not none] for page in found]
-            ids = batch.column("page_id").to_pylist()
-            numbers = {x: i for i, x in enumerate(dict.fromkeys(ids))}
-            shares = [[] for _ in found]
+            ids = [i if i is not None else ("", n) for n, i in enumerate(batch.column("page_id").to_pylist())]
+            salts, sizes = batch.column("s").to_pylist(), batch.column("m").to_pylist()
+            shares: list = [[] for _ in found]
             groups: dict[int, list[int]] = {}
-            for i, g in enumerate(batch.column("__g").to_pylist()):
+            for i, g in enumerate(batch.column("g").to_pylist()):
                 groups.setdefault(g, []).append(i)
             for g, members in groups.items():
-                more = np.frombuffer(b"".join(known.get(g, [])), np.uint64)
-                for i, s in zip(members, covered_blocks([candidates[i] for i in members], [numbers[ids[i]] for i in members], LEAST, more, salts[members[0]]), strict=True):
+                numbers = {x: n for n, x in enumerate(dict.fromkeys(ids[i] for i in members))}
+                m, known = sizes[members[0]], None
+                if m is not None:  # a host of several groups or pieces: what recurs on it has been told
+                    parts = told.get(g & 0xFFFFFFFF, [])
+                    h, many = np.frombuffer(b"".join(k for k, _ in parts), "<u8"), np.frombuffer(b"".join(n for _, n in parts), "<u4")
+                    order = np.argsort(h, kind="stable")
+                    known = (h[order], many[order])
+                m = m or len(numbers)
+                wide = max(2, int(np.ceil(WIDE_SHARE * m))) if m >= WIDE_PAGES else None
+                for i, s in zip(members, covered_blocks([candidates[i] for i in members], [numbers[ids[i]] for i in members], LEAST, known, salts[members[0]], wide, modulus), strict=True):
                     shares[i] = s
             texts = [main_text(f, s) for f, s in zip(found, shares, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("host"), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(x >= 0.5 for x in s) for s in shares], pa.int64())],
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("host"), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(x >= 0.5 for x, _ in s) for s in shares], pa.int64())],
                 ["page_id", "url", "text", "n_chars", "host", "n_blocks", "n_repeated"],
             )
 
-    def whole(tables):
-        """Batches that hold whole groups of the sorted rows, as many as fit TOKENS bytes."""
-        held, size = [], 0
-        for batch in tables:
-            g = batch.column("__g").to_numpy()
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), batch.num_rows]
+    def whole(batches):
+        """Batches that hold whole groups (and all that share their 32 bits) of the sorted rows, as many as fit TOKENS bytes of html."""
+        held, size, last = [], 0, None
+        for batch in batches:
+            r, n = batch.column("r").to_numpy(), batch.column("size").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and size > 8 * TOKENS and held[-1].column("__g")[0].as_py() != g[a]:
+                if a == b:
+                    continue
+                if held and size > 8 * TOKENS and last != r[a]:
                     yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                     held, size = [], 0
                 held.append(batch.slice(a, b - a))
-                size += held[-1].get_total_buffer_size() * (b - a) // max(1, batch.num_rows) if held else 0
+                size, last = size + int(np.nan_to_num(n[a:b].astype(float)).sum()), r[a]
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     form = f"page_id {kind}, url string, text string, n_chars long, host string, n_blocks long, n_repeated long"
-    recurring = large.mapInArrow(released(windows), "bucket int, h binary, page binary, g binary").groupBy("bucket").applyInArrow(met, "__g long, __known binary")
-    dealt = dealt.unionByName(recurring, allowMissingColumns=True)
-    return dealt.repartition("__g").sortWithinPartitions("__g").mapInArrow(released(lambda tables: grouped(whole(tables))), form)
+    windows = large.mapInArrow(released(_dealt_windows(buckets, width, modulus)), "bucket int, h binary, g binary, n binary, page binary")
+    known = windows.groupBy("bucket").applyInArrow(_met(buckets, width), "r long, known binary, pages binary")
+    both = dealt.unionByName(known, allowMissingColumns=True)
+    return both.repartition("r").sortWithinPartitions("r").mapInArrow(released(lambda batches: grouped(whole(batches))), form)
