@@ -1,19 +1,22 @@
 """Quality classifier: importance resampling with hashed n-gram models, by Gumbel top-k.
 
-Two generative models give each text a likelihood: one of the target (documents whose label has quality 1), one of
+Two generative models give each text a likelihood: one of the target (documents labelled with quality 1 and not as toxic), one of
 the raw corpus (every document). Both are bags of words and word pairs, hashed into a table of fixed size. A text's
-log importance weight is the sum of log target / raw over its n-grams. Adding Gumbel noise to the weights and taking
-the k largest draws k documents without replacement in proportion to their weights.
+log importance weight is the sum of log target / raw over those of its n-grams whose ratio is known to differ from one. Adding
+Gumbel noise to the log weights and taking the k largest draws k documents without replacement in proportion to their
+weights: a document of log weight -1 next to the others' 0 is drawn less often, one of -100 never before them.
 
 - The raw model counts every n-gram of every document. The target model counts a sample of at most FIT_ROWS labelled
   documents (those with the smallest hash of their id), the one bound here.
-- A bucket's ratio is (target count + PRIOR) / (expected count + PRIOR), so that n-grams too rare to judge say nothing.
+- A bucket's ratio is (target count + PRIOR) / (expected count + PRIOR), and one where the counts lie within EVIDENCE standard
+  deviations of each other: n-grams too rare to judge say nothing, so weights are of the size of the noise unless there is evidence.
 - k is not given by hand: it is the number of documents whose weight is above the level that separates those labelled
-  documents best that the model was not fitted on; where levels do about as well, the lowest. TEMPERATURE divides the weights' noise: at 1 the draw is the plain one.
+  documents best that the model was not fitted on; where levels do about as well, the lowest. TEMPERATURE is what the noise is multiplied by: 1 is the plain draw.
 - The k-th key is found by counting keys in ever finer bins, never by sorting the corpus or collecting it.
 
 Nulls and the like: a null or empty text has no n-grams and a weight of 0, which is the weight of one that says
-nothing; labels whose id or quality is null are left out; an id with several labels counts as good only if all say so.
+nothing; labels whose id or quality is null are left out, a null toxic says nothing; an id with several labels counts as good only if all say so,
+and with several texts by the one of least weight.
 Rows that repeat have equal keys and are taken or left together. Without labels every document is taken. Other
 columns pass through untouched.
 """
@@ -31,8 +34,8 @@ from .common import mix64, release, released, span_hashes, stored, text_slices
 BITS = 20
 #: At most so many labelled documents are read to fit the target model and the level.
 FIT_ROWS = 20_000
-PRIOR = 10.0
-TEMPERATURE = 0.25
+PRIOR, EVIDENCE = 10.0, 4.0
+TEMPERATURE = 1.0
 TOLERANCE = 0.005
 _CHUNK = 1 << 12
 
@@ -90,6 +93,8 @@ def _summed(key, data):
 def labelled_sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """__id, good, fitted of at most so many labelled ids: those whose ids have the smallest hashes. Seven in ten fit the model, the others the level."""
     good = F.col("quality") == 1
+    if "toxic" in labels.columns:
+        good = good & ~F.coalesce(F.col("toxic") == 1, F.lit(False))
     part = F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(10)) < 7
     by_id = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min(good.cast("int")).cast("boolean").alias("good"))
     return by_id.orderBy(F.xxhash64("__id"), "__id").limit(rows).withColumn("fitted", part)
@@ -109,7 +114,8 @@ def fit(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str
     if not target.sum():
         return np.zeros(1 << BITS, np.float32)
     expected = raw * (target.sum() / max(1, raw.sum()))
-    return np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32)
+    sure = np.abs(target - expected) >= EVIDENCE * np.sqrt(expected + 1)
+    return np.where(sure, np.log((target + PRIOR) / (expected + PRIOR)), 0).astype(np.float32)
 
 
 def weights(spark, ratios: np.ndarray):
@@ -131,7 +137,7 @@ def weights(spark, ratios: np.ndarray):
     return score
 
 
-def gumbel(id_col: str, text_col: str, seed: int):
+def gumbel(id_col: str, text_col: str, seed):
     """A standard Gumbel number that depends on nothing but id, text and seed."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     return -F.log(-F.log(u))
@@ -187,7 +193,7 @@ def draw(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     scored = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), score(F.col(text_col)).alias("s"))
     keys = stored(scored.select("__id", "s.*", (F.col("s.w") + TEMPERATURE * gumbel("__id", "text", seed)).alias("key")), "quality-keys")
     if k is None:
-        pairs = keys.join(F.broadcast(sample), "__id").select("w", "good", "fitted").collect()  # the sample's rows
+        pairs = keys.join(F.broadcast(sample), "__id").groupBy("__id").agg(F.min("w").alias("w"), F.first("good").alias("good"), F.first("fitted").alias("fitted")).collect()  # at most the sample's ids
         left = [(r["w"], r["good"]) for r in pairs if not r["fitted"]]
         both = len({g for _, g in left}) == 2
         k = keys.where(F.col("w") > level(left if both else [(r["w"], r["good"]) for r in pairs])).count()
