@@ -10,7 +10,9 @@ two a partition at most, come to the driver, which chooses the states at the cut
 turns between the states given. A row of the result is a turn with its piece of the rendering: the pieces of a
 conversation, put end to end in order of `seq`, are the rendered sequence, so no row grows with a conversation.
 
-Nulls and the like: a null turn number comes first, equal numbers are ordered by role and text. Null or unknown roles
+Partitions are as many as the input's size asks for, so that each holds some PART_BYTES of text, or a row more.
+
+Nulls and the like: a null turn number comes first, equal numbers are ordered by a hash of role and text. Null or unknown roles
 must be given one of the three. A null text is empty. A row with a null conversation id is a conversation of its own.
 Rows that repeat are turns like others, and are merged. A conversation of system turns alone gets an empty user turn
 at its end. Other columns play no part.
@@ -35,6 +37,8 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 _AFTER = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 _BETWEEN = {(START, ASSISTANT): USER, (SYSTEM, ASSISTANT): USER, (USER, USER): ASSISTANT, (ASSISTANT, ASSISTANT): USER}
 _FAR = 1 << 40
+#: Bytes of a partition, about; a turn counts as TURN_BYTES more than its text.
+PART_BYTES, TURN_BYTES = 16 << 20, 200
 
 
 def role_state(role: str | None) -> int:
@@ -201,9 +205,10 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     spark = turns.sparkSession
     id_kind, turn_kind = (turns.schema[c].dataType.simpleString() for c in (id_col, turn_col))
     rows = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    rows = rows.withColumns({"h": F.xxhash64("role", "text"), "row": F.monotonically_increasing_id()})
+    rows = rows.withColumns({"h": F.xxhash64(F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))), "row": F.monotonically_increasing_id()})
     order = ["conv_id", "turn", "h", "row"]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + TURN_BYTES)).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     placed = stored(placed.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("seq"), F.spark_partition_id().cast("long").alias("pid")), "chat-sorted")
     # a range partition is read again as a whole, in order

@@ -57,11 +57,12 @@ def gram_buckets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def train_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> DataFrame:
-    """__text, __lang of at most so many rows with an id and a language."""
-    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("__lang"))
-    picked = known.orderBy(F.xxhash64("i"), "i").limit(rows).distinct()
-    marked = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang"))
-    return marked.join(F.broadcast(picked), ["i", "__lang"]).select("__text", "__lang")
+    """__text, __lang of at most so many rows with an id and a language; rows that repeat count once."""
+    keys = [F.col(id_col).alias("i"), F.col(lang_col).alias("__lang"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")]
+    known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).select(*keys)
+    picked = known.orderBy(F.xxhash64("i"), "i", "h", "__lang").limit(rows).distinct()
+    marked = docs.select(*keys, F.col(text_col).alias("__text"))
+    return marked.join(F.broadcast(picked), ["i", "__lang", "h"]).groupBy("i", "__lang", "h").agg(F.first("__text").alias("__text")).select("__text", "__lang")
 
 
 def _counts(batches):
@@ -80,12 +81,16 @@ def _counts(batches):
         yield pa.RecordBatch.from_pydict({"lang": pa.array([name]), "counts": pa.array([counts.tobytes()], pa.binary())})
 
 
+def _summed(key, data):
+    total = sum(np.frombuffer(part, np.int64) for part in data.column("counts").to_pylist())
+    return pa.table({"lang": pa.array([key[0].as_py()]), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
 def fit(sample: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities: languages, orders, buckets). The sample is bounded, and so are its 16 tasks' counts."""
-    found: dict[str, np.ndarray] = {}
-    for r in sample.repartition(16).mapInArrow(released(_counts), "lang string, counts binary").toLocalIterator():
-        part = np.frombuffer(r.counts, np.int64).reshape(len(_ORDERS), -1)
-        found[r.lang] = found.get(r.lang, 0) + part
+    form = "lang string, counts binary"
+    parts = sample.repartition(16).mapInArrow(released(_counts), form)
+    found = {r.lang: np.frombuffer(r.counts, np.int64).reshape(len(_ORDERS), -1) for r in parts.groupBy("lang").applyInArrow(_summed, form).collect()}  # a row a language
     names = sorted(found)
     model = np.zeros((len(names), len(_ORDERS), 1 << BITS), np.float32)
     for i, name in enumerate(names):
