@@ -51,7 +51,7 @@ def test_evidence(spark):
     }
     assert got == want and set(got) == {k for k, _, _ in E.FACTS}
     prompt = E.prompts(E.pack(wide)).first().prompt.split("\n")
-    assert prompt[0] == "run.id = r0   (the pipeline run that was flagged)" and len(prompt) == 30
+    assert prompt[0] == "run.id = r0   (id of the flagged run)" and len(prompt) == 30
     by = E.facts(found(spark, runs, commits), runs, commits, landing, now(), {"load": "another"})
     assert by.select("`coverage.source_samples`").first()[0] == 0
 
@@ -94,7 +94,7 @@ def test_diagnoses(spark, reply, source, reason):
         assert (r.diagnosis_cause, r.diagnosis_confidence, json.loads(r.diagnosis_cited_json)) == ("the source was empty", "high" if "certain" not in reply else "low", ["source.data_rows"])
     elif source == "fallback":
         assert r.diagnosis_model == C.TEMPLATE_MODEL and len(json.loads(r.diagnosis_cited_json)) == 5
-        assert r.diagnosis_reasoning == "A run of this pipeline completed and wrote 0 rows to ledger. It took 22.0s against a usual 21.0s, so the run itself behaved normally. A normal delivery to this table adds about 5,000 rows. The table has not received rows for 24.2 hours."
+        assert r.diagnosis_reasoning == "The run ended as a success with 0 rows in ledger. Its length was 22.0 s; the median of the pipeline is 21.0 s. Commits with rows add 5,000 at the median. The last one was 24.2 hours ago."
     else:
         assert (r.diagnosis_cause, r.diagnosis_reasoning, r.diagnosis_confidence) == ("undetermined", "unclear", "low")
 

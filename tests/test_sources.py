@@ -20,7 +20,7 @@ def test_store_appends_and_conforms(spark, tmp_path):
     assert s.write("landing_files", spark.createDataFrame([("b", 2.0, "kept", T0 - timedelta(days=1))], "source_name string, size_bytes double, note string, collected_at timestamp"), T0) == 1
     got = {r.source_name: r for r in s.read("landing_files").collect()}
     assert got["a"].size_bytes == 1 and got["a"].note is None and got["b"].size_bytes == 2 and got["b"].note == "kept" and got["b"].exists is None
-    assert got["a"].collected_at.replace(tzinfo=UTC) == T0 and got["b"].collected_at.replace(tzinfo=UTC) == T0 - timedelta(days=1) and got["b"].ingest_seq > got["a"].ingest_seq
+    assert got["a"].collected_at.replace(tzinfo=UTC) == T0 and got["b"].collected_at.replace(tzinfo=UTC) == T0 - timedelta(days=1) and (got["b"].ingest_batch, got["b"].ingest_seq) > (got["a"].ingest_batch, got["a"].ingest_seq)
     assert s.read("landing_files").schema["size_bytes"].dataType == T.LongType()
     assert s.write("undeclared", [{"x": 1}], T0) == 1 and [r.x for r in s.read("undeclared").collect()] == ["1"]
 

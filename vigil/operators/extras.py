@@ -19,8 +19,19 @@ def contributions(current: DataFrame, baseline: DataFrame, dim: str, value: str)
     return both.crossJoin(F.broadcast(total)).select(dim, "change", share.alias("share"), mixed.alias("mixed"))  # total is one row
 
 
-def drill(current: DataFrame, baseline: DataFrame, dims: list[str], value: str, enough: float = 0.7) -> list[tuple[str, object, float]]:
-    """(dimension, segment, share) of each level: the segment of the largest share, taken apart further until it no longer explains enough, or no dimension is left."""
+def interactions(current: DataFrame, baseline: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """a, b, change, expected: the change of each pair of segments next to what the two would give if they acted apart (the product of their parts of the whole)."""
+    both = current.select(a, b, F.col(value).alias("v")).unionByName(baseline.select(a, b, (-F.col(value)).alias("v"))).groupBy(a, b).agg(F.sum("v").alias("change"))
+    of_a, of_b, whole = both.groupBy(a).agg(F.sum("change").alias("ca")), both.groupBy(b).agg(F.sum("change").alias("cb")), both.agg(F.sum("change").alias("all"))
+    x, y = of_a.withColumnRenamed(a, "__a"), of_b.withColumnRenamed(b, "__b")
+    out = both.join(x, F.col(a).eqNullSafe(F.col("__a"))).join(y, F.col(b).eqNullSafe(F.col("__b"))).crossJoin(F.broadcast(whole))  # one row
+    return out.select(a, b, "change", (F.col("ca") * F.col("cb") / F.nullif(F.col("all"), F.lit(0.0))).alias("expected"))
+
+
+def drill(current: DataFrame, baseline: DataFrame, dims: list[str], value: str, enough: float = 0.7, allowed: list[str] | None = None) -> list[tuple[str, object, float]]:
+    """(dimension, segment, share) of each level: the segment of the largest share, taken apart further until it no longer explains enough, or no dimension is left. A dimension that isn't allowed is an error."""
+    if allowed is not None and (wrong := [d for d in dims if d not in allowed]):
+        raise ValueError(f"not a dimension to take apart by: {', '.join(wrong)}")
     path = []
     for dim in dims:
         top = contributions(current, baseline, dim, value).orderBy(F.desc("share"), dim).first()
@@ -34,8 +45,9 @@ def drill(current: DataFrame, baseline: DataFrame, dims: list[str], value: str,
     return path
 
 
-def rolling_baseline(df: DataFrame, key: str, ts: str, value: str, days: int = 30) -> DataFrame:
-    """df with mean, spread and n of the key's values in the days before each row, itself and its own moment left out."""
+def rolling_baseline(df: DataFrame, key: str, ts: str, value: str, days: int = 30, scheduled: str | None = None) -> DataFrame:
+    """df with mean, spread and n of the key's values in the days before each row, itself and its own moment left out. scheduled: a column; then only rows that it calls Scheduled are looked at and compared with."""
+    df = df if scheduled is None else df.where(F.col(scheduled) == "Scheduled")
     span = days * 86_400_000_000
     over = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-span, -1)
     return df.withColumns({"base_mean": F.avg(value).over(over), "base_spread": F.stddev_samp(value).over(over), "base_n": F.count(value).over(over)})
@@ -66,10 +78,14 @@ def schema_drift(versions: DataFrame, table: str, version: str, columns: str) ->
     return out.where((F.size("added") > 0) | (F.size("dropped") > 0))
 
 
-def bloated(profiles: DataFrame, table: str, version: str, distinct: str, factor: float = 2.0) -> DataFrame:
-    """The versions whose number of distinct values is a multiple of the one before."""
-    before = F.lag(distinct).over(Window.partitionBy(table).orderBy(version))
-    return profiles.withColumn("before", before).where(F.col(distinct) >= factor * F.col("before"))
+def bloated(profiles: DataFrame, table: str, version: str, distinct: str, factor: float = 2.0, also: dict[str, float] | None = None) -> DataFrame:
+    """The versions whose number of distinct values is a multiple of the one before, and whose further measures (size, refresh time: column to factor) have all grown by theirs."""
+    order = Window.partitionBy(table).orderBy(version)
+    out = profiles.withColumn("before", F.lag(distinct).over(order)).withColumns({f"__{c}": F.lag(c).over(order) for c in also or {}})
+    out = out.where(F.col(distinct) >= factor * F.col("before"))
+    for c, f in (also or {}).items():
+        out = out.where(F.col(c) >= f * F.col(f"__{c}"))
+    return out.drop(*(f"__{c}" for c in also or {}))
 
 
 def stale_models(refreshes: DataFrame, now: Column, due_hours: float = 24.0, same_error: int = 3) -> DataFrame:
@@ -85,7 +101,7 @@ def stale_models(refreshes: DataFrame, now: Column, due_hours: float = 24.0, sam
     return out.withColumn("reason", reason).where("reason is not null").select("dataset_id", "last_success", "reason")
 
 
-def findings(df: DataFrame, category: str, severity: str, name: str, least: int = 2) -> DataFrame:
+def findings(df: DataFrame, category: Column | str, severity: str, name: str, least: int = 2) -> DataFrame:
     """Findings of the performance category, of a severity of at least a warning, but those on automatic date tables."""
     return df.where((F.lower(category) == "performance") & (F.col(severity) >= least) & ~F.coalesce(F.col(name).rlike("(?i)^(LocalDateTable|DateTableTemplate)"), F.lit(False)))
 
@@ -124,5 +140,19 @@ def collisions(refreshes: DataFrame, bin_seconds: int = 3600) -> DataFrame:
     return overlap_counts(rows, rows, "id", bin_seconds=bin_seconds)
 
 
+def contention(refreshes: DataFrame, least: int = 3, slower: float = 1.5) -> DataFrame:
+    """dataset_id, refresh_id, n, duration_seconds, median: refreshes that ran beside at least so many of other models and took so much longer than their model's median."""
+    usual = refreshes.groupBy("dataset_id").agg(F.median("duration_seconds").alias("median"))
+    beside = collisions(refreshes)
+    rows = refreshes.withColumn("id", F.concat_ws("|", "dataset_id", "refresh_id")).join(beside, "id").join(usual, "dataset_id")
+    return rows.where((F.col("n") >= least) & (F.col("duration_seconds") >= slower * F.col("median"))).select("dataset_id", "refresh_id", "n", "duration_seconds", "median")
+
+
+def gateway_timeouts(refreshes: DataFrame) -> DataFrame:
+    """The refreshes that failed with an error of the gateway about time."""
+    error = F.lower(F.coalesce("error", F.lit("")))
+    return refreshes.where((F.col("status") == "Failed") & error.contains("gateway") & error.rlike("time ?out|timed out"))
+
+
 def only_injected(incidents: DataFrame) -> DataFrame:
     return incidents.where(F.col("origin") == "injected")

@@ -1,7 +1,8 @@
-"""Joins over time: events within intervals, the last value as of a time, overlapping intervals, points in windows.
+"""Joins over time: sums over intervals, the last value as of a time, overlapping intervals, points in windows.
 
-All but the overlap have an equality to join by. The overlap is made one: intervals are cut into bins of fixed width, meet in
-the bins that they share, and a pair counts in the first of those only.
+None of the first three makes pairs. What holds up to a time is a running total: points and questions are put in one order by key and
+time, within bins of time, and each bin begins with the totals of the bins before. So the work is linear in both
+sides, a hot key is as many tasks as it has bins, and what is in one order is bins, not rows.
 """
 
 from __future__ import annotations
@@ -11,61 +12,88 @@ from pyspark.sql import functions as F
 
 from vigil.functions.scalars import micros
 
+#: Width of a bin of time.
+BIN_SECONDS = 86_400
+
 
 def within(events_ts: Column, start: Column, end: Column, before: str = "0 seconds", after: str = "0 seconds") -> Column:
     """start - before <= events_ts <= end + after, both ends in."""
     return (events_ts >= start - F.expr(f"INTERVAL {before}")) & (events_ts <= end + F.expr(f"INTERVAL {after}"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
-    """left with the values of the newest right row of the same `by` at or before its time, null where there is none; of equal times the smallest values.
+def running_totals(points: DataFrame, asked: DataFrame, by: list[str], values: list[str], bin_seconds: int = BIN_SECONDS) -> DataFrame:
+    """asked with the total of each value over the points of its `by` before it.
 
-    One union and one sort by key and time, linear in both sides. `by` may be empty: then the key is the time's day, and
-    the last value before each day is carried over.
+    points: by, at (microseconds), ord, values (whole numbers, null counts as 0). asked: by, at, ord, and anything else. A point is
+    before a question if (at, ord) is smaller. Null keys are a key; a null time is before nothing and has nothing before it.
     """
-    if not by:
-        return _as_of_global(left, right, left_ts, right_ts, values)
+    width = bin_seconds * 1_000_000
+    named = [f"__sum_{v}" for v in values]
+    p = points.where(F.col("at").isNotNull()).select(*by, "at", "ord", *(F.coalesce(v, F.lit(0)).cast("bigint").alias(n) for v, n in zip(values, named, strict=True)), F.lit(None).cast(asked.select(F.struct("*").alias("r")).schema["r"].dataType).alias("__row"))
+    q = asked.select(*by, "at", "ord", *(F.lit(0).cast("bigint").alias(n) for n in named), F.struct("*").alias("__row"))
+    slot = F.floor(F.col("at") / width).alias("__bin")
+    whole = p.unionByName(q).withColumn("__bin", slot)
+    # a row a key and bin: what all bins before it hold
+    bins = whole.groupBy(*by, "__bin").agg(*(F.sum(n).alias(n) for n in named))
+    earlier = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    carried = bins.select(*by, "__bin", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in named))
+    first = carried.select(*by, "__bin", F.lit(None).cast("bigint").alias("at"), F.lit(-1).alias("ord"), *named, F.lit(None).cast(q.schema["__row"].dataType).alias("__row"))
+    within = Window.partitionBy(*by, "__bin").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, 0)  # a null time comes first
+    done = whole.unionByName(first).select("at", "__row", *(F.sum(n).over(within).alias(n) for n in named)).where(F.col("__row").isNotNull())
+    return done.select("__row.*", *(F.when(F.col("at").isNotNull(), F.col(n)).otherwise(0).alias(v) for v, n in zip(values, named, strict=True)))
+
+
+def interval_totals(points: DataFrame, intervals: DataFrame, by: list[str], ts: str, start: str, end: str, values: list[str], bin_seconds: int = BIN_SECONDS) -> DataFrame:
+    """The distinct rows of intervals with the total of each value over the points of the same `by` at start <= ts <= end. An interval with a null key or end has none."""
+    p = points.select(*by, micros(ts).alias("at"), F.lit(1).alias("ord"), *values)
+    ok = F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end))
+    for k in by:
+        p, ok = p.where(F.col(k).isNotNull()), ok & F.col(k).isNotNull()
+    rows = intervals.distinct().select(F.struct("*").alias("__i"), *by, F.when(ok, micros(start)).alias("__start"), F.when(ok, micros(end)).alias("__end"))
+    ends = F.array(F.struct(F.col("__start").alias("at"), F.lit(0).alias("ord"), F.lit(-1).alias("sign")), F.struct(F.col("__end").alias("at"), F.lit(2).alias("ord"), F.lit(1).alias("sign")))
+    asked = rows.select("__i", *by, F.explode(ends).alias("e")).select("__i", *by, "e.*")
+    done = running_totals(p, asked, by, values, bin_seconds)
+    return done.groupBy("__i").agg(*(F.sum(F.col("sign") * F.col(v)).alias(v) for v in values)).select("__i.*", *values)
+
+
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
+    """left with the values of the newest right row of the same `by` at or before its time, null where there is none; of equal times the smallest values. Null keys are a key; `by` may be empty."""
     keep = F.struct(*(F.col(f"`{v}`").alias(v) for v in values))
-    a = left.select(*by, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(keep.alias("k")).schema["k"].dataType).alias("__value"), F.struct("*").alias("__row"))
-    none = F.lit(None).cast(a.schema["__row"].dataType)
-    b = right.where(F.col(right_ts).isNotNull()).select(*by, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), keep.alias("__value"), none.alias("__row"))
-    b = b.groupBy(*by, "__ts", "__side").agg(F.min("__value").alias("__value")).select(*by, "__ts", "__side", "__value", none.alias("__row"))
-    over = Window.partitionBy(*by).orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("__seen", F.last("__value", ignorenulls=True).over(over)).where("__side = 1")
+    known = right.where(F.col(right_ts).isNotNull()).select(*by, F.col(right_ts).alias("__ts"), keep.alias("__value")).groupBy(*by, "__ts").agg(F.min("__value").alias("__value"))
+    known = known.withColumn("__day", F.to_date("__ts"))
+    a = left.select(*by, F.col(left_ts).alias("__ts"), F.to_date(left_ts).alias("__day"), F.lit(2).alias("__side"), F.lit(None).cast(known.schema["__value"].dataType).alias("__value"), F.struct("*").alias("__row"))
+    none = F.lit(None).cast(a.schema["__row"].dataType).alias("__row")
+    b = known.select(*by, "__ts", "__day", F.lit(1).alias("__side"), "__value", none)
+    # a row a key and day: the last value before the day
+    days = known.groupBy(*by, "__day").agg(F.max_by("__value", "__ts").alias("__last")).unionByName(a.select(*by, "__day").distinct(), allowMissingColumns=True).groupBy(*by, "__day").agg(F.first("__last", ignorenulls=True).alias("__last"))
+    before = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = days.select(*by, F.lit(None).cast(a.schema["__ts"].dataType).alias("__ts"), "__day", F.lit(0).alias("__side"), F.last("__last", ignorenulls=True).over(before).alias("__value"), none)
+    over = Window.partitionBy(*by, "__day").orderBy(F.asc_nulls_first("__ts"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = a.unionByName(b).unionByName(seeds).withColumn("__seen", F.last("__value", ignorenulls=True).over(over)).where("__side = 2")
     found = F.when(F.col("__ts").isNotNull(), F.col("__seen"))
     return seen.select("__row.*", *(found[v].alias(f"as_of_{v}" if v in left.columns else v) for v in values))
 
 
-def _as_of_global(left, right, left_ts, right_ts, values):
-    day = lambda c: F.to_date(c)
-    ends = right.where(F.col(right_ts).isNotNull()).groupBy(day(right_ts).alias("__day")).agg(F.max(F.struct(F.col(right_ts).alias("__t"), *(F.col(f"`{v}`") for v in values))).alias("__last"))
-    days = left.select(day(left_ts).alias("__day")).distinct().join(ends, "__day", "full")
-    # days are few: one row each
-    carried = days.withColumn("__from", F.last("__last", ignorenulls=True).over(Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1))).select("__day", "__from")
-    seeds = carried.where(F.col("__from").isNotNull()).select("__day", F.col("__day").cast("timestamp").alias("__ts"), *(F.col(f"__from.{v}") for v in values))
-    own = right.where(F.col(right_ts).isNotNull()).select(day(right_ts).alias("__day"), F.col(right_ts).alias("__ts"), *(F.col(f"`{v}`") for v in values))
-    return as_of(left.withColumn("__day", day(left_ts)), seeds.unionByName(own), ["__day"], left_ts, "__ts", values).drop("__day")
-
-
 def overlap_counts(intervals: DataFrame, others: DataFrame, id_col: str, start: str = "start", end: str = "end", item: str = "item", bin_seconds: int = 3600) -> DataFrame:
-    """id, n: how many of the other intervals, of another item, share a moment with each; ends count as shared, a null item is another item."""
-    width = bin_seconds * 1_000_000
-    bins = lambda s, e: F.sequence(F.floor(micros(s) / width), F.floor(micros(e) / width))
-    whole = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
-    a = whole.select(F.col(id_col).alias("id"), F.col(item).alias("i"), F.col(start).alias("s"), F.col(end).alias("e"), F.explode(bins(F.col(start), F.col(end))).alias("bin"))
+    """id, n: how many of the other intervals, of another item, share a moment with each; ends count as shared, a null item is another item.
+
+    Those that share a moment are those that begin by the end, less those that end before the start; and the same of the own item, which are taken off.
+    """
     ok = F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end))
-    b = others.where(ok).select(F.col(item).alias("i2"), F.col(start).alias("s2"), F.col(end).alias("e2"), F.explode(bins(F.col(start), F.col(end))).alias("bin"))
-    first = F.greatest(F.floor(micros("s") / width), F.floor(micros("s2") / width)) == F.col("bin")
-    met = a.join(b, "bin").where(first & (F.col("s2") <= F.col("e")) & (F.col("e2") >= F.col("s")) & ~F.col("i").eqNullSafe(F.col("i2")))
-    found = met.groupBy("id").agg(F.count("*").alias("n"))
+    asked = intervals.where(ok).select(F.col(id_col).alias("id"), F.col(item).alias("i"), F.explode(F.array(F.struct(micros(start).alias("at"), F.lit("ended").alias("what")), F.struct(micros(end).alias("at"), F.lit("begun").alias("what")))).alias("e"))
+    asked = asked.select("id", "i", "e.*", F.lit(1).alias("ord"))
+    # of equal times: beginnings count for an end, ends don't count for a beginning
+    points = others.where(ok).select(F.col(item).alias("i"), F.explode(F.array(F.struct(micros(start).alias("at"), F.lit(0).alias("ord"), F.lit(1).alias("begun"), F.lit(0).alias("ended")), F.struct(micros(end).alias("at"), F.lit(2).alias("ord"), F.lit(0).alias("begun"), F.lit(1).alias("ended")))).alias("e"))
+    points = points.select("i", "e.*")
+    gained = lambda by: running_totals(points, asked, by, ["begun", "ended"], bin_seconds).select("id", F.when(F.col("what") == "begun", F.col("begun")).otherwise(-F.col("ended")).alias("c"))
+    found = gained([]).union(gained(["i"]).select("id", -F.col("c"))).groupBy("id").agg(F.sum("c").alias("n"))
     return intervals.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def in_windows(points: DataFrame, windows: DataFrame, item: str, ts: str, start: str, end: str, now: Column) -> DataFrame:
     """The pairs of a window and a point of its item at start <= ts <= end; a window without end is open until now."""
     w, p = windows.alias("w"), points.alias("p")
-    cond = (F.col(f"w.{item}") == F.col(f"p.{item}")) & (F.col(f"p.{ts}") >= F.col(f"w.{start}")) & (F.col(f"p.{ts}") <= F.coalesce(F.col(f"w.{end}"), now))
-    return w.join(p, cond)
+    return w.join(p, (F.col(f"w.{item}") == F.col(f"p.{item}")) & within(F.col(f"p.{ts}"), F.col(f"w.{start}"), F.coalesce(F.col(f"w.{end}"), now)))
 
 
 def split_by(rows: DataFrame, claimed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

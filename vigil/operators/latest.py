@@ -1,6 +1,6 @@
 """Latest known values: repeated observations of a key become one row that holds, column by column, the newest value that was known.
 
-A null never erases a value. Of equal times of collection the later arrival counts (`ingest_seq`).
+A null never erases a value. Of equal times of collection the later arrival counts (`ingest_batch`, then `ingest_seq`).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ SETTLING = timedelta(minutes=10)
 
 
 def _order(df: DataFrame) -> list[str]:
-    return [c for c in ("collected_at", "ingest_seq") if c in df.columns]
+    return [c for c in ("collected_at", "ingest_batch", "ingest_seq") if c in df.columns]
 
 
 def latest_known(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,7 +42,8 @@ def _orderable(df: DataFrame, column: str) -> bool:
 
 def newest_row(df: DataFrame, keys: list[str]) -> DataFrame:
     """The last row of each key in order of arrival, for observations without a time of collection."""
-    order = F.col("ingest_seq") if "ingest_seq" in df.columns else F.monotonically_increasing_id()
+    arrival = [c for c in ("ingest_batch", "ingest_seq") if c in df.columns]
+    order = F.struct(*arrival) if arrival else F.monotonically_increasing_id()
     numbered = df.withColumn("__order", order).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__order"))))
     return numbered.where("__n = 1").drop("__n", "__order")
 
@@ -72,12 +73,15 @@ def last_collected(store, datasets: list[str] | None = None) -> DataFrame:
     return out
 
 
+def stored_and_distinct(raw: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """stored, distinct: rows as appended and facts that they are about, told apart by the keys or by all columns."""
+    return raw.agg(F.count(F.lit(1)).alias("stored"), F.count_distinct(F.struct(*(keys or raw.columns))).alias("distinct"))
+
+
 def counts(store, datasets: list[str] | None = None) -> DataFrame:
-    """dataset, stored, distinct: rows as appended and facts that they are about."""
+    """dataset, stored, distinct of each dataset."""
     out = None
     for name in datasets or sorted(NATURAL_KEYS):
-        raw = store.read(name)
-        key = F.struct(*NATURAL_KEYS[name]) if name in NATURAL_KEYS else F.struct(*raw.columns)
-        part = raw.agg(F.count(F.lit(1)).alias("stored"), F.count_distinct(key).alias("distinct")).select(F.lit(name).alias("dataset"), "stored", "distinct")
+        part = stored_and_distinct(store.read(name), NATURAL_KEYS.get(name)).select(F.lit(name).alias("dataset"), "stored", "distinct")
         out = part if out is None else out.union(part)
     return out

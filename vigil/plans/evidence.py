@@ -5,44 +5,44 @@ A fact that was not measured is a null, which reads `unknown`; how much was meas
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.functions.scalars import hours_between, iso, not_equal, number, parse_utc, rounded
-from vigil.operators.intervals import as_of, overlap_counts
+from vigil.functions.scalars import hours_between, iso, micros, not_equal, number, parse_utc, rounded
+from vigil.operators.intervals import as_of, overlap_counts, running_totals
 
-#: Every key of a pack in order, its type and its label.
+#: Every key of a pack in order and its type; then what it is, in words of this module.
 FACTS = (
-    ("run.id", "string", "the pipeline run that was flagged"),
-    ("run.started", "string", "when the run started, UTC"),
-    ("run.ended", "string", "when the run ended, UTC"),
-    ("run.duration_seconds", "double", "how long the run took"),
-    ("run.status", "string", "the status the platform reported for the run"),
-    ("run.rows_delivered", "bigint", "rows written to the target table during this run"),
-    ("expectation.minimum_rows", "bigint", "the configured minimum this run was judged against"),
-    ("expectation.target_table", "string", "the table this pipeline is declared to write to"),
-    ("pipeline.runs_observed", "bigint", "runs of this pipeline in telemetry"),
-    ("pipeline.duration_median_seconds", "double", "the usual length of a run of this pipeline"),
-    ("pipeline.duration_min_seconds", "double", "the shortest run of this pipeline observed"),
-    ("pipeline.duration_max_seconds", "double", "the longest run of this pipeline observed"),
-    ("pipeline.failed_runs", "bigint", "runs of this pipeline that did not report success"),
-    ("table.commits_observed", "bigint", "commits to this table in telemetry"),
-    ("table.zero_row_commits", "bigint", "commits to this table that added no rows"),
-    ("table.uncounted_commits", "bigint", "commits whose row count could not be determined"),
-    ("table.typical_delivery_rows", "bigint", "the usual number of rows a successful delivery adds"),
-    ("table.deliveries_observed", "bigint", "commits to this table that added rows"),
-    ("table.last_delivery_at", "string", "when this table last received rows"),
-    ("table.hours_since_last_delivery", "double", "how long this table has been stale"),
-    ("coverage.source_measured", "boolean", "whether the source file was sampled at all around this run"),
-    ("coverage.source_samples", "bigint", "how many times the source file was sampled at or before this run"),
-    ("source.name", "string", "the file the pipeline reads"),
-    ("source.sampled_at", "string", "when the source was last sampled before this run ended"),
-    ("source.exists", "boolean", "whether the source file was present at that moment"),
-    ("source.data_rows", "bigint", "rows in the source file, excluding the header"),
-    ("source.size_bytes", "bigint", "size of the source file in bytes"),
-    ("source.modified_at", "string", "when the source file was last written"),
-    ("source.hours_old_at_run", "double", "how long before the run the source was last written"),
-    ("estate.concurrent_runs", "bigint", "other items running at the same time as this run"),
+    ("run.id", "string", "id of the flagged run"),
+    ("run.started", "string", "start of the run in UTC"),
+    ("run.ended", "string", "end of the run in UTC"),
+    ("run.duration_seconds", "double", "length of the run in seconds"),
+    ("run.status", "string", "outcome that the platform gave the run"),
+    ("run.rows_delivered", "bigint", "rows that reached the target table while the run was on"),
+    ("expectation.minimum_rows", "bigint", "fewest rows that the run was to deliver"),
+    ("expectation.target_table", "string", "table that the pipeline is to write"),
+    ("pipeline.runs_observed", "bigint", "runs of the pipeline on record"),
+    ("pipeline.duration_median_seconds", "double", "median length of the pipeline's runs"),
+    ("pipeline.duration_min_seconds", "double", "length of its shortest run"),
+    ("pipeline.duration_max_seconds", "double", "length of its longest run"),
+    ("pipeline.failed_runs", "bigint", "its runs that ended in anything but success"),
+    ("table.commits_observed", "bigint", "commits to the table on record"),
+    ("table.zero_row_commits", "bigint", "of these, those without a new row"),
+    ("table.uncounted_commits", "bigint", "of these, those of unknown size"),
+    ("table.typical_delivery_rows", "bigint", "median rows of a commit with any"),
+    ("table.deliveries_observed", "bigint", "commits with any rows"),
+    ("table.last_delivery_at", "string", "time of the last commit with rows"),
+    ("table.hours_since_last_delivery", "double", "hours since then"),
+    ("coverage.source_measured", "boolean", "is there any sample of the source up to the run's end"),
+    ("coverage.source_samples", "bigint", "number of such samples"),
+    ("source.name", "string", "source file of the newest such sample"),
+    ("source.sampled_at", "string", "time of that sample"),
+    ("source.exists", "boolean", "was the file there"),
+    ("source.data_rows", "bigint", "its rows below the header"),
+    ("source.size_bytes", "bigint", "its size in bytes"),
+    ("source.modified_at", "string", "time of its last change"),
+    ("source.hours_old_at_run", "double", "its age in hours when the run began"),
+    ("estate.concurrent_runs", "bigint", "runs of other items at the same time"),
 )
 MEASURED = "struct<run_id:string,run_started:string,run_ended:string,run_duration_seconds:double,run_status:string,expected_table:string,rows_delivered:bigint,rows_expected_minimum:bigint>"
 
@@ -71,20 +71,22 @@ def facts(incidents: DataFrame, runs: DataFrame, commits: DataFrame, landing: Da
     m = F.from_json("measured_json", MEASURED)
     i = incidents.select("incident_id", "item_name", m.alias("m")).select("incident_id", "item_name", "m.*")
     i = i.withColumns({"started": parse_utc(F.col("run_started")), "ended": parse_utc(F.col("run_ended"))})
+    span = i.select("incident_id", "item_name", "started", "ended")
     i = i.join(pipeline_baseline(runs), "item_name", "left").join(table_baseline(commits).withColumnRenamed("table_name", "expected_table"), "expected_table", "left")
-    sampled = F.lit(None).cast("struct<source_name:string,exists:boolean,data_rows:bigint,size_bytes:bigint,modified_at:timestamp,collected_at:timestamp>")
     if landing is None:
-        i = i.withColumns({"sample": sampled, "samples": F.lit(0).cast("bigint")})
+        kind = "struct<source_name:string,exists:boolean,data_rows:bigint,size_bytes:bigint,modified_at:timestamp,collected_at:timestamp>"
+        i = i.withColumns({"sample": F.lit(None).cast(kind), "samples": F.lit(0).cast("bigint")})
     else:
         sample = F.struct("source_name", "exists", "data_rows", "size_bytes", "modified_at", "collected_at")
-        key = F.lit("") if by_source is None else F.col("source_name")
+        by = [] if by_source is None else ["k"]
         of = F.lit("") if by_source is None else F.coalesce(F.create_map(*(F.lit(x) for pair in by_source.items() for x in pair))[F.col("item_name")], F.lit(""))
-        taken = landing.where(F.col("collected_at").isNotNull()).select(key.alias("k"), F.col("collected_at").alias("at"), sample.alias("sample"))
-        # how many samples there were by each time, then the newest as of the run's end
-        running = Window.partitionBy("k").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-        taken = taken.withColumn("samples", F.count("*").over(running))
-        i = as_of(i.withColumn("k", of), taken, ["k"], "ended", "at", ["sample", "samples"]).drop("k")
-    spans = i.select("incident_id", F.col("item_name").alias("item"), F.col("started").alias("start"), F.col("ended").alias("end"))
+        taken = landing.where(F.col("collected_at").isNotNull()).select(F.col("source_name").alias("k"), F.col("collected_at").alias("at"), sample.alias("sample"))
+        asked = span.select("incident_id", of.alias("k"), "ended")
+        # the newest sample by the run's end, and how many there were by then
+        newest = as_of(asked.select("incident_id", *by, "ended"), taken.select(*by, "at", "sample"), by, "ended", "at", ["sample"]).select("incident_id", "sample")
+        many = running_totals(taken.select(*by, micros("at").alias("at"), F.lit(0).alias("ord"), F.lit(1).alias("samples")), asked.select("incident_id", *by, micros("ended").alias("at"), F.lit(1).alias("ord")), by, ["samples"]).select("incident_id", "samples")
+        i = i.join(newest, "incident_id", "left").join(many, "incident_id", "left")
+    spans = span.select("incident_id", F.col("item_name").alias("item"), F.col("started").alias("start"), F.col("ended").alias("end"))
     others = runs.select(F.col("item_name").alias("item"), F.col("start_time").alias("start"), F.col("end_time").alias("end"))
     beside = overlap_counts(spans, others, "incident_id").withColumnRenamed("id", "incident_id").withColumnRenamed("n", "beside")
     i = i.join(beside, "incident_id", "left")

@@ -107,4 +107,14 @@ def summary(view: DataFrame, queue: DataFrame | None = None) -> DataFrame:
 
 def as_text(view: DataFrame, columns: list[str], rows: int = 20) -> str:
     """The first rows of those columns that there are, for reading."""
-    return columns_of(view, columns)._show_string(rows, False)
+    return columns_of(view, columns).limit(rows).toPandas().to_string(index=False)
+
+
+def readable(view: DataFrame) -> DataFrame:
+    """incident_id, incident, diagnosis, proposal: each as a line of text; a diagnosis or proposal that there isn't is null."""
+    said = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    cited = lambda c: F.coalesce(F.array_join(F.from_json(F.col(c), "array<string>"), ", "), F.lit(""))
+    incident = F.concat(F.lit("["), F.upper(said("severity")), F.lit("] "), said("rule"), F.lit(" | "), said("item_name"), F.lit(" | "), said("summary"))
+    diagnosis = F.when(F.col("diagnosis_cause").isNotNull(), F.concat(said("diagnosis_cause"), F.lit(" ("), said("diagnosis_confidence"), F.lit(", "), said("diagnosis_source"), F.lit("; cites "), cited("diagnosis_cited_json"), F.lit(")")))
+    proposal = F.when(F.col("proposal_target").isNotNull(), F.concat(said("proposal_target"), F.lit(": "), said("proposal_summary"), F.lit(" ("), said("proposal_confidence"), F.lit("; cites "), cited("proposal_cited_json"), F.lit(")")))
+    return view.select("incident_id", incident.alias("incident"), diagnosis.alias("diagnosis"), proposal.alias("proposal"))

@@ -1,7 +1,7 @@
 """Runs that reported success and delivered too few rows.
 
-One plan: eligible runs meet their expectations, then commits to the table in the run's interval, widened by the skew
-between clocks; what those added is summed. A commit whose rows are unknown makes the run's delivery unknown, and no
+One plan: eligible runs meet their expectations; what commits to the table added in the run's interval, widened by the skew
+between clocks, is the difference of running totals at its ends, so that no run meets all commits of its table. A commit whose rows are unknown makes the run's delivery unknown, and no
 incident; a run without any commit delivered nothing, and is one.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import as_json, incident_id, iso, rounded, thousands, whole_seconds
+from vigil.operators.intervals import interval_totals
 
 RULE, FAULT_CLASS = "silent_zero_row", "silent_zero_row"
 SKEW = "90 seconds"
@@ -43,13 +44,12 @@ def deliveries(runs: DataFrame, commits: DataFrame, expected: DataFrame, cutoff:
     e = expected.select("pipeline", F.col("table").alias("expected_table"), F.col("workspace").alias("expected_workspace"), "minimum_rows")
     cond = (F.col("item_name") == F.col("pipeline")) & (F.col("workspace_name") == F.col("expected_workspace") if strict_workspace else F.lit(True))
     asked = judged.join(e, cond)
-    c = commits.select(F.col("table_name"), F.col("timestamp").alias("committed_at"), "rows_added", *([F.col("workspace_name").alias("commit_workspace")] if strict_workspace else []))
-    near = (F.col("table_name") == F.col("expected_table")) & (F.col("committed_at") >= F.col("start_time") - F.expr(f"INTERVAL {skew}")) & (F.col("committed_at") <= F.col("end_time") + F.expr(f"INTERVAL {skew}"))
-    if strict_workspace:
-        near = near & (F.col("commit_workspace") == F.col("expected_workspace"))
+    by = ["expected_table", *(["expected_workspace"] if strict_workspace else [])]
+    c = commits.select(F.col("table_name").alias("expected_table"), *([F.col("workspace_name").alias("expected_workspace")] if strict_workspace else []), "timestamp", F.col("rows_added").alias("added"), F.col("rows_added").isNull().cast("int").alias("unknown"))
     keys = ["run_id", "pipeline", "expected_table", "expected_workspace", "minimum_rows", "status", "start_time", "end_time", "duration_seconds"]
-    met = asked.join(c, near, "left").groupBy(*keys).agg(F.count("table_name").alias("n"), F.count_if(F.col("table_name").isNotNull() & F.col("rows_added").isNull()).alias("unknown"), F.sum("rows_added").alias("added"))
-    return met.withColumn("rows_delivered", F.when(F.col("unknown") > 0, None).otherwise(F.coalesce("added", F.lit(0)))).drop("n", "unknown", "added")
+    spans = asked.select(*keys, (F.col("start_time") - F.expr(f"INTERVAL {skew}")).alias("__from"), (F.col("end_time") + F.expr(f"INTERVAL {skew}")).alias("__to"))
+    met = interval_totals(c, spans, by, "timestamp", "__from", "__to", ["added", "unknown"])
+    return met.withColumn("rows_delivered", F.when(F.col("unknown") == 0, F.col("added"))).drop("added", "unknown", "__from", "__to")
 
 
 def detect(runs: DataFrame, commits: DataFrame, expected: DataFrame, cutoff: Column, detected_at: Column, skew: str = SKEW, strict_workspace: bool = False) -> DataFrame:

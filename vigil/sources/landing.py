@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.functions.scalars import parse_utc
+
 #: Larger files are not counted: their rows are unknown.
 COUNT_LIMIT = 500 * 1024 * 1024
 SAMPLE = "source_name string, path string, exists boolean, size_bytes bigint, modified_ms bigint"
@@ -46,6 +48,24 @@ def collect(spark: SparkSession, sources: dict[str, str], collected_at: datetime
 
 
 def write_batch(df: DataFrame, path: str, rename: dict[str, str] | None = None) -> str:
-    """One CSV file with a header; columns may be renamed, which is how a drifted source looks."""
-    df.withColumnsRenamed(rename or {}).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """One CSV file with a header; columns may be renamed, which is how a drifted source looks. It is written aside and takes the path's place when it is whole."""
+    spark = df.sparkSession
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    aside, fs = path.rstrip("/") + ".writing", at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    df.withColumnsRenamed(rename or {}).coalesce(1).write.mode("overwrite").option("header", True).csv(aside)
+    [made] = [x.getPath() for x in fs.listStatus(at(aside)) if x.getPath().getName().startswith("part-")] or [None]
+    if made is None:  # no partition at all: the header alone
+        spark.createDataFrame([(",".join((rename or {}).get(c, c) for c in df.columns),)], "line string").coalesce(1).write.mode("overwrite").text(aside)
+        [made] = [x.getPath() for x in fs.listStatus(at(aside)) if x.getPath().getName().startswith("part-")]
+    fs.delete(at(path), True)
+    if not fs.rename(made, at(path)):
+        raise OSError(f"{path} can't be written")
+    fs.delete(at(aside), True)
     return path
+
+
+def read_csv(spark: SparkSession, path: str, dates: list[str] | None = None, schema: str | None = None) -> DataFrame:
+    """A CSV file with a header; the columns in `dates` as timestamps in UTC, null where they are none."""
+    reader = spark.read.option("header", True)
+    rows = (reader.schema(schema) if schema else reader).csv(path)
+    return rows.withColumns({c: parse_utc(F.col(c)) for c in dates or [] if c in rows.columns})

@@ -1,8 +1,8 @@
 """An append-only store of datasets, each a Parquet table by day of collection.
 
 An append conforms a batch to the stored schema: shared columns are cast, missing ones are null, new ones join the
-schema. The schema lies beside the data, so that reading never infers one. `ingest_seq` grows from append to append and tells
-which of two rows of equal collection time came later.
+schema. The schema lies beside the data, so that reading never infers one. `ingest_batch` grows from append to append,
+`ingest_seq` within one: together they tell which of two rows of equal collection time came later.
 """
 
 from __future__ import annotations
@@ -39,6 +39,11 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
     return df.select(*(f"`{c}`" for c in df.columns if counts[c]))
 
 
+def arrived(rows: DataFrame, batch: int) -> DataFrame:
+    """rows with their order of arrival."""
+    return rows.drop("ingest_seq", "ingest_batch").withColumns({"ingest_seq": F.monotonically_increasing_id(), "ingest_batch": F.lit(batch).cast("bigint")})
+
+
 class Store:
     """Datasets under one folder of any file system that Spark reads and writes."""
 
@@ -73,9 +78,14 @@ class Store:
         out.writeUTF(schema.json())
         out.close()
 
-    def _next_seq(self, dataset: str) -> int:
-        data = self._path(dataset, "data")
-        return len(self._fs().listStatus(self._path(dataset, "_batches"))) if self._fs().exists(data) and self._fs().exists(self._path(dataset, "_batches")) else 0
+    def _take_batch(self, dataset: str) -> int:
+        """The next batch's number, which no other writer gets: its marker is made before any data, and only once."""
+        folder = self._path(dataset, "_batches")
+        taken = [int(x.getPath().getName()) for x in self._fs().listStatus(folder)] if self._fs().exists(folder) else []
+        number = max(taken, default=-1) + 1
+        while not self._fs().createNewFile(self._path(dataset, "_batches", f"{number:08d}")):
+            number += 1
+        return number
 
     def write(self, dataset: str, rows: DataFrame | list[dict], now: datetime) -> int:
         """Appends a batch and returns its number of rows; nothing is written for none. Rows are stamped now where the batch as a whole has no time of collection."""
@@ -89,9 +99,7 @@ class Store:
             rows = self.spark.createDataFrame([tuple(r.get(f) for f in given.names) + tuple(None if r.get(n) is None else str(r[n]) for n in extra) for r in rows], T.StructType([*given.fields, *(T.StructField(n, T.StringType()) for n in extra)]))
         stamp = F.lit(now).cast("timestamp")
         rows = rows if "collected_at" in rows.columns else rows.withColumn("collected_at", stamp)
-        batch = self._next_seq(dataset)
-        rows = rows.drop("ingest_seq").withColumn("ingest_seq", F.lit(batch).cast("bigint") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40))
-        out = conform(rows, stored)
+        out = conform(arrived(rows, self._take_batch(dataset)), stored)
         seen = Observation()
         out = out.observe(seen, F.count(F.lit(1)).alias("n"))
         out.withColumn("date", F.to_date("collected_at")).write.mode("append").partitionBy("date").parquet(f"{self.root}/{dataset}/data")
@@ -99,7 +107,6 @@ class Store:
         if n:
             if out.schema != stored or not self.exists(dataset):
                 self._keep_schema(dataset, out.schema)
-            self._fs().create(self._path(dataset, "_batches", f"{batch:08d}"), True).close()
         return n
 
     def read(self, dataset: str) -> DataFrame:
@@ -125,15 +132,22 @@ class CatalogStore(Store):
         return self.spark.table(self.prefix + dataset).schema if self.exists(dataset) else declared(dataset)
 
     def write(self, dataset: str, rows: DataFrame, now: datetime) -> int:
-        stored = self.schema(dataset)
+        """Appends a batch; columns that are new join the table."""
+        stored, name = self.schema(dataset), self.prefix + dataset
         rows = rows if "collected_at" in rows.columns else rows.withColumn("collected_at", F.lit(now).cast("timestamp"))
-        last = self.spark.table(self.prefix + dataset).agg(F.max("ingest_seq")).first()[0] if self.exists(dataset) else None
-        rows = rows.drop("ingest_seq").withColumn("ingest_seq", F.monotonically_increasing_id() + (0 if last is None else last + 1))
-        out = conform(rows, stored).select(*stored.names)
-        n = out.count()
-        if n:
-            out.write.mode("append").format("parquet").saveAsTable(self.prefix + dataset)
-        return n
+        has = "ingest_batch" in stored.names and self.exists(dataset)
+        last = self.spark.table(name).agg(F.max("ingest_batch")).first()[0] if has else None
+        out, seen = conform(arrived(rows, 0 if last is None else last + 1), stored), Observation()
+        if not self.exists(dataset):
+            if out.isEmpty():
+                return 0
+            out.observe(seen, F.count(F.lit(1)).alias("n")).write.format("parquet").saveAsTable(name)
+            return seen.get["n"]
+        new = [f for f in out.schema if f.name not in stored.names]
+        if new:
+            self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+        out.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(name)
+        return seen.get["n"]
 
     def read(self, dataset: str) -> DataFrame:
         """All rows ever appended. Only a table that isn't there reads as empty; any other failure is one."""

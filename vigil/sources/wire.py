@@ -6,9 +6,12 @@ part of this package.
 
 from __future__ import annotations
 
+import itertools
+import json
 import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -73,6 +76,56 @@ def refresh_runs(raw: DataFrame, models: DataFrame, now: Column, since_days: int
     return out.select("workspace_id", "workspace_name", "dataset_id", "dataset_name", "refresh_id", "request_id", "refresh_type", "status", "start_time", "end_time", "duration_seconds", "error")
 
 
+def run_paths(known: DataFrame) -> DataFrame:
+    """item_id, path: where the job runs of each item that can have any are listed."""
+    return known.where(F.col("item_type").isin(*JOB_CAPABLE)).select("item_id", F.concat(F.lit("workspaces/"), "workspace_id", F.lit("/items/"), "item_id", F.lit("/jobs/instances")).alias("path"))
+
+
+def refresh_paths(models: DataFrame) -> DataFrame:
+    """dataset_id, path: where the newest refreshes of each model that is asked for are listed."""
+    return to_query(models).select("dataset_id", F.concat(F.lit("groups/"), "workspace_id", F.lit("/datasets/"), "dataset_id", F.lit(f"/refreshes?$top={MOST_REFRESHES}")).alias("path"))
+
+
+def fetched(paths: DataFrame, fetch: Callable[[str, str | None], dict], fields: list[str], absent: tuple[int, ...], key: str = "value", most: int | None = None) -> DataFrame:
+    """paths with the fields (text) of the elements that each path lists, `most` of a path at most; a path that answers with a status in `absent` has none. The calls run where the rows are, spread by path."""
+    names = paths.columns
+
+    def run(batches):
+        for batch in batches:
+            rows: dict[str, list] = {n: [] for n in [*names, *fields]}
+            for given in batch.to_pylist():
+                for x in itertools.islice(pages(fetch, given["path"], absent, key), most):
+                    for n in names:
+                        rows[n].append(given[n])
+                    for f in fields:
+                        rows[f].append(None if x.get(f) is None else x[f] if isinstance(x[f], str) else json.dumps(x[f]))
+            yield pa.RecordBatch.from_pydict({n: pa.array(v, pa.string()) for n, v in rows.items()})
+
+    texts = paths.select(*(F.col(n).cast("string") for n in names))
+    return texts.repartition("path").mapInArrow(run, ", ".join(f"`{n}` string" for n in [*names, *fields]))
+
+
+def scan_job_runs(spark: SparkSession, fetch: Callable[[str, str | None], dict], now: Column, since_days: int = 30) -> DataFrame:
+    """`job_runs` of all workspaces: workspaces, the items of each, and the runs of each item that can have any, level by level."""
+    root = spark.createDataFrame([("workspaces",)], "path string")
+    workspaces = fetched(root, fetch, ["id", "displayName"], ()).select("id", "displayName")
+    listed = workspaces.select(F.col("id").alias("workspace_id"), F.concat(F.lit("workspaces/"), "id", F.lit("/items")).alias("path"))
+    raw = fetched(listed, fetch, ["id", "displayName", "type"], ()).withColumnRenamed("workspace_id", "workspaceId")
+    known = items(raw, workspaces)
+    found = fetched(run_paths(known), fetch, ["id", "jobType", "invokeType", "status", "startTimeUtc", "endTimeUtc", "failureReason"], JOBS_ABSENT).withColumnRenamed("item_id", "itemId")
+    return job_runs(found, known, now, since_days)
+
+
+def scan_refresh_runs(spark: SparkSession, fetch: Callable[[str, str | None], dict], now: Column, since_days: int = 90) -> DataFrame:
+    """`refresh_runs` of all workspaces: the models of each, and the newest refreshes of each model that is asked for."""
+    root = spark.createDataFrame([("groups",)], "path string")
+    listed = fetched(root, fetch, ["id", "name"], ()).select(F.col("id").alias("workspace_id"), F.col("name").alias("workspace_name"), F.concat(F.lit("groups/"), "id", F.lit("/datasets")).alias("path"))
+    raw = fetched(listed, fetch, ["id", "name", "configuredBy", "isRefreshable", "targetStorageMode"], REFRESHES_ABSENT)
+    models = raw.select("workspace_id", "workspace_name", F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"), F.col("configuredBy").alias("configured_by"), F.col("isRefreshable").cast("boolean").alias("is_refreshable"), F.col("targetStorageMode").alias("storage_mode"))
+    found = fetched(refresh_paths(models), fetch, ["id", "requestId", "refreshType", "status", "startTime", "endTime", "serviceExceptionJson"], REFRESHES_ABSENT, most=MOST_REFRESHES)
+    return refresh_runs(found, models, now, since_days)
+
+
 class Unavailable(Exception):
     """An answer with a status other than success."""
 
