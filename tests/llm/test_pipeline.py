@@ -19,7 +19,7 @@ def made():
     junk = [(1000 + i, " ".join(f"{rng.choice('abc')}$$$ ###" for _ in range(60))) for i in range(60)]
     items = [(k, prose("en", 40)) for k in range(3)]
     dirty = [(2000 + k, prose("en", 10) + " " + items[k % 3][1] + " " + prose("en", 10)) for k in range(6)]
-    copies = [(3000 + i, docs[i][1].upper() if i % 2 else docs[i][1] + " end") for i in range(0, 40)]
+    copies = [(3000 + i, "".join(c.upper() if c.isascii() else c for c in docs[i][1]) if i % 2 else docs[i][1] + " end") for i in range(0, 40)]
     odd = [(4000, None), (4001, ""), (4002, "  \n"), (4003, "12 34 !!"), (5, docs[5][1]), (5, docs[5][1]), (None, prose("en")), (4004, prose("en", 30000))]
     rows = docs + junk + dirty + copies + odd
     rng.shuffle(rows)
