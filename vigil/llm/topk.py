@@ -8,7 +8,8 @@ is out. Reading goes deeper until few are left, whose final scores are then reso
 were read needs nothing more. Many queries read together: the bounds of a block of queries over a block of candidates
 are two matrix products of what has been read.
 
-Queries come in blocks of bounded size, one broadcast each; candidates stay where they are, each task keeps k a query, and
+Queries are laid out as a table of blocks, candidates as one of chunks, both of bounded size; every block meets every chunk of vectors of
+its length, spread over as many tasks as there are salts, nothing of them passes the driver, each meeting leaves k a query, and
 a window over those makes the result. Products are exact: sums that 32-bit floats hold without rounding use them, larger
 ones 64-bit floats or integers, and what no 64-bit integer holds is an error.
 
@@ -25,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries broadcast at once; queries and candidates whose bounds are held at once.
-QUERIES, SOME_QUERIES, SOME_ROWS = 8192, 512, 2048
+from .common import released, stored
+
+#: Queries of a block and candidates of a chunk, whose bounds are held at once.
+SOME_QUERIES, SOME_ROWS = 512, 8192
 #: How deep the rounds read, as shares of the lists; what is left unread at most before the scores are resolved.
-DEPTHS, FEW = (0.5, 0.8, 1.0), 0.01
+DEPTHS, FEW = (0.1, 0.3, 0.6, 1.0), 0.01
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -57,8 +60,8 @@ def exact_type(queries: np.ndarray, rows: np.ndarray):
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
-def block_top(queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of all that can be among the k best of the rows for each query and reach its least score."""
+def block_top(queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray, read_entries: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of all that can be among the k best of the rows for each query and reach its least score. read_entries: gets the number of entries of the lists that all queries read."""
     kind = exact_type(queries, rows)
     q, v = queries.astype(kind), np.ascontiguousarray(rows.T.astype(kind))
     d, n = v.shape
@@ -67,8 +70,11 @@ def block_top(queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray)
     low, high = lists[:, :1], lists[:, -1:]
     left = np.arange(len(q))
     found = []
+    before, entries = 0, 0
     for depth in DEPTHS:
         read = min(n, max(1, int(np.ceil(depth * n))))
+        entries += len(left) * d * (read - before)
+        before = read
         top, bottom = lists[:, n - read, None], lists[:, read - 1, None]
         upper = signed[left] @ np.concatenate([np.maximum(v, top), np.minimum(v, bottom)])
         if read == n:
@@ -92,6 +98,8 @@ def block_top(queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray)
         left = left[~done]
         if not len(left):
             break
+    if read_entries is not None:
+        read_entries.append(entries)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -119,51 +127,68 @@ class Best:
         self.size[touched] = np.minimum(np.bincount(np.searchsorted(touched, q), minlength=len(touched)), self.k)
 
 
-def _searcher(shared, k: int, scale: float):
-    def search(batches):
-        groups = shared.value  # (numbers, ids, matrix) of the queries of each length
-        best = {g: Best(len(groups[g][0]), k) for g in groups}
+def _blocked(size: int, scale: float):
+    """From id and v to rows of up to so many vectors of one length: d, ids, matrix (quantised doubles) and a number."""
+
+    def blocked(batches):
+        held: dict[int, list] = {}
+        made = 0
+
+        def out(d):
+            nonlocal made
+            ids, matrix = (np.concatenate(x) for x in zip(*held.pop(d), strict=True))
+            for at in range(0, len(ids), size):
+                yield pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int64()), "ids": pa.array([ids[at : at + size].tobytes()], pa.binary()), "matrix": pa.array([matrix[at : at + size].tobytes()], pa.binary()), "made": pa.array([made], pa.int64())})
+                made += 1
+
         for batch in batches:
-            for at in range(0, batch.num_rows, SOME_ROWS):
-                part = batch.slice(at, SOME_ROWS)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
                 ids = part.column("id").to_numpy()
                 for rows, matrix in quantised(part.column("v"), scale):
-                    if (g := matrix.shape[1]) not in groups:
-                        continue
-                    _, own, queries = groups[g]
-                    repeats = int(np.unique(ids[rows], return_counts=True)[1].max())  # so many rows of a query's own id may be among the best
-                    for some in range(0, len(own), SOME_QUERIES):
-                        mine = np.arange(some, min(some + SOME_QUERIES, len(own)))
-                        a, b, score = block_top(queries[mine], matrix, k + repeats, best[g].least(mine))
-                        other = own[mine[a]] != ids[rows[b]]
-                        best[g].add(mine[a[other]], ids[rows[b[other]]], score[other])
-        for g, (numbers, own, _) in groups.items():
-            kept = np.arange(k) < best[g].size[:, None]
-            q = np.repeat(np.arange(len(own)), best[g].size)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), pa.array(own[q]), pa.array(best[g].id[kept]), pa.array(best[g].score[kept])], ["q", "query_id", "vec_id", "score"])
-
-    return search
+                    d = matrix.shape[1]
+                    held.setdefault(d, []).append((ids[rows], matrix))
+                    if sum(len(x) for x, _ in held[d]) >= size:
+                        yield from out(d)
+        for d in list(held):
+            yield from out(d)
+
+    return blocked
+
+
+def _meet(k: int):
+    """From a block of queries and a chunk of candidates to the k best of each query."""
+
+    def meet(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                own, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                queries, rows = np.frombuffer(r["q_matrix"]).reshape(len(own), r["d"]), np.frombuffer(r["matrix"]).reshape(len(ids), r["d"])
+                repeats = int(np.unique(ids, return_counts=True)[1].max())  # so many rows of a query's own id may be among the best
+                best = Best(len(own), k)
+                a, b, score = block_top(queries, rows, k + repeats, np.full(len(own), -np.inf))
+                other = own[a] != ids[b]
+                best.add(a[other], ids[b[other]], score[other])
+                kept = np.arange(k) < best.size[:, None]
+                q = np.repeat(np.arange(len(own)), best.size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), r["block"])), pa.array(q), pa.array(own[q]), pa.array(best.id[kept]), pa.array(best.score[kept])], ["block", "q", "query_id", "vec_id", "score"])
+
+    return meet
 
 
 def search(queries: DataFrame, candidates: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query, by the inner product of floor(scale * x)."""
-    spark = candidates.sparkSession
-    asked, rows = usable(queries, id_col, vector_col), usable(candidates, id_col, vector_col)
-    blocks = max(1, -(-asked.count() // QUERIES))
-    parts = []
-    for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()  # a block's queries: some QUERIES rows
-        ids, groups = mine.column("id").to_numpy(), {}
-        if len(ids):
-            for at, matrix in quantised(mine.column("v").combine_chunks(), scale):
-                groups[matrix.shape[1]] = (at.astype(np.int64), ids[at], matrix)
-        found = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(groups), k, scale), "q long, query_id long, vec_id long, score long")
-        parts.append(found.withColumn("block", F.lit(block)))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
+    salts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    form = "d long, ids binary, matrix binary, made long"
+    number = F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("made")
+    # stored: a block's number must stay the same however often its task runs
+    asked = stored(usable(queries, id_col, vector_col).mapInArrow(released(_blocked(SOME_QUERIES, scale)), form).withColumn("block", number), "topk-queries")
+    chunks = usable(candidates, id_col, vector_col).mapInArrow(released(_blocked(SOME_ROWS, scale)), form).withColumn("salt", F.pmod(F.xxhash64(number), F.lit(salts)))
+    every = asked.select("block", "d", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).alias("salt"))
+    met = chunks.drop("made").join(every.hint("merge"), ["d", "salt"])
+    found = met.mapInArrow(released(_meet(k)), "block long, q long, query_id long, vec_id long, score long")
     order = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def twentieth(vectors: DataFrame) -> DataFrame:
