@@ -63,3 +63,13 @@ def test_removal(spark):
     assert cut == {1: "keep This. End", 2: None, 3: ""}
     left = D.remove_documents(docs, bench)
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+
+
+def test_stages_survive_any_column_name(spark):
+    rows = [(1, "x y b c d", "h", "s", "p"), (2, None, None, None, None), (None, "b c", "h", "s", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `__hash` string, `__spans` string, `__parts` string").withColumnsRenamed({}).selectExpr("*", "1 as `__id`", "2 as id", "3 as spans", "4 as `a.b`", "'t' as tail")
+    bench = spark.createDataFrame([(5, "b c")], "item_id long, text string")
+    left = D.remove_documents(df, bench)
+    assert left.columns == df.columns and [r.doc_id for r in left.collect()] == [2]
+    cut = D.remove_spans(df, bench)
+    assert cut.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in cut.collect() if r.text is not None) == [(0, ""), (1, "x y d")]
