@@ -148,6 +148,23 @@ def as_of_any_source(spark, d):
     return intervals.as_of(e.where("event_type = 'purchase'").select("event_id", "ts"), v, [], "ts", "at", ["value"]).select("event_id", "value")
 
 
+@query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
+SELECT p.event_id, p.user_id, v.value AS value, epoch_us(v.ts) AS seen_us FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts <= v.ts""")
+def next_sample(spark, d):
+    e = table(spark, d, "events")
+    v = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("at"), "value", micros("ts").alias("seen_us"))
+    return intervals.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), v, ["user_id"], "ts", "at", ["value", "seen_us"], forward=True).select("event_id", "user_id", "value", "seen_us")
+
+
+@query("""WITH p AS (SELECT event_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT date_trunc('hour', ts) AS h, arg_min(event_id, event_id) AS first_id FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT p.event_id, v.first_id FROM p ASOF LEFT JOIN v ON p.ts >= v.h""")
+def as_of_first_arrival(spark, d):
+    """Views by the hour tie; the one that arrived first counts, although others have smaller values."""
+    e = table(spark, d, "events")
+    v = e.where("event_type = 'view'").select(F.date_trunc("hour", "ts").alias("at"), F.col("event_id").alias("first_id"), "value", F.col("event_id").alias("ingest_seq"))
+    return intervals.as_of(e.where("event_type = 'purchase'").select("event_id", "ts"), v, [], "ts", "at", ["value", "first_id"], arrival=["ingest_seq"]).select("event_id", "first_id")
+
+
 @query("""WITH e AS (SELECT event_id, user_id, ts AS s, ts + INTERVAL 2 HOUR AS e FROM events WHERE event_type = 'error')
 SELECT a.event_id, count(b.event_id) AS n FROM e a LEFT JOIN e b ON b.s <= a.e AND b.e >= a.s AND a.user_id IS DISTINCT FROM b.user_id GROUP BY 1""")
 def overlapping(spark, d):

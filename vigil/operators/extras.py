@@ -124,12 +124,18 @@ def uncounted(versions: DataFrame, measured: DataFrame, keys: list[str]) -> Data
 
 
 def saving(df: DataFrame, changes: DataFrame, key: str, ts: str, value: str, changed: str, hours: int = 48) -> DataFrame:
-    """key, before, after of each change: the mean value in so many hours on each side of it."""
-    c, d = changes.alias("c"), df.alias("d")
-    span = F.expr(f"INTERVAL {hours} HOURS")
-    near = c.join(d, (F.col(f"c.{key}") == F.col(f"d.{key}")) & (F.col(f"d.{ts}") >= F.col(f"c.{changed}") - span) & (F.col(f"d.{ts}") <= F.col(f"c.{changed}") + span), "left")
-    early = F.col(f"d.{ts}") < F.col(f"c.{changed}")
-    return near.groupBy(F.col(f"c.{key}").alias(key), F.col(f"c.{changed}").alias(changed)).agg(F.avg(F.when(early, F.col(f"d.{value}"))).alias("before"), F.avg(F.when(~early, F.col(f"d.{value}"))).alias("after"))
+    """key, changed, before, after of each change: the mean value in so many hours on each side of it, the change's moment counted after. Differences of running totals and counts at the
+    ends, no pairs; values are summed to nine places. A change without key or time has no means."""
+    from vigil.operators.intervals import running_totals
+
+    span = hours * 3_600_000_000
+    points = df.where(F.col(value).isNotNull()).select(key, micros(ts).alias("at"), F.lit(1).alias("ord"), F.col(value).alias("total"), F.lit(1).alias("n"))
+    known = changes.select(key, changed).distinct()
+    edge = lambda at, order, before, after: F.struct((micros(changed) + at).alias("at"), F.lit(order).alias("ord"), F.lit(before).alias("before"), F.lit(after).alias("after"))
+    asked = known.select(key, changed, F.explode(F.array(edge(-span, 0, -1, 0), edge(0, 0, 1, -1), edge(span, 2, 0, 1))).alias("e")).select(key, changed, "e.*")
+    done = running_totals(points.where(F.col(key).isNotNull()), asked, [key], ["total", "n"], kind="decimal(28,9)")
+    mean = lambda side: F.sum(F.col(side) * F.col("total")).cast("double") / F.nullif(F.sum(F.col(side) * F.col("n")).cast("double"), F.lit(0.0))
+    return done.groupBy(key, changed).agg(mean("before").alias("before"), mean("after").alias("after"))
 
 
 def collisions(refreshes: DataFrame, bin_seconds: int = 3600) -> DataFrame:

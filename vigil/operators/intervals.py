@@ -1,6 +1,6 @@
-"""Joins over time: sums over intervals, the last value as of a time, overlapping intervals, points in windows.
+"""Joins over time: sums over intervals, the last or next value as of a time, overlapping intervals, points in windows.
 
-None of the first three makes pairs. What holds up to a time is a running total: points and questions are put in one order by key and
+Only the list of a window's points (`in_windows`) is pairs. What holds up to a time is a running total: points and questions are put in one order by key and
 time, within bins of time, and each bin begins with the totals of the bins before. So the work is linear in both
 sides, a hot key is as many tasks as it has bins, and what is in one order is bins, not rows.
 """
@@ -21,26 +21,29 @@ def within(events_ts: Column, start: Column, end: Column, before: str = "0 secon
     return (events_ts >= start - F.expr(f"INTERVAL {before}")) & (events_ts <= end + F.expr(f"INTERVAL {after}"))
 
 
-def running_totals(points: DataFrame, asked: DataFrame, by: list[str], values: list[str], bin_seconds: int = BIN_SECONDS) -> DataFrame:
+def running_totals(points: DataFrame, asked: DataFrame, by: list[str], values: list[str], bin_seconds: int = BIN_SECONDS, kind: str = "bigint") -> DataFrame:
     """asked with the total of each value over the points of its `by` before it.
 
-    points: by, at (microseconds), ord, values (whole numbers, null counts as 0). asked: by, at, ord, and anything else. A point is
-    before a question if (at, ord) is smaller. Null keys are a key; a null time is before nothing and has nothing before it.
+    points: by, at (microseconds), ord, values (of `kind`, whole numbers or decimals, so that sums are exact; null counts as 0). asked: by, at, ord, and anything
+    else. A point is before a question if (at, ord) is smaller. Null keys are a key; a null time is before nothing and has nothing before it, and is set aside.
     """
     width = bin_seconds * 1_000_000
     named = [f"__sum_{v}" for v in values]
-    p = points.where(F.col("at").isNotNull()).select(*by, "at", "ord", *(F.coalesce(v, F.lit(0)).cast("bigint").alias(n) for v, n in zip(values, named, strict=True)), F.lit(None).cast(asked.select(F.struct("*").alias("r")).schema["r"].dataType).alias("__row"))
-    q = asked.select(*by, "at", "ord", *(F.lit(0).cast("bigint").alias(n) for n in named), F.struct("*").alias("__row"))
+    row = asked.select(F.struct("*").alias("r")).schema["r"].dataType
+    zero = F.lit(0).cast(kind)
+    p = points.where(F.col("at").isNotNull()).select(*by, "at", "ord", *(F.coalesce(F.col(v).cast(kind), zero).alias(n) for v, n in zip(values, named, strict=True)), F.lit(None).cast(row).alias("__row"))
+    q = asked.where(F.col("at").isNotNull()).select(*by, "at", "ord", *(zero.alias(n) for n in named), F.struct("*").alias("__row"))
     slot = F.floor(F.col("at") / width).alias("__bin")
     whole = p.unionByName(q).withColumn("__bin", slot)
     # a row a key and bin: what all bins before it hold
     bins = whole.groupBy(*by, "__bin").agg(*(F.sum(n).alias(n) for n in named))
     earlier = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = bins.select(*by, "__bin", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in named))
-    first = carried.select(*by, "__bin", F.lit(None).cast("bigint").alias("at"), F.lit(-1).alias("ord"), *named, F.lit(None).cast(q.schema["__row"].dataType).alias("__row"))
-    within = Window.partitionBy(*by, "__bin").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, 0)  # a null time comes first
-    done = whole.unionByName(first).select("at", "__row", *(F.sum(n).over(within).alias(n) for n in named)).where(F.col("__row").isNotNull())
-    return done.select("__row.*", *(F.when(F.col("at").isNotNull(), F.col(n)).otherwise(0).alias(v) for v, n in zip(values, named, strict=True)))
+    carried = bins.select(*by, "__bin", *(F.coalesce(F.sum(n).over(earlier), zero).alias(n) for n in named))
+    first = carried.select(*by, "__bin", F.lit(None).cast("bigint").alias("at"), F.lit(-1).alias("ord"), *named, F.lit(None).cast(row).alias("__row"))
+    within = Window.partitionBy(*by, "__bin").orderBy("at", "ord").rowsBetween(Window.unboundedPreceding, 0)  # a bin's first row has no time
+    done = whole.unionByName(first).select("__row", *(F.sum(n).over(within).alias(n) for n in named)).where(F.col("__row").isNotNull())
+    apart = asked.where(F.col("at").isNull())
+    return done.select("__row.*", *(F.col(n).alias(v) for v, n in zip(values, named, strict=True))).unionByName(apart.select("*", *(zero.alias(v) for v in values)))
 
 
 def interval_totals(points: DataFrame, intervals: DataFrame, by: list[str], ts: str, start: str, end: str, values: list[str], bin_seconds: int = BIN_SECONDS) -> DataFrame:
@@ -56,22 +59,31 @@ def interval_totals(points: DataFrame, intervals: DataFrame, by: list[str], ts:
     return done.groupBy("__i").agg(*(F.sum(F.col("sign") * F.col(v)).alias(v) for v in values)).select("__i.*", *values)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
-    """left with the values of the newest right row of the same `by` at or before its time, null where there is none; of equal times the smallest values. Null keys are a key; `by` may be empty."""
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], forward: bool = False, arrival: list[str] | None = None, bin_seconds: int = BIN_SECONDS) -> DataFrame:
+    """left with the values of the newest right row of the same `by` at or before its time, null where there is none. Null keys are a key; `by` may be empty.
+
+    forward: the first row at or after its time instead. Of equal times the row that arrived first, by the columns `arrival`; without those, and of equal
+    arrivals, the smallest values. A null time has no values, and is set aside.
+    """
+    sign, width = (-1 if forward else 1), bin_seconds * 1_000_000  # looking forward is looking back in time that runs the other way
+    at, slot = lambda ts: (sign * micros(ts)).alias("__at"), F.floor(F.col("__at") / width).alias("__bin")
     keep = F.struct(*(F.col(f"`{v}`").alias(v) for v in values))
-    known = right.where(F.col(right_ts).isNotNull()).select(*by, F.col(right_ts).alias("__ts"), keep.alias("__value")).groupBy(*by, "__ts").agg(F.min("__value").alias("__value"))
-    known = known.withColumn("__day", F.to_date("__ts"))
-    a = left.select(*by, F.col(left_ts).alias("__ts"), F.to_date(left_ts).alias("__day"), F.lit(2).alias("__side"), F.lit(None).cast(known.schema["__value"].dataType).alias("__value"), F.struct("*").alias("__row"))
+    one = F.min(F.struct(*(F.col(f"__a{i}") for i in range(len(arrival or []))), "__value"))["__value"].alias("__value")
+    known = right.where(F.col(right_ts).isNotNull()).select(*by, at(right_ts), keep.alias("__value"), *(F.col(c).alias(f"__a{i}") for i, c in enumerate(arrival or []))).groupBy(*by, "__at").agg(one)
+    known = known.select("*", slot)
+    kind = known.schema["__value"].dataType
+    rows = left.select(*by, at(left_ts), F.struct("*").alias("__row"))
+    a = rows.where("__at is not null").select(*by, "__at", slot, F.lit(2).alias("__side"), F.lit(None).cast(kind).alias("__value"), "__row")
     none = F.lit(None).cast(a.schema["__row"].dataType).alias("__row")
-    b = known.select(*by, "__ts", "__day", F.lit(1).alias("__side"), "__value", none)
-    # a row a key and day: the last value before the day
-    days = known.groupBy(*by, "__day").agg(F.max_by("__value", "__ts").alias("__last")).unionByName(a.select(*by, "__day").distinct(), allowMissingColumns=True).groupBy(*by, "__day").agg(F.first("__last", ignorenulls=True).alias("__last"))
-    before = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = days.select(*by, F.lit(None).cast(a.schema["__ts"].dataType).alias("__ts"), "__day", F.lit(0).alias("__side"), F.last("__last", ignorenulls=True).over(before).alias("__value"), none)
-    over = Window.partitionBy(*by, "__day").orderBy(F.asc_nulls_first("__ts"), "__side").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).unionByName(seeds).withColumn("__seen", F.last("__value", ignorenulls=True).over(over)).where("__side = 2")
-    found = F.when(F.col("__ts").isNotNull(), F.col("__seen"))
-    return seen.select("__row.*", *(found[v].alias(f"as_of_{v}" if v in left.columns else v) for v in values))
+    b = known.select(*by, "__at", "__bin", F.lit(1).alias("__side"), "__value", none)
+    # a row a key and bin: the last value before the bin
+    bins = known.groupBy(*by, "__bin").agg(F.max_by("__value", "__at").alias("__last")).unionByName(a.select(*by, "__bin").distinct(), allowMissingColumns=True).groupBy(*by, "__bin").agg(F.first("__last", ignorenulls=True).alias("__last"))
+    before = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = bins.select(*by, F.lit(None).cast("bigint").alias("__at"), "__bin", F.lit(0).alias("__side"), F.last("__last", ignorenulls=True).over(before).alias("__value"), none)
+    over = Window.partitionBy(*by, "__bin").orderBy(F.asc_nulls_first("__at"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    seen = a.unionByName(b).unionByName(seeds).withColumn("__seen", F.last("__value", ignorenulls=True).over(over)).where("__side = 2").select("__row", "__seen")
+    seen = seen.unionByName(rows.where("__at is null").select("__row", F.lit(None).cast(kind).alias("__seen")))
+    return seen.select("__row.*", *(F.col("__seen")[v].alias(f"as_of_{v}" if v in left.columns else v) for v in values))
 
 
 def overlap_counts(intervals: DataFrame, others: DataFrame, id_col: str, start: str = "start", end: str = "end", item: str = "item", bin_seconds: int = 3600) -> DataFrame:
@@ -90,6 +102,41 @@ def overlap_counts(intervals: DataFrame, others: DataFrame, id_col: str, start:
     return intervals.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def swept(points: DataFrame, windows: DataFrame, by: str, ts: str, start: str, end: Column, bin_seconds: int = BIN_SECONDS) -> DataFrame:
+    """What points and windows of one key make of each other, without pairs: one row a point and two rows a window, from one pass over both.
+
+    side, point, window (the rows), open, seen, next. side 0, a point: `open` windows hold it. Side 1, a window's start, and side 2, its end: `seen` points lie before the one and by the other,
+    so the difference is how many it holds; `next` (at side 1) is the time of the first point at or after the start. A point without key or time is in no window; a window without a key or
+    start, or that ends before it starts, holds none: both are rows with nulls. A window's start is a step up under running totals and its end a step down, both ends in.
+    """
+    width = bin_seconds * 1_000_000
+    p = points.select(F.col(by).alias("__by"), micros(ts).alias("at"), F.lit(0).alias("side"), F.struct("*").alias("point"))
+    w = windows.select(F.col(by).alias("__by"), micros(start).alias("a"), micros(end).alias("b"), F.struct("*").alias("window"))
+    w = w.withColumn("__by", F.when(F.col("a") <= F.col("b"), F.col("__by")))
+    edges = F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("side")), F.struct(F.col("b").alias("at"), F.lit(2).alias("side")))
+    rows = p.unionByName(w.select("__by", F.explode(edges).alias("e"), "window").select("__by", "e.*", "window"), allowMissingColumns=True)
+    apart = F.col("__by").isNull() | F.col("at").isNull()
+    # Of equal times: starts, then points, then ends. Keys that can't be null and a row in one array keep filters and column pruning above the exchange, so that both uses below read the same one
+    event = F.struct("at", "side", F.element_at(F.array(F.lit(1), F.lit(0), F.lit(2)), F.col("side") + 1).alias("ord"), "point", "window")
+    key = F.struct(F.when(~apart, F.col("__by")).alias("k"), F.when(apart, F.xxhash64(F.to_json(event))).alias("deal"))
+    held = rows.select(key.alias("__by"), F.coalesce(F.when(~apart, F.floor(F.col("at") / width)), F.lit(0)).alias("__bin"), F.array(event).alias("__e")).repartition("__by", "__bin")
+    e = F.element_at("__e", 1)
+    one = lambda side: F.when(e["side"] == side, 1).otherwise(0)
+    bins = held.groupBy("__by", "__bin").agg(F.sum(one(1) - one(2)).alias("open"), F.sum(one(0)).alias("seen"), F.min(F.when(e["side"] == 0, e["at"])).alias("next"))
+    order = Window.partitionBy("__by").orderBy("__bin")
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    carried = bins.select(F.col("__by").alias("__k"), F.col("__bin").alias("__b"), F.coalesce(F.sum("open").over(earlier), F.lit(0)).alias("c_open"), F.coalesce(F.sum("seen").over(earlier), F.lit(0)).alias("c_seen"), F.min("next").over(later).alias("c_next"))
+    inside = Window.partitionBy("__by", "__bin").orderBy(e["at"], e["ord"])
+    sums, rest = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    totals = held.select("__by", "__bin", "__e", F.sum(one(1) - one(2)).over(sums).alias("open"), F.sum(one(0)).over(sums).alias("seen"), F.min(F.when(e["side"] == 0, e["at"])).over(rest).alias("next"))
+    done = totals.join(carried, (F.col("__by") == F.col("__k")) & (F.col("__bin") == F.col("__b")), "left")
+    known = F.col("__by")["deal"].isNull()
+    return done.select(
+        e["side"].alias("side"), e["point"].alias("point"), e["window"].alias("window"), F.when(known, F.col("open") + F.col("c_open")).otherwise(0).alias("open"), F.when(known, F.col("seen") + F.col("c_seen")).otherwise(0).alias("seen"),
+        F.timestamp_micros(F.when(known & (e["side"] == 1), F.coalesce("next", "c_next"))).alias("next"),
+    )
+
+
 def in_windows(points: DataFrame, windows: DataFrame, item: str, ts: str, start: str, end: str, now: Column) -> DataFrame:
     """The pairs of a window and a point of its item at start <= ts <= end; a window without end is open until now."""
     w, p = windows.alias("w"), points.alias("p")
