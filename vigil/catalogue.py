@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import as_utc, basename, micros, narrowed, parent, rounded, short_name, weekday, widened
-from vigil.operators import extras, intervals, latest, profile, versions
+from vigil.operators import extras, intervals, latest, order, profile, versions
 from vigil.plans import claims, evidence, freshness, incidents, scoring, silent_delivery
 from vigil.sources import store, wire
 
@@ -319,11 +319,11 @@ def islands(spark, d):
     return extras.island_spans(e, ["user_id"], "ts", "6 HOURS").select("user_id", F.col("island").cast("bigint").alias("island"), micros("first").alias("first_us"), micros("last").alias("last_us"), "n")
 
 
-@query("""WITH a AS (SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-16 00:00:00') - count(*) FILTER (ts < TIMESTAMP '2024-01-15 00:00:00') AS change FROM events GROUP BY 1), t AS (SELECT sum(change) AS total, sum(abs(change)) AS moved, min(change) < 0 AND max(change) > 0 AS mixed FROM a)
+@query("""WITH a AS (SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-16 00:00:00') - count(*) FILTER (ts < TIMESTAMP '2024-01-16 00:00:00') AS change FROM events GROUP BY 1), t AS (SELECT sum(change) AS total, sum(abs(change)) AS moved, min(change) < 0 AND max(change) > 0 AS mixed FROM a)
 SELECT event_type, change::DOUBLE AS change, round(CASE WHEN mixed THEN abs(change) / moved::DOUBLE ELSE change / nullif(total, 0)::DOUBLE END, 9) AS share, mixed FROM a, t""")
 def contributions(spark, d):
     e = table(spark, d, "events").select("event_type", "ts", F.lit(1.0).alias("one"))
-    out = extras.contributions(e.where("ts >= '2024-01-16 00:00:00'"), e.where("ts < '2024-01-15 00:00:00'"), "event_type", "one")
+    out = extras.contributions(e.where("ts >= '2024-01-16 00:00:00'"), e.where("ts < '2024-01-16 00:00:00'"), "event_type", "one")
     return out.withColumn("share", F.round("share", 9))
 
 
@@ -476,6 +476,76 @@ def fault_table(spark, d):
     return scoring.table(errors(spark, d), faults(spark, d), now(spark, d))
 
 
+@query(f"""WITH {_COMMITS}, p AS (SELECT table_name, quantile_cont(rows_added, 0.5) AS half, quantile_cont(rows_added, 0.9) AS most, quantile_cont(rows_added, 0.0) AS least FROM commits WHERE rows_added > 0 GROUP BY 1) SELECT table_name, round(half, 6) AS half, round(most, 6) AS most, round(least, 6) AS least FROM p""")
+def delivery_quantiles(spark, d):
+    out = order.quantiles(commits(spark, d), ["table_name"], F.when(F.col("rows_added") > 0, F.col("rows_added")), {"half": 0.5, "most": 0.9, "least": 0.0})
+    return out.select("table_name", *(F.round(c, 6).alias(c) for c in ("half", "most", "least")))
+
+
+@query(ORACLES["pipeline_baseline"])
+def pipeline_baseline_spread(spark, d):
+    return evidence.pipeline_baseline(runs(spark, d), spread=True)
+
+
+@query(ORACLES["table_baseline"])
+def table_baseline_spread(spark, d):
+    return evidence.table_baseline(commits(spark, d), spread=True).withColumn("last_us", micros("last_delivery")).drop("last_delivery")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) - 1 AS place_of_status FROM orders")
+def places(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    whole = order.running(o, ["o_totalprice", "o_orderkey"]).select("o_orderkey", F.col("before").alias("place"))
+    return whole.join(order.running(o, ["o_totalprice", "o_orderkey"], ["o_orderstatus"]).select("o_orderkey", F.col("before").alias("place_of_status")), "o_orderkey")
+
+
+@query("SELECT event_id, ts_us FROM (SELECT event_id, epoch_us(ts) AS ts_us, ts FROM events WHERE event_type = 'error' ORDER BY ts LIMIT 1)")
+def earliest_by(spark, d):
+    return profile.earliest(table(spark, d, "events").where("event_type = 'error'").select("event_id", "ts"), "ts").select("event_id", micros("ts").alias("ts_us"))
+
+
+_DRILL = """WITH e AS (SELECT event_type AS a, user_id % 5 AS b, CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' THEN value ELSE -value END AS v FROM events), l1 AS (SELECT a, sum(v) AS c FROM e GROUP BY 1),
+t1 AS (SELECT *, sum(c) OVER () AS total, sum(abs(c)) OVER () AS moved, min(c) OVER () < 0 AND max(c) OVER () > 0 AS mixed FROM l1), s1 AS (SELECT *, CASE WHEN mixed THEN abs(c) / moved ELSE c / total END AS share FROM t1 ORDER BY share DESC, a LIMIT 1),
+l2 AS (SELECT b, sum(v) AS c FROM e WHERE a = (SELECT a FROM s1) AND (SELECT share FROM s1) >= {0} GROUP BY 1), t2 AS (SELECT *, sum(c) OVER () AS total, sum(abs(c)) OVER () AS moved, min(c) OVER () < 0 AND max(c) OVER () > 0 AS mixed FROM l2),
+s2 AS (SELECT *, CASE WHEN mixed THEN abs(c) / moved ELSE c / total END AS share FROM t2 ORDER BY share DESC, b LIMIT 1)
+SELECT 1 AS level, 'event_type' AS dimension, a AS segment, round(c, 3) AS change, round(share, 6) AS share, mixed, NULL::DOUBLE AS expected FROM s1
+UNION ALL SELECT 2, 'part', CAST(b AS VARCHAR), round(c, 3), round(share, 6), mixed, round((SELECT c FROM s1) * (SELECT sum(v) FROM e WHERE e.b = s2.b) / (SELECT total FROM s1), 3) FROM s2"""
+
+
+def drilled(spark, d, enough):
+    e = table(spark, d, "events").select("event_type", (F.col("user_id") % 5).alias("part"), "value", "ts")
+    later = F.col("ts") >= "2024-01-16 00:00:00"
+    out = extras.drill_path(e.where(later), e.where(~later), ["event_type", "part"], "value", enough, ["event_type", "part"])
+    return out.select("level", "dimension", "segment", F.round("change", 3).alias("change"), F.round("share", 6).alias("share"), "mixed", F.round("expected", 3).alias("expected"))
+
+
+@query(_DRILL.format("0.1"))
+def drill_two_levels(spark, d):
+    return drilled(spark, d, 0.1)
+
+
+@query(_DRILL.format("0.99"))
+def drill_that_stops(spark, d):
+    return drilled(spark, d, 0.99)
+
+
+@query(ORACLES["bloat"])
+def bloat_by_sketches(spark, d):
+    """From a sketch a month and column, not from rows."""
+    p = profile.sketched_cardinalities(profile.column_sketches(months(spark, d), ["t", "v"], ["l_partkey"]))
+    return extras.bloated(p.select("t", "v", F.col("distinct_values").alias("n"), F.col("rows").alias("size")), "t", "v", "n", also={"size": 1.5})
+
+
+@query(f"WITH {_MONTHS} SELECT CAST(v // 12 AS INTEGER) AS year, count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linenumber) AS numbers, count(*) AS size FROM m GROUP BY 1")
+def yearly_profile_of_sketches(spark, d):
+    """Months' sketches merged to years."""
+    m = profile.column_sketches(months(spark, d), ["v"], ["l_returnflag", "l_linenumber"])
+    years = profile.merged_sketches(m.withColumn("year", F.floor(F.col("v") / 12).cast("int")), ["year"])
+    n = profile.sketched_cardinalities(years)
+    of = lambda c: F.max(F.when(F.col("column") == c, F.col("distinct_values")))
+    return n.groupBy("year").agg(of("l_returnflag").alias("flags"), of("l_linenumber").alias("numbers"), F.max("rows").alias("size"))
+
+
 # ---- normalised interfaces: events as what the platform's interfaces answer ----
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import micros
+from vigil.sources.shared import written
 
 
 def contributions(current: DataFrame, baseline: DataFrame, dim: str, value: str) -> DataFrame:
@@ -28,21 +29,56 @@ def interactions(current: DataFrame, baseline: DataFrame, a: str, b: str, value:
     return out.select(a, b, "change", (F.col("ca") * F.col("cb") / F.nullif(F.col("all"), F.lit(0.0))).alias("expected"))
 
 
-def drill(current: DataFrame, baseline: DataFrame, dims: list[str], value: str, enough: float = 0.7, allowed: list[str] | None = None) -> list[tuple[str, object, float]]:
-    """(dimension, segment, share) of each level: the segment of the largest share, taken apart further until it no longer explains enough, or no dimension is left. A dimension that isn't allowed is an error."""
+def drill_path(current: DataFrame, baseline: DataFrame, dims: list[str], value: str, enough: float = 0.7, allowed: list[str] | None = None) -> DataFrame:
+    """level, dimension, segment, change, share, mixed, expected and the dimensions: of each level the segment of the largest share, taken apart further as long as it explains enough. A dimension that isn't allowed is an error.
+
+    Both periods are grouped once, by the grouping sets of the dimensions so far and of the second alone; each group's largest and smallest change then say which
+    segment is taken, so the path is a walk over one row a group. expected, at the second level: what the two segments would give if they acted apart; a change far from it is their interaction.
+    """
     if allowed is not None and (wrong := [d for d in dims if d not in allowed]):
         raise ValueError(f"not a dimension to take apart by: {', '.join(wrong)}")
-    path = []
-    for dim in dims:
-        top = contributions(current, baseline, dim, value).orderBy(F.desc("share"), dim).first()
-        if top is None or top["share"] is None:
-            break
-        path.append((dim, top[dim], top["share"]))
-        if top["share"] < enough:
-            break
-        same = F.col(dim).eqNullSafe(F.lit(top[dim]))
-        current, baseline = current.where(same), baseline.where(same)
-    return path
+    columns = [f"__d{k}" for k in range(len(dims))]
+    both = current.select(*(F.col(d).alias(c) for d, c in zip(dims, columns, strict=True)), F.col(value).cast("double").alias("v")).unionByName(baseline.select(*(F.col(d).alias(c) for d, c in zip(dims, columns, strict=True)), (-F.col(value)).cast("double").alias("v")))
+    sets = [[F.col(c) for c in columns[: k + 1]] for k in range(len(dims))] + ([[F.col(columns[1])]] if len(dims) > 1 else [])
+    cube = written(both.groupingSets(sets, *columns).agg(F.sum("v").alias("change"), F.grouping_id().alias("g")), "drill")
+    # the bits of grouping_id are the columns that are left out, the first the highest
+    left_out = {k: (1 << (len(dims) - k - 1)) - 1 for k in range(len(dims))}
+    change, path, rows = F.col("change"), None, []
+    for k, c in enumerate(columns):
+        level, parents = cube.where(F.col("g") == left_out[k]), columns[:k]
+        group = level.groupBy(*parents).agg(F.sum(change).alias("total"), F.sum(F.abs(change)).alias("moved"), F.min(F.struct(change.alias("change"), F.col(c).alias("d"))).alias("lo"), F.min(F.struct((-change).alias("change"), F.col(c).alias("d"))).alias("hi"))
+        lo, hi = F.col("lo")["change"], -F.col("hi")["change"]
+        mixed = (lo < 0) & (hi > 0)
+        down = F.when(mixed, (-lo > hi) | ((-lo == hi) & (F.col("lo")["d"] < F.col("hi")["d"]))).otherwise(F.col("total") < 0)
+        taken = F.when(down, lo).otherwise(hi)
+        share = F.when(mixed, F.abs(taken) / F.nullif(F.col("moved"), F.lit(0.0))).otherwise(taken / F.nullif(F.col("total"), F.lit(0.0)))
+        top = group.select(*(F.col(x).alias(f"__p{i}") for i, x in enumerate(parents)), F.when(down, F.col("lo")["d"]).otherwise(F.col("hi")["d"]).alias(c), taken.alias("change"), share.alias("share"), mixed.alias("mixed"), F.col("total"))
+        if path is None:
+            path = top
+        else:
+            before = path.where(F.col("share") >= enough).select(*parents, F.col("change").alias("before"), F.col("total").alias("all"))
+            same = F.lit(True)
+            for i, x in enumerate(parents):
+                same = same & F.col(f"__p{i}").eqNullSafe(F.col(x))
+            path = before.join(top, same).drop(*(f"__p{i}" for i in range(len(parents))))
+        path = path.where(F.col("share").isNotNull())
+        expected = F.lit(None).cast("double")
+        if k == 1:
+            alone = cube.where(F.col("g") == sum(1 << (len(dims) - j - 1) for j in range(len(dims)) if j != 1)).select(F.col(c).alias("__alone"), F.col("change").alias("__of_alone"))
+            path = path.join(alone, F.col(c).eqNullSafe(F.col("__alone"))).withColumn("expected", F.col("before") * F.col("__of_alone") / F.nullif(F.col("all"), F.lit(0.0)))
+            expected = F.col("expected")
+        rows.append(path.select(F.lit(k + 1).alias("level"), F.lit(dims[k]).alias("dimension"), F.col(c).cast("string").alias("segment"), "change", "share", "mixed", expected.alias("expected"), *(F.col(x).alias(d) if i <= k else F.lit(None).cast(cube.schema[x].dataType).alias(d) for i, (d, x) in enumerate(zip(dims, columns, strict=True)))))
+        path = path.select(*columns[: k + 1], "change", "share", F.col("total") if k == 0 else F.col("all").alias("total"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def drill(current: DataFrame, baseline: DataFrame, dims: list[str], value: str, enough: float = 0.7, allowed: list[str] | None = None) -> list[tuple[str, object, float]]:
+    """(dimension, segment, share) of each level of drill_path()."""
+    rows = sorted(drill_path(current, baseline, dims, value, enough, allowed).collect(), key=lambda r: r["level"])  # a row a dimension at most
+    return [(r["dimension"], r[r["dimension"]], r["share"]) for r in rows]
 
 
 def rolling_baseline(df: DataFrame, key: str, ts: str, value: str, days: int = 30, scheduled: str | None = None) -> DataFrame:

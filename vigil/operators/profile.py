@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.operators.order import every_nth, quantiles  # noqa: F401  every_nth is part of the profile
+
 
 def cardinalities(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """column, distinct_values, share of rows of each column, in one pass, largest first. approximate: with a bounded sketch a column instead of a shuffle of its values."""
@@ -33,19 +35,31 @@ def daily(df: DataFrame, ts: str) -> DataFrame:
 
 
 def before_and_after(df: DataFrame, ts: str, boundary: Column, rows_added: str) -> DataFrame:
-    """period, judged, delivered, none, unknown, typical: the rows on each side of a boundary; the typical delivery is the median's whole part."""
-    period = F.when(F.col(ts) < boundary, "before").otherwise("after")
-    r = F.col(rows_added)
-    return df.groupBy(period.alias("period")).agg(
-        F.count("*").alias("judged"), F.count_if(r > 0).alias("delivered"), F.count_if(r == 0).alias("none"), F.count_if(r.isNull()).alias("unknown"), F.median(F.when(r > 0, r)).cast("bigint").alias("typical"),
-    )
+    """period, judged, delivered, none, unknown, typical: the rows on each side of a boundary; the typical delivery is the median's whole part. Two groups, and neither's values are in one task."""
+    rows = df.select(F.when(F.col(ts) < boundary, "before").otherwise("after").alias("period"), F.col(rows_added).alias("r"))
+    r = F.col("r")
+    counts = rows.groupBy("period").agg(F.count("*").alias("judged"), F.count_if(r > 0).alias("delivered"), F.count_if(r == 0).alias("none"), F.count_if(r.isNull()).alias("unknown"))
+    typical = quantiles(rows, ["period"], F.when(r > 0, r), {"typical": 0.5}).withColumn("typical", F.col("typical").cast("bigint"))
+    return counts.join(F.broadcast(typical), "period", "left")  # two rows
+
+
+def column_sketches(df: DataFrame, keys: list[str], columns: list[str], lg_k: int = 15) -> DataFrame:
+    """keys, column, rows, sketch: of each column of each key (a table's version, say) a sketch of its distinct values, of bounded size (2 ** lg_k cells). Rows of versions that are stored once are not read again."""
+    text = lambda c: F.col(f"`{c}`") if dict(df.dtypes)[c] in ("int", "bigint", "string") else F.col(f"`{c}`").cast("string")
+    wide = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), *(F.hll_sketch_agg(text(c), lg_k).alias(f"__s{i}") for i, c in enumerate(columns)))
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"__s{i}").alias("sketch")) for i, c in enumerate(columns)))
+    return wide.select(*keys, "__rows", F.explode(pairs).alias("p")).select(*keys, "p.column", F.col("__rows").alias("rows"), "p.sketch")
+
 
+def merged_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, column, rows, sketch of fewer keys, by the union of the sketches."""
+    return sketches.groupBy(*keys, "column").agg(F.sum("rows").alias("rows"), F.hll_union_agg("sketch").alias("sketch"))
 
-def every_nth(df: DataFrame, order: str, take: int = 6) -> DataFrame:
-    """Rows spread evenly over an order: each max(1, n // take)-th, `take` at most."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    numbered = df.withColumn("__i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("__n", n)
-    return numbered.where(F.col("__i") % F.greatest(F.lit(1), F.floor(F.col("__n") / take)) == 0).orderBy("__i").limit(take).drop("__i", "__n")
+
+def sketched_cardinalities(sketches: DataFrame) -> DataFrame:
+    """The sketches with distinct_values, an estimate (near exact far below the sketch's cells, within about 1 % beyond), and share of rows, instead of the sketch."""
+    n = F.hll_sketch_estimate("sketch")
+    return sketches.select(*(c for c in sketches.columns if c != "sketch"), n.alias("distinct_values"), (n / F.nullif(F.col("rows"), F.lit(0))).alias("share"))
 
 
 def latest(df: DataFrame, by: str) -> DataFrame:
@@ -53,6 +67,11 @@ def latest(df: DataFrame, by: str) -> DataFrame:
     return df.orderBy(F.desc(by)).limit(1)
 
 
+def earliest(df: DataFrame, by: str) -> DataFrame:
+    """The row of the smallest known `by`."""
+    return df.where(F.col(by).isNotNull()).orderBy(by).limit(1)
+
+
 def not_found(expected: DataFrame, have: DataFrame, key: str, have_key: str) -> DataFrame:
     """The expected rows whose name isn't among the names that there are."""
     return expected.join(have.select(F.col(have_key).alias(key)).distinct(), key, "left_anti")

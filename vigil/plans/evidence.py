@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.scalars import hours_between, iso, micros, not_equal, number, parse_utc, rounded
 from vigil.operators.intervals import as_of, overlap_counts, running_totals
+from vigil.operators.order import quantiles
 
 #: Every key of a pack in order and its type; then what it is, in words of this module.
 FACTS = (
@@ -47,19 +48,30 @@ FACTS = (
 MEASURED = "struct<run_id:string,run_started:string,run_ended:string,run_duration_seconds:double,run_status:string,expected_table:string,rows_delivered:bigint,rows_expected_minimum:bigint>"
 
 
-def pipeline_baseline(runs: DataFrame) -> DataFrame:
-    """item_name, runs_observed, exact median, least and most of the durations, failed_runs (a null status has failed)."""
+def pipeline_baseline(runs: DataFrame, spread: bool = False) -> DataFrame:
+    """item_name, runs_observed, exact median, least and most of the durations, failed_runs (a null status has failed). spread: the medians by places in range partitions, for items with more distinct values than a task should hold."""
     d = number(F.col("duration_seconds").cast("string"))
-    return runs.groupBy("item_name").agg(F.count("*").alias("runs_observed"), F.median(d).alias("duration_median"), F.min(d).alias("duration_min"), F.max(d).alias("duration_max"), F.count_if(not_equal(F.col("status"), "Completed")).alias("failed_runs"))
+    counts = [F.count("*").alias("runs_observed"), F.median(d).alias("duration_median"), F.min(d).alias("duration_min"), F.max(d).alias("duration_max"), F.count_if(not_equal(F.col("status"), "Completed")).alias("failed_runs")]
+    if not spread:
+        return runs.groupBy("item_name").agg(*counts)
+    out = runs.groupBy("item_name").agg(counts[0], *counts[2:])
+    return _joined(out, quantiles(runs, ["item_name"], d, {"duration_median": 0.5}), "item_name").select("item_name", "runs_observed", "duration_median", "duration_min", "duration_max", "failed_runs")
 
 
-def table_baseline(commits: DataFrame) -> DataFrame:
-    """table_name, commits_observed, zero_row_commits, uncounted_commits, typical_delivery_rows (the median's whole part), deliveries_observed, last_delivery."""
+def table_baseline(commits: DataFrame, spread: bool = False) -> DataFrame:
+    """table_name, commits_observed, zero_row_commits, uncounted_commits, typical_delivery_rows (the median's whole part), deliveries_observed, last_delivery. spread: as above."""
     r = F.col("rows_added")
-    return commits.groupBy("table_name").agg(
-        F.count("*").alias("commits_observed"), F.count_if(r == 0).alias("zero_row_commits"), F.count_if(r.isNull()).alias("uncounted_commits"), F.median(F.when(r > 0, r)).cast("bigint").alias("typical_delivery_rows"),
-        F.count_if(r > 0).alias("deliveries_observed"), F.max(F.when(r > 0, F.col("timestamp"))).alias("last_delivery"),
-    )
+    counts = [F.count("*").alias("commits_observed"), F.count_if(r == 0).alias("zero_row_commits"), F.count_if(r.isNull()).alias("uncounted_commits")]
+    rest = [F.count_if(r > 0).alias("deliveries_observed"), F.max(F.when(r > 0, F.col("timestamp"))).alias("last_delivery")]
+    if not spread:
+        return commits.groupBy("table_name").agg(*counts, F.median(F.when(r > 0, r)).cast("bigint").alias("typical_delivery_rows"), *rest)
+    typical = quantiles(commits, ["table_name"], F.when(r > 0, r), {"typical_delivery_rows": 0.5}).withColumn("typical_delivery_rows", F.col("typical_delivery_rows").cast("bigint"))
+    return _joined(commits.groupBy("table_name").agg(*counts, *rest), typical, "table_name").select("table_name", "commits_observed", "zero_row_commits", "uncounted_commits", "typical_delivery_rows", "deliveries_observed", "last_delivery")
+
+
+def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of the right row of the same key, null keys included."""
+    return left.join(right.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
 def facts(incidents: DataFrame, runs: DataFrame, commits: DataFrame, landing: DataFrame | None, now: Column, by_source: dict[str, str] | None = None) -> DataFrame:
