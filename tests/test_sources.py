@@ -150,3 +150,95 @@ def test_detection_never_reads_the_seal():
     for name in ("plans/silent_delivery.py", "plans/freshness.py", "plans/evidence.py", "plans/claims.py", "plans/incidents.py", "operators/latest.py"):
         names = [n.module or "" if isinstance(n, ast.ImportFrom) else " ".join(a.name for a in n.names) for n in ast.walk(ast.parse((root / name).read_text())) if isinstance(n, ast.Import | ast.ImportFrom)]
         assert not any("seal" in n or "faults" in n or "scoring" in n for n in names)
+
+
+def test_landing_of_many_sources_is_one_job(spark, tmp_path):
+    """Present, missing, header only, empty, of odd names, folders of files: one scan counts them all."""
+    (tmp_path / "in").mkdir()
+    want = {}
+    for i in range(60):
+        name = f"f {i}%.csv" if i % 7 == 0 else f"f{i}.csv"
+        if i % 5:
+            (tmp_path / "in" / name).write_text("a,b\n" + "".join(f"{k},{k}\n\n" for k in range(i % 4)) if i % 11 else "")
+        want[str(i)] = (bool(i % 5), (i % 4 if i % 11 else 0) if i % 5 else None)
+    (tmp_path / "in" / "many").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / "many" / f"part-{k}.csv").write_text("a\n1\n2\n")
+    sources = {str(i): f"file://{tmp_path}/in/" + (f"f {i}%.csv" if i % 7 == 0 else f"f{i}.csv") for i in range(60)} | {"many": f"file://{tmp_path}/in/many/", "again": f"file://{tmp_path}/in/many"}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("landing", "x")
+    try:
+        out = landing.collect(spark, sources, T0)
+        assert len(tracker.getJobIdsForGroup("landing")) <= 3  # one query, however many sources: the listing, the scan and what it sums up
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    got = {r.source_name: (r.exists, r.data_rows) for r in out.collect()}
+    assert got == want | {"many": (True, 6), "again": (True, 6)}
+
+
+def test_an_unreadable_file_is_unknown_and_takes_no_other_with_it(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text("a\n1\n")
+    (tmp_path / "bad.csv.gz").write_bytes(b"this is no archive")
+    got = {r.source_name: (r.exists, r.data_rows) for r in landing.collect(spark, {n: f"file://{tmp_path}/{n}" for n in [*(f"{i}.csv" for i in range(5)), "bad.csv.gz"]}, T0).collect()}
+    assert got == {**{f"{i}.csv": (True, 1) for i in range(5)}, "bad.csv.gz": (True, None)}
+
+
+def test_a_stream_by_time_asks_for_what_is_new(spark, tmp_path):
+    """The second run asks for nothing older than the first run's end, and a third without anything new asks for nothing."""
+    log = tmp_path / "calls"
+
+    def fetch(path, token):
+        with open(log, "a") as f:
+            f.write(f"{path} {token}\n")
+        base, _, since = path.partition("?since=")
+        rows = [{"id": f"{base}{h}", "startTime": f"2026-01-01T{h:02d}:00"} for h in range(24)]
+        rows = [r for r in rows if r["startTime"] >= since] + [{"id": "none"}]  # the moment itself is answered again
+        at = int(token or 0)
+        return {"value": rows[at : at + 10]} | ({"continuationToken": str(at + 10)} if at + 10 < len(rows) else {})
+
+    spark.dataSource.register(wire.since_source(fetch, "startTime", "runs_since"))
+
+    def run(until):
+        log.write_text("")
+        stream = spark.readStream.format("runs_since").schema("id string, startTime string").option("paths", "a\nb").option("until", until).load()
+        stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        return sorted(set(log.read_text().split("\n")[:-1]))
+
+    assert run("2026-01-01T09:30") == ["a 10", "a 20", "a None", "b 10", "b 20", "b None"]
+    out = lambda: sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+    assert out() == sorted(f"{p}{h}" for p in "ab" for h in range(10))
+    again = run("2026-01-01T20:30")
+    assert all("since=2026-01-01T09:30" in c for c in again) and out() == sorted(f"{p}{h}" for p in "ab" for h in range(21))
+    assert run("2026-01-01T20:30") == [] and len(out()) == 42
+    since = spark.read.format("runs_since").schema("id string, startTime string").option("paths", "a").option("since", "2026-01-01T21:00").option("until", "2026-01-02").load()
+    assert sorted(r.id for r in since.collect()) == ["a22", "a23"]
+
+
+def test_a_filter_reaches_the_calls(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def fetch(path, token):
+        with open(log, "a") as f:
+            f.write(f"{path}\n")
+        return {"value": [{"id": str(h), "startTime": f"2026-01-01T{h:02d}:00"} for h in range(24)]}
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        spark.dataSource.register(wire.since_source(fetch, "startTime", "runs_pushed", pushed=True))
+        df = spark.read.format("runs_pushed").schema("id string, startTime string").option("paths", "a").option("until", "2026-01-02").load()
+        assert sorted(r.id for r in df.where("startTime > '2026-01-01T21:00'").collect()) == ["22", "23"]
+        assert set(log.read_text().split()) == {"a?since=2026-01-01T21:00"}
+        assert sorted(r.id for r in df.where("startTime >= '2026-01-01T21:00'").collect()) == ["21", "22", "23"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_schema_comes_before_the_data(spark, tmp_path):
+    """A batch that breaks off leaves no rows; done again it is there once."""
+    s = Store(spark, f"file://{tmp_path}/s")
+    bad = spark.range(1).select(F.lit("i").alias("item_id"), F.raise_error(F.lit("broken")).cast("string").alias("item_name"))
+    with pytest.raises(Exception, match="broken"):
+        s.write("items", bad, T0)
+    assert s.read("items").count() == 0 and s.write("items", [{"item_id": "i"}], T0) == 1 and s.read("items").count() == 1
+    assert [r.ingest_batch for r in s.read("items").select("ingest_batch").collect()] == [1]

@@ -40,3 +40,30 @@ def test_deliveries(spark, tmp_path):
     live.run_once(df, f"file://{tmp_path}/out", f"file://{tmp_path}/c")
     got = live.silent(spark.read.parquet(f"file://{tmp_path}/out"))
     assert {r.run_id for r in got.collect()} == {"r0", "r3"}
+
+
+def test_latest_known_as_a_stream(spark, tmp_path):
+    """In any order of arrival, and replayed, a key's last row is that of the batch operator."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from vigil.operators.latest import latest_known
+
+    schema = "k string, a string, b long, collected_at timestamp, ingest_seq long"
+    rng = random.Random(6)
+    rows = [(rng.choice("pqr"), rng.choice([None, "x", "y", "z"]), rng.choice([None, *range(9)]), T0 + timedelta(minutes=rng.randrange(8)), i) for i in range(60)]
+    batch = {r.k: (r.a, r.b, r.collected_at) for r in latest_known(spark.createDataFrame(rows, schema), ["k"]).collect()}
+    for n in range(2):
+        src = f"file://{tmp_path}/in{n}"
+        rng.shuffle(rows)
+        for part in (rows[:20], rows[20:40], rows[40:] + rows[:15]):
+            put(spark, src, part, schema)
+        put(spark, src, [("end", None, None, T0 + timedelta(days=1), 99)], schema)
+        stream = live.latest_known(live.follow(spark, src, schema, 1), ["k"])
+        query = stream.writeStream.format("memory").queryName(f"known{n}").outputMode("update").option("checkpointLocation", f"file://{tmp_path}/c{n}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        out = spark.table(f"known{n}").where("k <> 'end'")
+        last = out.groupBy("k").agg(F.max("collected_at").alias("collected_at"), F.count("*").alias("n")).collect()
+        got = {r.k: (r.a, r.b, r.collected_at) for r in out.collect()}
+        assert got == batch and {r.k for r in last} == set(batch)

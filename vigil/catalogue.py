@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import as_utc, basename, micros, narrowed, parent, rounded, short_name, weekday, widened
 from vigil.operators import extras, intervals, latest, order, profile, versions
 from vigil.plans import claims, evidence, freshness, incidents, scoring, silent_delivery
 from vigil.sources import store, wire
+from vigil.sources.shared import shared_dir, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -246,7 +250,23 @@ def pending(spark, d):
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_expand(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("props").alias("measured_json"))
-    return incidents.measured(e).select("event_id", "k")
+    return incidents.measured(e, names=["k"]).select("event_id", "k")
+
+
+@query("SELECT event_id, CAST(event_id % 1000 AS VARCHAR) AS \"a.v\", event_type AS \"a.b.kind\", CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) END AS u, CAST(NULL AS VARCHAR) AS gone FROM events")
+def json_expand_nested(spark, d):
+    e = table(spark, d, "events")
+    inner = F.struct((F.col("event_id") % 1000).alias("v"), F.struct(F.col("event_type").alias("kind")).alias("b"))
+    text = F.to_json(F.struct(inner.alias("a"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("u")))
+    return incidents.measured(e.select("event_id", text.alias("measured_json")), names=["a.v", "a.b.kind", "u", "gone"])
+
+
+@query("SELECT 'a.b.kind' AS name, 'STRING' AS kind, count(*) AS n FROM events UNION ALL SELECT 'a.n', 'BIGINT', count(*) FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'u', 'BIGINT', count(*) FROM events WHERE event_id % 3 = 0")
+def json_names(spark, d):
+    e = table(spark, d, "events")
+    inner = F.struct(F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("n"), F.struct(F.col("event_type").alias("kind")).alias("b"))
+    text = F.to_json(F.struct(inner.alias("a"), F.when(F.col("event_id") % 3 == 0, F.col("user_id")).alias("u")))
+    return incidents.measured_names(e.select(text.alias("measured_json")))
 
 
 @query("SELECT o_orderkey, o_orderpriority || '#' || o_orderkey AS wide, o_orderpriority AS narrow FROM orders")
@@ -371,8 +391,8 @@ def landing(spark, d):
 
 
 def wide_facts(spark, d):
-    """The facts about all incidents, which are few beside the telemetry and are kept, as if they came from the store."""
-    return evidence.facts(found(spark, d).persist(), runs(spark, d), commits(spark, d), landing(spark, d), now(spark, d))
+    """The facts about all incidents, which are few beside the telemetry and are written, as if they came from the store."""
+    return evidence.facts(written(found(spark, d), "incidents"), runs(spark, d), commits(spark, d), landing(spark, d), now(spark, d))
 
 
 _FACTS = f"""{_DELIVERED}, now AS (SELECT max(ts) AS t FROM events), i AS (SELECT 'INC-' || substr(sha1('silent_zero_row|w|' || item_name || '|' || run_id), 1, 10) AS incident_id, * FROM del WHERE rows_delivered < 20),
@@ -407,6 +427,14 @@ def evidence_prompts(spark, d):
     return evidence.prompts(evidence.pack(wide_facts(spark, d))).select("incident_id", F.size(lines).cast("bigint").alias("lines"), F.size(unknown).cast("bigint").alias("unknown"), F.array_max(F.transform(lines, lambda x: F.length(F.substring_index(x, " = ", 1)))).cast("bigint").alias("longest"))
 
 
+_LABELS = "l(ord, key, label) AS (VALUES " + ", ".join(f"({n}, '{k}', '{label.replace(chr(39), chr(39) * 2)}')" for n, (k, _, label) in enumerate(evidence.FACTS)) + ")"
+
+
+@query(f"WITH p AS ({_PACKS}), {_LABELS} SELECT incident_id, string_agg(key || ' = ' || coalesce(value, 'unknown') || '   (' || label || ')', chr(10) ORDER BY ord) AS prompt FROM p JOIN l USING (key) GROUP BY 1")
+def evidence_prompt_text(spark, d):
+    return evidence.prompts(evidence.pack(wide_facts(spark, d)))
+
+
 @query(f"""WITH {_FACTS} SELECT incident_id, 'not diagnosed — measured facts only' AS diagnosis_cause, 'The run ended as a success with ' || rows_delivered || ' rows in ' || item_name || '.' || coalesce(' Its length was ' || CAST(duration_seconds AS VARCHAR) || ' s; the median of the pipeline is ' || CAST(d_median AS VARCHAR) || ' s.', '')
   || coalesce(' Commits with rows add ' || typical || ' at the median.', '') || coalesce(' The last one was ' || CAST(hours_since AS VARCHAR) || ' hours ago.', '') AS diagnosis_reasoning,
   '["run.rows_delivered","run.duration_seconds"' || CASE WHEN d_median IS NOT NULL THEN ',"pipeline.duration_median_seconds"' ELSE '' END || CASE WHEN deliveries > 0 THEN ',"table.typical_delivery_rows"' ELSE '' END || CASE WHEN last IS NOT NULL THEN ',"table.hours_since_last_delivery"' ELSE '' END || ']' AS cited,
@@ -637,6 +665,79 @@ def sparse_store(spark, d):
     return latest.latest_known(sparse_rows(spark, d), ["incident_id"]).drop("collected_at", "ingest_seq")
 
 
+def new_store(spark):
+    return store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query(_SPARSE.replace("'first'", "'bulk'").replace("'second'", "'late'") )
+def store_round_trip(spark, d):
+    """The sparse rows through the store: recorded, decided in bulk, recorded again, decided anew, read back."""
+    e = table(spark, d, "events").where("event_type = 'error'")
+    n, s, at = F.col("event_id"), new_store(spark), lambda h: datetime(2024, 3, 1, h, tzinfo=timezone.utc)
+    key = n.cast("string").alias("incident_id")
+    proposed = e.where("event_id % 2 = 0").select(key, F.lit("pipeline").alias("proposal_target"))
+    incidents.record(s, e.select(key, F.lit("high").alias("severity")), None, proposed, at(0))
+    words = F.when(n % 3 == 0, "approved").otherwise("pending")
+    incidents.decide_all(s, e.where("event_id % 3 = 0 or event_id % 5 = 0").select(key, words.alias("decision"), F.lit("me").alias("decided_by"), F.lit("bulk").alias("reviewer_note")), at(1))
+    incidents.decide_all(s, e.where("event_id % 6 = 0").select(key, F.lit("superseded").alias("decision"), F.lit("me").alias("decided_by"), F.lit("late").alias("reviewer_note")), at(2))
+    incidents.record(s, e.select(key, F.lit("medium").alias("severity")), None, None, at(3))
+    return incidents.load(s).select("incident_id", "decision", "reviewer_note", "severity", "proposal_target")
+
+
+@query("""SELECT CAST(min(event_id) AS VARCHAR) AS incident_id, 'approved' AS decision, 'correct' AS verdict, 'f1' AS benchmark_ref, CAST(5 AS BIGINT) AS stored FROM events WHERE event_type = 'error'""")
+def decide_judge_link(spark, d):
+    """One incident of all that the store holds is decided, judged and linked; an unknown one changes nothing."""
+    e = table(spark, d, "events").where("event_type = 'error'")
+    s, at = new_store(spark), datetime(2024, 3, 1, tzinfo=timezone.utc)
+    incidents.record(s, e.select(F.col("event_id").cast("string").alias("incident_id")), None, None, at)
+    one = str(e.agg(F.min("event_id")).first()[0])
+    for wrong in ("none", "nope"):
+        try:
+            incidents.decide(s, wrong, "approved", "me", "", at)
+        except KeyError:
+            continue
+    incidents.decide(s, one, "pending", "me", "", at)
+    incidents.decide(s, one, "approved", "me", "", at)
+    incidents.judge(s, one, "correct", "me", "", at)
+    incidents.link_to_fault(s, one, "f1", at)
+    many = s.read("incidents").where(F.col("incident_id") == one).agg(F.count("*").alias("stored"))
+    return incidents.get(incidents.load(s), one).select("incident_id", "decision", "verdict", "benchmark_ref").crossJoin(F.broadcast(many))  # one row
+
+
+@query("""WITH c AS (SELECT 'delta_commits' AS dataset, max(ts) AS seen, count(*) AS stored, count(DISTINCT event_id) AS facts FROM events WHERE event_type = 'click' UNION ALL SELECT 'job_runs', max(ts), 2 * count(*), count(DISTINCT event_id) FROM events WHERE event_type = 'purchase' UNION ALL SELECT 'landing_files', NULL, 0, 0)
+SELECT dataset, epoch_us(seen) AS seen_us, CAST(stored AS BIGINT) AS stored, CAST(facts AS BIGINT) AS facts FROM c""")
+def stored_telemetry(spark, d):
+    """Runs, appended twice, and commits through a store: when each was last collected, and how many rows and facts it holds."""
+    s = telemetry_store(spark, d)
+    names = ["delta_commits", "job_runs", "landing_files"]
+    seen = latest.last_collected(s, names).select("dataset", micros("seen").alias("seen_us"))
+    return seen.join(latest.counts(s, names).select("dataset", "stored", F.col("distinct").alias("facts")), "dataset")
+
+
+def telemetry_store(spark, d):
+    s, at = new_store(spark), datetime(2024, 3, 1, tzinfo=timezone.utc)
+    r = runs(spark, d).withColumn("collected_at", F.col("start_time"))
+    s.write("job_runs", r, at)
+    s.write("job_runs", r.withColumn("status", F.lit(None).cast("string")), at)
+    s.write("delta_commits", commits(spark, d), at)
+    return s
+
+
+@query(f"WITH {_RUNS}, {_COMMITS} SELECT run_id, item_name, status, duration_seconds FROM runs")
+def stored_runs(spark, d):
+    """What is read back: the second append knows no status, which erases none."""
+    return latest.load(telemetry_store(spark, d), "job_runs").select("run_id", "item_name", "status", "duration_seconds")
+
+
+@query("""WITH s AS (SELECT 'delta_commits' AS dataset, max(ts) FILTER (event_type = 'click') AS seen, max(ts) AS t FROM events UNION ALL SELECT 'job_runs', max(ts) FILTER (event_type = 'purchase'), max(ts) FROM events UNION ALL SELECT 'landing_files', NULL, max(ts) FROM events),
+g AS (SELECT *, (epoch_us(t) - epoch_us(seen)) / 60000000.0::DOUBLE AS missed FROM s) SELECT dataset, CASE WHEN seen IS NULL OR missed >= 6 THEN 'high' ELSE 'medium' END AS severity FROM g WHERE seen IS NULL OR missed >= 2""")
+def stored_freshness(spark, d):
+    """The freshness rule over the stores' own times of collection; each dataset is due every minute."""
+    names = ["delta_commits", "job_runs", "landing_files"]
+    want = spark.createDataFrame([(n, 1, "") for n in names], "dataset string, every_minutes bigint, workspace string")
+    return freshness.detect(latest.last_collected(telemetry_store(spark, d), names), want, now(spark, d)).select(F.col("item_name").alias("dataset"), "severity")
+
+
 @query(f"SELECT incident_id, proposal_target FROM ({_SPARSE}) WHERE proposal_target IS NOT NULL")
 def reviewable(spark, d):
     return incidents.reviewable(sparse_store(spark, d)).select("incident_id", "proposal_target")
@@ -802,3 +903,34 @@ def interactions(spark, d):
 def last_commit_measured(spark, d):
     m = F.from_json("measured_json", "last_commit_to_table timestamp")
     return found(spark, d).select("occurrence_key", micros(m["last_commit_to_table"]).alias("last_us"))
+
+
+# ---- capacity, activity, model statistics ----
+
+
+@query("""WITH w AS (SELECT event_type, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * k AS start, CAST(round(value * 100) AS BIGINT) AS v FROM events, range(4) r(k)), s AS (SELECT event_type, start, sum(v) AS total, count(*) AS n FROM w GROUP BY ALL)
+SELECT event_type AS operation, epoch_us(start) AS start_us, CAST(total AS BIGINT) AS total, n FROM s QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY total DESC, start) = 1""")
+def peak_capacity(spark, d):
+    """Events as use of capacity through a store: the busiest hour of each operation."""
+    s = new_store(spark)
+    e = table(spark, d, "events")
+    rows = e.select(F.col("user_id").cast("string").alias("item_id"), F.concat("event_type", F.lit("/"), F.col("event_id").cast("string")).alias("operation"), F.col("ts").alias("start_time"), F.round(F.col("value") * 100).alias("cu_seconds"))
+    s.write("capacity_metrics", rows, datetime(2024, 3, 1, tzinfo=timezone.utc))
+    use = latest.load(s, "capacity_metrics").select(F.substring_index("operation", "/", 1).alias("operation"), "start_time", F.col("cu_seconds").cast("bigint").alias("cu"))
+    return extras.peaks(use, ["operation"], "start_time", "cu").select("operation", micros("start").alias("start_us"), "total", "n")
+
+
+@query("""WITH a AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'click'), i AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error') SELECT CAST(i.event_id AS VARCHAR) AS incident_id, CAST(a.event_id AS VARCHAR) AS change FROM i ASOF LEFT JOIN a ON i.user_id = a.user_id AND i.ts >= a.ts""")
+def last_activity(spark, d):
+    e = table(spark, d, "events")
+    did = e.where("event_type = 'click'").select(F.col("user_id").cast("string").alias("item_id"), F.col("ts").alias("happened_at"), F.lit("me").alias("user"), F.col("event_id").cast("string").alias("operation"), F.col("event_id").cast("string").alias("activity_id"))
+    i = e.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("incident_id"), F.col("user_id").cast("string").alias("item_id"), "ts")
+    return extras.changes_before(did, i, "item_id", "happened_at", "ts").select("incident_id", "change")
+
+
+@query(f"""WITH {_MONTHS}, p AS (SELECT t, v, count(DISTINCT l_partkey) AS n, count(*) * 8 AS size FROM m GROUP BY 1, 2), b AS (SELECT *, lag(n) OVER w AS before, lag(size) OVER w AS size_before FROM p WINDOW w AS (PARTITION BY t ORDER BY v)) SELECT CAST(t AS VARCHAR) AS dataset_id, n AS distinct_values, before FROM b WHERE n >= 2.0 * before AND size >= size_before""")
+def model_growth(spark, d):
+    p = months(spark, d).groupBy("t", "v").agg(F.count_distinct("l_partkey").alias("distinct_values"), (F.count("*") * 8).alias("size_bytes"))
+    day = F.make_date(F.floor((F.col("v") - 1) / 12).cast("int"), ((F.col("v") - 1) % 12 + 1).cast("int"), F.lit(1))
+    stats = p.select(F.col("t").cast("string").alias("dataset_id"), F.lit("t").alias("table_name"), F.lit("c").alias("column_name"), day.alias("measured_on"), "distinct_values", "size_bytes")
+    return extras.model_growth(stats).select("dataset_id", "distinct_values", "before")

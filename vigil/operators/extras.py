@@ -196,5 +196,27 @@ def gateway_timeouts(refreshes: DataFrame) -> DataFrame:
     return refreshes.where((F.col("status") == "Failed") & error.contains("gateway") & error.rlike("time ?out|timed out"))
 
 
+def peaks(df: DataFrame, key: list[str], ts: str, value: str, width: str = "1 hour", slide: str = "15 minutes") -> DataFrame:
+    """key, start, total, n of the interval of each key in which the value's sum is largest, of equal ones the earliest, of all intervals that slide by so much. Sums are added up by slide before the intervals see them."""
+    steps = df.where(F.col(ts).isNotNull()).groupBy(*key, F.window(ts, slide).alias("__s")).agg(F.sum(value).alias("__v"), F.count("*").alias("__n"))
+    sums = steps.withColumn("__t", F.col("__s.start")).groupBy(*key, F.window("__t", width, slide).alias("__w")).agg(F.sum("__v").alias("total"), F.sum("__n").alias("n"))
+    start = F.col("__w.start")
+    return sums.groupBy(*key).agg(F.max_by(F.struct(start.alias("start"), "total", "n"), F.struct("total", -micros(start))).alias("p")).select(*key, "p.*")
+
+
+def changes_before(activity: DataFrame, incidents: DataFrame, item: str, at: str, when: str) -> DataFrame:
+    """incidents with the last activity on their item at or before their time: who did what, and when; null where there is none."""
+    from vigil.operators.intervals import as_of
+
+    what = activity.select(item, F.col(at).alias("changed_at"), F.col("user").alias("changed_by"), F.col("operation").alias("change"), "activity_id")
+    return as_of(incidents, what.withColumn("__at", F.col("changed_at")), [item], when, "__at", ["changed_at", "changed_by", "change"], arrival=["activity_id"])
+
+
+def model_growth(stats: DataFrame, factor: float = 2.0) -> DataFrame:
+    """The columns of models whose distinct values have grown by a factor from one measurement to the next, and whose bytes have grown with them."""
+    rows = stats.select(F.concat_ws("|", "dataset_id", "table_name", "column_name").alias("name"), "dataset_id", "table_name", "column_name", "measured_on", "distinct_values", "size_bytes")
+    return bloated(rows, "name", "measured_on", "distinct_values", factor, {"size_bytes": 1.0}).drop("name")
+
+
 def only_injected(incidents: DataFrame) -> DataFrame:
     return incidents.where(F.col("origin") == "injected")

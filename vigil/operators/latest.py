@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import as_utc
@@ -41,11 +41,14 @@ def _orderable(df: DataFrame, column: str) -> bool:
 
 
 def newest_row(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row of each key in order of arrival, for observations without a time of collection."""
+    """The last row of each key in order of arrival, for observations without a time of collection; without columns of arrival there is no such order, which is an error. One aggregation, combined before its shuffle;
+    of rows that arrived alike the largest by its columns, where those can be compared."""
     arrival = [c for c in ("ingest_batch", "ingest_seq") if c in df.columns]
-    order = F.struct(*arrival) if arrival else F.monotonically_increasing_id()
-    numbered = df.withColumn("__order", order).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__order"))))
-    return numbered.where("__n = 1").drop("__n", "__order")
+    if not arrival:
+        raise ValueError("no collected_at, ingest_batch or ingest_seq to tell which row came last")
+    plain = [c for c in df.columns if _orderable(df, c) and c not in arrival]
+    order = F.struct(*arrival, *(F.col(f"`{c}`") for c in plain))
+    return df.groupBy(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("__row")).select("__row.*")
 
 
 def view(df: DataFrame, dataset: str) -> DataFrame:

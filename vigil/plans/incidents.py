@@ -47,6 +47,18 @@ def decide(store, incident_id: str, decision: str, by: str, note: str, now: date
     store.write(DATASET, [{"incident_id": incident_id, "decision": decision, "decided_by": by, "decided_at": now, "reviewer_note": note}], now)
 
 
+def decide_all(store, decisions: DataFrame, now: datetime) -> int:
+    """Records many decisions at once: incident_id, decision, decided_by, reviewer_note. An id that the store doesn't hold, or a word that is none, is an error, and nothing is written."""
+    held = store.read(DATASET).select("incident_id").distinct().withColumn("__held", F.lit(True))
+    checked = decisions.join(held, "incident_id", "left").where(F.col("__held").isNull() | ~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False)))
+    wrong = checked.select("incident_id", "decision", "__held").limit(20).collect()
+    if unknown := [r["incident_id"] for r in wrong if not r["__held"]]:
+        raise KeyError(f"no incident {', '.join(map(str, unknown))}")
+    if wrong:
+        raise ValueError(f"{wrong[0]['decision']} is none of {', '.join(DECISIONS)}")
+    return store.write(DATASET, decisions.select("incident_id", "decision", "decided_by", "reviewer_note").withColumn("decided_at", F.lit(now).cast("timestamp")), now)
+
+
 def judge(store, incident_id: str, verdict: str, by: str, note: str, now: datetime) -> None:
     if verdict not in VERDICTS:
         raise ValueError(f"{verdict} is none of {', '.join(VERDICTS)}")
@@ -76,21 +88,41 @@ def reviewable(view: DataFrame) -> DataFrame:
     return view.where(F.col("proposal_target").isNotNull())
 
 
-def measured(view: DataFrame, schema: T.StructType | None = None) -> DataFrame:
-    """view with the values of its measured_json as columns in its place, nested ones by dotted names. Without a schema every value is text, by the names that occur."""
+#: The names that the rules measure.
+MEASURED = (
+    "run_id", "run_started", "run_ended", "run_duration_seconds", "run_status", "expected_table", "rows_delivered", "rows_expected_minimum", "last_commit_to_table",
+    "dataset", "last_collected_at", "evaluated_at", "gap_hours", "expected_every_minutes", "intervals_missed",
+)
+
+
+def measured(view: DataFrame, schema: T.StructType | None = None, names: list[str] | None = None) -> DataFrame:
+    """view with the values of its measured_json as columns in its place, nested ones by dotted names. With names, or without anything the names that rules measure, every value is text; one that isn't there or isn't JSON
+    is null. `measured_names` tells which there are. Nothing runs while this is built."""
     if "measured_json" not in view.columns:
         return view
+    keep = [F.col(f"`{c}`") for c in view.columns if c != "measured_json"]
     if schema is None:
-        keys = view.select(F.explode(F.json_object_keys("measured_json")).alias("k")).distinct().orderBy("k").collect()  # the names that rules measure
-        schema = T.StructType([T.StructField(r["k"], T.StringType()) for r in keys])
+        value = lambda n: F.try_variant_get(F.col("__v"), "$" + "".join(f"['{part}']" for part in n.split(".")), "string").alias(n)
+        return view.withColumn("__v", F.try_parse_json("measured_json")).select(*keep, *(value(n) for n in (MEASURED if names is None else names)))
     flat = []
     for f in schema:
         nested = f.dataType if isinstance(f.dataType, T.StructType) else []
         flat += [F.col("__m")[f.name][g.name].alias(f"{f.name}.{g.name}") for g in nested] or [F.col("__m")[f.name].alias(f.name)]
-    keep = [f"`{c}`" for c in view.columns if c != "measured_json"]
     return view.withColumn("__m", F.from_json("measured_json", schema)).select(*keep, *flat) if flat else view.select(*keep)
 
 
+def measured_names(view: DataFrame, depth: int = 4) -> DataFrame:
+    """name, kind, n: the dotted names that occur in measured_json, down to a depth, the type that all of their values fit, and in how many rows."""
+    level = view.select(F.lit("").alias("name"), F.try_parse_json("measured_json").alias("v"))
+    out = None
+    for _ in range(depth):
+        each = level.where(F.schema_of_variant("v").startswith("OBJECT")).lateralJoin(view.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        level = each.select(F.concat_ws(".", F.nullif("name", F.lit("")), "key").alias("name"), F.col("value").alias("v"))
+        out = level if out is None else out.unionAll(level)
+    inner = F.schema_of_variant("v").startswith("OBJECT")
+    return out.where(~inner).groupBy("name").agg(F.schema_of_variant_agg("v").alias("kind"), F.count("*").alias("n"))
+
+
 def summary(view: DataFrame, queue: DataFrame | None = None) -> DataFrame:
     """metric, value: how many incidents, how diagnosed, how many wait. queue: the rows whose decisions count as waiting, those of view if not given."""
     source, target = F.col("diagnosis_source"), F.col("proposal_target")

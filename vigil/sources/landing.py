@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,35 +16,59 @@ COUNT_LIMIT = 500 * 1024 * 1024
 SAMPLE = "source_name string, path string, exists boolean, size_bytes bigint, modified_ms bigint"
 
 
-def _status(spark: SparkSession, path: str):
-    """(bytes, time of change in ms) of a file by its folder's listing; None where either isn't there or can't be listed."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
-    try:
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        for s in fs.listStatus(p.getParent()):
-            if s.getPath().getName() == p.getName():
-                return s.getLen(), s.getModificationTime()
-    except Exception:  # noqa: BLE001  a folder that can't be listed: the file counts as missing
-        return None
-    return None
-
-
-def _rows(spark: SparkSession, path: str, size: int) -> int | None:
-    """Rows below the header; None, not zero, where the file is too large to count or can't be read."""
-    if size > COUNT_LIMIT:
-        return None
+def _statuses(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, int, int]]:
+    """path to (address, bytes, time of change in ms) of each file that is there, by the listings of their folders, each once. One whose folder isn't there or can't be listed counts as missing."""
+    folders: dict[str, dict[str, list[str]]] = {}
+    at = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    for path in paths:
+        p = at(path.rstrip("/"))
+        if p.getParent() is not None:
+            folders.setdefault(p.getParent().toString(), {}).setdefault(p.getName(), []).append(path)
+    out = {}
+    for folder, names in folders.items():
+        try:
+            found = at(folder).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at(folder))
+        except Exception:  # noqa: BLE001  a folder that can't be listed: its files count as missing
+            continue
+        for s in found:
+            for path in names.get(s.getPath().getName(), []):
+                out[path] = s.getPath().toString(), s.getLen(), s.getModificationTime()
+    return out
+
+
+def _counts(spark: SparkSession, addresses: list[str]) -> dict[str, int | None]:
+    """Rows below the header of each file, by one scan of all; None, not zero, for one that can't be read. A scan that fails is done again by halves, so that a bad file costs a few jobs and takes no other with it."""
+    if not addresses:
+        return {}
+    name, folder = F.col("_metadata.file_path"), F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
     try:
-        return spark.read.option("header", True).csv(path).count()
+        rows = spark.read.option("header", True).schema("__first string").csv(addresses).groupBy(name.alias("f"), folder.alias("d")).agg(F.count("*").alias("n")).collect()  # a row a file that has rows
     except Exception:  # noqa: BLE001  unreadable is unknown
-        return None
+        if len(addresses) == 1:
+            return {addresses[0]: None}
+        half = len(addresses) // 2
+        return _counts(spark, addresses[:half]) | _counts(spark, addresses[half:])
+    out = dict.fromkeys(addresses, 0)
+    plain = {_plain(a): a for a in addresses}
+    for r in rows:
+        a = plain.get(_plain(unquote(r["f"]))) or plain.get(_plain(unquote(r["d"])))  # a source may be a folder of files
+        out[a] += r["n"]
+    return out
+
+
+def _plain(address: str) -> str:
+    """One spelling of an address: with one slash after the scheme."""
+    return re.sub("^([a-z0-9+.-]+:)/+", r"\1/", address)
 
 
 def collect(spark: SparkSession, sources: dict[str, str], collected_at: datetime, workspace: str = "") -> DataFrame:
-    """A row of `landing_files` a source (name to path), all of one time of collection. The listing runs on the driver: sources are configuration."""
+    """A row of `landing_files` a source (name to path), all of one time of collection. Folders are listed once each, and all files that are there and not too large are counted by one scan."""
+    found = _statuses(spark, list(dict.fromkeys(sources.values())))
+    counted = _counts(spark, sorted({f[0] for f in found.values() if f[1] <= COUNT_LIMIT}))
     rows = []
     for name, path in sources.items():
-        found = _status(spark, path)
-        rows.append((workspace, name, path, found is not None, found and found[0], found and found[1], _rows(spark, path, found[0]) if found else None))
+        address, size, changed = found.get(path, (None, None, None))
+        rows.append((workspace, name, path, address is not None, size, changed, counted.get(address)))
     df = spark.createDataFrame(rows, "workspace_name string, source_name string, path string, exists boolean, size_bytes bigint, modified_ms bigint, data_rows bigint")
     return df.select("workspace_name", "source_name", "path", "exists", "size_bytes", F.timestamp_millis("modified_ms").alias("modified_at"), "data_rows", F.lit(collected_at).cast("timestamp").alias("collected_at"))
 

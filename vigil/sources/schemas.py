@@ -14,6 +14,9 @@ DDL = {
     "refresh_runs": f"{WORKSPACE}, dataset_id string, dataset_name string, refresh_id string, request_id string, refresh_type string, status string, start_time timestamp, end_time timestamp, duration_seconds double, error string",
     "delta_commits": "workspace_name string, table_name string, version bigint, timestamp timestamp, operation string, rows_added bigint, metrics_rows bigint",
     "landing_files": "workspace_name string, source_name string, path string, exists boolean, size_bytes bigint, modified_at timestamp, data_rows bigint",
+    "capacity_metrics": f"{WORKSPACE}, item_id string, item_name string, operation string, start_time timestamp, duration_seconds double, cu_seconds double, throttled boolean",
+    "activity_events": f"{WORKSPACE}, activity_id string, user string, operation string, item_id string, item_name string, happened_at timestamp",
+    "model_stats": f"{WORKSPACE}, dataset_id string, dataset_name string, table_name string, column_name string, measured_on date, row_count bigint, distinct_values bigint, size_bytes bigint",
     "incidents": (
         "incident_id string, detected_at timestamp, rule string, fault_class string, workspace string, item_name string, item_type string, severity string, summary string, occurrence_key string, origin string, measured_json string, "
         "diagnosis_cause string, diagnosis_reasoning string, diagnosis_confidence string, diagnosis_cited_json string, recommended_action string, diagnosis_source string, diagnosis_model string, fallback_reason string, diagnosed_at timestamp, "
@@ -28,6 +31,9 @@ NATURAL_KEYS = {
     "refresh_runs": ["dataset_id", "refresh_id"],
     "delta_commits": ["workspace_name", "table_name", "version"],
     "landing_files": ["source_name", "collected_at"],
+    "capacity_metrics": ["item_id", "operation", "start_time"],
+    "activity_events": ["activity_id"],
+    "model_stats": ["dataset_id", "table_name", "column_name", "measured_on"],
     "incidents": ["incident_id"],
 }
 

@@ -44,6 +44,15 @@ def arrived(rows: DataFrame, batch: int) -> DataFrame:
     return rows.drop("ingest_seq", "ingest_batch").withColumns({"ingest_seq": F.monotonically_increasing_id(), "ingest_batch": F.lit(batch).cast("bigint")})
 
 
+def take_batch(fs, folder) -> int:
+    """The next batch's number, which no other writer gets: its marker in the folder is made before any data, and only once."""
+    taken = [int(x.getPath().getName()) for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    number = max(taken, default=-1) + 1
+    while not fs.createNewFile(folder.suffix(f"/{number:08d}")):
+        number += 1
+    return number
+
+
 class Store:
     """Datasets under one folder of any file system that Spark reads and writes."""
 
@@ -79,16 +88,10 @@ class Store:
         out.close()
 
     def _take_batch(self, dataset: str) -> int:
-        """The next batch's number, which no other writer gets: its marker is made before any data, and only once."""
-        folder = self._path(dataset, "_batches")
-        taken = [int(x.getPath().getName()) for x in self._fs().listStatus(folder)] if self._fs().exists(folder) else []
-        number = max(taken, default=-1) + 1
-        while not self._fs().createNewFile(self._path(dataset, "_batches", f"{number:08d}")):
-            number += 1
-        return number
+        return take_batch(self._fs(), self._path(dataset, "_batches"))
 
     def write(self, dataset: str, rows: DataFrame | list[dict], now: datetime) -> int:
-        """Appends a batch and returns its number of rows; nothing is written for none. Rows are stamped now where the batch as a whole has no time of collection."""
+        """Appends a batch and returns its number of rows. Rows are stamped now where the batch as a whole has no time of collection. The schema comes first, so that a batch that breaks off leaves no rows that a retry would double."""
         stored = self.schema(dataset)
         if isinstance(rows, list):
             if not rows:
@@ -100,19 +103,17 @@ class Store:
         stamp = F.lit(now).cast("timestamp")
         rows = rows if "collected_at" in rows.columns else rows.withColumn("collected_at", stamp)
         out = conform(arrived(rows, self._take_batch(dataset)), stored)
+        if out.schema != stored or not self.exists(dataset):
+            self._keep_schema(dataset, out.schema)
         seen = Observation()
         out = out.observe(seen, F.count(F.lit(1)).alias("n"))
         out.withColumn("date", F.to_date("collected_at")).write.mode("append").partitionBy("date").parquet(f"{self.root}/{dataset}/data")
-        n = seen.get["n"]
-        if n:
-            if out.schema != stored or not self.exists(dataset):
-                self._keep_schema(dataset, out.schema)
-        return n
+        return seen.get["n"]
 
     def read(self, dataset: str) -> DataFrame:
         """All rows ever appended; none, with the declared schema, for a dataset without."""
         schema = self.schema(dataset)
-        if not self.exists(dataset):
+        if not self._fs().exists(self._path(dataset, "data")):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(T.StructType([*schema.fields, T.StructField("date", T.DateType())])).parquet(f"{self.root}/{dataset}/data").drop("date")
 
@@ -125,6 +126,11 @@ class CatalogStore(Store):
     def __init__(self, spark: SparkSession, prefix: str = "tel_"):
         self.spark, self.prefix = spark, prefix
 
+    def _take_batch(self, name: str) -> int:
+        """Numbers are taken beside the tables, in the warehouse."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.spark.conf.get('spark.sql.warehouse.dir')}/_batches/{name}")
+        return take_batch(folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder)
+
     def exists(self, dataset: str) -> bool:
         return self.spark.catalog.tableExists(self.prefix + dataset)
 
@@ -135,9 +141,7 @@ class CatalogStore(Store):
         """Appends a batch; columns that are new join the table."""
         stored, name = self.schema(dataset), self.prefix + dataset
         rows = rows if "collected_at" in rows.columns else rows.withColumn("collected_at", F.lit(now).cast("timestamp"))
-        has = "ingest_batch" in stored.names and self.exists(dataset)
-        last = self.spark.table(name).agg(F.max("ingest_batch")).first()[0] if has else None
-        out, seen = conform(arrived(rows, 0 if last is None else last + 1), stored), Observation()
+        out, seen = conform(arrived(rows, self._take_batch(name)), stored), Observation()
         if not self.exists(dataset):
             if out.isEmpty():
                 return 0

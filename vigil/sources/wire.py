@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, GreaterThan, GreaterThanOrEqual, InputPartition
 
 from vigil.functions.scalars import parse_utc, seconds_between
 
@@ -184,6 +184,81 @@ def paged_source(fetch: Callable[[str, str | None], dict], name: str = "paged")
     return Paged
 
 
+class _Range(InputPartition):
+    def __init__(self, path: str, since: str, until: str):
+        super().__init__(path)
+        self.since, self.until = since, until
+
+
+class _Since:
+    """What the batch and the stream reader of a source by time share: a path is a partition, and asks for what began after `since` and not after `until`, page by page."""
+
+    def __init__(self, schema, options, fetch, field):
+        self.fields, self.fetch, self.field = schema.names, fetch, field
+        self.absent, self.key = tuple(int(x) for x in options.get("absent", "").split(",") if x), options.get("key", "value")
+        self.paths, self.since, self.until = [p for p in options.get("paths", "").split("\n") if p], options.get("since", ""), options.get("until", "")
+
+    def read(self, partition):
+        if partition.since and partition.since >= partition.until:
+            return  # all of it has been fetched: nothing is asked for
+        path = f"{partition.value}?since={partition.since}" if partition.since else partition.value
+        for x in pages(self.fetch, path, self.absent, self.key):
+            at = x.get(self.field) or ""
+            if partition.since < at <= partition.until:  # the interface may answer more than it was asked for
+                yield tuple(None if x.get(f) is None else x[f] if isinstance(x[f], (bool, int, float, str)) else str(x[f]) for f in self.fields)
+
+
+class _SinceReader(_Since, DataSourceReader):
+    def partitions(self):
+        return [_Range(p, self.since, self.until) for p in self.paths]
+
+
+class _PushedReader(_SinceReader):
+    """Takes the least time from filters on the time's column, so that older rows are never asked for."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == (self.field,):
+                # from a moment on: all after the largest text below it
+                self.since = max(self.since, f.value if isinstance(f, GreaterThan) else f.value[:-1] + chr(ord(f.value[-1]) - 1) + "\uffff")
+            yield f  # and Spark applies it as well
+
+
+class _SinceStream(_Since, DataSourceStreamReader):
+    def initialOffset(self):
+        return {"until": self.since}
+
+    def latestOffset(self):
+        return {"until": self.until}
+
+    def partitions(self, start, end):
+        return [_Range(p, start["until"], end["until"]) for p in self.paths]
+
+
+def since_source(fetch: Callable[[str, str | None], dict], field: str, name: str = "since", pushed: bool = False) -> type[DataSource]:
+    """A data source by time, for batches and streams; options: paths (a line each), until (the present, in the interface's own text), since, key, absent.
+
+    As a stream its offset is the time up to which everything was fetched, kept in the checkpoint: the next run asks for what is newer only. What is asked is `path?since=time`. pushed: filters
+    on the field reach the calls as well (needs spark.sql.python.filterPushdown.enabled). Times are texts of one form, which compare as they are, after fields that hold none.
+    """
+
+    class Since(DataSource):
+        @classmethod
+        def name(cls):
+            return name
+
+        def schema(self):
+            return f"id string, {field} string"
+
+        def reader(self, schema):
+            return (_PushedReader if pushed else _SinceReader)(schema, self.options, fetch, field)
+
+        def streamReader(self, schema):
+            return _SinceStream(schema, self.options, fetch, field)
+
+    return Since
+
+
 # ---- what a client needs around its calls ----
 
 
