@@ -1,6 +1,8 @@
+import math
 import random
 
 import numpy as np
+import pytest
 
 from vigil.llm import pages as P
 
@@ -9,7 +11,7 @@ ROWS = "page_id long, url string, html string, text int, host int"
 
 def text_of(html):
     found = P.blocks(html)
-    return P.main_text(found, [(0.0, 0.0)] * sum(not none for _, _, none in found))
+    return P.main_text(found, [(0.0, 0.0, 0.0)] * sum(not none for _, _, none in found))
 
 
 def test_blocks():
@@ -101,7 +103,7 @@ def test_what_nearly_all_pages_of_a_host_repeat_goes_from_articles_too(spark):
     rows = [(i, f"http://{h}.example/{i}", f"<article><p>{line()}<p>{shared if i % 2 else line()}<p>{notice}</article>", 0, 0) for h, n in (("g", 40), ("h", 200)) for i in range(1000 * (h == "h"), 1000 * (h == "h") + n)]
     rows += [(5000 + i, "http://few.example/", f"<article><p>{line()}<p>{notice}</article>", 0, 0) for i in range(10)]
     for r in P.extract(spark.createDataFrame(rows, ROWS).repartition(3)).collect():
-        assert (notice in r.text) == (r.page_id >= 5000) and (shared in r.text) == (r.page_id < 5000 and r.page_id % 2 == 1)
+        assert notice not in r.text and (shared in r.text) == (r.page_id < 5000 and r.page_id % 2 == 1)
 
 
 def test_the_size_of_a_host_changes_nothing(spark):
@@ -117,6 +119,50 @@ def test_the_size_of_a_host_changes_nothing(spark):
     assert all(got[f"http://n{size}.example/{i}"] == own[i] for size in (60, 640, 3000) for i in (0, 1)) and len(got) == n
 
 
+def wilson(k, n, z=1.96):
+    p = k / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def test_least_pages():
+    for n in (1, 2, 3, 8, 9, 10, 19, 20, 64, 65, 640, 3000):
+        for share in (P.WIDE_SHARE, P.LIKELY_SHARE):
+            k = P.least_pages(n, share)
+            assert all((wilson(x, n) >= share and x > 1) == (x >= k) for x in range(1, n + 1)), (n, share)
+
+
+@pytest.mark.parametrize("times", [1, 2, 3])
+def test_hosts_of_any_size_and_repeated_rows(spark, times):
+    """A notice on all pages of a host goes, one on half of them stays, and so does the article: however large the host and however often its rows come."""
+    rng = random.Random(12)
+    line = lambda: " ".join(f"z{rng.randrange(10**6)}" for _ in range(16))
+    notice, half, rows, want = line(), line(), [], {}
+    for size in (10, 19, 20, 64, 65, 640, 3000):
+        for i in range(size):
+            own = line()
+            url = f"http://size{size}.example/{i}"
+            rows += [(len(want), url, f"<article><p>{own}<p>{notice}" + (f"<p>{half}" if i % 2 else "") + "</article>", 0, 0)] * times
+            want[url] = own + (f"\n{half}" if i % 2 else "")
+    got = P.extract(spark.createDataFrame(rows, ROWS).repartition(4)).select("url", "text").collect()
+    assert len(got) == len(rows) and all(r.text == want[r.url] for r in got)
+
+
+def test_names_in_an_article():
+    """What a name says outright goes; what it only makes likely stays, unless the host repeats it."""
+    assert text_of("<article><div class='site-notice'>We moved</div><div class='msg alert'>Cookies!</div><p>text</article>") == "text"
+    assert text_of("<article><section class=header><p>intro</section><div class=legal><p>about law</div><p>text</article>") == "intro\nabout law\ntext"
+    assert P.blocks("<article><div class=legal><p>about law</div><p>text</article>") == [("about law", True, None), ("text", True, False)]
+
+
+def test_what_a_name_makes_likely_goes_where_the_host_repeats_it(spark):
+    rng = random.Random(13)
+    line = lambda: " ".join(f"y{rng.randrange(10**6)}" for _ in range(14))
+    terms, said = line(), line()
+    rows = [(i, f"http://l.example/{i}", f"<article><p>{i} {line()}" + (f"<div class=legal>{terms}</div><p>{said}" if i % 2 else "") + "<div class=legal>" + line() + "</div></article>", 0, 0) for i in range(30)]
+    for r in P.extract(spark.createDataFrame(rows, ROWS).repartition(3)).collect():
+        assert terms not in r.text and (said in r.text) == (r.page_id % 2 == 1) and len(r.text.split("\n")) == 2 + r.page_id % 2
+
+
 def brute(rows, least=8):
     """The texts that extract() returns, by all substrings of a host as tuples of words."""
     hosts = {}
@@ -137,10 +183,11 @@ def brute(rows, least=8):
             for b, inside, none in found:
                 if not none:
                     w, hit, wide = padded(b), set(), set()
+                    share = P.WIDE_SHARE if none is False else P.LIKELY_SHARE
                     for j in range(len(w) - least + 1):
                         many = len(on[tuple(w[j : j + least])])
                         hit |= set(range(j, j + least)) if many > 1 else set()
-                        wide |= set(range(j, j + least)) if len(pages) >= P.WIDE_PAGES and many >= P.WIDE_SHARE * len(pages) else set()
+                        wide |= set(range(j, j + least)) if many > 1 and wilson(many, len({i for _, i, _ in pages})) >= share else set()
                     left.append((b, inside, len(hit) / len(w), len(wide) / len(w)))
             if any(x[1] for x in left):
                 whole = [x for x in left if x[1]]

@@ -6,9 +6,10 @@ to end, a suffix array with the lengths of common prefixes finds the substrings
 distinct pages, and a page's tokens that such a substring covers are boilerplate.
 
 What goes: regions that are not the article by their markup, wherever they stand. Where a page says which part is its
-article (article or main element), blocks of it go only if they are covered by what is on nine tenths of the host's
-pages, 20 at least, and something is left: a passage that its author shares with some others is still the page's text. Where a
-page says nothing, a block that is covered at all goes, and the unique runs of blocks stay.
+article (article or main element), blocks of it go only if they are covered by what the host as a whole repeats, and something is left: a
+passage that its author shares with some others is still the page's text. The share of the host's pages that have it must be WIDE_SHARE
+at least with a confidence of 97.5 % (the lower bound by Wilson), one rule for hosts of any size; where a class or id makes it likely that the
+block is none of the article's, LIKELY_SHARE. Where a page says nothing, a block that is covered at all goes, and the unique runs of blocks stay.
 
 Pages of a host are dealt into groups of about GROUP pages by a hash of id, url and html, so that a hot host is many groups; what
 a site puts on its pages is on those of every group. A group's pages meet in one task: their tokens in
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import byte_table, released, span_hashes, stored, word_bounds
 
 LEAST, GROUP, TOKENS = 8, 64, 1 << 20
-#: In an article goes what is on such a share of the host's pages, and on so many.
-WIDE_SHARE, WIDE_PAGES = 0.9, 20
+#: In an article goes what is on such a share of the host's pages, beyond doubt; and what its markup makes likely, on such a share.
+WIDE_SHARE, LIKELY_SHARE = 0.7, 0.3
 #: A page's tokens are at most so many for each character: a block of one word, `<p>a`, counts as LEAST words and its end.
 DENSE = 3
 #: Characters of html whose substrings' hashes meet in one bucket, about; windows that are held before they are dealt out.
@@ -58,11 +59,13 @@ _CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "search
 #: Words of class and id, and roles, that name what is not the article.
 _WORDS = (
     "ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|aside|widget|related|recommended|share|sharing|social|"
-    "cookie|cookies|consent|gdpr|notice|notices|popup|modal|overlay|subscribe|newsletter|signup|login|comment|comments|disqus|respond|reply|replies|pagination|pager|toc|copyright|legal|disclaimer|skip"
+    "cookie|cookies|consent|gdpr|notice|notices|alert|alerts|popup|modal|overlay|subscribe|newsletter|signup|login|comment|comments|disqus|respond|reply|replies|pagination|pager|toc|copyright|legal|disclaimer|skip"
 )
+#: Those that an article's own parts are called as well.
+_OWN_PARTS = {"header", "masthead", "side", "toc", "copyright", "legal", "disclaimer", "skip"}
 _NAMES = re.compile(rf"(?:^|[^a-z])(?:{_WORDS})(?:[^a-z]|$)")
-#: In an article, where headings and sections have names of their own, a whole name must say so: such a word, and what it is made of.
-_WHOLE_NAME = re.compile(rf"(?:{_WORDS})(?:[-_]?(?:area|articles?|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|panel|posts?|section|slot|unit|widget|wrap|wrapper|[0-9]+))*")
+#: In an article, where headings and sections have names of their own, a whole name must say so: such a word, and what it is made of. A name that only has such a word in it makes it likely.
+_WHOLE_NAME = re.compile(rf"(?:(?:site|page|global|top|bottom)[-_])?(?:{'|'.join(w for w in _WORDS.split('|') if w not in _OWN_PARTS)})(?:[-_]?(?:area|articles?|bar|block|box|buttons?|container|content|form|inner|items?|links?|list|panel|posts?|section|slot|unit|widget|wrap|wrapper|[0-9]+))*")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')(?=[\s/>]|\Z)|[^>])*)(?:>|\Z)", re.S
@@ -74,27 +77,27 @@ _HEAD = {"title", "meta", "link", "script", "style", "base", "noscript", "templa
 _HIDDEN = re.compile(r"display\s*:\s*none")
 
 
-def blocks(source: str) -> list[tuple[str, bool, bool]]:
-    """(text, whether it stands in an article or main element, whether its markup says that it is not the article) of each block with text, in order."""
-    out: list[tuple[str, bool, bool]] = []
+def blocks(source: str) -> list[tuple[str, bool, bool | None]]:
+    """(text, whether it stands in an article or main element, whether its markup says that it is not the article, None where it makes that likely) of each block with text, in order."""
+    out: list[tuple[str, bool, bool | None]] = []
     text: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # tag, 1 if it opens an article, 1 if it opens what is none
-    article = chrome = 0
+    stack: list[tuple[str, int, int, int]] = []  # tag, 1 if it opens an article, 1 if it opens what is none, 1 if it opens what may be none
+    article = chrome = likely = 0
 
     def end_block() -> None:
         if text:
             line = " ".join(_html.unescape("".join(text)).split())
             if line:
-                out.append((line, article > 0, chrome > 0))
+                out.append((line, article > 0, True if chrome else None if likely else False))
             text.clear()
 
     def pop(to: int) -> None:
-        nonlocal article, chrome
+        nonlocal article, chrome, likely
         while len(stack) > to:
-            tag, a, c = stack.pop()
-            if tag in _BLOCK or c:
+            tag, a, c, k = stack.pop()
+            if tag in _BLOCK or c or k:
                 end_block()
-            article, chrome = article - a, chrome - c
+            article, chrome, likely = article - a, chrome - c, likely - k
 
     at, size = 0, len(source)
     while at < size:
@@ -161,10 +164,11 @@ def blocks(source: str) -> list[tuple[str, bool, bool]]:
         none = tag in _SILENT or tag in _CHROME or attrs.get("role") in _ROLES or hidden or says
         if tag == "header" and article and not says:
             none = False  # an article's own heading
-        if none and not chrome and tag not in _BLOCK:
+        maybe = bool(article and named and not none and tag not in ("article", "main") and _NAMES.search(named))
+        if (none and not chrome or maybe) and tag not in _BLOCK:
             end_block()
-        stack.append((tag, int(is_article), int(none)))
-        article, chrome = article + is_article, chrome + none
+        stack.append((tag, int(is_article), int(none), int(maybe)))
+        article, chrome, likely = article + is_article, chrome + none, likely + maybe
     end_block()
     return out
 
@@ -221,6 +225,20 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> np.nda
     return _covered(len(tokens), recurring(tokens, page, least)[0], least)
 
 
+def least_pages(pages: int, share: float) -> int:
+    """On how many of so many pages something must be to be, with a confidence of 97.5 %, on such a share of all that the host might have (the least number with that lower bound by Wilson; one more than there are where none has it)."""
+    z = 1.96 * 1.96
+    # the bound grows with the number k: (k + z/2 - 1.96 sqrt(k (pages - k) / pages + z/4)) / (pages + z) >= share
+    lo, hi = 1, pages + 1
+    while lo < hi:
+        k = (lo + hi) // 2
+        if k + z / 2 - 1.96 * (k * (pages - k) / pages + z / 4) ** 0.5 >= share * (pages + z):
+            hi = k
+        else:
+            lo = k + 1
+    return max(2, lo)
+
+
 _SEPARATORS = byte_table(b" \n")
 _PAD = np.uint64(0x7E57AB1E0DDBA115)
 
@@ -269,9 +287,9 @@ def page_windows(pages: list[list[str]], salts: list[int], least: int = LEAST) -
     return p[new], h[new]
 
 
-def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, known: tuple[np.ndarray, np.ndarray] | None = None, salt: int = 0, wide: int | None = None, modulus: int = 0) -> list[list[tuple[float, float]]]:
-    """Of each block of each page: the share of its tokens that recur on pages of other ids, and that recur on `wide` pages or more. known: the hashes, under the salt and modulo the modulus, that recur on the whole host, sorted, and on how many pages; then `wide` is judged by these alone."""
-    shares: list[list[tuple[float, float]]] = [[] for _ in pages]
+def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, known: tuple[np.ndarray, np.ndarray] | None = None, salt: int = 0, wide: tuple[int, ...] = (), modulus: int = 0) -> list[list[tuple[float, ...]]]:
+    """Of each block of each page: the share of its tokens that recur on pages of other ids, and that recur on so many pages or more, for each number in `wide`. known: the hashes, under the salt and modulo the modulus, that recur on the whole host, sorted, and on how many pages; then `wide` is judged by these alone."""
+    shares: list[list[tuple[float, ...]]] = [[] for _ in pages]
     at = 0
     while at < len(pages):
         end, n = at, 0
@@ -297,11 +315,11 @@ def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, k
             elif known is not None:
                 first = first[:0]
                 many = many[:0]
-            broad = _covered(len(tokens), first[many >= wide], least) if wide else np.zeros(len(tokens), bool)
+            broad = [_covered(len(tokens), first[many >= n], least) for n in wide]
             real = ~ends
             total = np.bincount(block[real])
-            part = [np.bincount(block[real], weights=x[real]) / total for x in (hit, broad)]
-            both = list(zip(part[0].tolist(), part[1].tolist(), strict=True))
+            part = [np.bincount(block[real], weights=x[real]) / total for x in (hit, *broad)]
+            both = list(zip(*(x.tolist() for x in part), strict=True))
             cuts = np.concatenate([[0], np.cumsum(counts)]).tolist()
             for p in range(at, end):
                 shares[p] = both[cuts[p - at] : cuts[p - at + 1]]
@@ -309,14 +327,14 @@ def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, k
     return shares
 
 
-def main_text(found: list[tuple[str, bool, bool]], shares: list[tuple[float, float]]) -> str:
-    """The blocks that are the page's text, one a line. shares: of the blocks that markup doesn't rule out, in order."""
-    left = [(text, inside, share, broad) for (text, inside, _), (share, broad) in zip([b for b in found if not b[2]], shares, strict=True)]
-    if any(inside for _, inside, _, _ in left):
-        whole = [(text, broad) for text, inside, _, broad in left if inside]
-        own = [text for text, broad in whole if broad < 0.5]
+def main_text(found: list[tuple[str, bool, bool | None]], shares: list[tuple[float, float, float]]) -> str:
+    """The blocks that are the page's text, one a line. shares: of the blocks that markup doesn't rule out, in order: covered at all, on LIKELY_SHARE and on WIDE_SHARE of the host's pages."""
+    left = [(text, inside, none is None, *share) for (text, inside, none), share in zip([b for b in found if not b[2]], shares, strict=True)]
+    if any(inside for _, inside, *_ in left):
+        whole = [(text, likely_share if likely else wide_share) for text, inside, likely, _, likely_share, wide_share in left if inside]
+        own = [text for text, share in whole if share < 0.5]
         return "\n".join(own or [text for text, _ in whole])
-    return "\n".join(text for text, _, share, _ in left if share < 0.5)
+    return "\n".join(text for text, _, _, share, *_ in left if share < 0.5)
 
 
 def host(url):
@@ -445,8 +463,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # a page is told by its id (a row without one is a page of its own), and dealt by all that it holds, so that an id of many rows is no group
     rows = rows.withColumn("page", F.xxhash64(F.col("page_id").cast("string")))
     dealing = F.xxhash64("page_id", "url", "html")
-    counts = rows.groupBy("host").agg(F.count("*").alias("m"), F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"))
+    counts = rows.groupBy("host").agg(F.count("*").alias("m"), (F.count_distinct(F.when(F.col("page_id").isNotNull(), F.col("page"))) + F.count_if(F.col("page_id").isNull())).alias("distinct"), F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"))
     # the hosts of more than one group or piece: at most one for each GROUP rows, or TOKENS / DENSE characters
+    # `m` rows make the groups; `distinct` pages are what shares are of
     small = stored(counts.where((F.col("m") > GROUP) | ((F.col("m") > 1) & (F.col("size") * DENSE > TOKENS))), "pages-hosts")
     buckets = max(1, -(-(small.agg(F.sum("size")).first()[0] or 0) // BUCKET_CHARS))
     # beside the bucket, 48 bits of a hash tell substrings apart; all 64 with very many buckets
@@ -454,7 +473,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     key = F.pmod(F.xxhash64("deal"), F.coalesce(F.ceil(F.col("m") / GROUP), F.lit(1)))
     small = F.broadcast(small) if small.count() <= BROADCAST_HOSTS else small
     rows = rows.withColumn("deal", dealing)
-    grouped_by = rows.join(small, "host", "left").select("page_id", "url", "html", "host", "page", "m", F.xxhash64("host", key).alias("g"), F.xxhash64("host").alias("s"))
+    grouped_by = rows.join(small, "host", "left").select("page_id", "url", "html", "host", "page", F.col("distinct").alias("m"), F.xxhash64("host", key).alias("g"), F.xxhash64("host").alias("s"))
     form = f"page_id {kind}, url string, html binary, host string, page long, m long, g long, s long, size long"
     dealt = grouped_by.mapInArrow(_squeezed, form).withColumn("r", F.col("g").bitwiseAND(F.lit(0xFFFFFFFF)))
     large = rows.join(small, "host")
@@ -492,12 +511,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     order = np.argsort(h, kind="stable")
                     known = (h[order], many[order])
                 m = m or len(numbers)
-                wide = max(2, int(np.ceil(WIDE_SHARE * m))) if m >= WIDE_PAGES else None
+                wide = (least_pages(m, LIKELY_SHARE), least_pages(m, WIDE_SHARE))
                 for i, s in zip(members, covered_blocks([candidates[i] for i in members], [numbers[ids[i]] for i in members], LEAST, known, salts[members[0]], wide, modulus), strict=True):
                     shares[i] = s
             texts = [main_text(f, s) for f, s in zip(found, shares, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("host"), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(x >= 0.5 for x, _ in s) for s in shares], pa.int64())],
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("host"), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(x[0] >= 0.5 for x in s) for s in shares], pa.int64())],
                 ["page_id", "url", "text", "n_chars", "host", "n_blocks", "n_repeated"],
             )
 
