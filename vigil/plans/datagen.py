@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.operators.order import running
+
 #: The dimensions' members and weights.
 CLIENTS = 45_000
 BRANCHES = ("Kumasi Central", "Accra North", "Takoradi", "Tamale", "Cape Coast", "Ho", "Sunyani", "Koforidua", "Wa", "Bolgatanga", "Techiman", "Obuasi")
@@ -31,7 +33,7 @@ METHODS, OFFICERS = ("Cash", "Mobile Money", "Transfer"), 30
 DAY_WEIGHTS = (1.0, 1.05, 1.05, 1.0, 1.15, 0.45, 0.08)
 AMOUNT_MEAN, AMOUNT_SPREAD, NOON_MEAN, NOON_SPREAD = 6.2, 1.1, 11 * 3600, 2.5 * 3600
 LANDING_BASE = 9_000_000
-#: Ids of a block that is numbered in one task.
+#: Rows that are numbered in one task, about.
 NUMBERED = 1 << 20
 
 
@@ -94,11 +96,10 @@ def ledger(spark: SparkSession, rows: int, seed: int, start: date, end: date, fi
 def repayments(facts: DataFrame, rows: int, seed: int) -> DataFrame:
     """Payments on a third of the ledger's rows, those with the smallest hashes, numbered from 1 in order of the ledger: no row of the ledger is paired twice, whatever the partitions."""
     key = F.xxhash64(F.lit(seed), F.lit("Repayments"), "TransactionID")
-    picked = facts.withColumn("k", key).orderBy("k", "TransactionID").limit(rows // 3).withColumn("id", F.substring("TransactionID", 5, 10).cast("bigint"))
-    # numbers: how many are in the blocks of ids before, and the place within the block
-    block = picked.withColumn("b", F.floor(F.col("id") / NUMBERED))
-    before = block.groupBy("b").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = block.join(before, "b").withColumn("n", F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("id")))
+    parts = 1 + rows // NUMBERED
+    # both the third and the numbers are places in an order that is spread over all tasks
+    picked = running(facts.withColumn("k", key), ["k", "TransactionID"], parts=parts).where(F.col("before") < rows // 3).drop("before", "whole").withColumn("id", F.substring("TransactionID", 5, 10).cast("bigint"))
+    placed = running(picked, ["id"], parts=parts).withColumn("n", F.col("before") + 1)
     return placed.select(
         F.format_string("RPY-%010d", "n").alias("RepaymentID"), "TransactionID", "ClientID", (F.date_add(F.to_date("TransactionDate"), integer(seed, "RepaymentDate", 28, 89).cast("int"))).cast("timestamp").alias("RepaymentDate"),
         F.round(F.col("Amount") * (0.15 + 0.25 * uniform(seed, "AmountPaid")), 2).alias("AmountPaid"), choice(seed, "Method", METHODS).alias("Method"),
