@@ -6,8 +6,8 @@ Two documents are linked if their sets' intersection is such a share of their un
    every set that it is linked with. The order is by how many documents a shingle is in, rare ones first, counted in a table of fixed size; any
    order is right, this one keeps common lines out of the prefixes. Documents of equal sets are one node; nodes that share a prefix shingle are a group;
    groups of the same members are one group.
-2. Stars. Each member of a group meets the group's leader, the member that meets others most often. Links give components.
-3. Signature trees, for groups that still lie in several components. A leaf is a set: its size and the bitmap that its shingles are hashed into. An inner
+2. Stars. Each member of a group meets the group's leader, the member that meets others most often; pairs whose bitmaps allow the threshold are confirmed. Links give components.
+3. Signature trees, for groups that still lie in several components. A leaf is a set: its size and the bitmap that its shingles are hashed into, of four bits a shingle or more. An inner
    node holds its children's bitmaps combined by OR, the range of their sizes, the most shingles that share a bit with others, and the range of their
    components. Two trees (or one with itself) are walked from the roots down, pair of nodes by pair of nodes: a pair is left where sizes don't allow
    the threshold, where both lie in one component, or where the most that any two sets below can have in common, the bits that both have
@@ -25,29 +25,38 @@ Other columns play no part. An empty table gives none.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, released, stored
-from .neardup import _confirmed, _of, components, mix64, shingle_sets
+from .neardup import _confirmed, components, mix64, shingle_sets
 
 #: Counters of the shared order.
 COUNTERS = 1 << 18
-#: Bits of the bitmaps in stars, and in trees.
-STAR_BITS, TREE_BITS = 1024, 8192
+#: Bits of a bitmap at least and at most; the ratio of a band's sizes.
+LEAST_BITS, MOST_BITS, BAND = 256, 1 << 17, 1.25
 #: Members of a block, children of a node, pairs of nodes looked at in one go.
 BLOCK, FAN, PAIRS = 1024, 2, 1 << 14
 
 
-def bitmap(found: np.ndarray, bits: int) -> bytes:
-    """The bitmap of a set of hashes."""
+def bitmap(found: np.ndarray) -> bytes:
+    """The bitmap of a set of hashes, a power of two of bits, four a hash at least."""
+    bits = min(max(1 << (4 * len(found) - 1).bit_length(), LEAST_BITS), MOST_BITS)
     at = np.zeros(bits, np.uint8)
     at[(found >> np.uint64(20)) & np.uint64(bits - 1)] = 1
     return np.packbits(at, bitorder="little").tobytes()
 
 
+def folded(bits: bytes, width: int) -> np.ndarray:
+    """A bitmap as words, brought to a smaller width (in bytes)."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint64).reshape(len(bits) // width, -1), axis=0)
+
+
 def prefix_length(n: int, hundredths: int) -> int:
     return n - -(-hundredths * n // 100) + 1
 
@@ -90,7 +99,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, hundredt
                         prints.append(None), bits.append(None), prefixes.append(None)
                         continue
                     prints.append(np.bitwise_xor.reduce(mix64(found)).tobytes() + np.add.reduce(mix64(found + np.uint64(0x632BE59BD9B4E019))).tobytes())
-                    bits.append(bitmap(found, STAR_BITS))
+                    bits.append(bitmap(found))
                     rare = np.argsort(frequent[(found >> np.uint64(46)).astype(np.int64)], kind="stable")  # of equal counts the smaller hash
                     prefixes.append(found[rare[: prefix_length(len(found), hundredths)]].view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "fp", "bits", "prefix"])
@@ -98,15 +107,24 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, hundredt
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(released(sign), "id long, n long, fp binary, bits binary, prefix array<bigint>")
 
 
-def _tree_bits(texts: DataFrame, words: int) -> DataFrame:
-    """id, n, bits of each row, with the trees' bitmaps."""
+def _allowed(hundredths: int):
+    """From pairs (a, b, their sizes n, m and bitmaps x, y) to the (a, b) whose sizes and bitmaps allow the threshold."""
 
-    def sign(batches):
+    def allow(batches):
         for batch in batches:
-            found = [(len(x), bitmap(x, TREE_BITS)) for x in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["id", "n", "bits"])
+            n, m = batch.column("n").to_numpy(), batch.column("m").to_numpy()
+            like = (n * hundredths <= m * 100) & (m * hundredths <= n * 100)
+            keep = np.zeros(len(n), bool)
+            xs, ys = batch.column("x"), batch.column("y")
+            for i in np.flatnonzero(like):
+                x, y = xs[i].as_py(), ys[i].as_py()
+                width = min(len(x), len(y))
+                x, y = folded(x, width), folded(y, width)
+                more = min(n[i] - int(np.bitwise_count(x).sum()), m[i] - int(np.bitwise_count(y).sum()))
+                keep[i] = (int(np.bitwise_count(x & y).sum()) + more) * (100 + hundredths) >= hundredths * (n[i] + m[i])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return texts.select("id", "text").mapInArrow(released(sign), "id long, n long, bits binary")
+    return allow
 
 
 # ---- trees ----
@@ -179,18 +197,18 @@ def walk(a: Tree, b: Tree, hundredths: int) -> tuple[np.ndarray, np.ndarray, int
 def _meetings(hundredths: int):
     """From rows sorted by meeting (grp, x, y), side by side, to the (a, b) that may be linked. A meeting of a block with itself is one tree, of two blocks two."""
 
-    def grown(rows: pa.Table) -> Tree:
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
+    def grown(rows: pa.Table, width: int) -> Tree:
+        bits = np.array([folded(x, width) for x in rows.column("bits").to_pylist()])
         return Tree(*(rows.column(c).to_numpy() for c in ("node", "label", "n")), bits)
 
     def met(rows: pa.Table):
-        side = rows.column("side").to_numpy()
+        side, width = rows.column("side").to_numpy(), pc.min(pc.binary_length(rows.column("bits"))).as_py()
         if rows.column("x")[0].as_py() == rows.column("y")[0].as_py():
-            a = b = grown(rows)
+            a = b = grown(rows, width)
         elif side.all() or not side.any():
             return None
         else:
-            a, b = grown(rows.filter(pa.array(side == 0))), grown(rows.filter(pa.array(side == 1)))
+            a, b = grown(rows.filter(pa.array(side == 0)), width), grown(rows.filter(pa.array(side == 1)), width)
         i, j, _ = walk(a, b, hundredths)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"]) if len(i) else None
 
@@ -249,29 +267,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     nodes = stored(full.groupBy("fp").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "setjoin-nodes")
 
-    # groups of nodes that share a shingle of their prefixes, each set of members once
-    keys = nodes.select("node", F.explode("prefix").alias("h"))
-    shared = keys.groupBy("h").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")).where("m > 1")
-    groups = stored(shared.groupBy("m", "s", "t").agg(F.min("h").alias("h")).select("h", "m"), "setjoin-groups")
-    members = stored(keys.join(groups, "h").select(F.col("h").alias("grp"), "node", "m"), "setjoin-members")
+    # groups of nodes of like sizes that share a shingle of their prefixes, each set of members once
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+    bands = F.sequence(band(F.col("n")), band(F.floor(F.col("n") * 100 / hundredths)))  # its own, and those of the larger sets that it may be linked with
+    keys = nodes.select("node", "prefix", F.explode(bands).alias("band")).select("node", "band", F.explode("prefix").alias("h")).select("node", F.xxhash64("h", "band").alias("grp"))
+    shared = keys.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1")
+    members = stored(keys.join(shared, "grp"), "setjoin-shared")
+    same = members.groupBy("grp", "m").agg(F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t"))
+    groups = stored(same.groupBy("m", "s", "t").agg(F.min("grp").alias("grp")).select("grp"), "setjoin-groups")
+    members = stored(members.join(groups, "grp").select("grp", "node", "m"), "setjoin-members")
     met_by = stored(members.groupBy("node").agg((F.sum("m") * 65536 + F.pmod(F.xxhash64("node"), F.lit(65536))).alias("meets")), "setjoin-meets")
     lead = stored(members.join(met_by, "node").groupBy("grp").agg(F.max_by("node", "meets").alias("lead")), "setjoin-lead")
 
     # stars
     first = members.join(lead, "grp").where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-    info = nodes.select("node", "n", _words("bits", STAR_BITS).alias("w"))
-    first = first.join(info.select(F.col("node").alias("b"), F.struct("n", "w").alias("y")), "b").join(info.select(F.col("node").alias("a"), F.struct("n", "w").alias("x")), "a")
-    pairs = stored(first.where(_star(hundredths)).select("a", "b"), "setjoin-pairs")
+    info = nodes.select("node", "n", "bits")
+    first = first.join(info.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b").join(info.select(F.col("node").alias("a"), "n", F.col("bits").alias("x")), "a")
+    pairs = stored(first.select("a", "b", "n", "m", "x", "y").mapInArrow(released(_allowed(hundredths)), "a long, b long").distinct(), "setjoin-pairs")
     links = stored(_confirmed(pairs, texts, threshold, words), "setjoin-links")
 
-    # trees
+    # trees; of an id with several texts each set is a leaf of its node
     labels = components(links)
     marked = stored(members.where("m > 2").join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label")), "setjoin-marked")
     mixed = stored(marked.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("grp"), "setjoin-mixed")
     still = stored(marked.join(mixed, "grp"), "setjoin-open")
-    leaves = stored(_tree_bits(_of(texts, stored(still.select(F.col("node").alias("id")).distinct(), "setjoin-ids")), words).where("n > 0"), "setjoin-leaves")
-    # of an id with several texts each set is a leaf of its node
-    dealt = meetings(still).join(leaves.withColumnRenamed("id", "node"), "node").select("grp", "x", "y", "side", "node", "label", "n", "bits")
+    dealt = meetings(still).join(info, "node").select("grp", "x", "y", "side", "node", "label", "n", "bits")
     dealt = dealt.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
     met = stored(dealt.mapInArrow(released(_meetings(hundredths)), "a long, b long").where("a <> b").distinct(), "setjoin-met")
     links = links.union(_confirmed(stored(met.join(pairs, ["a", "b"], "left_anti"), "setjoin-pairs"), texts, threshold, words))
@@ -285,20 +305,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node")).alias("component"))
 
 
-def _words(bits: str, many: int):
-    """A bitmap as an array of longs."""
-    return F.array(*(F.conv(F.hex(F.substring(bits, 8 * k + 1, 8)), 16, -10).cast("bigint") for k in range(many // 64)))
-
-
-def _star(hundredths: int):
-    """The condition that two nodes' sizes and bitmaps allow the threshold."""
-    n, m = F.col("x.n"), F.col("y.n")
-    ones = lambda f: sum((F.bit_count(f(k)) for k in range(STAR_BITS // 64)), F.lit(0))
-    both = ones(lambda k: F.col("x.w")[k].bitwiseAND(F.col("y.w")[k]))
-    common = both + F.least(n - ones(lambda k: F.col("x.w")[k]), m - ones(lambda k: F.col("y.w")[k]))
-    return (n * hundredths <= m * 100) & (m * hundredths <= n * 100) & (common * (100 + hundredths) >= (n + m) * hundredths)
-
-
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns from what classes() returns."""
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
