@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from vigil.llm import decontaminate as D
 
 DOCS = "doc_id long, text string, win string, items int"
@@ -34,11 +36,15 @@ def key(rows):
     return sorted(map(repr, rows))
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [D.BROADCAST_BYTES, -1])
+def test_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", broadcast)
     rng = random.Random(3)
     vocab = ["Aa", "b", "cé", "d", "ee-f"]
     items = [(i, " ".join(rng.choices(vocab, k=rng.choice([0, 1, 2, 13, 14, 20])) if i > 1 else ["zz", "Yy", str(i)])) for i in range(12)] + [(None, "q r s"), (77, None), (2, "q r s")]
     docs = [(i, " ".join(rng.choices(vocab, k=rng.randint(0, 60)))) for i in range(40)]
+    docs += [(200 + i, "the same thirteen words are in every one of these texts here now " * 30 + str(i)) for i in range(30)]  # a hot window
+    items.append((8, "The same thirteen words are in every one of these texts here now"))
     docs += [(90, docs[3][1]), (3, docs[3][1]), (3, docs[3][1]), (None, "x Q r! S x"), (91, None), (92, ""), (93, items[9][1] + ". " + "w " * 5000), (94, "ZZ yy 1 " * 3000), (3, "other text")]
     df = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS)
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -46,6 +52,16 @@ def test_against_brute_force(spark):
     assert key(got) == key(brute(docs, items))
 
 
+def test_beyond_broadcast_no_words_go_with_the_windows(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
+    docs = spark.createDataFrame([(1, "a b c " * 50, "", 0)], DOCS)
+    plan = D.hits(docs, spark.createDataFrame([(5, "b c")], "item_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    # the innermost join, of windows by their hash
+    join = next(line for line in reversed(plan.splitlines()) if "Join Inner" in line and "(h#" in line)
+    below = plan.splitlines()[plan.splitlines().index(join) + 1]
+    assert "Project" in below and "ws#" not in below, below
+
+
 def test_empty_tables_and_join_beyond_broadcast(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c", "", 0)], DOCS)
     none = spark.createDataFrame([], "item_id long, text string")

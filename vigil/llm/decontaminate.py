@@ -55,9 +55,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     sizes = benchmark.select(F.size(words(F.col(item_text_col))).alias("k"), F.octet_length(item_text_col).alias("b"))
     row = sizes.agg(F.collect_set(F.when(F.col("k") > 0, F.least("k", F.lit(n)))).alias("lens"), F.sum("b").alias("bytes")).first()  # at most n numbers
     windows = benchmark_windows(benchmark, item_col, item_text_col, n)
-    windows = F.broadcast(windows) if (row.bytes or 0) <= BROADCAST_BYTES else windows.hint("merge")
-    own = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("h")))
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), words(F.col(text_col)).alias("ws"))
+    if (row.bytes or 0) > BROADCAST_BYTES:
+        return _spans(_met_by_merge(split, windows, sorted(row.lens)))
+    windows = F.broadcast(windows)
+    own = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("bigint").alias("h")))
     split = split.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
     every = F.concat(own, *(F.coalesce(_windows("hs", k), F.array().cast(OWN)) for k in sorted(row.lens)))
     # the array of windows is made in a step of its own: exploding (outer, so that no filter on the array is pushed below it) and probing are then compiled, and the words are read only where a hash is met
@@ -70,6 +72,26 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         F.sort_array(F.collect_set(F.when(F.col("at") > 0, F.struct("at", (F.col("at") + F.col("len")).alias("end"))))).alias("found"),
         F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items"),
     )
+    return _spans(grouped)
+
+
+def _met_by_merge(split: DataFrame, windows: DataFrame, lens: list[int]) -> DataFrame:
+    """What a benchmark too large to broadcast is met by: the windows' hashes and places alone go through the exchange, and the words of a document come back, once, to those that are met."""
+    base = split.groupBy("id", "text_hash").agg(F.count("*").cast("int").alias("copies"), F.first("ws").alias("ws")).withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
+    every = F.concat(F.array().cast(OWN), *(F.coalesce(_windows("hs", k), F.array().cast(OWN)) for k in lens))
+    slim = base.select("id", "text_hash", F.explode(every).alias("w")).select(F.col("id").alias("i"), F.col("text_hash").alias("t"), "w.*")
+    own = lambda a, b: F.col(a).eqNullSafe(F.col("id")) & (F.col(b) == F.col("text_hash"))
+    met = slim.join(windows.hint("merge"), "h").join(base.select("id", "text_hash", "ws"), own("i", "t"))
+    met = met.where(F.col("win") == F.array_join(F.slice("ws", F.col("at"), F.col("len")), " "))
+    found = met.groupBy("i", "t").agg(
+        F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("len")).alias("end")))).alias("found"), F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_set("items"))), lambda x: x.cast("string"))).alias("items"),
+    )
+    out = base.select("id", "text_hash", F.size("ws").alias("n_words"), "copies").join(found, own("i", "t"), "left")
+    return out.select("id", "text_hash", "n_words", "copies", F.coalesce("found", F.array().cast("array<struct<at:int,end:int>>")).alias("found"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _spans(grouped: DataFrame) -> DataFrame:
+    """From the distinct places that are hit to disjoint spans and their words, a row for each copy of a document."""
     merged = F.expr("""aggregate(found, cast(array() as array<struct<at:int,end:int>>), (acc, x) ->
         if(size(acc) > 0 and x.at <= acc[size(acc) - 1].end,
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('at', acc[size(acc) - 1].at, 'end', greatest(acc[size(acc) - 1].end, x.end)))),
