@@ -71,12 +71,13 @@ def test_rendering(spark):
     assert parsed(text[6]) == [("user", "\n\n")]
 
 
-def test_a_conversation_cut_into_partitions(spark):
+def test_a_conversation_cut_into_partitions(spark, monkeypatch):
     rng = random.Random(5)
     roles = [rng.choice(["system", "user", "assistant", "odd"]) for _ in range(400)]
     rows = [(7, i, r, f"t{i}") for i, r in enumerate(roles)] + [(i, 0, "user", "x") for i in range(100, 130)]
     whole, _ = C.repair([C.role_state(r) for r in roles])
-    for partitions in (1, 9):
+    for partitions, fan in ((1, 256), (9, 256), (9, 2), (30, 3)):
+        monkeypatch.setattr(C, "FAN", fan)  # so that the tree of matrices has several levels
         got = run(spark, rows, partitions)[7]
         text = "".join(r.piece for r in got)
         states = [C.ROLES.index(r) + 1 for r, _ in parsed(text)]
@@ -84,3 +85,20 @@ def test_a_conversation_cut_into_partitions(spark):
         cost = sum((C.NAME if C.role_state(was) == 0 else C.RELABEL) * (r.action.startswith("relabel")) + C.MERGE * r.action.endswith("merge") + C.INSERT * (r.empty_before is not None) for r, was in zip(got, roles, strict=True))
         assert cost == whole
     assert C.format_chats(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_matrices_compose():
+    """A part's matrix is the product of its halves', and the states chosen between parts cost what the whole costs."""
+    rng = random.Random(8)
+    for _ in range(60):
+        roles = [rng.randrange(4) for _ in range(rng.randint(2, 12))]
+        cuts = sorted(rng.sample(range(1, len(roles)), rng.randint(1, min(3, len(roles) - 1))))
+        parts = [roles[a:b] for a, b in zip([0, *cuts], [*cuts, len(roles)], strict=True)]
+        matrices = [list(C.matrix(p)) for p in parts]
+        whole = matrices[0]
+        for m in matrices[1:]:
+            whole = C.product(whole, m)
+        assert [min(x, C._FAR) for x in C.matrix(roles)] == whole
+        states = C.between(matrices, C.START, None)
+        assert all(a[1] == b[0] for a, b in zip(states[:-1], states[1:], strict=True)) and states[0][0] == C.START
+        assert sum(m[4 * a + b] for m, (a, b) in zip(matrices, states, strict=True)) + C.END[states[-1][1]] == C.repair(roles)[0]

@@ -5,9 +5,10 @@ Dynamic programming over that automaton chooses for each turn to keep it, to giv
 the turn before of the same role, or to put an empty turn before it; the cheapest sequence of such repairs is rendered.
 
 Rows are sorted by conversation and turn over range partitions, so a conversation of any length is cut where a partition
-ends. A partition's first and last conversations give the costs from each state to each (a matrix); those matrices,
-two a partition at most, come to the driver, which chooses the states at the cuts; then each partition repairs its
-turns between the states given. A row of the result is a turn with its piece of the rendering: the pieces of a
+ends. A partition's first and last conversations give the costs from each state to each (a matrix). Matrices compose, so those of a
+conversation that is cut are multiplied up a tree of FAN to a node, its root chooses the states at its two ends, and the
+states at the cuts are chosen on the way down; they join their partitions, which repair their turns between them. Nothing of that meets on the driver, and no task holds
+more than FAN matrices of a conversation. A row of the result is a turn with its piece of the rendering: the pieces of a
 conversation, put end to end in order of `seq`, are the rendered sequence, so no row grows with a conversation.
 
 Partitions are as many as the input's size asks for, so that each holds some PART_BYTES of text, or a row more.
@@ -21,7 +22,9 @@ at its end. Other columns play no part.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ _BETWEEN = {(START, ASSISTANT): USER, (SYSTEM, ASSISTANT): USER, (USER, USER): A
 _FAR = 1 << 40
 #: Bytes of a partition, about; a turn counts as TURN_BYTES more than its text.
 PART_BYTES, TURN_BYTES = 16 << 20, 200
+#: Parts of a conversation that are chosen between in one task.
+FAN = 256
 
 
 def role_state(role: str | None) -> int:
@@ -155,38 +160,75 @@ def _edges(batches):
             yield pa.RecordBatch.from_pydict({"pid": pa.array([pid] * len(ends), pa.int64()), "conv": pa.array([str(ids[a]) for a, _ in ends]), "costs": pa.array([matrix(roles[a:b]) for a, b in ends], pa.list_(pa.int64()))})
 
 
-def cut_states(edges: list[tuple[int, str, list[int]]]) -> dict[tuple[int, str], tuple[int, int | None, bool, bool]]:
-    """(state before, state after or None at the conversation's end, whether first, whether last) of each part of a conversation that lies in several partitions."""
-    of: dict[str, list[tuple[int, list[int]]]] = {}
-    for pid, conv, m in sorted(edges, key=lambda e: e[0]):
-        of.setdefault(conv, []).append((pid, m))
-    out = {}
-    for conv, parts in of.items():
-        if len(parts) < 2:
-            continue
-        best, back = [0, _FAR, _FAR, _FAR], []
-        for _, m in parts:
-            froms = [min(range(4), key=lambda s, t=t, best=best, m=m: best[s] + m[4 * s + t]) for t in range(4)]
-            best = [best[froms[t]] + m[4 * froms[t] + t] for t in range(4)]
-            back.append(froms)
-        state = min(range(4), key=lambda s: best[s] + END[s])
-        for i in range(len(parts) - 1, -1, -1):
-            before = back[i][state]
-            out[parts[i][0], conv] = (before, None if i == len(parts) - 1 else state, i == 0, i == len(parts) - 1)
-            state = before
-    return out
+def product(a: list[int], b: list[int]) -> list[int]:
+    """The costs of two parts in a row, from each state to each."""
+    return [min(_FAR, *(a[4 * s + u] + b[4 * u + t] for u in range(4))) for s in range(4) for t in range(4)]
+
+
+def between(parts: list[list[int]], before: int, after: int | None) -> list[tuple[int, int]]:
+    """(state before, state after) of each of the parts in a row, at the least cost from `before` to `after`; None: to the best end."""
+    best, back = [0 if s == before else _FAR for s in range(4)], []
+    for m in parts:
+        froms = [min(range(4), key=lambda s, t=t, best=best, m=m: best[s] + m[4 * s + t]) for t in range(4)]
+        best = [best[froms[t]] + m[4 * froms[t] + t] for t in range(4)]
+        back.append(froms)
+    state = min(range(4), key=lambda s: best[s] + END[s]) if after is None else after
+    out = []
+    for froms in reversed(back):
+        out.append((froms[state], state))
+        state = froms[state]
+    return out[::-1]
+
+
+CUT = "pid long, conv string, before int, after int, first boolean, last boolean"
+
+
+def cut_states(edges: DataFrame, partitions: int) -> DataFrame:
+    """pid, conv, before, after, first, last of each part of a conversation that lies in several partitions: the states that it begins and ends in, and whether it is the conversation's first or last. edges: pid, conv, costs."""
+    several = edges.groupBy("conv").agg(F.count("*").alias("c")).where("c > 1").select("conv")
+    levels, width = [stored(edges.join(several, "conv", "left_semi"), "chat-cut")], partitions
+    while width > FAN:
+        up = levels[-1].groupBy("conv", F.floor(F.col("pid") / FAN).alias("b")).applyInPandas(_up, "pid long, conv string, costs array<long>")
+        levels.append(stored(up, "chat-tree"))
+        width = -(-width // FAN)
+    chosen = levels[-1].groupBy("conv").applyInPandas(lambda rows: _down(rows, START, None, True, True), CUT)
+    for level in reversed(levels[:-1]):
+        chosen = level.groupBy("conv", F.floor(F.col("pid") / FAN).cast("long").alias("b")).cogroup(chosen.groupBy("conv", F.col("pid").alias("b"))).applyInPandas(_each, CUT)
+    return chosen
+
+
+def _up(key, rows):
+    rows = rows.sort_values("pid")
+    whole = None
+    for m in rows["costs"]:
+        whole = list(m) if whole is None else product(whole, list(m))
+    return pd.DataFrame({"pid": [key[1]], "conv": [key[0]], "costs": [whole]})
+
+
+def _down(rows, before, after, first, last):
+    rows = rows.sort_values("pid")
+    states = between([list(m) for m in rows["costs"]], before, after)
+    n = len(rows)
+    return pd.DataFrame({"pid": rows["pid"], "conv": rows["conv"], "before": [s[0] for s in states], "after": [s[1] for s in states], "first": [first and i == 0 for i in range(n)], "last": [last and i == n - 1 for i in range(n)]})
+
+
+def _each(rows, parent):
+    p = parent.iloc[0]
+    return _down(rows, int(p["before"]), int(p["after"]), bool(p["first"]), bool(p["last"]))
 
 
-def _repaired(shared):
+def _repaired():
     def repaired(batches):
-        cuts = shared.value
-        for pid, part in _partitions(batches):
+        for _, mixed in _partitions(batches):
+            told = mixed.filter(pc.is_valid(mixed.column("cut"))).column("cut").to_pylist()
+            cuts = {c["conv"]: (c["before"], None if c["last"] else c["after"], c["first"], c["last"]) for c in told}
+            part = mixed.filter(pc.is_null(mixed.column("cut"))).combine_chunks()
             ids, runs = _runs(part)
             roles = [role_state(r) for r in part.column("role").to_pylist()]
             texts = [t or "" for t in part.column("text").to_pylist()]
             role, action, put, text = [], [], [], []
             for a, b in runs:
-                before, after, first, last = cuts.get((pid, str(ids[a])), (START, None, True, True)) if ids[a] is not None else (START, None, True, True)
+                before, after, first, last = cuts.get(str(ids[a]), (START, None, True, True)) if ids[a] is not None else (START, None, True, True)
                 _, done = repair(roles[a:b], before, after)
                 for was, (to, merges, empty) in zip(roles[a:b], done, strict=True):
                     role.append(ROLES[to - 1])
@@ -213,7 +255,9 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     placed = stored(placed.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("seq"), F.spark_partition_id().cast("long").alias("pid")), "chat-sorted")
     # a range partition is read again as a whole, in order
     parts = placed.repartition(n, "pid").sortWithinPartitions("pid", "seq")
-    edges = [(r.pid, r.conv, r.costs) for r in parts.mapInArrow(_edges, "pid long, conv string, costs array<long>").collect()]  # two a partition at most
-    shared = spark.sparkContext.broadcast(cut_states(edges))
+    edges = stored(parts.mapInArrow(_edges, "pid long, conv string, costs array<long>"), "chat-edges")  # two a partition at most
+    cut = F.struct("conv", "before", "after", "first", "last")
+    told = cut_states(edges, n).select("pid", cut.alias("cut"))
+    parts = placed.unionByName(told, allowMissingColumns=True).repartition(n, "pid").sortWithinPartitions("pid", F.asc_nulls_first("seq"))
     form = f"conv_id {id_kind}, seq long, turn {turn_kind}, role string, action string, empty_before string, piece string"
-    return parts.mapInArrow(_repaired(shared), form)
+    return parts.mapInArrow(_repaired(), form)
