@@ -42,6 +42,8 @@ COUNTERS = 1 << 18
 LEAST_BITS, MOST_BITS, BAND = 256, 1 << 17, 1.25
 #: Members of a block, children of a node, pairs of nodes looked at in one go.
 BLOCK, FAN, PAIRS = 1024, 2, 1 << 14
+#: Up to so many sets that come again, their prints (16 bytes) are broadcast; beyond, a join serves.
+BROADCAST_SETS = 500_000
 
 
 def bitmap(found: np.ndarray) -> bytes:
@@ -265,14 +267,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     signed = stored(signatures(docs, id_col, text_col, words, hundredths, frequencies(docs, text_col, words)), "setjoin-signatures")
     full = signed.where("id is not null and fp is not null")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    nodes = stored(full.groupBy("fp").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "setjoin-nodes")
+    # a node for each distinct set: the smallest id that has it. Only rows whose set comes again are brought together
+    again = stored(full.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "setjoin-again")
+    again = F.broadcast(again) if again.count() <= BROADCAST_SETS else again
+    columns = ("n", "bits", "prefix")
+    copies = full.join(again, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("node"), *(F.first(c).alias(c) for c in columns))
+    nodes = stored(full.join(again, "fp", "left_anti").select("fp", F.col("id").alias("node"), *columns).unionByName(copies), "setjoin-nodes")
 
     # groups of nodes of like sizes that share a shingle of their prefixes, each set of members once
     band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
     bands = F.sequence(band(F.col("n")), band(F.floor(F.col("n") * 100 / hundredths)))  # its own, and those of the larger sets that it may be linked with
-    keys = nodes.select("node", "prefix", F.explode(bands).alias("band")).select("node", "band", F.explode("prefix").alias("h")).select("node", F.xxhash64("h", "band").alias("grp"))
+    keys = nodes.select("node", "prefix", F.explode(bands).alias("band")).select("node", "band", F.explode("prefix").alias("h")).select("node", F.shiftrightunsigned(F.xxhash64("h", "band"), 16).alias("grp"))  # 48 bits, which the exchange carries; groups that fall together only meet in vain
     shared = keys.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(keys.join(shared, "grp"), "setjoin-shared")
+    # most groups are a pair, which needs no leader
+    two = members.where("m = 2").groupBy("grp").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
+    members = members.where("m > 2")
     same = members.groupBy("grp", "m").agg(F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t"))
     groups = stored(same.groupBy("m", "s", "t").agg(F.min("grp").alias("grp")).select("grp"), "setjoin-groups")
     members = stored(members.join(groups, "grp").select("grp", "node", "m"), "setjoin-members")
@@ -280,7 +290,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     lead = stored(members.join(met_by, "node").groupBy("grp").agg(F.max_by("node", "meets").alias("lead")), "setjoin-lead")
 
     # stars
-    first = members.join(lead, "grp").where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    first = members.join(lead, "grp").where("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).union(two).distinct()
     info = nodes.select("node", "n", "bits")
     first = first.join(info.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b").join(info.select(F.col("node").alias("a"), "n", F.col("bits").alias("x")), "a")
     pairs = stored(first.select("a", "b", "n", "m", "x", "y").mapInArrow(released(_allowed(hundredths)), "a long, b long").distinct(), "setjoin-pairs")
@@ -288,7 +298,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     # trees; of an id with several texts each set is a leaf of its node
     labels = components(links)
-    marked = stored(members.where("m > 2").join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label")), "setjoin-marked")
+    marked = stored(members.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label")), "setjoin-marked")
     mixed = stored(marked.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("grp"), "setjoin-mixed")
     still = stored(marked.join(mixed, "grp"), "setjoin-open")
     dealt = meetings(still).join(info, "node").select("grp", "x", "y", "side", "node", "label", "n", "bits")
