@@ -1,8 +1,10 @@
+import gc
 import hashlib
 import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -62,3 +64,22 @@ def test_queries(spark):
     coded = bpe.encode(df, PATH, P.PATTERN)
     assert sorted(repr((r.id, r.text)) for r in bpe.decode(coded, PATH, P.PATTERN).collect()) == sorted(repr((i, t or "")) for i, t, _ in docs)
     assert bpe.round_trip(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_a_worker_keeps_nothing_between_tasks(spark, monkeypatch):
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(isinstance(x, bpe.Coder) for x in gc.get_objects())]})
+
+    rows = spark.createDataFrame([(i, f"one two {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    coded = bpe.encode(rows, PATH, P.PATTERN)
+    for df in (bpe.round_trip(rows, PATH, P.PATTERN), coded, bpe.decode(coded, PATH, P.PATTERN)):
+        assert df.count() == 40
+        assert {r.n for r in spark.range(0, 16, 1, 16).mapInArrow(held, "n long").collect()} == {0}
+    made = []
+    monkeypatch.setattr(bpe, "Coder", lambda *a, kind=bpe.Coder: made.append(kind(*a)) or made[-1])
+    with pytest.raises(KeyError), bpe.coder(PATH, P.PATTERN) as c:
+        raise KeyError(c.encode(["x"])[0])
+    assert not made[0].known
+    with pytest.raises(Exception, match="(?i)closed"):
+        made[0].encode(["y"])

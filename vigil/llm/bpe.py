@@ -10,8 +10,8 @@ piece are bounded by the distinct ranks that it uses, and a very long piece is n
 
 Decoding joins ids with the vocabulary and concatenates the tokens' bytes in order of position, by text.
 
-Pieces merged before are kept in a table of bounded size in each worker; it holds results only, so losing it costs
-time and nothing else.
+Pieces merged before are kept in a table of bounded size while a task lasts; it holds results only, so losing it costs
+time and nothing else. With the task goes all of it, and the DuckDB: a worker that waits for its next task would keep both.
 
 Nulls and the like: a null or empty text has no ids and decodes to nothing. Text that looks like a special token is
 ordinary text. Rows that repeat are encoded alike. An id that the vocabulary lacks is an error in decoding. Other columns
@@ -21,6 +21,7 @@ play no part. A lone surrogate can't be in a table's text and so can't come.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 
 import numpy as np
@@ -31,11 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, released
 
-#: Pieces that a worker remembers (twice so many before it forgets), and that one recursive query takes at most; ids decoded at once.
+#: Pieces that a task remembers (twice so many before it forgets), and that one recursive query takes at most; ids decoded at once.
 REMEMBERED, PIECES, DECODED_IDS = 300_000, 40_000, 1 << 19
 
-_state: dict = {}
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a .tiktoken file, which is on every worker's Python path like the library that brings it."""
@@ -75,6 +74,11 @@ class Coder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def close(self) -> None:
+        """Gives up the DuckDB and all that was remembered."""
+        self.db.close()
+        self.known, self.older = {}, {}
+
     def merge(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit integers."""
         raw = [p.encode() for p in pieces]
@@ -154,11 +158,14 @@ SELECT piece, id FROM rounds WHERE done ORDER BY piece, pos
 _DECODE = "SELECT g.row, count(v.id) AS n, coalesce(string_agg(v.token, '' ORDER BY g.pos), '') AS text FROM given_ids g LEFT JOIN vocabulary v USING (id) GROUP BY g.row"
 
 
-def coder(path: str, pattern: str) -> Coder:
-    """This process's coder of a vocabulary."""
-    if (path, pattern) not in _state:
-        _state[path, pattern] = Coder(path, pattern)
-    return _state[path, pattern]
+@contextlib.contextmanager
+def coder(path: str, pattern: str):
+    """A task's coder of a vocabulary."""
+    made = Coder(path, pattern)
+    try:
+        yield made
+    finally:
+        made.close()
 
 
 def _parts(batch, size: int = 1 << 21):
@@ -179,13 +186,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        c = coder(path, pattern)
-        for batch in batches:
-            for part, texts in _parts(batch):
-                coded = c.encode(texts)
-                flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-                cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["id", "ids"])
+        with coder(path, pattern) as c:
+            for batch in batches:
+                for part, texts in _parts(batch):
+                    coded = c.encode(texts)
+                    flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+                    cuts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in coded])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["id", "ids"])
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"id {kind}, ids array<int>")
@@ -196,12 +203,12 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     kind = coded.schema["id"].dataType.simpleString()
 
     def run(batches):
-        c = coder(path, pattern)
-        for batch in batches:
-            for pos in range(0, batch.num_rows, 256):
-                part = batch.slice(pos, 256)
-                data = c.decode([np.asarray(x or [], "<u4").tobytes() for x in part.column("ids").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data])], ["id", "bytes", "text"])
+        with coder(path, pattern) as c:
+            for batch in batches:
+                for pos in range(0, batch.num_rows, 256):
+                    part = batch.slice(pos, 256)
+                    data = c.decode([np.asarray(x or [], "<u4").tobytes() for x in part.column("ids").to_pylist()])
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary()), pa.array([x.decode("utf-8", "replace") for x in data])], ["id", "bytes", "text"])
 
     bounded_batches(coded.sparkSession)
     return coded.select("id", "ids").mapInArrow(released(run), f"id {kind}, bytes binary, text string")
@@ -212,13 +219,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        c = coder(path, pattern)
-        for batch in batches:
-            for part, texts in _parts(batch):
-                coded = c.encode(texts)
-                ids = pa.array([hashlib.sha256(x).hexdigest() for x in coded])
-                back = pa.array([hashlib.sha256(x).hexdigest() for x in c.decode(coded)])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) // 4 for x in coded], pa.int64()), ids, back], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with coder(path, pattern) as c:
+            for batch in batches:
+                for part, texts in _parts(batch):
+                    coded = c.encode(texts)
+                    ids = pa.array([hashlib.sha256(x).hexdigest() for x in coded])
+                    back = pa.array([hashlib.sha256(x).hexdigest() for x in c.decode(coded)])
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) // 4 for x in coded], pa.int64()), ids, back], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
