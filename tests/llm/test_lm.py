@@ -184,3 +184,55 @@ def test_words_with_structure_are_counted_apart(spark):
     assert got[other].n_known == 3 and got[train[0]].train_tokens == 6
     n, v = 6, 4
     assert abs(got[other].base_score - float(sum(np.log10((c + 1) / (n + v + 1)) for c in (2, 0, 0, 1, 2)))) < 1e-9
+
+
+def test_output_in_blocks(monkeypatch):
+    words, p = small()
+    rng = np.random.default_rng(5)
+    p["bw"][:2] = rng.normal(0, 1, (2, lm.SIZE))
+    made = {}
+    monkeypatch.setattr(lm.Trainer, "update", lambda self, name, grad, rows=None: made.setdefault(lm.ROWS, {}).__setitem__(name, grad.copy()))
+    for ids in (np.where(rng.random(300) < 0.2, -1, (rng.pareto(0.5, 300)).astype(np.int64) % lm.VOCABULARY), np.full(5, -1), np.arange(7)):
+        made.clear()
+        hs = rng.normal(0, 0.5, (len(ids), lm.HIDDEN)).astype(np.float32)
+        logits, within = hs @ p["Wc"] + p["bc"], np.einsum("nh,nhs->ns", hs, p["Ww"][np.maximum(ids, 0) // lm.SIZE]) + p["bw"][np.maximum(ids, 0) // lm.SIZE]
+        part = lambda x: x - np.log(np.exp(x.astype(np.float64)).sum(axis=1))[:, None]
+        at, cls = np.arange(len(ids)), np.where(ids < 0, lm.CLASSES, ids // lm.SIZE)
+        want = part(logits)[at, cls] + np.where(ids < 0, 0, part(np.maximum(within, -40))[at, ids % lm.SIZE])
+        d, e = np.exp(part(logits)), np.where(ids[:, None] < 0, 0, np.exp(part(np.maximum(within, -40))))
+        d[at, cls] -= 1
+        e[at[ids >= 0], ids[ids >= 0] % lm.SIZE] -= 1
+        back = 0.02 * (d @ p["Wc"].T + np.einsum("ns,nhs->nh", e, p["Ww"][np.maximum(ids, 0) // lm.SIZE]))
+        for rows in (7, 64, 1024):
+            monkeypatch.setattr(lm, "ROWS", rows)
+            assert np.allclose(lm.out_log_probs(p, hs, ids), want, atol=1e-4)
+            assert np.allclose(lm.Trainer(p).output(hs.copy(), ids), back, atol=1e-5)
+        for name in ("Wc", "bc", "Ww", "bw"):
+            assert all(np.allclose(made[7][name], made[n][name], atol=1e-5) for n in (64, 1024))
+        assert np.allclose(made[7]["Wc"], 0.02 * hs.T @ d, atol=1e-5) and np.allclose(made[7]["bc"], 0.02 * d.sum(axis=0), atol=1e-5)
+        assert np.allclose(made[7]["bw"][0], 0.02 * e[(ids >= 0) & (ids < lm.SIZE)].sum(axis=0), atol=1e-5)
+
+
+def test_sums_of_equal_rows():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 50, 4000):
+        rows = (rng.pareto(0.6, n) * 2).astype(np.int64) % (lm.VOCABULARY + 1)
+        x = rng.normal(size=(n, 6)).astype(np.float32)
+        got, of = lm.row_sums(x, rows)
+        assert sorted(of.tolist()) == sorted(set(rows.tolist()))
+        for total, row in zip(got, of, strict=True):
+            assert np.allclose(total, x[rows == row].sum(axis=0), atol=1e-3)
+
+
+def test_arrays_of_a_window_are_few():
+    import tracemalloc
+
+    words, p = small()
+    ids = np.random.default_rng(7).integers(-1, lm.VOCABULARY, (lm.WINDOW, lm.LANES))
+    inputs, none = np.where(ids < 0, lm.VOCABULARY, ids), np.zeros(ids.shape, bool)
+    trainer = lm.Trainer(p)
+    tracemalloc.start()
+    trainer.window(np.zeros((lm.LANES, lm.HIDDEN), np.float32), inputs, none, ids, ~none)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 10_500_000  # it was 11353493

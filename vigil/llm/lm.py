@@ -157,23 +157,26 @@ def initial(words: Words, n_all: int) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def step(p, h, x):
-    """(gates z, r, candidate n, h @ Un, next h) for inputs x: rows of E."""
-    g = h @ p["U"]
-    a = x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+def step(p, h, x, room=(None, None, None, None)):
+    """(gates z, r, candidate n, h @ Un, next h) for inputs x: rows of E. room: where h @ U, the gates, the candidate and the next h go; h stays."""
+    g = np.matmul(h, p["U"], out=room[0])
+    a = np.add(x[:, : 2 * HIDDEN], g[:, : 2 * HIDDEN], out=room[1])
     np.negative(a, out=a)
     np.exp(a, out=a)
     a += 1
     np.reciprocal(a, out=a)
     z, r, gn = a[:, :HIDDEN], a[:, HIDDEN:], g[:, 2 * HIDDEN :]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
-    return z, r, n, gn, n + z * (h - n)
+    n = np.multiply(r, gn, out=room[2])
+    n += x[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    to = np.subtract(h, n, out=room[3])
+    to *= z
+    to += n
+    return z, r, n, gn, to
 
 
-def _bounded(logits, bias):
-    """The logits with their biases, within what exponentials hold."""
-    logits += bias
-    return np.clip(logits, -40, 40, out=logits)
+#: Words whose probabilities are worked out together: so few that their logits stay in a core's cache.
+ROWS = 1024
 
 
 def _sums(x):
@@ -181,18 +184,53 @@ def _sums(x):
     return x @ np.ones(x.shape[1], x.dtype)
 
 
+class Classed:
+    """Words (-1: the class of all others) after the states hs, in order of their classes, in blocks of ROWS; weights have their biases as one row more, and states a one."""
+
+    def __init__(self, p, hs, ids):
+        cls = np.where(ids < 0, CLASSES, ids // SIZE).astype(np.uint16)
+        self.order = np.argsort(cls, kind="stable")
+        self.cls, self.word = cls[self.order], ids[self.order] % SIZE
+        self.n = len(ids)
+        self.own = int(np.searchsorted(self.cls, CLASSES))  # those after it are words outside
+        self.x = np.ones((self.n, HIDDEN + 1), hs.dtype)
+        self.x[:, :HIDDEN] = hs.take(self.order, axis=0)
+        self.of_class = np.concatenate([p["Wc"], p["bc"][None]])
+        self.of_word = np.concatenate([p["Ww"], p["bw"][:, None]], axis=1)
+        kind = np.result_type(hs, p["Wc"])
+        self.logits, self.row = np.empty((ROWS, CLASSES + 1), kind), np.arange(ROWS)
+        self.within = np.empty((ROWS, SIZE), kind)
+        first = np.flatnonzero(np.concatenate([[True], (self.cls[1:] != self.cls[:-1]) | (np.arange(1, self.n) % ROWS == 0)])[: self.n])
+        first = first[first < self.own]
+        self.spans: dict[int, list[tuple[int, int, int]]] = {}
+        for k, a, b in zip(self.cls[first].tolist(), first.tolist(), np.append(first, self.own)[1:].tolist(), strict=True):
+            self.spans.setdefault(a // ROWS, []).append((k, a % ROWS, b - a + a % ROWS))
+
+    def blocks(self):
+        """(first and last place, states, logits of the classes, the spans (class, first, last) of the words within classes, their logits)."""
+        for a in range(0, self.n, ROWS):
+            b = min(a + ROWS, self.n)
+            x, logits = self.x[a:b], self.logits[: b - a]
+            np.clip(np.matmul(x, self.of_class, out=logits), -40, 40, out=logits)
+            spans = self.spans.get(a // ROWS, [])
+            within = self.within[: spans[-1][2] if spans else 0]
+            for k, i, j in spans:
+                np.matmul(x[i:j], self.of_word[k], out=within[i:j])
+            np.clip(within, -40, 40, out=within)
+            yield a, b, x, logits, spans, within
+
+
 def out_log_probs(p, hs, ids):
     """Natural log probabilities of words (-1: the class of all others) after the states hs."""
-    cls = np.where(ids < 0, CLASSES, ids // SIZE)
-    logits = _bounded(hs @ p["Wc"], p["bc"])
-    out = logits[np.arange(len(ids)), cls] - np.log(_sums(np.exp(logits)))
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        mine = order[cuts[k] : cuts[k + 1]]
-        if len(mine):
-            w = _bounded(hs[mine] @ p["Ww"][k], p["bw"][k])
-            out[mine] += w[np.arange(len(mine)), ids[mine] % SIZE] - np.log(_sums(np.exp(w)))
+    c = Classed(p, hs, ids)
+    out = np.empty(c.n, c.logits.dtype)
+    for a, b, _, logits, _, within in c.blocks():
+        m = len(within)
+        found = logits[c.row[: b - a], c.cls[a:b]]
+        found[:m] += within[c.row[:m], c.word[a : a + m]]
+        found -= np.log(_sums(np.exp(logits, out=logits)))
+        found[:m] -= np.log(_sums(np.exp(within, out=within)))
+        out[c.order[a:b]] = found
     return out
 
 
@@ -235,19 +273,39 @@ def score_tokens(p, ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray
         live = int((part[:, 0] >= 0).sum())
         part, h = part[:live], h[:live]
         hs = np.empty((part.shape[1], live, HIDDEN), np.float32)
-        x = p["E"][before[np.maximum(part, 0)].T]
+        x = p["E"].take(before[np.maximum(part, 0)].T, axis=0)
         fresh = begins[np.maximum(part, 0)].T
+        room = tuple(np.empty((live, k * HIDDEN), np.float32) for k in (3, 2, 1))
         for t in range(part.shape[1]):
             if fresh[t].any():
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            h = step(p, h, x[t])[-1]
-            hs[t] = h
+            h = step(p, h, x[t], (*room, hs[t]))[-1]
         where = part.T
         real = where >= 0
         out[where[real]] = out_log_probs(p, hs[real], ids[where[real]])
     return out
 
 
+def row_sums(values, rows, often: int = 16):
+    """(the sums of the values of equal rows, those rows). The n-th of each are added at once, those of rows that come more often than that one row after another: faster than reduceat along the long axis."""
+    order = np.argsort(rows.astype(np.uint16) if VOCABULARY < 1 << 16 else rows, kind="stable")
+    by = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]]))
+    sizes = np.diff(np.append(first, len(by)))
+    most = np.argsort(-sizes, kind="stable")
+    first, sizes = first[most], sizes[most]
+    out = values.take(order[first], axis=0)
+    heavy = int(np.searchsorted(-sizes, -often))
+    for i, (a, n) in enumerate(zip(first[:heavy].tolist(), sizes[:heavy].tolist(), strict=True)):
+        np.add.reduce(values.take(order[a : a + n], axis=0), axis=0, out=out[i])
+    for k in range(1, often):
+        to = int(np.searchsorted(-sizes, -k))
+        if to <= heavy:
+            break
+        out[heavy:to] += values.take(order[first[heavy:to] + k], axis=0)
+    return out, by[first]
+
+
 #: The axis over which a layer's squares of gradients are averaged between rounds.
 _ROW = {"E": 1, "U": 0, "Wc": 0, "Ww": 1}
 
@@ -277,75 +335,81 @@ class Trainer:
     def window(self, h, inputs, fresh, ids, real):
         """One forward and backward pass; inputs, fresh, ids, real: (time, lanes). The state after it."""
         p, steps = self.p, len(inputs)
-        x, cut = p["E"][inputs], fresh.any(axis=1)
-        hs, was, z, r, n, gn = (np.empty((steps, *h.shape), np.float32) for _ in range(6))
+        x, cut = p["E"].take(inputs, axis=0), fresh.any(axis=1)
+        lanes, size = h.shape
+        # few large arrays, filled in place: those of all tasks of a machine share its caches
+        hs, was, n, gn = (np.empty((steps, lanes, size), np.float32) for _ in range(4))
+        inner, gates = np.empty((lanes, 3 * size), np.float32), np.empty((steps, lanes, 2 * size), np.float32)
         for t in range(steps):
             was[t] = np.where(fresh[t][:, None], np.float32(0), h) if cut[t] else h
-            z[t], r[t], n[t], gn[t], hs[t] = step(p, was[t], x[t])
-            h = hs[t]
+            gn[t], h = step(p, was[t], x[t], (inner, gates[t], n[t], hs[t]))[-2:]
+        h, z, r = h.copy(), gates[:, :, :size], gates[:, :, size:]
         whole = bool(real.all())
         if whole:
             dhs = self.output(hs.reshape(-1, HIDDEN), ids.ravel()).reshape(hs.shape)
         else:
             dhs = np.zeros_like(hs)
             dhs[real] = self.output(hs[real], ids[real])
-        # what a step's gradient is multiplied by on its way to the gates, for all steps at once
+        # what a step's gradient is multiplied by on its way to the gates and to h @ U, for all steps at once
         to_n = (1 - z) * (1 - n * n)
-        to_z = (was - n) * (z * (1 - z))
-        to_r = gn * (r * (1 - r))
-        dx, g, back = np.empty_like(x), np.empty_like(x), np.zeros_like(h)
+        to = np.empty((steps, lanes, 3, size), np.float32)
+        np.multiply(was - n, z * (1 - z), out=to[:, :, 0])
+        np.multiply(to_n, r, out=to[:, :, 2])
+        np.multiply(to[:, :, 2], gn * (1 - r), out=to[:, :, 1])
+        g, back, back_u = to, np.zeros_like(h), np.ascontiguousarray(p["U"].T)
         for t in range(steps - 1, -1, -1):
-            d = dhs[t] + back
-            dn = d * to_n[t]
-            np.multiply(d, to_z[t], out=dx[t, :, :HIDDEN])
-            np.multiply(dn, to_r[t], out=dx[t, :, HIDDEN : 2 * HIDDEN])
-            dx[t, :, 2 * HIDDEN :] = dn
-            g[t] = dx[t]
-            g[t, :, 2 * HIDDEN :] *= r[t]
-            back = g[t] @ p["U"].T
+            d = dhs[t]
+            d += back
+            g[t] *= d[:, None]
+            np.matmul(g[t].reshape(lanes, -1), back_u, out=back)
             back += d * z[t]
             if cut[t]:
                 back[fresh[t]] = 0
+        dx = x
+        dx[:, :, : 2 * size] = g.reshape(x.shape)[:, :, : 2 * size]
+        np.multiply(dhs, to_n, out=dx[:, :, 2 * size :])
         du = was.reshape(-1, HIDDEN).T @ g.reshape(-1, 3 * HIDDEN)
         flat, rows = (dx.reshape(-1, 3 * HIDDEN), inputs.ravel()) if whole else (dx[real], inputs[real])
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(rows[order]) > 0])) if len(rows) else np.zeros(0, np.int64)
-        if len(first):
-            self.update("E", np.clip(np.add.reduceat(flat[order], first, axis=0), -1, 1), rows[order][first])
+        if len(rows):
+            grad, rows = row_sums(flat, rows)
+            self.update("E", np.clip(grad, -1, 1), rows)
         self.update("U", np.clip(du, -1, 1))
         return h
 
     def output(self, hs, ids):
-        """Updates the output layers; the gradient of the states."""
-        p = self.p
-        cls = np.where(ids < 0, CLASSES, ids // SIZE)
-        logits = _bounded(hs @ p["Wc"], p["bc"])
-        d = np.exp(logits, out=logits)
-        d *= (1 / _sums(d))[:, None]
-        d[np.arange(len(d)), cls] -= 1
-        scale = np.float32(0.02)
-        back = d @ p["Wc"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        order = order[: cuts[-1]]
-        own, spans = hs[order], [(k, a, b) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
-        e = np.empty((len(order), SIZE), hs.dtype)
-        for k, a, b in spans:
-            np.matmul(own[a:b], p["Ww"][k], out=e[a:b])
-        e = np.exp(_bounded(e, p["bw"][cls[order]]), out=e)
-        e *= (1 / _sums(e))[:, None]
-        e[np.arange(len(e)), ids[order] % SIZE] -= 1
-        gw, gb, within = np.zeros_like(p["Ww"]), np.zeros_like(p["bw"]), np.empty_like(own)
-        for k, a, b in spans:
-            np.matmul(e[a:b], p["Ww"][k].T, out=within[a:b])
-            np.matmul(own[a:b].T, e[a:b], out=gw[k])
-            np.matmul(np.ones(b - a, e.dtype), e[a:b], out=gb[k])
-        back[order] += within
-        self.update("Ww", gw * scale)
-        self.update("bw", gb * scale)
-        self.update("Wc", hs.T @ d * scale)
-        self.update("bc", np.ones(len(d), d.dtype) @ d * scale)
-        return back * scale
+        """Updates the output layers; the gradient of the states, which takes their place."""
+        p, c, scale = self.p, Classed(self.p, hs, ids), np.float32(0.02)
+        g_class, g_word = np.zeros_like(c.of_class), np.zeros_like(c.of_word)
+        to_class, to_word = p["Wc"].T, p["Ww"].transpose(0, 2, 1)
+        inner = np.empty((ROWS, HIDDEN), hs.dtype)
+        for a, b, x, d, spans, e in c.blocks():
+            # what each row is divided by comes in where it is short: in the states and in their gradients
+            m = len(e)
+            total = _sums(np.exp(d, out=d))
+            d[c.row[: b - a], c.cls[a:b]] -= total
+            share = (1 / total)[:, None]
+            back = d @ to_class
+            back *= share
+            g_class += (x * share).T @ d
+            if m:
+                total = _sums(np.exp(e, out=e))
+                e[c.row[:m], c.word[a : a + m]] -= total
+                share = (1 / total)[:, None]
+                own, within = x[:m] * share, inner[:m]
+                for k, i, j in spans:
+                    np.matmul(e[i:j], to_word[k], out=within[i:j])
+                    g_word[k] += own[i:j].T @ e[i:j]
+                within *= share
+                back[:m] += within
+            back *= scale
+            hs[c.order[a:b]] = back
+        g_class *= scale
+        g_word *= scale
+        self.update("Ww", g_word[:, :HIDDEN])
+        self.update("bw", g_word[:, HIDDEN])
+        self.update("Wc", g_class[:HIDDEN])
+        self.update("bc", g_class[HIDDEN])
+        return hs
 
     def read(self, ids: np.ndarray, starts: np.ndarray, end: int):
         sizes = np.diff(starts)
