@@ -211,3 +211,50 @@ def test_the_query_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(P, "GROUP", group)
         got = P.extract(spark.createDataFrame(rows, ROWS).repartition(3)).select("page_id", "url", "text").collect()
         assert sorted((r.url, r.text) for r in got) == sorted((rows[k][1], t) for k, t in want.items())
+
+
+def test_numbers_in_ascending_order_are_coded_in_few_bits():
+    rng = np.random.default_rng(14)
+    for n, bits in ((0, 10), (1, 1), (2, 1), (5, 48), (1000, 10), (1000, 28), (1000, 47), (70_000, 48)):
+        x = np.sort(rng.choice(1 << min(bits, 20), n, replace=False).astype(np.uint64) << np.uint64(bits - min(bits, 20)))
+        data = P.coded(x, bits)
+        assert P.decoded(data, bits).tolist() == x.tolist()
+        assert len(data) <= 6 + n * (max(1, bits - math.log2(max(1, n))) + 2) / 8
+
+
+def test_bins_and_buckets_against_brute_force(spark, monkeypatch):
+    """Ids of several rows in several bins, and cells that unlike substrings share, change no count."""
+    rng = random.Random(15)
+    lines = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 20))) for _ in range(50)]
+    rows = []
+    for i in range(150):
+        body = "".join(f"<p>{x}" for x in [*rng.choices(lines, k=rng.randint(0, 3)), lines[0] if i % 12 else lines[1], " ".join(rng.choices("stuvw", k=12))])
+        tag = rng.choice(["div", "article", "article"])
+        rows.append((rng.choice([i, i, None, 7, 8]), f"http://q.example/{i}", f"<{tag}>{body}</{tag}>", 0, i))
+    want = sorted((rows[k][1], t) for k, t in brute(rows).items())
+    for name, value in (("GROUP", 4), ("LEAST_BIN_CHARS", 500), ("BUCKET_CHARS", 5000)):
+        monkeypatch.setattr(P, name, value)
+    for spare in (32, 0):
+        monkeypatch.setattr(P, "SPARE", spare)
+        got = P.extract(spark.createDataFrame(rows, ROWS).repartition(3)).select("url", "text").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    jvm = spark.sparkContext._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_what_is_exchanged_is_little_more_than_the_pages(spark, tmp_path):
+    """Not six bytes for each substring: pages and all that is told about them stay below 1.6 times the compressed pages."""
+    rng = random.Random(16)
+    words = ["".join(rng.choices("abcdefghijklmno", k=rng.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, f"http://s.example/{i}", f"<nav>{' '.join(rng.choices(words, k=60))}</nav><article><p>{' '.join(rng.choices(words, k=500))}</article>", 0, 0) for i in range(1500)]
+    pages = spark.createDataFrame(rows, ROWS).repartition(2)
+    pages.write.parquet(f"{tmp_path}/pages")
+    size = sum(f.stat().st_size for f in (tmp_path / "pages").iterdir())
+    before = shuffled(spark)
+    assert P.extract(spark.read.parquet(f"{tmp_path}/pages")).where("text = ''").count() == 0
+    assert shuffled(spark) - before < 1.6 * size

@@ -13,12 +13,16 @@ block is none of the article's, LIKELY_SHARE. Where a page says nothing, a block
 
 Pages of a host are dealt into groups of about GROUP pages by a hash of id, url and html, so that a hot host is many groups; what
 a site puts on its pages is on those of every group. A group's pages meet in one task: their tokens in
-pieces of at most TOKENS tokens a suffix array, so that memory is bounded also for very long pages. What recurs only
-between groups or pieces is found by hash: pages of hosts that are more than one piece give the hashes of all
-their substrings of LEAST tokens, those met on distinct pages of the host go back to the groups that have them, with the number
-of pages, and cover there as the array's do. So neither limit changes what is covered. Pages that name
+pieces of at most TOKENS tokens a suffix array, so that memory is bounded also for very long pages. Pages that name
 their article still take part in the array: they show what the host repeats.
 
+What recurs only between groups or pieces is found by hash, for pages of hosts that are more than one piece. Groups are
+dealt into bins, whose pages are exchanged once, as compressed blocks, and read three times. First each bin gives the cells
+that the hashes of all its substrings of LEAST tokens are in, a few bits each in ascending order, and learns by one bit
+which of them another bin has too. Of the substrings in those it gives the whole hashes, with the number of
+pages, and learns on how many of the host's pages each is; all others are in no other bin, so that they are counted there. What is on distinct pages
+covers as the array's does. So neither limit changes what is covered, and cells decide only what is asked.
+
 Nulls and the like: a null or empty html, and a page without text, gives an empty text. A null url is a host of its
 own. Rows that repeat (same id) are one page for the array, which looks for distinct pages, and each returns a row; rows
 without an id are pages of their own each. Unclosed tags, heads and quotes and cut-off pages are read as far as they go. Other columns play no part.
@@ -31,19 +35,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import byte_table, released, span_hashes, stored, word_bounds
+from .common import byte_table, release, released, span_hashes, stored, word_bounds
 
 LEAST, GROUP, TOKENS = 8, 64, 1 << 20
 #: In an article goes what is on such a share of the host's pages, beyond doubt; and what its markup makes likely, on such a share.
 WIDE_SHARE, LIKELY_SHARE = 0.7, 0.3
 #: A page's tokens are at most so many for each character: a block of one word, `<p>a`, counts as LEAST words and its end.
 DENSE = 3
-#: Characters of html whose substrings' hashes meet in one bucket, about; windows that are held before they are dealt out.
-BUCKET_CHARS, HELD = 32 << 20, 1 << 21
+#: Characters of html whose substrings' hashes meet in one bucket, about; cells for each character, eight of which make a substring or more.
+BUCKET_CHARS, SPARE = 32 << 20, 32
+#: Characters of html in a bin, about, and bins of small inputs.
+BIN_CHARS, LEAST_BINS, LEAST_BIN_CHARS = 4 << 20, 128, 64 << 10
 #: Up to so many hosts of more than GROUP pages their numbers of pages are broadcast; beyond, a join serves.
 BROADCAST_HOSTS = 500_000
 
@@ -176,13 +181,13 @@ def blocks(source: str) -> list[tuple[str, bool, bool | None]]:
 # ---- suffix arrays ----
 
 
-def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """The suffixes of an array of integers in order, by doubling."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The suffixes of an array of integers in order, by doubling. depth: where no more than so many tokens of each are looked at, those that share them may be in any order."""
     n = len(tokens)
     _, rank = np.unique(tokens, return_inverse=True)
     rank = rank.astype(np.int64)
     order, step = np.argsort(rank, kind="stable"), 1
-    while n > 1:
+    while n > 1 and (depth is None or step < depth):
         second = np.full(n, -1, np.int64)
         second[:-step] = rank[step:]
         key = rank * (n + 1) + second + 1
@@ -195,6 +200,11 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Where each value of a sorted array is first."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+
+
 def _covered(n: int, first: np.ndarray, least: int) -> np.ndarray:
     """Whether each of n tokens is in a substring of so many tokens that begins at one of first."""
     change = np.bincount(first, minlength=n + 1) - np.bincount(np.minimum(first + least, n), minlength=n + 1)
@@ -206,7 +216,7 @@ def recurring(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> tuple
     n = len(tokens)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = suffix_array(tokens)
+    order = suffix_array(tokens, least)
     # what neighbours in the order have in common, up to `least`
     a, b = order[:-1], order[1:]
     same = np.ones(n - 1, bool)
@@ -215,8 +225,8 @@ def recurring(tokens: np.ndarray, page: np.ndarray, least: int = LEAST) -> tuple
         same &= (a + k < n) & (b + k < n) & (tokens[x] == tokens[y]) & (tokens[x] >= 0) & (page[x] == page[a]) & (page[y] == page[b])
     # runs of suffixes that share `least` tokens; those with two pages or more recur
     run = np.concatenate([[0], np.cumsum(~same)])
-    pair = np.unique(run * (int(page.max()) + 1) + page[order])
-    pages = np.bincount(pair // (int(page.max()) + 1))[run]
+    pair = np.sort(run * (int(page.max()) + 1) + page[order])
+    pages = np.bincount(pair[_distinct(pair)] // (int(page.max()) + 1))[run]
     return order[pages > 1], pages[pages > 1]
 
 
@@ -276,15 +286,12 @@ def window_hashes(tokens: np.ndarray, ends: np.ndarray, salt: np.ndarray | int,
 
 
 def page_windows(pages: list[list[str]], salts: list[int], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the page, hash) of the distinct substrings of `least` tokens of each page, in order of the pages."""
+    """(place of the page, hash) of the substrings of `least` tokens of each page, in order of the pages."""
     tokens, ends, block = tokenised(pages, least)
     page_of_block = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
     page = page_of_block[block] if len(block) else block
     at, h = window_hashes(tokens, ends, np.array(salts, np.int64).view(np.uint64)[page] if len(page) else 0, least)
-    order = np.lexsort((h, page[at]))
-    p, h = page[at][order], h[order]
-    new = np.concatenate([[True], (p[1:] != p[:-1]) | (h[1:] != h[:-1])])[: len(h)]
-    return p[new], h[new]
+    return page[at], h
 
 
 def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, known: tuple[np.ndarray, np.ndarray] | None = None, salt: int = 0, wide: tuple[int, ...] = (), modulus: int = 0) -> list[list[tuple[float, ...]]]:
@@ -308,7 +315,9 @@ def covered_blocks(pages: list[list[str]], ids: list[int], least: int = LEAST, k
             if known is not None and len(known[0]):
                 where, h = window_hashes(hashes, ends, salt, least)
                 h = h % np.uint64(modulus) if modulus else h
-                place = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+                order = np.argsort(h)  # in order, they find their places in one pass of the cache
+                place = np.empty(len(h), np.int64)
+                place[order] = np.minimum(np.searchsorted(known[0], h[order]), len(known[0]) - 1)
                 same = known[0][place] == h
                 hit |= _covered(len(tokens), where[same], least)
                 first, many = where[same], known[1][place[same]]
@@ -342,118 +351,239 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _packed(h: np.ndarray, width: int) -> bytes:
-    """The low bytes of hashes."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-
-
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
-
-
-def _dealt_windows(buckets: int, width: int, modulus: int):
-    """From html, page (a hash of its id), many (whether other rows may have this id), g (group) and s (salt) of rows to hashes of substrings by bucket. Runs of hashes of a row are told by its group and their number, and, for ids that may repeat, its page."""
-
-    def dealt(batches):
-        held, size = [], 0
-
-        def out():
-            place = np.concatenate([np.full(len(h), i) for i, (h, *_) in enumerate(held)])
-            h = np.concatenate([x[0] for x in held])
-            page, g = (np.array([x[k] for x in held], np.int64) for k in (1, 2))
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((place, bucket))
-            h, place, bucket = h[order] // np.uint64(buckets), place[order], bucket[order]
-            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (place[1:] != place[:-1])])[: len(h)]
-            run = np.flatnonzero(new)
-            length = np.diff(np.append(run, len(h))).astype("<u4")
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(h)])
-            cuts = [*first.tolist(), len(h)]
-            run_cuts = np.searchsorted(run, cuts).tolist()
-            for some in range(0, len(first), 256):
-                to = min(some + 256, len(first))
-                spans, runs = list(zip(cuts[some:to], cuts[some + 1 : to + 1], strict=True)), list(zip(run_cuts[some:to], run_cuts[some + 1 : to + 1], strict=True))
-                groups = (g[place[run]] & 0xFFFFFFFF).astype("<u4")
-                repeats = [page[place[run[a:b]]] for a, b in runs]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[first[some:to]].astype(np.int32)), pa.array([_packed(h[a:b], width) for a, b in spans], pa.binary()), pa.array([groups[a:b].tobytes() for a, b in runs], pa.binary()),
-                     pa.array([length[a:b].tobytes() for a, b in runs], pa.binary()), pa.array([x.astype("<i8").tobytes() if x.any() else None for x in repeats], pa.binary())],
-                    ["bucket", "h", "g", "n", "page"],
-                )
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [[t for t, _, none in blocks(h or "") if not none] for h in part.column("html").to_pylist()]
-                p, h = page_windows(found, part.column("s").to_pylist())
-                h = h % np.uint64(modulus) if modulus else h
-                cuts = np.searchsorted(p, np.arange(part.num_rows + 1))
-                for k, (page, many, g) in enumerate(zip(part.column("page").to_pylist(), part.column("many").to_pylist(), part.column("g").to_pylist(), strict=True)):
-                    if cuts[k] < cuts[k + 1]:
-                        held.append((h[cuts[k] : cuts[k + 1]], page or 1 if many else 0, g))
-                size += len(h)
-                if size > HELD:
-                    yield from out()
-                    held, size = [], 0
-        if held:
-            yield from out()
+def coded(x: np.ndarray, bits: int) -> bytes:
+    """Distinct numbers of so many bits in ascending order, each in about two bits more than the logarithm of their mean distance: low bits as they are, high bits as marks (Elias and Fano)."""
+    n = len(x)
+    low = max(0, bits - n.bit_length())
+    marks = np.zeros(int(x[-1] >> np.uint64(low)) + n if n else 0, bool)
+    marks[(x >> np.uint64(low)).astype(np.int64) + np.arange(n)] = True
+    tail = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)[:, 64 - low :]
+    return n.to_bytes(4, "little") + np.packbits(marks).tobytes() + np.packbits(tail).tobytes()
 
-    return dealt
 
+def decoded(data: bytes, bits: int) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    low = max(0, bits - n.bit_length())
+    cut = len(data) - -(-n * low // 8)
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(data[4:cut], np.uint8)))[:n] - np.arange(n)
+    out = np.zeros((n, 64), np.uint8)
+    out[:, 64 - low :] = np.unpackbits(np.frombuffer(data[cut:], np.uint8), count=n * low).reshape(n, low)
+    return np.packbits(out, axis=1).view(">u8").ravel().astype(np.uint64) | high.astype(np.uint64) << np.uint64(low)
 
-def _met(buckets: int, width: int):
-    """From the rows of a bucket to the hashes that are on distinct pages, and on how many, for each group that has them."""
 
-    def met(key, data):
-        bucket, parts = key[0].as_py(), []
-        alone = 0
-        for h, g, n, page in zip(*(data.column(c).to_pylist() for c in ("h", "g", "n", "page")), strict=True):
-            n = np.frombuffer(n, "<u4").astype(np.int64)
-            page = np.zeros(len(n), np.int64) if page is None else np.frombuffer(page, "<i8").copy()
-            # a row whose id is its own is a page of its own: a number that no other row has
-            single = page == 0
-            page[single] = -1 - alone - np.arange(int(single.sum()))
-            alone += int(single.sum())
-            parts.append((_unpacked(h, width), np.repeat(np.frombuffer(g, "<u4"), n), np.repeat(page, n)))
-        h, g, page = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        order = np.argsort(h, kind="stable")
-        h, g, page = h[order], g[order], page[order]
-        same = h[1:] == h[:-1]
-        several = np.zeros(len(h), bool)  # met twice at least
-        several[1:] |= same
-        several[:-1] |= same
-        h, g, page = h[several], g[several], page[several]
-        order = np.lexsort((page, h))
-        h, g, page = h[order], g[order], page[order]
-        new_h = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
-        new_page = new_h | np.concatenate([[True], page[1:] != page[:-1]])[: len(h)]
-        of = np.cumsum(new_h) - 1
-        many = np.bincount(of, weights=new_page).astype(np.int64)[of] if len(h) else of
-        h, g, many = h[many > 1], g[many > 1], many[many > 1]
-        order = np.lexsort((h, g))
-        h, g, many = h[order], g[order], many[order]
-        keep = np.concatenate([[True], (g[1:] != g[:-1]) | (h[1:] != h[:-1])])[: len(h)]
-        h, g, many = h[keep] * np.uint64(buckets) + np.uint64(bucket), g[keep], many[keep]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
-        cuts = [*first.tolist(), len(g)]
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        return pa.table({"r": pa.array(g[first].astype(np.int64)), "known": pa.array([h[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()), "pages": pa.array([np.minimum(many[a:b], 0xFFFFFFFF).astype("<u4").tobytes() for a, b in spans], pa.binary())})
+def _counts(x: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest needs; the first says how many."""
+    width = 1 if x.max(initial=0) < 1 << 8 else 4
+    return bytes([width]) + np.minimum(x, 0xFFFFFFFF).astype(f"<u{width}").tobytes()
 
-    return met
+
+def _counted(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[1:], f"<u{data[0]}").astype(np.int64)
 
 
 def _squeezed(batches):
-    """The same rows with their html compressed: it is what the exchange carries."""
+    """The same rows with the blocks that markup doesn't rule out, compressed, in the place of html: they are what the exchange carries. Before them their length and the number of all blocks."""
     codec = pa.Codec("zstd")
     for batch in batches:
-        html = [(h or "").encode("utf-8", "surrogatepass") for h in batch.column("html").to_pylist()]
-        columns = {c: batch.column(c) for c in batch.schema.names}
-        columns["size"] = pa.array([len(h) for h in html], pa.int64())
-        columns["html"] = pa.array([codec.compress(h, asbytes=True) for h in html], pa.binary())
-        yield pa.RecordBatch.from_pydict(columns)
+        out = []
+        for source in batch.column("html").to_pylist():
+            found = blocks(source or "")
+            lines = "\n".join(f"{2 * inside + (none is None)}{t}" for t, inside, none in found if not none).encode("utf-8", "surrogatepass")
+            out.append(len(lines).to_bytes(4, "little") + len(found).to_bytes(4, "little") + (codec.compress(lines, asbytes=True) if lines else b""))
+        columns = {c: batch.column(c) for c in batch.schema.names if c != "html"}
+        yield pa.RecordBatch.from_pydict(columns | {"blocks": pa.array(out, pa.binary())})
+
+
+def _unsqueezed(data: bytes, codec) -> list[tuple[str, bool, bool | None]]:
+    n = int.from_bytes(data[:4], "little")
+    lines = codec.decompress(data[8:], n, asbytes=True).decode("utf-8", "surrogatepass").split("\n") if n else []
+    return [(x[1:], x[0] > "1", None if x[0] in "13" else False) for x in lines]
+
+
+class Deal:
+    """How the hashes of substrings are dealt: over buckets; `bits` beside the bucket tell them apart, the first `cell` of those say where one may have met another."""
+
+    def __init__(self, chars: int):
+        self.buckets = max(1, -(-chars // BUCKET_CHARS))
+        self.bits = min(48, 64 - self.buckets.bit_length())
+        self.modulus = self.buckets << self.bits
+        self.cell = min(self.bits, max(10, (SPARE * chars // (8 * self.buckets)).bit_length()))
+
+    def sorted_keys(self, h: np.ndarray) -> np.ndarray:
+        """Hashes modulo the modulus to keys that ascend by bucket, then by what tells them apart."""
+        return h % np.uint64(self.buckets) << np.uint64(self.bits) | h // np.uint64(self.buckets)
+
+    def hashes(self, key: np.ndarray) -> np.ndarray:
+        return (key & np.uint64((1 << self.bits) - 1)) * np.uint64(self.buckets) + (key >> np.uint64(self.bits))
+
+    def cells(self, key: np.ndarray) -> np.ndarray:
+        return key >> np.uint64(self.bits - self.cell)
+
+    def runs(self, x: np.ndarray, bits: int):
+        """(bucket, first, last, numbers beside the bucket) of sorted keys or cells."""
+        bucket = x >> np.uint64(bits)
+        first = _distinct(bucket)
+        for a, b in zip(first.tolist(), np.append(first, len(x))[1:].tolist(), strict=True):
+            yield int(bucket[a]), a, b, x[a:b] & np.uint64((1 << bits) - 1)
+
+
+class Bin:
+    """The pages of a bin, and the substrings of those whose host is of several groups or pieces."""
+
+    def __init__(self, data: pa.Table, deal: Deal):
+        codec = pa.Codec("zstd")
+        self.deal, self.blocks = deal, [_unsqueezed(b, codec) for b in data.column("blocks").to_pylist()]
+        self.texts = [[t for t, *_ in found] for found in self.blocks]
+        large = [i for i, m in enumerate(data.column("m").to_pylist()) if m is not None]
+        salts, page = data.column("s").to_pylist(), data.column("page").to_pylist()
+        place, h = page_windows([self.texts[i] for i in large], [salts[i] for i in large])
+        key = deal.sorted_keys(h % np.uint64(deal.modulus))
+        order = np.argsort(key)
+        self.key, place = key[order], place[order]
+        # a row whose id is its own is a page of its own: a number that no other row has
+        self.shared = np.array([page[i] is not None for i in large], bool)[place]
+        self.page = np.array([page[i] if page[i] is not None else n for n, i in enumerate(large)], np.int64)[place]
+        cells = deal.cells(self.key)
+        self.first = _distinct(cells)
+        self.cells = cells[self.first]
+
+    def asked(self, back: pa.Table) -> None:
+        """Which cells other bins have too, as those of _met_cells say."""
+        met = np.zeros(len(self.cells), bool)
+        bits = dict(zip(back.column("bucket").to_pylist(), back.column("bits").to_pylist(), strict=True))
+        for k, a, b, _ in self.deal.runs(self.cells, self.deal.cell):
+            if k in bits:
+                met[a:b] = np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a)
+        self.bits = {k: bits[k] for k, a, b, _ in self.deal.runs(self.cells, self.deal.cell) if met[a:b].any()}
+        self.met = np.repeat(met, np.diff(np.append(self.first, len(self.key))))
+
+    def pages_of(self, which: np.ndarray):
+        """(the distinct ones of some substrings in order, on how many pages whose id is their own each is; place among them and page of those on pages whose id may come again)."""
+        key, page, shared = self.key[which], self.page[which], self.shared[which]
+        order = np.lexsort((page, shared, key))
+        key, page, shared = key[order], page[order], shared[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (page[1:] != page[:-1]) | (shared[1:] != shared[:-1])])[: len(key)]
+        key, page, shared = key[new], page[new], shared[new]
+        first = _distinct(key)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        return key[first], np.bincount(of, weights=~shared, minlength=len(first)).astype(np.int64), of[shared], page[shared]
+
+
+def _cells(deal: Deal):
+    """From a bin to the cells of its substrings, by bucket."""
+
+    def cells(key, data):
+        runs = [(k, coded(x, deal.cell)) for k, _, _, x in deal.runs(Bin(data, deal).cells, deal.cell)]
+        return pa.table({"bucket": pa.array([k for k, _ in runs], pa.int32()), "r": pa.array([key[0].as_py()] * len(runs), pa.int32()), "cells": pa.array([x for _, x in runs], pa.binary())})
+
+    return cells
+
+
+def _met_cells(deal: Deal):
+    """From the cells of all bins in a bucket to a bit for each: whether another bin has it."""
+
+    def met(key, data):
+        parts = [decoded(x, deal.cell) for x in data.column("cells").to_pylist()]
+        cells = np.sort(np.concatenate(parts))
+        twice = cells[1:][cells[1:] == cells[:-1]]
+        bits = []
+        for x in parts:
+            at = np.minimum(np.searchsorted(twice, x), max(0, len(twice) - 1))
+            bits.append(np.packbits(twice[at] == x if len(twice) else np.zeros(len(x), bool)).tobytes())
+        return pa.table({"r": data.column("r"), "bucket": pa.array([key[0].as_py()] * len(bits), pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+    return met
+
+
+def _candidates(deal: Deal):
+    """From a bin, and which of its cells are met, to the hashes of the substrings there, on how many pages each is, and the pages whose id may be in another bin."""
+
+    def candidates(key, data, back):
+        rows = {c: [] for c in ("bucket", "r", "bits", "h", "own", "place", "page")}
+        if len(back):
+            here = Bin(data, deal)
+            here.asked(back)
+            h, own, place, page = here.pages_of(here.met)
+            for k, a, b, x in deal.runs(h, deal.bits):
+                i, j = np.searchsorted(place, [a, b])
+                made = (k, key[0].as_py(), here.bits[k], coded(x, deal.bits), _counts(own[a:b]), (place[i:j] - a).astype("<u4").tobytes() or None, page[i:j].astype("<i8").tobytes() or None)
+                for c, v in zip(rows, made, strict=True):
+                    rows[c].append(v)
+        return pa.table({c: pa.array(v, pa.int32() if c in ("bucket", "r") else pa.binary()) for c, v in rows.items()})
+
+    return candidates
+
+
+def _met(deal: Deal):
+    """From the hashes of all bins in a bucket to the number of distinct pages of each, in the order in which its bin gave them."""
+
+    def met(key, data):
+        parts = [decoded(x, deal.bits) for x in data.column("h").to_pylist()]
+        every = np.concatenate(parts)
+        h, of = np.unique(every, return_inverse=True)
+        many = np.bincount(of, weights=np.concatenate([_counted(x) for x in data.column("own").to_pylist()]), minlength=len(h)).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).tolist()
+        pairs = [(of[a + np.frombuffer(i, "<u4")], np.frombuffer(p, "<i8")) for a, i, p in zip(cuts[:-1], data.column("place").to_pylist(), data.column("page").to_pylist(), strict=True) if i is not None]
+        if pairs:
+            at, page = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.lexsort((page, at))
+            at, page = at[order], page[order]
+            new = np.concatenate([[True], (at[1:] != at[:-1]) | (page[1:] != page[:-1])])
+            many += np.bincount(at[new], minlength=len(h))
+        totals = [_counts(many[of[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"r": data.column("r"), "bucket": pa.array([key[0].as_py()] * len(parts), pa.int32()), "bits": data.column("bits"), "pages": pa.array(totals, pa.binary())})
+
+    return met
+
+
+def _known(here: Bin, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a bin's substrings that are on distinct pages of their host, sorted, and on how many."""
+    here.asked(back)
+    h, *_ = here.pages_of(here.met)
+    totals = dict(zip(back.column("bucket").to_pylist(), back.column("pages").to_pylist(), strict=True))
+    many = np.concatenate([np.zeros(0, np.int64), *(_counted(totals[k]) for k, *_ in here.deal.runs(h, here.deal.bits))])
+    # those whose cell no other bin has are all here; of interest are those that come twice
+    same = here.key[1:] == here.key[:-1]
+    several = np.zeros(len(here.key), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    local, own, place, _ = here.pages_of(~here.met & several)
+    h, many = np.concatenate([h, local]), np.concatenate([many, own + np.bincount(place, minlength=len(local))])
+    h, many = here.deal.hashes(h[many > 1]), many[many > 1]
+    order = np.argsort(h)
+    return h[order], many[order]
+
+
+def _texts(deal: Deal):
+    """From a bin, and what was met of it, to its rows with their texts."""
+
+    def texts(key, data, back):
+        here = Bin(data, deal)
+        known = _known(here, back)
+        given = data.column("page_id").to_pylist()
+        ids = [i if i is not None else ("", n) for n, i in enumerate(given)]
+        salts, sizes = data.column("s").to_pylist(), data.column("m").to_pylist()
+        shares: list = [[] for _ in ids]
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i, g in enumerate(zip(salts, data.column("k").to_pylist(), strict=True)):
+            groups.setdefault(g, []).append(i)
+        for members in groups.values():
+            numbers = {x: n for n, x in enumerate(dict.fromkeys(ids[i] for i in members))}
+            m = sizes[members[0]]
+            of_host = known if m is not None else None  # a host of several groups or pieces: what recurs on it has been told
+            m = m or len(numbers)
+            wide = (least_pages(m, LIKELY_SHARE), least_pages(m, WIDE_SHARE))
+            for i, s in zip(members, covered_blocks([here.texts[i] for i in members], [numbers[ids[i]] for i in members], LEAST, of_host, salts[members[0]], wide, deal.modulus if of_host else 0), strict=True):
+                shares[i] = s
+        found = [main_text(f, s) for f, s in zip(here.blocks, shares, strict=True)]
+        n_blocks = [int.from_bytes(b[4:8], "little") for b in data.column("blocks").to_pylist()]
+        release()
+        return pa.table({
+            "page_id": data.column("page_id"), "url": data.column("url"), "text": pa.array(found, pa.string()), "n_chars": pa.array([len(t) for t in found], pa.int64()),
+            "n_blocks": pa.array(n_blocks, pa.int64()), "n_repeated": pa.array([sum(x[0] >= 0.5 for x in s) for s in shares], pa.int64()),
+        })
+
+    return texts
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -466,79 +596,26 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     counts = rows.groupBy("host").agg(F.count("*").alias("m"), (F.count_distinct(F.when(F.col("page_id").isNotNull(), F.col("page"))) + F.count_if(F.col("page_id").isNull())).alias("distinct"), F.sum(F.coalesce(F.length("html"), F.lit(0))).alias("size"))
     # the hosts of more than one group or piece: at most one for each GROUP rows, or TOKENS / DENSE characters
     # `m` rows make the groups; `distinct` pages are what shares are of
-    small = stored(counts.where((F.col("m") > GROUP) | ((F.col("m") > 1) & (F.col("size") * DENSE > TOKENS))), "pages-hosts")
-    buckets = max(1, -(-(small.agg(F.sum("size")).first()[0] or 0) // BUCKET_CHARS))
-    # beside the bucket, 48 bits of a hash tell substrings apart; all 64 with very many buckets
-    width, modulus = (6, buckets << 48) if buckets < 1 << 16 else (8, 0)
-    key = F.pmod(F.xxhash64("deal"), F.coalesce(F.ceil(F.col("m") / GROUP), F.lit(1)))
+    read = Observation()
+    small = stored(counts.observe(read, F.sum("size").alias("size")).where((F.col("m") > GROUP) | ((F.col("m") > 1) & (F.col("size") * DENSE > TOKENS))), "pages-hosts")
+    deal, chars = Deal(small.agg(F.sum("size")).first()[0] or 0), read.get["size"] or 0
+    bins = max(1, -(-chars // BIN_CHARS), min(LEAST_BINS, chars // LEAST_BIN_CHARS))
     small = F.broadcast(small) if small.count() <= BROADCAST_HOSTS else small
-    rows = rows.withColumn("deal", dealing)
-    grouped_by = rows.join(small, "host", "left").select("page_id", "url", "html", "host", "page", F.col("distinct").alias("m"), F.xxhash64("host", key).alias("g"), F.xxhash64("host").alias("s"))
-    form = f"page_id {kind}, url string, html binary, host string, page long, m long, g long, s long, size long"
-    dealt = grouped_by.mapInArrow(_squeezed, form).withColumn("r", F.col("g").bitwiseAND(F.lit(0xFFFFFFFF)))
-    large = rows.join(small, "host")
+    large = rows.select("page_id", "page", "host").join(small, "host")
     again = large.where("page_id is not null").groupBy("page").agg(F.count("*").alias("c")).where("c > 1").select("page", F.lit(True).alias("many"))
     again = stored(again, "pages-again")  # ids of several rows: none, as a rule
     again = F.broadcast(again) if again.count() <= BROADCAST_HOSTS else again
-    large = large.join(again, "page", "left").select("html", "page", F.coalesce("many", F.lit(False)).alias("many"), F.xxhash64("host", key).alias("g"), F.xxhash64("host").alias("s"))
-
-    def grouped(batches):
-        codec = pa.Codec("zstd")
-        for mixed in batches:
-            told: dict[int, list[tuple[bytes, bytes]]] = {}
-            page_row = pc.is_null(mixed.column("known"))
-            given = mixed.filter(pc.invert(page_row))
-            for r, k, n in zip(given.column("r").to_pylist(), given.column("known").to_pylist(), given.column("pages").to_pylist(), strict=True):
-                told.setdefault(r, []).append((k, n))
-            batch = mixed.filter(page_row)
-            if not batch.num_rows:
-                continue
-            html = [codec.decompress(z, n, asbytes=True).decode("utf-8", "surrogatepass") if n else "" for z, n in zip(batch.column("html").to_pylist(), batch.column("size").to_pylist(), strict=True)]
-            found = [blocks(h) for h in html]
-            candidates = [[t for t, _, none in page if not none] for page in found]
-            ids = [i if i is not None else ("", n) for n, i in enumerate(batch.column("page_id").to_pylist())]
-            salts, sizes = batch.column("s").to_pylist(), batch.column("m").to_pylist()
-            shares: list = [[] for _ in found]
-            groups: dict[int, list[int]] = {}
-            for i, g in enumerate(batch.column("g").to_pylist()):
-                groups.setdefault(g, []).append(i)
-            for g, members in groups.items():
-                numbers = {x: n for n, x in enumerate(dict.fromkeys(ids[i] for i in members))}
-                m, known = sizes[members[0]], None
-                if m is not None:  # a host of several groups or pieces: what recurs on it has been told
-                    parts = told.get(g & 0xFFFFFFFF, [])
-                    h, many = np.frombuffer(b"".join(k for k, _ in parts), "<u8"), np.frombuffer(b"".join(n for _, n in parts), "<u4")
-                    order = np.argsort(h, kind="stable")
-                    known = (h[order], many[order])
-                m = m or len(numbers)
-                wide = (least_pages(m, LIKELY_SHARE), least_pages(m, WIDE_SHARE))
-                for i, s in zip(members, covered_blocks([candidates[i] for i in members], [numbers[ids[i]] for i in members], LEAST, known, salts[members[0]], wide, modulus), strict=True):
-                    shares[i] = s
-            texts = [main_text(f, s) for f, s in zip(found, shares, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("host"), pa.array([len(f) for f in found], pa.int64()), pa.array([sum(x[0] >= 0.5 for x in s) for s in shares], pa.int64())],
-                ["page_id", "url", "text", "n_chars", "host", "n_blocks", "n_repeated"],
-            )
-
-    def whole(batches):
-        """Batches that hold whole groups (and all that share their 32 bits) of the sorted rows, as many as fit TOKENS bytes of html."""
-        held, size, last = [], 0, None
-        for batch in batches:
-            r, n = batch.column("r").to_numpy(), batch.column("size").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(r[1:] != r[:-1]) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if held and size > 8 * TOKENS and last != r[a]:
-                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                    held, size = [], 0
-                held.append(batch.slice(a, b - a))
-                size, last = size + int(np.nan_to_num(n[a:b].astype(float)).sum()), r[a]
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    form = f"page_id {kind}, url string, text string, n_chars long, host string, n_blocks long, n_repeated long"
-    windows = large.mapInArrow(released(_dealt_windows(buckets, width, modulus)), "bucket int, h binary, g binary, n binary, page binary")
-    known = windows.groupBy("bucket").applyInArrow(_met(buckets, width), "r long, known binary, pages binary")
-    both = dealt.unionByName(known, allowMissingColumns=True)
-    return both.repartition("r").sortWithinPartitions("r").mapInArrow(released(lambda batches: grouped(whole(batches))), form)
+    form = f"page_id {kind}, url string, host string, page long, deal long, blocks binary"
+    squeezed = rows.withColumn("deal", dealing).mapInArrow(released(_squeezed), form)
+    told = squeezed.join(small.withColumnRenamed("size", "host_size"), "host", "left").join(again, "page", "left")
+    key = F.pmod("deal", F.coalesce(F.ceil(F.col("m") / GROUP), F.lit(1)))
+    told = told.select("page_id", "url", "blocks", F.xxhash64("host").alias("s"), key.cast("int").alias("k"), F.when(F.col("many") & F.col("m").isNotNull(), F.col("page")).alias("page"), F.col("distinct").alias("m"))
+    # bins are exchanged once; the three steps below read that exchange
+    dealt = told.withColumn("r", F.pmod(F.xxhash64("s", "k"), F.lit(bins)).cast("int")).repartition("r")
+    cells = dealt.groupBy("r").applyInArrow(_cells(deal), "bucket int, r int, cells binary")
+    met = cells.groupBy("bucket").applyInArrow(_met_cells(deal), "r int, bucket int, bits binary")
+    asked = dealt.groupBy("r").cogroup(met.groupBy("r")).applyInArrow(_candidates(deal), "bucket int, r int, bits binary, h binary, own binary, place binary, page binary")
+    known = asked.groupBy("bucket").applyInArrow(_met(deal), "r int, bucket int, bits binary, pages binary")
+    form = f"page_id {kind}, url string, text string, n_chars long, n_blocks long, n_repeated long"
+    out = dealt.groupBy("r").cogroup(known.groupBy("r")).applyInArrow(_texts(deal), form)
+    return out.select("page_id", "url", "text", "n_chars", host(F.col("url")).alias("host"), "n_blocks", "n_repeated")
