@@ -236,3 +236,31 @@ def test_arrays_of_a_window_are_few():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 10_500_000  # it was 11353493
+
+
+def test_gates_lie_together():
+    """Arithmetic over rows of 24 numbers with gaps took half of a step."""
+    _, p = small()
+    inputs = np.random.default_rng(8).integers(0, lm.VOCABULARY + 1, (2, 5))
+    h = np.random.default_rng(9).normal(0, 0.3, (5, lm.HIDDEN)).astype(np.float32)
+    parts = lm.step(p, h, p["E"][inputs[0]])
+    assert all(x.flags.c_contiguous for x in parts)
+    assert all((a == b).all() for a, b in zip(parts, lm.step(p, h, lm.gathered(p, inputs)[0]), strict=True))
+
+
+def test_logits_are_clipped_only_where_any_can_be_beyond(monkeypatch):
+    _, p = small()
+    p["bw"] = np.maximum(p["bw"], -9)
+    hs, ids = np.random.default_rng(10).uniform(-1, 1, (50, lm.HIDDEN)).astype(np.float32), np.arange(50) * 64
+    calls, clip = [], np.clip
+    monkeypatch.setattr(np, "clip", lambda *a, **k: calls.append(a) or clip(*a, **k))
+    lm.out_log_probs(p, hs, ids)
+    assert not calls
+    for size in (1.5, 60.0):
+        p["Ww"][3] = size
+        got = lm.out_log_probs(p, np.ones_like(hs), np.full(50, 3 * 64))
+        assert calls and np.isfinite(got).all() and np.allclose(got, got[0])
+        calls.clear()
+    logits = clip(np.ones(lm.HIDDEN) @ p["Ww"][3] + p["bw"][3], -40, 40)
+    classes = p["bc"] + p["Wc"].sum(axis=0)
+    assert np.isclose(got[0], logits[0] - np.log(np.exp(logits).sum()) + classes[3] - np.log(np.exp(classes.astype(float)).sum()), atol=1e-3)

@@ -157,17 +157,24 @@ def initial(words: Words, n_all: int) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+def gathered(p, inputs):
+    """The rows of E of inputs (time, lanes), as (time, 3, lanes, HIDDEN): each gate's together, as arithmetic over long runs is faster."""
+    return p["E"].reshape(-1, HIDDEN).take(3 * inputs[:, None] + np.arange(3)[:, None], axis=0)
+
+
 def step(p, h, x, room=(None, None, None, None)):
-    """(gates z, r, candidate n, h @ Un, next h) for inputs x: rows of E. room: where h @ U, the gates, the candidate and the next h go; h stays."""
-    g = np.matmul(h, p["U"], out=room[0])
-    a = np.add(x[:, : 2 * HIDDEN], g[:, : 2 * HIDDEN], out=room[1])
+    """(gates z, r, candidate n, h @ Un, next h) for inputs x: rows of E, or (3, lanes, HIDDEN) of gathered(). room: where h @ U, the gates, the candidate and the next h go; h stays."""
+    if x.ndim == 2:
+        x = x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2)
+    g = np.matmul(h, p["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2), out=room[0])
+    a = np.add(x[:2], g[:2], out=room[1])
     np.negative(a, out=a)
     np.exp(a, out=a)
     a += 1
     np.reciprocal(a, out=a)
-    z, r, gn = a[:, :HIDDEN], a[:, HIDDEN:], g[:, 2 * HIDDEN :]
+    z, r, gn = a[0], a[1], g[2]
     n = np.multiply(r, gn, out=room[2])
-    n += x[:, 2 * HIDDEN :]
+    n += x[2]
     np.tanh(n, out=n)
     to = np.subtract(h, n, out=room[3])
     to *= z
@@ -175,8 +182,8 @@ def step(p, h, x, room=(None, None, None, None)):
     return z, r, n, gn, to
 
 
-#: Words whose probabilities are worked out together: so few that their logits stay in a core's cache.
-ROWS = 1024
+#: Words whose probabilities are worked out together: so few that their logits stay in a core's cache. The largest logit in size.
+ROWS, LOGIT = 1024, 40
 
 
 def _sums(x):
@@ -197,6 +204,9 @@ class Classed:
         self.x[:, :HIDDEN] = hs.take(self.order, axis=0)
         self.of_class = np.concatenate([p["Wc"], p["bc"][None]])
         self.of_word = np.concatenate([p["Ww"], p["bw"][:, None]], axis=1)
+        # states are at most 1 in size, so as a rule no logit can be beyond the bounds, and there is nothing to clip
+        reach = max(1.0, float(hs.max(initial=0)), -float(hs.min(initial=0)))
+        self.bound = [reach * float(np.abs(w).sum(axis=-2).max()) > LOGIT - 0.1 for w in (self.of_class, self.of_word)]
         kind = np.result_type(hs, p["Wc"])
         self.logits, self.row = np.empty((ROWS, CLASSES + 1), kind), np.arange(ROWS)
         self.within = np.empty((ROWS, SIZE), kind)
@@ -211,12 +221,15 @@ class Classed:
         for a in range(0, self.n, ROWS):
             b = min(a + ROWS, self.n)
             x, logits = self.x[a:b], self.logits[: b - a]
-            np.clip(np.matmul(x, self.of_class, out=logits), -40, 40, out=logits)
+            np.matmul(x, self.of_class, out=logits)
+            if self.bound[0]:
+                np.clip(logits, -LOGIT, LOGIT, out=logits)
             spans = self.spans.get(a // ROWS, [])
             within = self.within[: spans[-1][2] if spans else 0]
             for k, i, j in spans:
                 np.matmul(x[i:j], self.of_word[k], out=within[i:j])
-            np.clip(within, -40, 40, out=within)
+            if self.bound[1]:
+                np.clip(within, -LOGIT, LOGIT, out=within)
             yield a, b, x, logits, spans, within
 
 
@@ -273,16 +286,20 @@ def score_tokens(p, ids: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray
         live = int((part[:, 0] >= 0).sum())
         part, h = part[:live], h[:live]
         hs = np.empty((part.shape[1], live, HIDDEN), np.float32)
-        x = p["E"].take(before[np.maximum(part, 0)].T, axis=0)
+        x = gathered(p, before[np.maximum(part, 0)].T)
         fresh = begins[np.maximum(part, 0)].T
-        room = tuple(np.empty((live, k * HIDDEN), np.float32) for k in (3, 2, 1))
+        room = (*(np.empty((k, live, HIDDEN), np.float32) for k in (3, 2)), np.empty((live, HIDDEN), np.float32))
         for t in range(part.shape[1]):
             if fresh[t].any():
                 h = np.where(fresh[t][:, None], np.float32(0), h)
             h = step(p, h, x[t], (*room, hs[t]))[-1]
         where = part.T
         real = where >= 0
-        out[where[real]] = out_log_probs(p, hs[real], ids[where[real]])
+        if real.all():
+            hs, where = hs.reshape(-1, HIDDEN), where.ravel()
+        else:
+            hs, where = hs[real], where[real]
+        out[where] = out_log_probs(p, hs, ids[where])
     return out
 
 
@@ -324,26 +341,35 @@ class Trainer:
         return {k: s.mean(axis=_ROW[k], keepdims=True) if k in _ROW else s.copy() for k, s in self.seen.items()}
 
     def update(self, name, grad, rows=None):
+        """grad is used up."""
         p, s = self.p[name], self.seen[name]
+        by = grad * grad
+        if rows is None:
+            s += by
+            np.sqrt(s, out=by)
+        else:
+            by += s.take(rows, axis=0)
+            s[rows] = by
+            np.sqrt(by, out=by)
+        grad *= RATE
+        grad /= by
         if rows is None:
-            s += grad * grad
-            p -= RATE * grad / np.sqrt(s)
+            p -= grad
         else:
-            s[rows] += grad * grad
-            p[rows] -= RATE * grad / np.sqrt(s[rows])
+            p[rows] -= grad
 
     def window(self, h, inputs, fresh, ids, real):
         """One forward and backward pass; inputs, fresh, ids, real: (time, lanes). The state after it."""
         p, steps = self.p, len(inputs)
-        x, cut = p["E"].take(inputs, axis=0), fresh.any(axis=1)
+        x, cut = gathered(p, inputs), fresh.any(axis=1)
         lanes, size = h.shape
         # few large arrays, filled in place: those of all tasks of a machine share its caches
         hs, was, n, gn = (np.empty((steps, lanes, size), np.float32) for _ in range(4))
-        inner, gates = np.empty((lanes, 3 * size), np.float32), np.empty((steps, lanes, 2 * size), np.float32)
+        inner, gates = np.empty((3, lanes, size), np.float32), np.empty((steps, 2, lanes, size), np.float32)
         for t in range(steps):
             was[t] = np.where(fresh[t][:, None], np.float32(0), h) if cut[t] else h
             gn[t], h = step(p, was[t], x[t], (inner, gates[t], n[t], hs[t]))[-2:]
-        h, z, r = h.copy(), gates[:, :, :size], gates[:, :, size:]
+        h, z, r = h.copy(), gates[:, 0], gates[:, 1]
         whole = bool(real.all())
         if whole:
             dhs = self.output(hs.reshape(-1, HIDDEN), ids.ravel()).reshape(hs.shape)
@@ -351,24 +377,33 @@ class Trainer:
             dhs = np.zeros_like(hs)
             dhs[real] = self.output(hs[real], ids[real])
         # what a step's gradient is multiplied by on its way to the gates and to h @ U, for all steps at once
-        to_n = (1 - z) * (1 - n * n)
-        to = np.empty((steps, lanes, 3, size), np.float32)
-        np.multiply(was - n, z * (1 - z), out=to[:, :, 0])
-        np.multiply(to_n, r, out=to[:, :, 2])
-        np.multiply(to[:, :, 2], gn * (1 - r), out=to[:, :, 1])
-        g, back, back_u = to, np.zeros_like(h), np.ascontiguousarray(p["U"].T)
+        g, rest = np.empty((steps, 3, lanes, size), np.float32), 1 - z
+        np.multiply(z, rest, out=g[:, 0])
+        g[:, 0] *= was - n
+        to_n = np.multiply(n, n, out=n)
+        np.subtract(1, to_n, out=to_n)
+        to_n *= rest
+        np.multiply(to_n, r, out=g[:, 2])
+        np.subtract(1, r, out=r)
+        r *= gn
+        np.multiply(g[:, 2], r, out=g[:, 1])
+        back, back_u = np.zeros_like(h), np.ascontiguousarray(p["U"].reshape(size, 3, size).transpose(1, 2, 0))
         for t in range(steps - 1, -1, -1):
             d = dhs[t]
             d += back
-            g[t] *= d[:, None]
-            np.matmul(g[t].reshape(lanes, -1), back_u, out=back)
-            back += d * z[t]
+            g[t] *= d
+            to_h = np.matmul(g[t], back_u, out=inner)
+            np.multiply(d, z[t], out=back)
+            for part in to_h:
+                back += part
             if cut[t]:
                 back[fresh[t]] = 0
-        dx = x
-        dx[:, :, : 2 * size] = g.reshape(x.shape)[:, :, : 2 * size]
-        np.multiply(dhs, to_n, out=dx[:, :, 2 * size :])
-        du = was.reshape(-1, HIDDEN).T @ g.reshape(-1, 3 * HIDDEN)
+        # x has had its use: its room, by input, is that of the gradients of the inputs
+        dx = x.reshape(steps, lanes, 3, size)
+        dx[:, :, 0], dx[:, :, 1] = g[:, 0], g[:, 1]
+        np.multiply(dhs, to_n, out=dx[:, :, 2])
+        dx = dx.reshape(steps, lanes, 3 * size)
+        du = np.matmul(was.transpose(0, 2, 1)[:, None], g).sum(axis=0).transpose(1, 0, 2).reshape(size, 3 * size)
         flat, rows = (dx.reshape(-1, 3 * HIDDEN), inputs.ravel()) if whole else (dx[real], inputs[real])
         if len(rows):
             grad, rows = row_sums(flat, rows)
